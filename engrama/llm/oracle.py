@@ -4,9 +4,19 @@ from __future__ import annotations
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": OP8}
+    return {"op3_warc": OP3, "op8_decontaminate": OP8}
 
 
+OP3 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+m AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM m
+"""
+
 OP8 = r"""
 WITH dw AS (
   SELECT row_number() OVER () AS r, doc_id,

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engrama.llm import warc
 from engrama.llm.decontaminate import contamination
 from engrama.llm.pii import personal_data
 from engrama.llm.quality import quality
-from engrama.llm.shared import table
+from engrama.llm.reshard import reshard
+from engrama.llm.shared import scratch_path, table
 from engrama.llm.simhash import near_duplicates
 from engrama.llm.tokens import token_counts
 
@@ -20,6 +22,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op2_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 12 shards by source, one of which holds the hot source, to 16 of equal bytes."""
+    out = reshard(table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("source"), F.lit(12)), 16)
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    read = warc.read(spark, path)
+    whole = F.col("record_type") == "response"  # its payload came back; a revisit's figures stand in its headers
+    return read.select(
+        "page_id", F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(whole, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to",
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
