@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3, "op8_decontaminate": OP8}
+    return {"op3_warc": OP3, "op6_line_dedup": OP6, "op8_decontaminate": OP8}
 
 
 OP3 = """
@@ -17,6 +17,31 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
+OP6 = r"""
+WITH l AS (
+  SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line,
+         unnest(string_split(coalesce(text, ''), chr(10))) AS s
+  FROM documents),
+w AS (SELECT doc_id, line, list_distinct(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS t FROM l),
+x AS (SELECT row_number() OVER (ORDER BY doc_id, line) AS r, doc_id, line, t, len(t) AS n FROM w WHERE len(t) >= 5),
+tok AS (SELECT r, n, unnest(t) AS tok FROM x),
+df AS (SELECT tok, count(*) AS c FROM tok GROUP BY tok),
+rare AS (
+  SELECT r, n, tok, row_number() OVER (PARTITION BY r ORDER BY c, tok) AS i FROM tok JOIN df USING (tok)),
+pre AS (SELECT r, n, tok FROM rare WHERE i <= n - ceil(0.8 * n - 1e-9) + 1),
+cand AS (
+  SELECT DISTINCT p.r AS later, q.r AS earlier
+  FROM pre p JOIN pre q ON p.tok = q.tok AND q.r < p.r AND q.n >= 0.8 * p.n - 1e-9 AND p.n >= 0.8 * q.n - 1e-9),
+pair AS (
+  SELECT later, len(list_intersect(a.t, b.t)) AS k, a.n + b.n AS s
+  FROM cand JOIN x a ON a.r = later JOIN x b ON b.r = earlier),
+gone AS (SELECT DISTINCT later AS r FROM pair WHERE k >= 0.8 * (s - k) - 1e-9),
+per AS (SELECT doc_id, count(*) AS n_removed, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS removed FROM gone JOIN x USING (r) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(string_split(coalesce(d.text, ''), chr(10))) AS BIGINT) AS n_lines,
+       CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN per USING (doc_id)
+"""
+
 OP8 = r"""
 WITH dw AS (
   SELECT row_number() OVER () AS r, doc_id,

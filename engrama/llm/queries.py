@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from engrama.llm import pieces, warc
 from engrama.llm.decontaminate import contamination
 from engrama.llm.licenses import licenses
+from engrama.llm.line_dedup import line_duplicates
 from engrama.llm.pii import personal_data
 from engrama.llm.quality import quality
 from engrama.llm.reshard import reshard
@@ -50,6 +51,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
