@@ -164,3 +164,12 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     model = fit(sorted(patterns))
     judged = seen.withColumnsRenamed({f"vote_{r}": r for r in RULES}).withColumn("p_good", model.posterior())
     return judged.withColumnsRenamed({r: f"vote_{r}" for r in RULES}).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+
+
+def keep_good(docs: DataFrame, threshold: float = 0.5, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """docs without the texts that quality() rejects; same columns. Ids and digests of rejected rows are broadcast up to broadcast_rows and joined by shuffle beyond."""
+    digest = F.md5(F.col("text").cast("binary"))
+    judged = quality(docs.select("doc_id", "text", digest.alias("digest")), threshold)
+    bad = materialise(judged.where(~F.col("kept")).select(F.col("doc_id").alias("_d"), F.col("digest").alias("_t")).distinct(), "rejected")
+    bad = F.broadcast(bad) if bad.count() <= broadcast_rows else bad
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_d"]) & digest.eqNullSafe(bad["_t"]), "left_anti")
