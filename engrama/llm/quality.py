@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 from engrama.llm.shared import SPACE_GAP, let, materialise, split_words, without
 
 WINDOW = 8
-RULES = ("length", "word_length", "symbols", "repeats", "lines", "variety", "capitals", "doubled")
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_letters", "n_doubled")
+#: Expected share of good texts.
+PRIOR = 0.8
+#: Expected accuracy of a vote that finds fault; as evidence it counts as much as the votes themselves.
+TRUST = 0.95
+RULES = ("sentences", "word_length", "symbols", "repeats", "lines", "variety", "capitals", "doubled")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_letters", "n_doubled", "n_ended_lines")
 
 
 def _repeat_words(words: Column) -> Column:
@@ -66,14 +70,14 @@ def features(docs: DataFrame) -> DataFrame:
 
     out = without(docs, *FEATURES).withColumns({
         "_c": let(split_words(F.col("text"), SPACE_GAP), counts),
-        "_l": let(worded, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))),
+        "_l": let(worded, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"), F.size(F.filter(x, lambda line: line.rlike(r"[.!?]\s*$"))).alias("e"))),
         "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")),
         "n_symbols": F.length(text) - F.length(F.translate(text, "#*$%&|<>", "")),
         "n_letters": F.length(letters),
         "n_upper": F.length(F.regexp_replace(letters, r"[^\p{Lu}]+", "")),
     })
     out = out.withColumns({
-        "n_lines": F.col("_l.n"), "n_dup_lines": F.col("_l.n") - F.col("_l.d"),
+        "n_lines": F.col("_l.n"), "n_dup_lines": F.col("_l.n") - F.col("_l.d"), "n_ended_lines": F.col("_l.e"),
         **{c: F.col(f"_c.{c}") for c in ("n_words", "n_distinct_words", "n_repeat_words", "n_doubled")},
     }).drop("_c", "_l")
     return out.withColumns({c: F.col(c).cast("long") for c in FEATURES})
@@ -88,25 +92,27 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Each rule's vote over FEATURES. A rule abstains between its two limits, and where the text is too short for it."""
+    """Each rule's vote over FEATURES. A rule abstains where its evidence is weak; most can only find fault."""
     n = F.col("n_words")
     symbols, repeats, upper = _ratio("n_symbols", "n_words"), _ratio("n_repeat_words", "n_words"), _ratio("n_upper", "n_letters")
     length, variety, doubled, dups = _ratio("word_chars", "n_words"), _ratio("n_distinct_words", "n_words"), _ratio("n_doubled", "n_words"), _ratio("n_dup_lines", "n_lines")
+    ended = _ratio("n_ended_lines", "n_lines")
+    never = F.lit(False)
     return {
-        "length": _vote(n >= 50, n < 20),
+        "sentences": _vote(ended >= 0.7, (ended < 0.1) & (n >= 20)),
         "word_length": _vote(length.between(3.5, 7.0), (length < 2.5) | (length > 12)),
-        "symbols": _vote(symbols <= 0.02, symbols > 0.1),
-        "repeats": _vote((repeats <= 0.05) & (n >= 50), repeats > 0.3),
-        "lines": _vote((F.col("n_lines") >= 3) & (dups == 0), dups > 0.3),
-        "variety": _vote((variety >= 0.3) & (n >= 50), (variety < 0.2) & (n.between(20, 2000))),
-        "capitals": _vote(upper <= 0.15, (upper > 0.4) & (F.col("n_letters") >= 20)),
-        "doubled": _vote(doubled <= 0.03, doubled > 0.2),
+        "symbols": _vote(never, symbols > 0.1),
+        "repeats": _vote(never, repeats > 0.3),
+        "lines": _vote(never, dups > 0.3),
+        "variety": _vote(never, (variety < 0.2) & n.between(20, 2000)),
+        "capitals": _vote(never, (upper > 0.4) & (F.col("n_letters") >= 20)),
+        "doubled": _vote(never, doubled > 0.2),
     }
 
 
 @dataclass(frozen=True)
 class Model:
-    """prior: P(good). weights: per rule, log P(vote | good) - log P(vote | bad) for the votes -1, 0 and 1."""
+    """prior: P(good). weights: per rule, log P(vote | good) - log P(vote | bad) for the votes -1 and 1; abstaining says nothing."""
 
     prior: float
     weights: dict[str, dict[int, float]]
@@ -115,39 +121,40 @@ class Model:
         """P(good | votes) of columns named like the rules."""
         logit = F.lit(math.log(self.prior / (1 - self.prior)))
         for rule, w in self.weights.items():
-            logit = logit + F.when(F.col(rule) == 1, w[1]).when(F.col(rule) == -1, w[-1]).otherwise(w[0])
+            logit = logit + F.when(F.col(rule) == 1, w[1]).when(F.col(rule) == -1, w[-1]).otherwise(0.0)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], names: tuple[str, ...] = RULES, rounds: int = 50) -> Model:
+def fit(patterns: list[tuple[tuple[int, ...], int]], names: tuple[str, ...] = RULES, prior: float = PRIOR, rounds: int = 50) -> Model:
     """EM for two classes with votes independent given the class, over (votes, number of texts) of the whole corpus.
 
-    The start is the majority of votes; smoothing by one text keeps every
-    probability positive. No patterns give an even prior and no weights.
+    The start trusts any fault that is found. Each round estimates how often a
+    rule casts each vote on good and on bad texts, with TRUST as a Beta prior
+    that weighs as much as the votes, then the posteriors. A rule is held to be
+    no worse than chance. The share of good texts is given, since the votes do
+    not fix it where abstaining says nothing. No patterns give no weights.
     """
     total = sum(c for _, c in patterns)
+    flat = {r: {-1: 0.0, 1: 0.0} for r in names}
     if not total:
-        return Model(0.5, {r: {-1: 0.0, 0: 0.0, 1: 0.0} for r in names})
-    belief = [0.9 if sum(v) > len(names) / 2 and min(v) >= 0 else 0.1 if min(v) < 0 else 0.6 for v, _ in patterns]
-    prior, like = 0.5, []
+        return Model(prior, flat)
+    belief = [0.05 if -1 in v else 0.95 if 1 in v else 0.5 for v, _ in patterns]
+    weights, logit = flat, math.log(prior / (1 - prior))
     for _ in range(rounds):
         good = sum(b * c for b, (_, c) in zip(belief, patterns, strict=True))
-        prior = (good + 1) / (total + 2)
-        like = []
-        for k in range(len(names)):
-            seen = {v: [1.0, 1.0] for v in (-1, 0, 1)}
-            for b, (votes, c) in zip(belief, patterns, strict=True):
-                seen[votes[k]][0] += b * c
-                seen[votes[k]][1] += (1 - b) * c
-            like.append({v: (g / (good + 3), x / (total - good + 3)) for v, (g, x) in seen.items()})
-        belief = []
-        for votes, _ in patterns:
-            logit = math.log(prior / (1 - prior)) + sum(math.log(like[k][v][0] / like[k][v][1]) for k, v in enumerate(votes))
-            belief.append(1 / (1 + math.exp(-max(-700.0, min(700.0, logit)))))
-    return Model(prior, {r: {v: math.log(g / b) for v, (g, b) in like[k].items()} for k, r in enumerate(names)})
-
-
-def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+        weights = {}
+        for k, rule in enumerate(names):
+            w = {}
+            for v, trusted in ((-1, 1 - TRUST), (1, prior)):
+                n = sum(c for x, c in patterns if x[k] == v)
+                g = (sum(b * c for b, (x, c) in zip(belief, patterns, strict=True) if x[k] == v) + n * trusted) / 2  # of good texts among the votes
+                w[v] = math.log((g + 1) / (good + 2)) - math.log((n - g + 1) / (total - good + 2))
+            weights[rule] = {-1: min(0.0, w[-1]), 1: max(0.0, w[1])}
+        belief = [1 / (1 + math.exp(-max(-700.0, min(700.0, logit + sum(weights[r][v] for r, v in zip(names, votes, strict=True) if v))))) for votes, _ in patterns]
+    return Model(prior, weights)
+
+
+def quality(docs: DataFrame, threshold: float = 0.5, prior: float = PRIOR) -> DataFrame:
     """Adds FEATURES, the votes (vote_<rule>), p_good, base_failed and kept to each row of docs (needs a text column).
 
     Null and empty texts have no words, so base_failed is true. Repeated rows
@@ -161,7 +168,7 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     seen = materialise(seen, "quality")
     votes = [F.col(f"vote_{r}") for r in RULES]
     patterns = [((*row[:-1],), row[-1]) for row in seen.groupBy(*votes).agg(F.count("*").alias("n")).collect()]  # at most 3 ** len(RULES) rows
-    model = fit(sorted(patterns))
+    model = fit(sorted(patterns), prior=prior)
     judged = seen.withColumnsRenamed({f"vote_{r}": r for r in RULES}).withColumn("p_good", model.posterior())
     return judged.withColumnsRenamed({r: f"vote_{r}" for r in RULES}).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
