@@ -388,5 +388,6 @@ def test_warc_pushdown_skips_payloads():
 
 
 def test_shared_dir_follows_the_session(spark):
-    assert shared.shared_dir(spark) == spark.sparkContext.getCheckpointDir().rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    assert shared.shared_dir(spark) == named.rstrip("/")
     assert math.isclose(spark.createDataFrame([(1.0,)], "x double").select(shared.let(F.col("x"), lambda v: v + v)).first()[0], 2.0)
