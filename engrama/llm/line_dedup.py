@@ -8,28 +8,30 @@ most other pairs before words are compared.
 
 Lines with equal sets are settled first by one aggregation, so a line that a third
 of all documents hold is one row. Then each line is tried against the first
-lines of its words' lists, which settles groups of near copies; only lines that are
-still there meet all earlier ones.
+earlier line that the filters let through in each of its words' lists, which settles
+groups of near copies; only lines whose tries all failed meet every earlier one.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from engrama.llm.shared import SPACE_GAP, let, materialise, split_words
+from engrama.llm.shared import materialise
 
 THRESHOLD = 0.8
 #: Lines with fewer different words are left alone.
 LEAST = 5
 #: Counters for word frequency; words share them by hash.
 SLOTS = 1 << 18
+#: Longs of the widest sketch.
+WIDE = 8
 #: Factor of the polynomial that hashes a word's bytes, and its inverse modulo 2 ** 64.
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
@@ -108,10 +110,18 @@ def _prefix(sizes: np.ndarray, threshold: float) -> np.ndarray:
     return sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
 
 
+def _order(line: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Sorts by line, then key. One sort of 64 bits unless two words of a line agree in all the bits of their keys that fit."""
+    short = (line.astype(np.uint64) << np.uint64(40)) | (key >> np.uint64(24))
+    order = np.argsort(short)
+    tie = short[order[1:]] == short[order[:-1]]
+    return np.lexsort((key, line)) if (tie & (key[order[1:]] != key[order[:-1]])).any() else order
+
+
 def lines(docs: DataFrame, ranks: bytes, threshold: float, least: int) -> DataFrame:
     """One row per line with at least `least` different words: doc, line, a and b (together the set's identity), size, sketch and the prefix of (rarity, word hash) keys.
 
-    sketch: each word flips one of 64 bits, so two sketches differ in no more bits than their sets in words.
+    sketch: each word flips one of 64, 128, 256 or 512 bits (more for longer lines; a wider one folds to a narrower by exclusive or), so two sketches differ in no more bits than their sets in words.
 
     ranks: broadcast-sized, fixed length: the rarity rank of each slot in 32 bits.
     """
@@ -126,7 +136,7 @@ def lines(docs: DataFrame, ranks: bytes, threshold: float, least: int) -> DataFr
             ends = np.flatnonzero(buffer == 10)
             line = np.searchsorted(ends, starts)  # of the whole piece
             key = (rank[hashes % np.uint64(slots)].astype(np.uint64) << np.uint64(64 - bits)) | (hashes >> np.uint64(bits))
-            order = np.lexsort((key, line))
+            order = _order(line, key)
             line, key, hashes = line[order], key[order], hashes[order]
             new = np.ones(len(line), bool)
             new[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
@@ -134,7 +144,11 @@ def lines(docs: DataFrame, ranks: bytes, threshold: float, least: int) -> DataFr
             first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
             sizes = np.diff(np.append(first, len(line)))
             a, b = np.add.reduceat(_mix(hashes), first), np.bitwise_xor.reduceat(_mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), first)
-            sketch = np.bitwise_xor.reduceat(np.uint64(1) << (_mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(58)), first)
+            width = np.minimum(WIDE, 1 << np.ceil(np.log2(np.maximum(sizes / 64, 1))).astype(np.int64))  # longs
+            at = np.cumsum(width) - width
+            bit = (_mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) % np.repeat(64 * width, sizes).astype(np.uint64)).astype(np.int64)
+            flips = np.bincount(np.repeat(64 * at, sizes) + bit, minlength=64 * width.sum()) & 1
+            sketch = np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
             keep = np.flatnonzero(sizes >= least)
             if not len(keep):
                 continue
@@ -145,40 +159,127 @@ def lines(docs: DataFrame, ranks: bytes, threshold: float, least: int) -> DataFr
             n = _prefix(sizes[keep], threshold)
             take = np.repeat(first[keep] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(key[take].view(np.int64)))
+            spread = np.repeat(at[keep] - np.concatenate([[0], np.cumsum(width[keep])[:-1]]), width[keep]) + np.arange(width[keep].sum())
+            sketches = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width[keep])]), pa.int32()), pa.array(sketch[spread]))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64)), pa.array(sizes[keep].astype(np.int32)), pa.array(sketch[keep].view(np.int64)), prefix],
+                [rows.column(0).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64)), pa.array(sizes[keep].astype(np.int32)), sketches, prefix],
                 ["doc", "line", "a", "b", "size", "sketch", "prefix"],
             )
 
-    return docs.select("doc", F.col("text").cast("binary")).mapInArrow(run, "doc long, line int, a long, b long, size int, sketch long, prefix array<long>")
+    return docs.select("doc", F.col("text").cast("binary")).mapInArrow(run, "doc long, line int, a long, b long, size int, sketch array<long>, prefix array<long>")
+
+
+def _folds(sketch: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Longs of each sketch, and all sketches folded to 1, 2, 4 and WIDE longs (narrower ones leave the wide folds unused)."""
+    width = np.diff(sketch.offsets.to_numpy())
+    flat, starts = sketch.values.to_numpy().view(np.uint64), sketch.offsets.to_numpy()[:-1]
+    whole = {w: np.zeros((len(width), w), np.uint64) for w in (1, 2, 4, WIDE)}
+    for w in (1, 2, 4, WIDE):
+        rows = np.flatnonzero(width == w)
+        part = flat[starts[rows][:, None] + np.arange(w)]
+        while True:
+            whole[part.shape[1]][rows] = part
+            if part.shape[1] == 1:
+                break
+            half = part.shape[1] // 2
+            part = part[:, :half] ^ part[:, half:]
+    return width, whole
+
+
+def candidates(table: pa.Table, t: float, every: bool) -> pa.RecordBatch:
+    """(xd, xl, yd, yl): for the asking entries of whole word lists (sorted by key, doc, line) the earlier entries of their lists that the filters on length, place and sketch let through: the first, or every one.
+
+    All lists advance together: round c tries every entry that is still open
+    against the entry at place c of its list, so in search of the first a group of
+    near copies is done after one round.
+    """
+    table = table.combine_chunks()
+    key, doc, line, size, i = (table.column(c).to_numpy() for c in ("key", "doc", "line", "size", "i"))
+    width, folds = _folds(pa.concat_arrays(table.column("sketch").chunks) if table.num_rows else pa.array([], pa.list_(pa.int64())))
+    size, i = size.astype(np.int64), i.astype(np.int64)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    start = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    open_ = np.flatnonzero(~new & table.column("asking").to_numpy())
+    xs, ys = [], []
+    c = 0
+    while len(open_):
+        x, y = open_, start[open_] + c
+        both = size[x] + size[y]
+        need = np.ceil(t / (1 + t) * both - 1e-9).astype(np.int64)
+        ok = np.minimum(size[x], size[y]) >= np.ceil(t * np.maximum(size[x], size[y]) - 1e-9)
+        ok &= np.minimum(size[x] - i[x], size[y] - i[y]) >= need
+        ok &= (doc[x] != doc[y]) | (line[x] != line[y])
+        still = np.flatnonzero(ok)
+        narrow = np.minimum(width[x[still]], width[y[still]])
+        for w, fold in folds.items():
+            mine = still[narrow == w]
+            if len(mine):
+                ok[mine] = np.bitwise_count(fold[x[mine]] ^ fold[y[mine]]).sum(axis=1, dtype=np.int64) <= both[mine] - 2 * need[mine]
+        xs.append(x[ok])
+        ys.append(y[ok])
+        c += 1
+        open_ = open_ if every else open_[~ok]
+        open_ = open_[open_ - start[open_] > c]
+    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
+    return pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(line[x]), pa.array(doc[y]), pa.array(line[y])], ["xd", "xl", "yd", "yl"])
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a partition that is sorted by key, cut between keys only."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(b.schema.get_field_index("key")).to_numpy()
+        if held and held[-1].column(held[-1].schema.get_field_index("key"))[-1].as_py() != key[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if key[0] != key[-1]:
+            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = [b.slice(cut)]
+        else:
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, line, n, sketch, w): the different words of the wanted lines, from the texts themselves, and a sketch of WIDE * 64 bits."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: dict[str, list] = {"doc": [], "line": [], "n": [], "sketch": [], "w": []}
+            for doc, text, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                every = (text or b"").split(b"\n")
+                for k in numbers:
+                    found = sorted(set(every[k].split())) if k < len(every) else []
+                    bits = np.bincount([zlib.crc32(x) % (WIDE * 64) for x in found], minlength=WIDE * 64) & 1
+                    for name, value in (("doc", doc), ("line", k), ("n", len(found)), ("sketch", np.packbits(bits.astype(np.uint8)).view(np.int64)), ("w", found)):
+                        rows[name].append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c], t) for c, t in (("doc", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("sketch", pa.list_(pa.int64())), ("w", pa.list_(pa.binary())))], list(rows))
 
-def _could_match(t: float) -> Column:
-    """Length and place filters and a bound by sketches for x (later) and y (earlier), which share the prefix word at places x.i and y.i (from 0)."""
-    both = F.col("x.size") + F.col("y.size")
-    need = F.ceil(F.lit(t / (1 + t)) * both - 1e-9)  # shared words of a match
-    rest = F.least(F.col("x.size") - F.col("x.i"), F.col("y.size") - F.col("y.i"))
-    shorter, longer = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
-    return (shorter >= F.ceil(t * longer - 1e-9)) & (rest >= need) & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= both - 2 * need)
+    return docs.select("doc", F.col("text").cast("binary").alias("text")).join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(run, "doc long, line int, n int, sketch array<long>, w array<binary>")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, t: float, broadcast_rows: int) -> DataFrame:
-    """(doc, line) of pairs' x whose words and those of y are similar enough; the words come from the texts themselves."""
+    """(doc, line) of pairs' x whose words and those of y are similar enough. Words are only moved for pairs that wide sketches let through."""
     ends = pairs.select(F.explode(F.array(F.struct(F.col("xd").alias("doc"), F.col("xl").alias("line")), F.struct(F.col("yd").alias("doc"), F.col("yl").alias("line")))).alias("e")).select("e.*")
     wanted = materialise(ends.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("wanted")), "wanted-lines")
-    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
-    words_at = lambda parts: F.transform("wanted", lambda i: F.struct(i.alias("line"), F.array_distinct(split_words(F.get(parts, i), SPACE_GAP)).alias("w")))
-    sets = docs.select("doc", "text").join(wanted, "doc").select("doc", F.explode(let(F.split(F.coalesce("text", F.lit("")), "\n"), words_at)).alias("s")).select("doc", "s.*")
-    sets = materialise(sets, "line-words")
-    x, y = sets.withColumnsRenamed({"doc": "xd", "line": "xl", "w": "xw"}), sets.withColumnsRenamed({"doc": "yd", "line": "yl", "w": "yw"})
-    shared = F.size(F.array_intersect("xw", "yw"))
-    both = pairs.join(x, ["xd", "xl"]).join(y, ["yd", "yl"])
-    similar = shared >= F.lit(t) * (F.size("xw") + F.size("yw") - shared) - 1e-9
-    return both.where(similar).select(F.col("xd").alias("doc"), F.col("xl").alias("line")).distinct()
+    sets = materialise(_sets(docs, F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted), "line-words")
 
+    def beside(pairs_: DataFrame, *names: str) -> DataFrame:
+        for side in "xy":
+            pairs_ = pairs_.join(sets.select(F.col("doc").alias(f"{side}d"), F.col("line").alias(f"{side}l"), *[F.col(c).alias(f"{side}_{c}") for c in names]), [f"{side}d", f"{side}l"])
+        return pairs_
 
-def _later() -> Column:
-    return (F.col("x.doc") > F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.line") > F.col("y.line")))
+    apart = sum((F.bit_count(F.col("x_sketch")[i].bitwiseXOR(F.col("y_sketch")[i])) for i in range(WIDE)), F.lit(0))
+    both = F.col("x_n") + F.col("y_n")
+    near = beside(pairs, "n", "sketch").where(apart <= both - 2 * F.ceil(F.lit(t / (1 + t)) * both - 1e-9)).select("xd", "xl", "yd", "yl")
+    shared = F.size(F.array_intersect("x_w", "y_w"))
+    similar = shared >= F.lit(t) * (F.size("x_w") + F.size("y_w") - shared) - 1e-9
+    return beside(materialise(near, "near-pairs"), "w").where(similar).select(F.col("xd").alias("doc"), F.col("xl").alias("line")).distinct()
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -208,21 +309,28 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LE
     told = every.join(same, ["a", "b"], "left")
     is_first = F.col("fd").isNull() | ((F.col("fd") == F.col("doc")) & (F.col("fl") == F.col("line")))
     gone = told.where(~is_first).select("doc", "line")
-    # each word's list, in order; words of one line only can't make a match
+    # each word's list, in order; every line's first candidate in each
     entries = told.where(is_first).select("doc", "line", "size", "sketch", F.posexplode("prefix").alias("i", "key"))
-    by_key = Window.partitionBy("key")
-    entry = F.struct("doc", "line", "size", "i", "sketch")
-    entries = entries.withColumns({"n": F.count("*").over(by_key), "y": F.min(entry).over(by_key)}).where("n > 1").drop("n")
-    entries = materialise(entries.select("key", entry.alias("x"), "y"), "word-lists")
-    pair = [F.col("x.doc").alias("xd"), F.col("x.line").alias("xl"), F.col("y.doc").alias("yd"), F.col("y.line").alias("yl")]
-    first = materialise(entries.where(_later() & _could_match(threshold)).select(*pair).distinct(), "first-pairs")
+
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pairs(entries_: DataFrame, every: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in _whole_lists(batches):
+                yield candidates(whole, threshold, every)
+
+        return entries_.repartition(parts, "key").sortWithinPartitions("key", "doc", "line").mapInArrow(run, "xd long, xl int, yd long, yl int").distinct()
+
+    first = materialise(pairs(entries.withColumn("asking", F.lit(True)), False), "first-pairs")
     settled = materialise(_verified(docs, first, threshold, broadcast_rows), "settled")
-    # what is still there meets all earlier lines of its lists but the first, which it has met
-    out = settled.withColumnsRenamed({"doc": "sd", "line": "sl"})
-    out = F.broadcast(out) if out.count() <= broadcast_rows else out
-    open_ = entries.where(_later()).join(out, (F.col("x.doc") == F.col("sd")) & (F.col("x.line") == F.col("sl")), "left_anti").select("key", "x", F.col("y").alias("f"))
-    pairs = open_.join(entries.select(F.col("key").alias("k"), F.col("x").alias("y")), F.col("key") == F.col("k")).where(_later() & _could_match(threshold) & (F.col("y") != F.col("f")))
-    second = materialise(pairs.select(*pair).distinct(), "pairs")
+    # a line whose first candidates all failed meets every earlier line of its lists
+    rest = first.select(F.col("xd").alias("doc"), F.col("xl").alias("line")).distinct().join(settled, ["doc", "line"], "left_anti").withColumn("asks", F.lit(True))
+    rest = materialise(rest, "unsettled")
+    rest = F.broadcast(rest) if rest.count() <= broadcast_rows else rest
+    asked = entries.join(rest, ["doc", "line"], "left").withColumn("asking", F.coalesce("asks", F.lit(False))).drop("asks")
+    keys = materialise(asked.where("asking").select("key").distinct(), "unsettled-words")
+    keys = F.broadcast(keys) if keys.count() <= broadcast_rows else keys
+    second = materialise(pairs(asked.join(keys, "key", "left_semi"), True).join(first, ["xd", "xl", "yd", "yl"], "left_anti"), "pairs")
     more = _verified(docs, second, threshold, broadcast_rows)
     return gone.union(settled).union(more).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
