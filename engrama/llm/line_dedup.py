@@ -187,7 +187,7 @@ def _folds(sketch: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
 
 
 def candidates(table: pa.Table, t: float, every: bool) -> pa.RecordBatch:
-    """(xd, xl, yd, yl): for the asking entries of whole word lists (sorted by key, doc, line) the earlier entries of their lists that the filters on length, place and sketch let through: the first, or every one.
+    """(xd, xl, yd, yl, key): for the asking entries of whole word lists (sorted by key, doc, line) the earlier entries of their lists that the filters on length, place and sketch let through: the first, or every one.
 
     All lists advance together: round c tries every entry that is still open
     against the entry at place c of its list, so in search of the first a group of
@@ -222,7 +222,7 @@ def candidates(table: pa.Table, t: float, every: bool) -> pa.RecordBatch:
         open_ = open_ if every else open_[~ok]
         open_ = open_[open_ - start[open_] > c]
     x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-    return pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(line[x]), pa.array(doc[y]), pa.array(line[y])], ["xd", "xl", "yd", "yl"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[x]), pa.array(line[x]), pa.array(doc[y]), pa.array(line[y]), pa.array(key[x])], ["xd", "xl", "yd", "yl", "key"])
 
 
 def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -319,18 +319,19 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LE
             for whole in _whole_lists(batches):
                 yield candidates(whole, threshold, every)
 
-        return entries_.repartition(parts, "key").sortWithinPartitions("key", "doc", "line").mapInArrow(run, "xd long, xl int, yd long, yl int").distinct()
+        return entries_.repartition(parts, "key").sortWithinPartitions("key", "doc", "line").mapInArrow(run, "xd long, xl int, yd long, yl int, key long")
 
     first = materialise(pairs(entries.withColumn("asking", F.lit(True)), False), "first-pairs")
-    settled = materialise(_verified(docs, first, threshold, broadcast_rows), "settled")
-    # a line whose first candidates all failed meets every earlier line of its lists
-    rest = first.select(F.col("xd").alias("doc"), F.col("xl").alias("line")).distinct().join(settled, ["doc", "line"], "left_anti").withColumn("asks", F.lit(True))
+    ends = ["xd", "xl", "yd", "yl"]
+    settled = materialise(_verified(docs, first.select(ends).distinct(), threshold, broadcast_rows), "settled")
+    # a line whose first candidates all failed meets every earlier line of the lists that they came from; its other lists let none through
+    rest = first.select(F.col("xd").alias("doc"), F.col("xl").alias("line"), "key").distinct().join(settled, ["doc", "line"], "left_anti").withColumn("asks", F.lit(True))
     rest = materialise(rest, "unsettled")
-    rest = F.broadcast(rest) if rest.count() <= broadcast_rows else rest
-    asked = entries.join(rest, ["doc", "line"], "left").withColumn("asking", F.coalesce("asks", F.lit(False))).drop("asks")
-    keys = materialise(asked.where("asking").select("key").distinct(), "unsettled-words")
-    keys = F.broadcast(keys) if keys.count() <= broadcast_rows else keys
-    second = materialise(pairs(asked.join(keys, "key", "left_semi"), True).join(first, ["xd", "xl", "yd", "yl"], "left_anti"), "pairs")
+    small = rest.count() <= broadcast_rows
+    keys = rest.select("key").distinct()
+    again = entries.join(F.broadcast(keys) if small else keys, "key", "left_semi").join(F.broadcast(rest) if small else rest, ["doc", "line", "key"], "left")
+    again = again.withColumn("asking", F.coalesce("asks", F.lit(False))).drop("asks")
+    second = materialise(pairs(again, True).select(ends).distinct().join(first.select(ends), ends, "left_anti"), "pairs")
     more = _verified(docs, second, threshold, broadcast_rows)
     return gone.union(settled).union(more).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
