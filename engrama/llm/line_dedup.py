@@ -79,7 +79,7 @@ def words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, _mix((sums[end] - sums[start]) * down[start])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pieces(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, lengths, bytes) of texts in the last column: the texts of some rows, each closed by a line end."""
     for b in batches:
         texts = b.column(b.num_columns - 1)
