@@ -14,6 +14,7 @@ groups of near copies; only lines whose tries all failed meet every earlier one.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from engrama.llm.shared import materialise
 
 THRESHOLD = 0.8
-#: Lines with fewer different words are left alone.
+#: Lines with fewer different words are left alone unless the caller asks for them; the query and the pipeline ask for all (1).
 LEAST = 5
 #: Counters for word frequency; words share them by hash.
 SLOTS = 1 << 18
@@ -309,8 +310,9 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LE
     told = every.join(same, ["a", "b"], "left")
     is_first = F.col("fd").isNull() | ((F.col("fd") == F.col("doc")) & (F.col("fl") == F.col("line")))
     gone = told.where(~is_first).select("doc", "line")
-    # each word's list, in order; every line's first candidate in each
-    entries = told.where(is_first).select("doc", "line", "size", "sketch", F.posexplode("prefix").alias("i", "key"))
+    # each word's list, in order; every line's first candidate in each. Unequal sets share at most n / (n + 1) of n words, so shorter ones have met all their matches above
+    shortest = math.ceil(threshold / (1 - threshold) - 1e-6) if threshold < 1 else 1
+    entries = told.where(is_first & (F.col("size") >= shortest)).select("doc", "line", "size", "sketch", F.posexplode("prefix").alias("i", "key"))
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

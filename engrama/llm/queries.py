@@ -52,7 +52,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_duplicates(table(spark, sf_dir, "documents"))
+    return line_duplicates(table(spark, sf_dir, "documents"), least=1)
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
