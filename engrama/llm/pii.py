@@ -1,10 +1,10 @@
 """Personal data in texts, also in disguise, with spans of the source characters.
 
 Base detectors read the text as it is. Where a text holds signs of disguise,
-two transducers rewrite it (homoglyphs and invisible characters first, then
-spelled digits and at/dot words), each keeping for every character it writes the source
-characters it stands for; the same detectors read the result, and what
-they find is mapped back.
+transducers rewrite it (homoglyphs and invisible characters first, then
+spelled digits, signs in brackets and spaced dots, then spaced ats), each keeping for every
+character it writes the source characters it stands for; the same detectors read the
+result, and what they find is mapped back.
 """
 
 from __future__ import annotations
@@ -42,13 +42,25 @@ DIGIT_WORDS = {
 #: Full-width forms of ASCII and the mathematical digits are folded by rule.
 ODD = re.compile("[" + "".join(HOMOGLYPHS) + INVISIBLE + "！-～\U0001d7ce-\U0001d7ff]")
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_SEPARATOR = r"[\s,.\-]{1,3}"
-SPELLED = re.compile(rf"(?<!\w)(?P<plus>plus{_SEPARATOR})?(?:{_WORD}|[0-9])(?:{_SEPARATOR}(?:{_WORD}|[0-9])(?!\w)){{5,}}", re.I)
+_DOT = r"(?:dot|punkt|punto|point)"
+_AT = r"(?:at|ät|arroba|arobase)"
+
+
+def _spelled(separator: str, least: int) -> re.Pattern:
+    """Runs of digit words and single digits, `least` of them at least, between which stands a separator."""
+    return re.compile(rf"(?<!\w)(?P<plus>plus{separator})?(?:{_WORD}|[0-9])(?!\w)(?:{separator}(?:{_WORD}|[0-9])(?!\w)){{{least - 1},}}", re.I)
+
+
+#: Full stops separate digits of a long run; else they stay as they are, for addresses.
+SPELLED_LONG = _spelled(r"[\s,.\-]{1,3}", 6)
+SPELLED = _spelled(r"[\s,\-]{1,3}", 1)
 SPELLED_PART = re.compile(rf"{_WORD}|[0-9]", re.I)
-BRACKETED = re.compile(r"\s?[\[({<]\s?(?P<sign>at|ät|arroba|arobase|dot|punkt|punto|point)\s?[\])}>]\s?", re.I)
-BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?P<at>\s(?:at|arroba|arobase)\s)[A-Za-z0-9-]++(?:\s(?:dot|punkt|punto|point)\s[A-Za-z0-9-]++)+", re.I)
-BARE_DOT = re.compile(r"\s(?:dot|punkt|punto|point)\s", re.I)
-AT_SIGNS = frozenset(("at", "ät", "arroba", "arobase"))
+BRACKETED = re.compile(rf"\s?[\[({{<]\s?(?P<sign>@|\.|{_AT}|{_DOT})\s?[\])}}>]\s?", re.I)
+SPACED_DOT = re.compile(rf"(?<=[A-Za-z0-9._%+-])\s{{1,3}}{_DOT}\s{{1,3}}(?=[A-Za-z0-9-])", re.I)
+#: Before what the base pattern takes as a domain; its last label is one of letters, since 'at' also stands before numbers.
+SPACED_AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])\s{{1,3}}(?:@|{_AT})\s{{1,3}}(?=(?P<domain>[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+))", re.I)
+A_SPACED_AT = re.compile(rf"\s(?:@|{_AT})\s", re.I)
+AT_SIGNS = frozenset(("@", "at", "ät", "arroba", "arobase"))
 DOT_WORDS = ("dot", "punkt", "punto", "point")
 
 Span = tuple[str, int, int]
@@ -118,39 +130,54 @@ def fold_glyph(c: str) -> str:
     return ""
 
 
+def _ats(text: str) -> list[list[tuple[int, int, str]]]:
+    """Edits that write @ for a spaced at: of all that stand before a domain, and, where the domain of one is the local part of the next, without the former."""
+    found = [m for m in SPACED_AT.finditer(text) if len(label := m["domain"].rsplit(".", 1)[1]) >= 2 and label.isalpha()]
+    edits = [(*m.span(), "@") for m in found]
+    starts = {m.start() for m in found}
+    last = [e for m, e in zip(found, edits, strict=True) if m.end("domain") not in starts]
+    return [edits] if len(last) == len(edits) else [edits, last]
+
+
 def disguised(text: str) -> list[Span]:
-    """Spans that only the rewritten text shows."""
+    """Spans that only the rewritten text shows. Each rule rewrites by itself: glyphs, then spelled digits, signs in brackets and spaced dots, then spaced ats; the base detectors decide."""
     traced = Traced(text)
     odd = not text.isascii() and [(m.start(), m.end(), fold_glyph(m[0])) for m in ODD.finditer(text)]
     if odd:
         traced = traced.rewrite(odd)
-    low, edits, runs = traced.text.lower(), [], []
+    plain, low, signs, found = traced, traced.text.lower(), [], []
     if any(w in low for w in DOT_WORDS):
-        for m in BARE.finditer(traced.text):
-            label = traced.text[m.start() : m.end()].rsplit(None, 1)[-1]
-            if len(label) >= 2 and label.isalpha():
-                edits.append((*m.span("at"), "@"))
-                edits += [(d.start(), d.end(), ".") for d in BARE_DOT.finditer(traced.text, m.end("at"), m.end())]
+        signs += [(*m.span(), ".") for m in SPACED_DOT.finditer(plain.text)]
     if any(b in low for b in "[({<"):
-        edits += [(m.start(), m.end(), "@" if m["sign"].lower() in AT_SIGNS else ".") for m in BRACKETED.finditer(traced.text)]
-    if not DIGIT_WORDS.keys().isdisjoint(re.split(r"[\s,.\-]+", low)):
-        for m in SPELLED.finditer(traced.text):
-            digits = "".join(DIGIT_WORDS.get(p[0].lower(), p[0]) for p in SPELLED_PART.finditer(traced.text, m.end("plus") if m["plus"] else m.start(), m.end()))
-            edits.append((m.start(), m.end(), ("+" if m["plus"] else "") + digits))
-            runs.append((m.start(), m.end(), digits, m["plus"]))
-    if not odd and not edits:
-        return []
-    clear, edits = [], sorted(edits)
-    for e in edits:
-        if not clear or e[0] >= clear[-1][1]:
-            clear.append(e)
-    # a spelled run of a phone's length is one with or without its plus sign
-    found = [("phone", traced.starts[a], traced.ends[b - 1]) for a, b, digits, plus in runs if not plus and 9 <= len(digits) <= 15 and not (len(digits) >= 12 and luhn(digits))]
-    traced = traced.rewrite(clear)
-    for kind, a, b in detect(traced.text):
-        s, e = traced.starts[a], traced.ends[b - 1]
-        if text[s:e] != traced.text[a:b]:
-            found.append((kind, s, e))
+        signs += [(*m.span(), "@" if m["sign"].lower() in AT_SIGNS else ".") for m in BRACKETED.finditer(plain.text)]
+    readings = [signs]
+    if not DIGIT_WORDS.keys().isdisjoint(re.split(r"[^\w]+", low)):
+        readings = []
+        for pattern in (SPELLED, SPELLED_LONG):
+            edits = []
+            for m in pattern.finditer(plain.text):
+                digits = "".join(DIGIT_WORDS.get(p[0].lower(), p[0]) for p in SPELLED_PART.finditer(plain.text, m.end("plus") if m["plus"] else m.start(), m.end()))
+                edits.append((m.start(), m.end(), ("+" if m["plus"] else "") + digits))
+                # a spelled run of a phone's length is one with or without its plus sign
+                if not m["plus"] and 9 <= len(digits) <= 15 and pattern is SPELLED_LONG and not (len(digits) >= 12 and luhn(digits)):
+                    found.append(("phone", plain.starts[m.start()], plain.ends[m.end() - 1]))
+            if edits or not readings:
+                readings.append(signs + edits)
+    for edits in readings:
+        clear = []
+        for e in sorted(edits):
+            if not clear or e[0] >= clear[-1][1]:
+                clear.append(e)
+        written = plain.rewrite(clear) if clear else plain
+        ats = _ats(written.text) if A_SPACED_AT.search(written.text) else [[]]
+        for at in ats:
+            if not (odd or clear or at):
+                continue
+            traced = written.rewrite(at) if at else written
+            for kind, a, b in detect(traced.text):
+                s, e = traced.starts[a], traced.ends[b - 1]
+                if text[s:e] != traced.text[a:b]:
+                    found.append((kind, s, e))
     return found
 
 

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from engrama.llm import oracle, queries
+from engrama.llm import oracle, pii, queries
 from test_llm_small import brute_removed
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -27,3 +27,39 @@ def test_short_lines_against_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = con.execute(oracle.OP6.replace("len(t) >= 5", "len(t) >= 1")).fetchall()
     assert sorted(map(tuple, queries.op6_line_dedup(spark, sf).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize(
+    "kind,text",
+    [
+        ("email", "john@example dot com"),
+        ("email", "john(@)example.com"),
+        ("email", "john [ @ ] example{.}com"),
+        ("email", "john at example.com"),
+        ("email", "john @ example.com"),
+        ("email", "john dot smith at mail dot com"),
+        ("email", "john(dot)smith at mail dot example[.]com"),
+        ("email", "jоhn dot smith arroba exаmple punto com"),
+        ("ip", "192 dot 168 dot 0 dot 1"),
+        ("ip", "192[.]168[.]0[.]1"),
+        ("ip", "192(dot)168[punkt]0 dot 1"),
+        ("ip", "one nine two dot one six eight dot zero dot one"),
+        ("ip", "one nine two.one six eight.zero.one"),
+        ("ip", "1 9 2 dot one six eight [.] zero dot 1"),
+        ("phone", "plus one 555 123 4567"),
+    ],
+)
+def test_each_disguise_is_found_whole(kind, text):
+    lead, tail = "write to: ", ", or not"
+    spans = pii.find(lead + text + tail)[1]
+    assert (kind, len(lead), len(lead) + len(text)) in spans
+    assert pii.mask(lead + text + tail) == f"{lead}<{kind}>{tail}"
+
+
+@pytest.mark.parametrize("text", ["priced at 3.5 dollars", "two dot five", "one point two and three. Four (.) five", "we met at noon. The dot of one two three", "see [at] and (dot)"])
+def test_no_disguise(text):
+    assert pii.find(text)[1] == []
+
+
+def test_at_before_an_address():
+    assert pii.mask("reach him at john.smith at mail dot com now") == "reach <email> now"
