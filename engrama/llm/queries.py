@@ -13,7 +13,7 @@ from engrama.llm.licenses import licenses
 from engrama.llm.line_dedup import line_duplicates
 from engrama.llm.pii import personal_data
 from engrama.llm.quality import quality
-from engrama.llm.reshard import reshard
+from engrama.llm.reshard import resharded
 from engrama.llm.shared import scratch_path, table
 from engrama.llm.simhash import near_duplicates
 from engrama.llm.tokens import token_counts
@@ -25,8 +25,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 12 shards by source, one of which holds the hot source, to 16 of equal bytes."""
-    out = reshard(table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("source"), F.lit(12)), 16)
+    """From 12 shards by source, one of which holds the hot source, to 16 of equal bytes: written, rewritten and read back."""
+    out = resharded(table(spark, sf_dir, "documents"), F.pmod(F.xxhash64("source"), F.lit(12)), 16, scratch_path(spark, "shards"))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard")
 
 

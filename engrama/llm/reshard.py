@@ -4,15 +4,17 @@ From the bytes of the old shards and the capacities of the new ones a flow
 network of a few dozen nodes gives the bytes that each old shard passes to each
 new one, moving as few as possible. Blocks of rows are dealt to these flows in
 order; only blocks in which one flow ends and another starts are divided by row. Only
-shards that gain or lose rows are rewritten.
+shards that gain or lose rows are rewritten; each version has a manifest that says
+which version holds the files of each shard.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -87,16 +89,26 @@ def _divide(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rid": pdf["rid"].to_numpy(), "shard": dealt})
 
 
-def plan(rows: DataFrame, shards: int, block_rows: int = BLOCK_ROWS, broadcast_blocks: int = 500_000) -> DataFrame:
-    """shard (int) and slot (long, gapless from 0 in each shard) for each row of rows: rid (unique long), old (int), size (long, at least 1).
+class Dealing:
+    """Where each row goes: whole blocks by (old, block), and rid by rid the rows of divided blocks, of which there are fewer than old and new shards together."""
 
-    Sizes of the new shards come out equal up to the rows' grain. rows must be
-    written already, so that rids stay as they are. An empty table gives no rows.
-    """
+    def __init__(self, blocks_of, dealt: DataFrame, which: DataFrame, small: bool):
+        self.blocks_of, self.dealt, self.which, self.small = blocks_of, dealt, which, small
+
+    def place(self, rows: DataFrame) -> DataFrame:
+        """rows (rid, old and others) with block and shard; where blocks are few no row is shuffled."""
+        whole = self.dealt.select("old", "block", F.col("targets")[0].alias("_whole"))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("rid"), self.blocks_of[F.col("old")]).cast("int"))
+        rows = rows.join(F.broadcast(whole) if self.small else whole, ["old", "block"]).join(F.broadcast(self.which), "rid", "left")
+        return rows.withColumn("shard", F.coalesce("_shard", "_whole").cast("int")).drop("_shard", "_whole")
+
+
+def deal(rows: DataFrame, shards: int, block_rows: int = BLOCK_ROWS, broadcast_blocks: int = 500_000) -> Dealing | None:
+    """Deals rows (rid, old, size) to shards; None for an empty table."""
     spark = rows.sparkSession
     old = {r["old"]: (r["bytes"], r["n"]) for r in rows.groupBy("old").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}  # one row per old shard
     if not old:
-        return rows.select("rid", "old", "size", F.lit(0).alias("block"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return None
     total = sum(b for b, _ in old.values())
     flows = min_cost_flow({i: b for i, (b, _) in sorted(old.items())}, equal_capacities(total, shards))
     cuts = []  # what each flow takes of its old shard's bytes; what stays comes first
@@ -115,16 +127,25 @@ def plan(rows: DataFrame, shards: int, block_rows: int = BLOCK_ROWS, broadcast_b
     dealt = shared.groupBy("old", "block").agg(F.array_sort(F.collect_list(F.struct("lo", "target", room.alias("room")))).alias("f"))
     dealt = materialise(dealt.select("old", "block", F.col("f.target").alias("targets"), F.col("f.room").alias("room")), "blocks")
     small = dealt.count() <= broadcast_blocks
-    rows = rows.join(F.broadcast(dealt) if small else dealt, ["old", "block"])
-    whole = rows.where(F.size("targets") == 1).select("rid", "old", "size", "block", F.col("targets")[0].alias("shard"))
-    split = rows.where(F.size("targets") > 1)  # blocks with a cut: fewer than old and new shards together
-    which = split.groupBy("old", "block").applyInPandas(_divide, "rid long, shard int")
-    split = split.select("rid", "old", "size", "block").join(which, "rid")
-    placed = materialise(whole.unionByName(split.select(whole.columns)), "placed")
+    divided = dealt.where(F.size("targets") > 1)  # blocks with a cut: fewer than old and new shards together
+    which = rows.join(F.broadcast(divided), ["old", "block"]).groupBy("old", "block").applyInPandas(_divide, "rid long, shard int")
+    return Dealing(blocks_of, dealt, materialise(which.withColumnRenamed("shard", "_shard"), "divided"), small)
+
+
+def plan(rows: DataFrame, shards: int, block_rows: int = BLOCK_ROWS, broadcast_blocks: int = 500_000) -> DataFrame:
+    """shard (int) and slot (long, gapless from 0 in each shard) for each row of rows: rid (unique long), old (int), size (long, at least 1).
+
+    Sizes of the new shards come out equal up to the rows' grain. rows must be
+    written already, so that rids stay as they are. An empty table gives no rows.
+    """
+    dealing = deal(rows, shards, block_rows, broadcast_blocks)
+    if dealing is None:
+        return rows.select("rid", "old", "size", F.lit(0).alias("block"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+    placed = materialise(dealing.place(rows).select("rid", "old", "size", "block", "shard"), "placed")
     starts = placed.groupBy("shard", "old", "block").agg(F.count("*").alias("n"))
     starts = starts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("old", "block")) - F.col("n")).drop("n")
     placed = placed.withColumn("at", F.row_number().over(Window.partitionBy("shard", "old", "block").orderBy("rid")))
-    placed = placed.join(F.broadcast(starts) if small else starts, ["shard", "old", "block"])
+    placed = placed.join(F.broadcast(starts) if dealing.small else starts, ["shard", "old", "block"])
     return placed.select("rid", "old", "size", "block", "shard", (F.col("before") + F.col("at") - 1).alias("slot"))
 
 
@@ -146,22 +167,88 @@ def reshard(docs: DataFrame, old, shards: int, keep: tuple[str, ...] = ("doc_id"
     return out.select(*keep, "size", "text_crc32", F.lit("bytes").alias("law"), F.col("old").alias("old_shard"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def rewrite(root: str, version: int, shards: int, spark) -> DataFrame:
-    """Reshards the table of Parquet folders root/v<version>/shard=<n> into root/v<version + 1>.
+def _manifest(root: str, version: int) -> str:
+    return f"{root}/v{version}/_manifest"
+
+
+def _exists(path: str, spark: SparkSession) -> bool:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
+def _commit(root: str, version: int, held: dict[int, int], spark: SparkSession) -> None:
+    """held: for each shard with rows, the version whose folder holds its files."""
+    spark.createDataFrame(sorted(held.items()), "shard int, version int").coalesce(1).write.json(_manifest(root, version))
+
+
+def held_in(root: str, version: int, spark: SparkSession) -> dict[int, int]:
+    """For each shard the version that holds its files: as the manifest says, or all in this version where there is none (a first layout by other means)."""
+    if _exists(_manifest(root, version), spark):
+        return {r["shard"]: r["version"] for r in spark.read.schema("shard int, version int").json(_manifest(root, version)).collect()}  # one row per shard
+    return {int(r["shard"]): version for r in spark.read.parquet(f"{root}/v{version}").select("shard").distinct().collect()}
 
-    Only shards that gain or lose rows are written anew. Gives one row per new
-    shard: shard, path of its files, rows, bytes, rewritten. Rows are told
-    apart by file and place, so repeated ones are safe.
+
+def stored(root: str, version: int, spark: SparkSession) -> DataFrame | None:
+    """All rows of a version, from every shard its manifest names: their columns, shard, and _file and _row (where they stand). None where no shard has rows."""
+    held = held_in(root, version, spark)
+    parts = []
+    for v in sorted(set(held.values())):
+        part = spark.read.option("basePath", f"{root}/v{v}").parquet(*[f"{root}/v{v}/shard={s}" for s in sorted(held) if held[s] == v])
+        columns = [part[c] for c in part.columns if c != "shard"]
+        parts.append(part.select(*columns, F.col("shard").cast("int").alias("shard"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def lay_out(docs: DataFrame, old, root: str) -> None:
+    """Writes docs as version 0 of root, by the shard that old gives (null means 0)."""
+    without(docs, "shard", "_file", "_row").withColumn("shard", F.coalesce(old, F.lit(0)).cast("int")).write.partitionBy("shard").parquet(f"{root}/v0")
+    spark = docs.sparkSession
+    shards = spark.read.parquet(f"{root}/v0").select("shard").distinct().collect() if docs.limit(1).count() else []
+    _commit(root, 0, {int(r["shard"]): 0 for r in shards}, spark)
+
+
+def rewrite(root: str, version: int, shards: int, spark: SparkSession) -> DataFrame:
+    """Reshards version `version` of the table of Parquet folders root/v<n>/shard=<n> into version + 1.
+
+    Only shards that gain or lose rows are written anew; the new version's
+    manifest, written last, names the older version that holds each of the
+    others. Gives one row per new shard: shard, path of its files, rows, bytes,
+    rewritten. Rows are told apart by file and place, so repeated ones are
+    safe. Texts go from old files to new ones without a shuffle.
+    """
+    held, before = held_in(root, version, spark), stored(root, version, spark)
+    report = "shard int, path string, rows long, bytes long, rewritten boolean"
+    if before is None:
+        _commit(root, version + 1, {}, spark)
+        return spark.createDataFrame([], report)
+    rid = F.xxhash64("_file", "_row")
+    rows = materialise(before.select(rid.alias("rid"), F.col("shard").alias("old"), size_of().alias("size")), "sizes")
+    dealing = deal(rows, shards)
+    flows = dealing.place(rows).groupBy("old", "shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()  # at most one row per flow
+    touched = sorted({x for r in flows if r["old"] != r["shard"] for x in (r["old"], r["shard"])})
+    if touched:
+        columns = [c for c in before.columns if c not in ("shard", "_file", "_row")]
+        moving = before.where(F.col("shard").isin(touched)).select(F.struct(*columns).alias("_of"), rid.alias("rid"), F.col("shard").alias("old"))
+        dealing.place(moving).select("_of.*", "shard").write.partitionBy("shard").parquet(f"{root}/v{version + 1}")
+    now = {s: version + 1 if s in touched else held[s] for s in {r["shard"] for r in flows}}
+    _commit(root, version + 1, now, spark)
+    total = lambda s, c: sum(r[c] for r in flows if r["shard"] == s)
+    return spark.createDataFrame([(s, f"{root}/v{v}/shard={s}", total(s, "rows"), total(s, "bytes"), s in touched) for s, v in sorted(now.items())], report)
+
+
+def resharded(docs: DataFrame, old, shards: int, root: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """reshard() carried out: docs are laid out under root by old shard and rewritten, and what is returned is read back from the new version's files; slot is a row's place among those of its shard.
+
+    old: column over docs' own columns, which are all moved with the text.
     """
-    stored = spark.read.parquet(f"{root}/v{version}")
-    columns = [c for c in stored.columns if c != "shard"]
-    where = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    rows = materialise(stored.select(where.alias("rid"), F.col("shard").cast("int").alias("old"), size_of().alias("size")), "sizes")
-    placed = materialise(plan(rows, shards), "placed")
-    moved = placed.where("old <> shard")
-    touched = sorted({x for r in moved.select("old", "shard").distinct().collect() for x in r})  # at most one row per flow
-    kept = without(stored, "_rid").withColumn("_rid", where)
-    new = kept.where(F.col("shard").isin(touched)).drop("shard").join(placed.where(F.col("shard").isin(touched)).select(F.col("rid").alias("_rid"), "shard"), "_rid")
-    new.select(*columns, "shard").repartition("shard").write.partitionBy("shard").parquet(f"{root}/v{version + 1}")
-    path = F.concat(F.lit(f"{root}/v"), F.when(F.col("shard").isin(touched), version + 1).otherwise(version), F.lit("/shard="), F.col("shard"))
-    return placed.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).select("shard", path.alias("path"), "rows", "bytes", F.col("shard").isin(touched).alias("rewritten"))
+    lay_out(docs, old, root)
+    rewrite(root, 0, shards, docs.sparkSession)
+    after = stored(root, 1, docs.sparkSession)
+    facts = [size_of().alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), F.coalesce(old, F.lit(0)).cast("int").alias("old_shard")]
+    if after is None:
+        return docs.limit(0).select(*keep, *facts, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    read = materialise(after.select(*keep, *facts, "shard", "_file", "_row"), "read-back")
+    files = read.groupBy("shard", "_file").agg(F.count("*").alias("n"))
+    files = files.select("shard", "_file", (F.sum("n").over(Window.partitionBy("shard").orderBy("_file")) - F.col("n")).alias("_before"))
+    out = read.join(F.broadcast(files), ["shard", "_file"])  # one row per file
+    return out.select(*keep, "size", "text_crc32", "law", "old_shard", "shard", (F.col("_before") + F.col("_row")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -1,9 +1,13 @@
 """Queries as registered, on tables that show whether they do the whole job."""
 
+import zlib
+from collections import Counter
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from engrama.llm import oracle, pii, queries
+from engrama.llm import oracle, pii, queries, reshard
 from test_llm_small import brute_removed
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -63,3 +67,34 @@ def test_no_disguise(text):
 
 def test_at_before_an_address():
     assert pii.mask("reach him at john.smith at mail dot com now") == "reach <email> now"
+
+
+def test_second_rewrite_reads_untouched_shards(spark, tmp_path):
+    root = str(tmp_path)
+    # shard 0 has its share already; 1 and 2 differ
+    rows = [(i, "x" * 9, 0 if i < 100 else 1 if i < 260 else 2) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(f"{root}/v0")
+    once = {r["shard"]: r for r in reshard.rewrite(root, 0, 3, spark).collect()}
+    assert {s for s, r in once.items() if r["rewritten"]} == {1, 2} and once[0]["path"] == f"{root}/v0/shard=0"
+    for version, shards in ((1, 3), (2, 5), (3, 2)):
+        out = reshard.rewrite(root, version, shards, spark).collect()
+        assert sum(r["rows"] for r in out) == 300 and len(out) == shards
+        assert sorted(r["doc_id"] for p in out for r in spark.read.parquet(p["path"]).collect()) == list(range(300))
+        assert sorted(r["doc_id"] for r in reshard.stored(root, version + 1, spark).collect()) == list(range(300))
+
+
+def test_reshard_query_reads_new_files(spark, tmp_path, monkeypatch):
+    rows = [(i, None if i % 50 == 0 else f"té {i} " * (i % 30), "s" if i % 3 else f"s{i % 20}") for i in range(400)] + [(7, "same", "s")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op2_reshard(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len((t or "").encode()) + 1, None if t is None else zlib.crc32(t.encode())) for i, t, _ in rows)
+    for s in range(16):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+    # a text that is damaged in a new shard shows in its checksum
+    whole = reshard.stored
+    monkeypatch.setattr(reshard, "stored", lambda root, version, spark_: whole(root, version, spark_).withColumn("text", F.lit("damaged")) if version == 1 else whole(root, version, spark_))
+    assert {r["text_crc32"] for r in queries.op2_reshard(spark, str(tmp_path)).collect()} == {zlib.crc32(b"damaged")}
+    monkeypatch.undo()
+    empty = reshard.resharded(docs.where("false"), F.lit(0), 4, str(tmp_path / "empty"))
+    assert empty.count() == 0 and empty.columns == queries.op2_reshard(spark, str(tmp_path)).select("doc_id", "size", "text_crc32", "law", "old_shard", "shard", "slot", "grown_shard").columns
