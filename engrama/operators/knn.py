@@ -71,7 +71,7 @@ def search(queries: DataFrame, memories: DataFrame, k: int, gate: float | None =
     return _ranked(_deal(qs, mem, "_bucket", F.lit(n_q), F.lit(n_m), k, gate), k)
 
 
-def lsh_search(memories: DataFrame, k: int, tables: int = 12, bits: int = 6, seed: int = 7) -> DataFrame:
+def lsh_search(memories: DataFrame, k: int, tables: int = 20, bits: int = 4, seed: int = 7) -> DataFrame:
     """(q_id, rnk, id, sim): search() of all memories among themselves, but only rows that share a bucket of random hyperplanes in one of the tables meet. Recall grows with tables and falls with bits; large buckets are dealt out in blocks."""
     mem = memories.where(F.col("embedding").isNotNull()).select("id", "_pos", F.col("embedding").cast("array<double>").alias("embedding"))
 
@@ -86,7 +86,8 @@ def lsh_search(memories: DataFrame, k: int, tables: int = 12, bits: int = 6, see
     sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))  # at most tables * 2 ** bits rows
     keyed = keyed.join(F.broadcast(sizes), "key")
     found = _deal(keyed.withColumn("q_id", F.col("id")), keyed, "key", F.col("n"), F.col("n"), k, None)
-    return _ranked(found.distinct(), k)
+    # a pair that meets in several tables is one, though products of other shapes may differ in their last bits
+    return _ranked(found.groupBy("q_id", "id", "_pos").agg(F.max("sim").alias("sim")), k)
 
 
 def stream_search(queries: pd.DataFrame, memories: DataFrame, k: int) -> DataFrame:
