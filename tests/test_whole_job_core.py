@@ -6,6 +6,18 @@ import pytest
 from engrama import oracle, queries
 from engrama.operators.knn import search
 
+SF = "/root/testdata/sf0.01"
+
+
+def by_sql(name, *changes):
+    """Rows of a query's SQL with the whole job put in place of its cuts."""
+    con, sql = duckdb.connect(), oracle.oracle_sql()[name]
+    for t in ("documents", "embeddings", "labels", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for old, new in changes:
+        sql = sql.replace(old, new)
+    return sorted(con.execute(sql).fetchall())
+
 
 @pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
 def test_recall_of_the_registered_index(spark, size):
@@ -15,3 +27,9 @@ def test_recall_of_the_registered_index(spark, size):
     near = {(r["q_id"], r["id"]) for r in rows}
     true = {(r["q_id"], r["id"]) for r in search(mem.selectExpr("id AS q_id", "embedding"), mem, 3).collect()}
     assert len(near) == len(rows) and len(near & true) >= 0.9 * len(true)
+
+
+def test_listing_holds_whole_texts(spark):
+    got = sorted(map(tuple, queries.recall_listing(spark, SF).collect()))
+    assert got == by_sql("recall_listing", ("substring(mem.text, 1, 40)", "mem.text"))
+    assert max(len(x) for _, x in got) > 1000
