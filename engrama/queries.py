@@ -41,6 +41,11 @@ def _asking(mem: DataFrame) -> DataFrame:
     return mem.where((F.col("_pos") % 50 == 0) & F.col("embedding").isNotNull()).select(F.col("id").alias("q_id"), "embedding")
 
 
+def _turns_asking(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn of the asking conversations; q_id is conversation:turn."""
+    return _t(spark, sf, "conversations").where("conv_id % 50 = 0").select(F.concat_ws(":", "conv_id", "turn").alias("q_id"), "text")
+
+
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in names or ("sim",)})
 
@@ -62,7 +67,7 @@ def scoped_recall(spark, sf):
 
 
 def keyword_fallback(spark, sf):
-    asks = _t(spark, sf, "conversations").where("conv_id % 50 = 0 AND turn = 0").select(F.col("conv_id").cast("string").alias("q_id"), "text")
+    asks = _turns_asking(spark, sf)
     return _rounded(recall.keyword_recall(asks, memories(spark, sf)), "score")
 
 
@@ -275,7 +280,7 @@ def first_hit_turn(spark, sf):
 
 
 def bm25_topk(spark, sf):
-    asks = _t(spark, sf, "conversations").where("conv_id % 50 = 0 AND turn = 0").select(F.col("conv_id").cast("string").alias("q_id"), "text")
+    asks = _turns_asking(spark, sf)
     return _rounded(extras.bm25(asks, memories(spark, sf).select("id", "_pos", "text"), 10), "score")
 
 

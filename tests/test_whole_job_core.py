@@ -33,3 +33,12 @@ def test_listing_holds_whole_texts(spark):
     got = sorted(map(tuple, queries.recall_listing(spark, SF).collect()))
     assert got == by_sql("recall_listing", ("substring(mem.text, 1, 40)", "mem.text"))
     assert max(len(x) for _, x in got) > 1000
+
+
+@pytest.mark.parametrize("name", ["keyword_fallback", "bm25_topk"])
+def test_every_turn_asks(spark, name):
+    got = sorted(map(tuple, getattr(queries, name)(spark, SF).collect()))
+    want = by_sql(name, (" AND turn = 0", ""), ("CAST(conv_id AS VARCHAR) AS q_id", "conv_id || ':' || turn AS q_id"))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=2e-6)
+    assert len({r[0] for r in got}) == 8
