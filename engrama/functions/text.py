@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The vocabulary of the three classifiers.
-CONSTRAINT_WORDS = ("diabetic", "vegan", "vegetarian", "pescatarian", "celiac", "coeliac", "lactose", "gluten", "allergic", "allergy", "allergies", "intolerant", "intolerance", "terrified", "afraid", "scared", "phobia", "phobic", "kosher", "halal", "sober")
+CONSTRAINT_WORDS = ("diabetic", "vegan", "vegetarian", "pescatarian", "celiac", "coeliac", "lactose", "gluten", "allergic", "allergy", "allergies", "intolerant", "intolerance", "terrified", "afraid", "scared", "phobia", "phobic", "kosher", "halal", "sober", "teetotal", "acrophobi")
 CONSTRAINT_NO = ("sugar", "meat", "dairy", "nut", "nuts", "gluten", "shellfish", "alcohol")
 CONSTRAINT_CANNOT = ("can't", "cant", "cannot", "never")
 CONSTRAINT_ACTS = ("eat", "have", "drink", "stand", "do")
@@ -29,8 +29,8 @@ def _any(*words: str) -> str:
     return "(?:" + "|".join(words) + ")"
 
 
-CONSTRAINT = BEFORE + _any(*CONSTRAINT_WORDS, rf"no\s+{_any(*CONSTRAINT_NO)}", rf"{_any(*CONSTRAINT_CANNOT)}\s+{_any(*CONSTRAINT_ACTS)}") + AFTER
-HISTORY = BEFORE + _any(*HISTORICAL, rf"{_any(*HISTORICAL_OLD)}\s+{_any(*HISTORICAL_THINGS)}", *HISTORICAL_ASK) + AFTER
+CONSTRAINT = BEFORE + _any(*CONSTRAINT_WORDS, f"no {_any(*CONSTRAINT_NO)}", f"{_any(*CONSTRAINT_CANNOT)} {_any(*CONSTRAINT_ACTS)}") + AFTER
+HISTORY = BEFORE + _any(*HISTORICAL, f"{_any(*HISTORICAL_OLD)} {_any(*HISTORICAL_THINGS)}", *HISTORICAL_ASK) + AFTER
 CUE = BEFORE + _any(_any(*CUES) + AFTER, _any(*CUES_COLON) + AFTER_COLON)
 
 #: All Unicode white space that a trim takes off.

@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from engrama.functions.text import SPACES, trim
+from engrama.operators import lexical
+
 # Weights, bands and limits of the designs.
-K1, B = 1.5, 0.75
 RRF = 60
 DUPLICATE, MERGE = 0.95, 0.88
 HALF_LIVES = {"user_stated": 365, "inferred": 180, "session": 30}
 SECRETS = {
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "aws_key": r"AKIA[0-9A-Z]{16}",
-    "token": r"(?i)(?:api[_-]?key|secret|token|password)\s*[:=]\s*[\"']?[A-Za-z0-9_\-]{16,}",
-    "github": r"gh[pousr]_[A-Za-z0-9]{36}",
-    "card": r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}",
+    "an API key": r"\b(sk|pk|ghp|gho|xox[baprs])-[A-Za-z0-9_-]{16,}\b",
+    "an AWS key": r"\bAKIA[0-9A-Z]{16}\b",
+    "what looks like a card number": r"\b[0-9]{13,16}\b",
+    "a private key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "a credential": r"(?i)\b(password|passwd|secret|token)\s*[:=]\s*\S{6,}",
 }
-FILLER = r"(?i)^(?:(?:please|remember|note|ok|okay|so|well|hey|also|just)[\s,:]+|that\s+)"
+FILLER = (
+    r"^(i think |i guess |just so you know,? |for the record,? |it'?s worth noting that )",
+    r"^(please )?(remember|note) that ",
+    r"^(fyi,? |btw,? |also,? )",
+)
+VERBS = r"\b(is|are|was|were|has|have|likes?|prefers?|needs?|uses?|lives?|works?|owns?)\b"
+DEPENDENT = r"^(which|that|who|because|so|but|then)\b"
+JOINTS = r"(?i);\s+|,?\s+and also\s+"
 
 
 def terms(text: Column) -> Column:
@@ -26,18 +37,14 @@ def terms(text: Column) -> Column:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(q_id, rnk, id, score) by BM25; docs (id, _pos, text), queries (q_id, text). Only words of the queries are counted beyond each document's own length."""
-    asked = queries.select("q_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    wanted = asked.select("term").distinct()
-    lengths = docs.select("id", "_pos", terms(F.col("text")).alias("w")).withColumn("len", F.size("w"))
-    n, avg_len = lengths.agg(F.count("*"), F.coalesce(F.avg("len"), F.lit(1.0))).first()
-    tf = lengths.select("id", "_pos", "len", F.explode("w").alias("term")).join(F.broadcast(wanted), "term", "left_semi").groupBy("id", "_pos", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (F.lit(1 - B) + B * F.col("len") / F.lit(float(avg_len))))
-    scores = tf.join(df, "term").select("term", "id", "_pos", part.alias("part")).join(asked, "term").groupBy("q_id", "id", "_pos").agg(F.sum("part").alias("score"))
-    ranked = scores.withColumn("rnk", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc(F.round("score", 9)), "_pos")))
-    return ranked.where(F.col("rnk") <= k).select("q_id", "rnk", "id", "score")
+    """(q_id, rnk, id, score) by BM25; docs (id, _pos, text), queries (q_id, text). Two passes over the docs for each block of queries: one counts their words, one ranks; docs are not shuffled."""
+    asked = queries.select(F.col("q_id").cast("string").alias("q_id"), F.array_distinct(terms(F.col("text"))).alias("tok"))
+    parts = []
+    for block in lexical.query_blocks(asked):
+        df, n, length = lexical.document_counts(sorted({w for _, tok in block for w in tok}), docs)
+        idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+        parts.append(lexical.ranked(block, idf, False, docs, lexical.saturated(max(length, 1) / max(n, 1)), k))
+    return lexical.top(parts, k, 9).where("score > 0")
 
 
 def fuse(arms: list[DataFrame], k: int) -> DataFrame:
@@ -73,14 +80,31 @@ def compact(memories: DataFrame, as_of: Column, days: int = 180) -> DataFrame:
 
 
 def secrets(text: Column) -> Column:
-    """Names of the secret patterns that a text holds."""
+    """What each secret pattern that a text matches looks like, in the order of the patterns."""
     return F.filter(F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in SECRETS.items()]), lambda x: x.isNotNull())
 
 
-def strip_filler(text: Column, rounds: int = 4) -> Column:
-    for _ in range(rounds):
-        text = F.regexp_replace(F.ltrim(text), FILLER, "")
-    return text
+def refusal(text: Column) -> Column:
+    """Why a text is not saved, by the first pattern it matches; null where it may be. A refused text is never stored in part."""
+    first = F.get(secrets(text), 0)
+    return F.when(first.isNotNull(), F.concat(F.lit("Not saved: that looks like "), first, F.lit(". Secrets do not belong in memory.")))
+
+
+def strip_filler(text: Column) -> Column:
+    """White space collapsed, all openers that say nothing taken off, and a capital in front; null stays null.
+
+    An opener may stand in front of another, so one pattern repeats over all of them.
+    """
+    openers = "(?i)^(?:(?:" + "|".join(p.removeprefix("^") for p in FILLER) + r")\s*)+"
+    left = trim(F.regexp_replace(trim(F.regexp_replace(text, SPACES, " ")), openers, ""))
+    return F.concat(F.upper(F.substring(left, 1, 1)), F.substring(left, 2, 1 << 30))
+
+
+def split_facts(text: Column) -> Column:
+    """The statements of a compound sentence if every one of them can stand alone, else the text itself, in an array."""
+    parts = F.filter(F.transform(F.split(text, JOINTS), trim), lambda p: p != "")
+    alone = lambda p: (F.size(F.split(p, r"\s+")) >= 4) & p.rlike("(?i)" + VERBS) & ~p.rlike("(?i)" + DEPENDENT)
+    return F.when((F.size(parts) >= 2) & F.forall(parts, alone), parts).otherwise(F.array(text))
 
 
 def contradiction(subject: Column, value_changed: Column, cue: Column) -> Column:

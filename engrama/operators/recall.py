@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from engrama.functions.text import keyword_score, listing_line, tokens
+from engrama.functions.text import listing_line, tokens
+from engrama.operators import lexical
 from engrama.operators.knn import search
 
 RETURNED, SEEDS = 5, 15
@@ -30,25 +30,12 @@ def recall(queries: DataFrame, memories: DataFrame, seeds: int = SEEDS) -> DataF
 def keyword_recall(queries: DataFrame, memories: DataFrame, k: int = RETURNED) -> DataFrame:
     """(q_id, rnk, id, score) by share of query words found; best first, ties by place. Without any hit a query still gets its first row.
 
-    queries (q_id, text) are a stated set: they are packed into one array and
-    read beside each memory, so only pairs with a hit, and each query's first memory, become rows.
+    queries: q_id, text. Each block of queries is one pass over the memories, which are not shuffled.
     """
-    packed = queries.select("q_id", tokens(F.col("text")).alias("tok"))
-    asked = [(r["q_id"], list(r["tok"])) for r in packed.collect()]
-    schema = packed.schema.simpleString()
-    if not asked:
-        return packed.select("q_id", F.lit(0).alias("rnk"), F.lit("").alias("id"), F.lit(0.0).alias("score")).where("false")
-    first = memories.agg(F.min("_pos").alias("p")).first()["p"]
-    queries_ = F.from_json(F.lit(_json(asked)), f"array<{schema}>")
-    scored = memories.select("id", "_pos", "text").select("id", "_pos", F.explode(F.filter(F.transform(queries_, lambda q: F.struct(q["q_id"].alias("q_id"), keyword_score(q["tok"], F.col("text")).alias("score"))), lambda s: (s["score"] > 0) | (F.col("_pos") == F.lit(first)))).alias("s"))
-    ranked = scored.select("id", "_pos", "s.*").withColumn("rnk", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "_pos")))
-    return ranked.where((F.col("rnk") <= k) & ((F.col("score") > 0) | (F.col("rnk") == 1))).select("q_id", "rnk", "id", "score")
-
-
-def _json(rows: list[tuple]) -> str:
-    import json
-
-    return json.dumps([{"q_id": q, "tok": t} for q, t in rows])
+    asked = queries.select(F.col("q_id").cast("string").alias("q_id"), tokens(F.col("text")).alias("tok"))
+    parts = [lexical.ranked(block, {}, True, memories, lexical.inside, k) for block in lexical.query_blocks(asked)]
+    best = lexical.top(parts, k, 12)
+    return best.where((F.col("score") > 0) | (F.col("rnk") == 1))
 
 
 def listing(ranked: DataFrame, memories: DataFrame, related: DataFrame | None = None) -> DataFrame:

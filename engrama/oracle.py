@@ -61,9 +61,9 @@ graph AS (SELECT a, b, round(list_cosine_similarity(x.embedding, y.embedding), 4
 
 LIVE = MEM.replace("FROM mem WHERE embedding IS NOT NULL", "FROM mem WHERE embedding IS NOT NULL AND NOT deleted")
 
-# The classifiers' words, as in the library.
-CONSTRAINT = r"(?i)\b(?:diabetic|vegan|vegetarian|pescatarian|celiac|coeliac|lactose|gluten|allergic|allergy|allergies|intolerant|intolerance|terrified|afraid|scared|phobia|phobic|kosher|halal|sober|no\s+(?:sugar|meat|dairy|nut|nuts|gluten|shellfish|alcohol)|(?:can''t|cant|cannot|never)\s+(?:eat|have|drink|stand|do))\b"
-HISTORY = r"(?i)\b(?:used to|previous|previously|before|back then|in the past|formerly|history|historical|(?:old|older)\s+(?:job|address|phone|car|name|number)|what did i use|what did i used to)\b"
+# The three patterns of the design, as it writes them.
+CONSTRAINT = r"(?i)\b(diabetic|vegan|vegetarian|pescatarian|celiac|coeliac|lactose|gluten|allerg(?:ic|y|ies)|intoleran(?:t|ce)|terrified|afraid|scared|phobi[ac]|acrophobi|kosher|halal|sober|teetotal)\b|\bno (?:sugar|meat|dairy|nuts?|gluten|shellfish|alcohol)\b|\b(?:can''{0,1}t|cannot|never) (?:eat|have|drink|stand|do)\b"
+HISTORY = r"(?i)\b(used to|previous(ly)?|before|back then|in the past|formerly|history|historical|old(er)? (job|address|phone|car|name|number)|what did i (use|used) to)\b"
 CUE = r"(?i)\b(?:actually|now|nowadays|no longer|anymore|as of|currently|instead|moved|relocated|switched|became|update:|correction:)\b"
 
 IMPORTANCE = "least(1.0, 0.3 + 0.1 * {n}) * CASE WHEN toxic = 1 THEN 1.0 ELSE exp(-ln(2.0) / {half} * (n_chars / 10)) END"
@@ -71,7 +71,7 @@ TERMS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^a-z0-9_]
 WORDS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^A-Za-z0-9_]+'), lambda t: t <> '')"
 UNIQUE = "list_distinct({0})"
 
-BM25 = f"""ql AS (SELECT CAST(conv_id AS VARCHAR) AS q_id, unnest({UNIQUE.format(TERMS.format('text'))}) AS term FROM conversations WHERE conv_id % 50 = 0 AND turn = 0),
+BM25 = f"""ql AS (SELECT conv_id || ':' || turn AS q_id, unnest({UNIQUE.format(TERMS.format('text'))}) AS term FROM conversations WHERE conv_id % 50 = 0),
 dl AS (SELECT id, _pos, {TERMS.format('text')} AS t FROM mem),
 st AS (SELECT count(*) AS n, avg(len(t)) AS avg_len FROM dl),
 tf AS (SELECT id, _pos, len, term, count(*) AS tf FROM (SELECT id, _pos, len(t) AS len, unnest(t) AS term FROM dl) WHERE term IN (SELECT term FROM ql) GROUP BY ALL),
@@ -89,7 +89,7 @@ def oracle_sql() -> dict[str, str]:
         "scoped_recall": w(MEM, SIMS) + """SELECT q_id, rnk, id, round(sim, 6) AS sim FROM (
   SELECT q_id, id, sim, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, _pos) AS rnk FROM pairs
   WHERE NOT deleted AND (valid_to IS NULL OR CAST(q_id AS BIGINT) % 100 = 0)) WHERE rnk <= 5""",
-        "keyword_fallback": w(MEM) + f""", q AS (SELECT CAST(conv_id AS VARCHAR) AS q_id, {UNIQUE.format(WORDS.format('text'))} AS tok FROM conversations WHERE conv_id % 50 = 0 AND turn = 0),
+        "keyword_fallback": w(MEM) + f""", q AS (SELECT conv_id || ':' || turn AS q_id, {UNIQUE.format(WORDS.format('text'))} AS tok FROM conversations WHERE conv_id % 50 = 0),
 s AS (SELECT q_id, id, _pos, CASE WHEN len(tok) > 0 THEN len(list_filter(tok, lambda t: contains(lower(text), t))) / len(tok) ELSE 0 END AS score FROM q, mem),
 r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, _pos) AS rnk FROM s)
 SELECT q_id, rnk, id, round(score, 6) AS score FROM r WHERE rnk <= 5 AND (score > 0 OR rnk = 1)""",
@@ -179,10 +179,9 @@ FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(sim) AS s FROM e
 FROM (SELECT *, {IMPORTANCE.format(n='quality', half=30)} AS s FROM documents JOIN labels USING (doc_id)) WHERE s < 0.05 AND quality = 1 AND toxic <> 1""",
         "compact_superseded": w(MEM) + "SELECT id, embedding IS NOT NULL AND NOT (valid_to IS NOT NULL AND date_diff('day', valid_to, TIMESTAMP '2024-08-01') > 180) AS has_vector FROM mem",
         "secret_guard": r"""SELECT doc_id, array_to_string(list_filter([
-  CASE WHEN regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') THEN 'private_key' END, CASE WHEN regexp_matches(text, 'AKIA[0-9A-Z]{16}') THEN 'aws_key' END,
-  CASE WHEN regexp_matches(text, '(?i)(?:api[_-]?key|secret|token|password)\s*[:=]\s*["'']?[A-Za-z0-9_\-]{16,}') THEN 'token' END,
-  CASE WHEN regexp_matches(text, 'gh[pousr]_[A-Za-z0-9]{36}') THEN 'github' END,
-  CASE WHEN regexp_matches(text, '[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}') THEN 'card' END], lambda x: x IS NOT NULL), ',') AS secrets FROM documents""",
+  CASE WHEN regexp_matches(text, '\b(sk|pk|ghp|gho|xox[baprs])-[A-Za-z0-9_-]{16,}\b') THEN 'an API key' END, CASE WHEN regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') THEN 'an AWS key' END,
+  CASE WHEN regexp_matches(text, '\b[0-9]{13,16}\b') THEN 'what looks like a card number' END, CASE WHEN regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') THEN 'a private key' END,
+  CASE WHEN regexp_matches(text, '(?i)\b(password|passwd|secret|token)\s*[:=]\s*\S{6,}') THEN 'a credential' END], lambda x: x IS NOT NULL), ',') AS secrets FROM documents""",
         "subject_overlap": f"""SELECT conv_id, turn, CAST(o AS BIGINT) AS overlap,
   round(least(1.0, CASE WHEN o > 0 THEN 0.5 ELSE 0 END + CASE WHEN text <> prev THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(text, '{CUE}') THEN 0.4 ELSE 0 END)::DOUBLE, 6) AS score
 FROM (SELECT *, len(list_intersect(list_distinct({TERMS.format('text')}), list_distinct({TERMS.format('prev')}))) AS o
@@ -199,7 +198,7 @@ h1 AS (SELECT DISTINCT s, q_id, dst AS id FROM seed JOIN links ON src = seed.id
 h2 AS (SELECT * FROM h1 UNION SELECT h1.s, h1.q_id, dst FROM h1 JOIN links l ON l.src = h1.id AND l.s = h1.s WHERE NOT EXISTS (SELECT 1 FROM seed x WHERE x.q_id = h1.q_id AND x.id = dst)),
 got AS (SELECT s || '-1' AS strategy, q_id, id FROM h1 UNION ALL SELECT s || '-2', q_id, id FROM h2)
 SELECT strategy, q_id, count(*) FILTER (is_constraint) AS found, count(*) FILTER (NOT is_constraint) AS noise FROM got JOIN mem USING (id) GROUP BY strategy, q_id""",
-        "recall_listing": w(MEM, SIMS) + """SELECT q_id, string_agg(rnk || '. [id ' || ranked.id || '] ' || substring(mem.text, 1, 40) ||
+        "recall_listing": w(MEM, SIMS) + """SELECT q_id, string_agg(rnk || '. [id ' || ranked.id || '] ' || mem.text ||
   CASE WHEN mem.valid_to IS NULL THEN '' ELSE '  (no longer current — superseded ' || strftime(mem.valid_to, '%Y-%m-%d') || ')' END, chr(10) ORDER BY rnk) AS listing
 FROM ranked JOIN mem USING (id) WHERE rnk <= 5 GROUP BY q_id""",
         "cache_misses": w(MEM) + "SELECT DISTINCT left(sha256(text), 16) AS hash FROM documents WHERE left(sha256(text), 16) NOT IN (SELECT left(sha256(text), 16) FROM vec)",

@@ -12,7 +12,7 @@ def values(spark, column, *texts):
 @pytest.mark.parametrize(
     ("column", "yes", "no"),
     [
-        (T.is_constraint, ["I am vegan", "No sugar please", "I can't eat fish", "never do that", "Allergies: pollen"], ["acrophobia", "teetotaler", "no sugary drinks", "can’t eat", "", None]),
+        (T.is_constraint, ["I am vegan", "No sugar please", "I can't eat fish", "never do that", "Allergies: pollen", "I am teetotal"], ["acrophobia", "teetotaler", "no  sugar", "never\tdo", "no sugary drinks", "can’t eat", "", None]),
         (T.is_historical, ["what did I use", "my old phone", "remind me before 5pm", "Previously, yes"], ["last year", "older people", "histories", None]),
         (T.has_cue, ["I moved", "update:foo", "énow", "As of today"], ["Update: I left", "knowing", "snow", "", None]),
     ],
