@@ -4,12 +4,17 @@ The model's kind is byte-pair encoding with byte fallback. There the best path
 to a place is the encoding of the text up to it; its last piece is the one
 that, after the best path to its own start, the merge rules leave apart from
 the piece before it. So a place keeps one back pointer, at most a piece's length back.
-Places older than the longest piece are dropped as soon as the back pointers of all
-younger ones meet at one boundary, and the ids up to there are committed.
+The text is streamed in blocks. A window of places is kept, and as soon as the
+back pointers of all its places that may still be extended meet at one boundary, the ids up to there are
+committed and the places before it dropped. Where no piece that starts earlier
+reaches beyond a place, that place is such a boundary at once (each word's
+start is); otherwise the back pointers are walked every COMMIT places. What stands between two
+boundaries at which all paths meet in any text is remembered, so a word that comes again is committed without another pass.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 from array import array
@@ -26,8 +31,11 @@ from engrama.llm.shared import without
 MARK = "▁"
 #: Stretches that a worker remembers, and the longest of them.
 MEMORY, STRETCH = 800_000, 48
-#: Places between two attempts to commit.
-COMMIT = 64
+#: Places between two walks along the back pointers, and code points of a block of text.
+COMMIT, BLOCK = 64, 1 << 15
+
+# the library writes one replacement character per byte that starts no whole character
+codecs.register_error("one_per_byte", lambda e: ("\ufffd", e.start + 1))
 
 
 class Pieces:
@@ -66,6 +74,8 @@ class Pieces:
         meets = all(MARK not in p.lstrip(MARK) for p in self.vocab) and not any("\n" in p for p in self.vocab)
         self.stretches = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if meets else "(?s:.+)")
         self.apart: dict[tuple[int, int], bool] = {}
+        #: boundaries committed at, and the widest window so far
+        self.commits = self.widest = 0
         self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
         self.old: dict[str, bytes] = {}
 
@@ -100,12 +110,17 @@ class Pieces:
         pieces, longest, apart = self.starts, self.longest, self.apart
         size = len(text)
         base = 0  # all paths run through base
-        last: list[int | None] = [None] * (min(size, 2 * commit) + longest + 1)  # the piece that ends at base + i, and where it starts
+        reach = 0  # no piece so far ends beyond
+        last: list[int | None] = [None] * (longest + 2)  # the piece that ends at base + i, and where it starts
         back = [0] * len(last)
         before = None
         for start in range(size):
             at = start - base
-            if start:
+            if start == reach and at:  # every path that goes on passes here
+                yield from self.commit(last, back, base, start)
+                before = last[at]
+                last, back, base, at = [before] + [None] * (longest + 1), [base] + [0] * (longest + 1), start, 0
+            elif start:
                 before = last[at]
             for end in range(start + 1, min(size, start + longest) + 1):
                 piece = pieces.get(text[start:end])
@@ -116,23 +131,30 @@ class Pieces:
                 elif not piece:
                     continue
                 to = end - base
+                if to >= len(last):
+                    last += [None] * (to + 1 - len(last))
+                    back += [0] * (to + 1 - len(back))
                 if last[to] is None and (before is None or (fits if (fits := apart.get((before, piece))) is not None else self.stay_apart(before, piece))):
                     last[to], back[to] = piece, start
+                    reach = max(reach, end)
                 if piece < 0:
                     break
-            if at >= 2 * commit - 1:
-                live = {e for e in range(start + 1, min(size, start + longest) + 1) if last[e - base] is not None} | {start + 1}
+            if at and at % commit == 0:
+                live = {e for e in range(start + 1, min(size, start + longest) + 1) if e - base < len(last) and last[e - base] is not None} | {start + 1}
                 while len(live) > 1:  # walk the youngest back until all meet
                     live.discard(young := max(live))
                     live.add(back[young - base])
                 if (meet := live.pop()) > base:
-                    yield from self.path(last, back, base, meet)
+                    yield from self.commit(last, back, base, meet)
                     last, back = last[meet - base :], back[meet - base :]
                     base = meet
-                room = start - base + 2 * commit + longest + 1 - len(last)
-                last += [None] * room
-                back += [0] * room
-        yield from self.path(last, back, base, size)
+        yield from self.commit(last, back, base, size)
+
+    def commit(self, last: list, back: list, base: int, end: int) -> list[int]:
+        """The ids between two boundaries that all paths pass."""
+        self.commits += end > base
+        self.widest = max(self.widest, len(last))
+        return self.path(last, back, base, end)
 
     @staticmethod
     def path(last: list, back: list, base: int, end: int) -> list[int]:
@@ -155,10 +177,20 @@ class Pieces:
         self.known[stretch] = ids
 
     def packed(self, text: str | None) -> bytes:
-        """Ids of a text, as the library gives them, in 32 bits each."""
+        """Ids of a text, as the library gives them, in 32 bits each; the text is taken block by block."""
         if not text:
             return b""
-        stretches = self.stretches.findall(MARK + text.replace(" ", MARK))
+        if len(text) < BLOCK:
+            return self.run(self.stretches.findall(MARK + text.replace(" ", MARK)))
+        out, rest = [], MARK
+        for at in range(0, len(text), BLOCK):
+            found = self.stretches.findall(rest + text[at : at + BLOCK].replace(" ", MARK))
+            rest = found.pop() if at + BLOCK < len(text) else ""  # it may go on in the next block
+            out.append(self.run(found))
+        return b"".join(out)
+
+    def run(self, stretches: list[str]) -> bytes:
+        """Ids of stretches between boundaries that all paths pass."""
         known = self.known
         try:
             return b"".join([known[s] for s in stretches])
@@ -179,7 +211,7 @@ class Pieces:
         return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids; bytes that are no UTF-8 become replacement characters."""
+        """The text of ids, as the library gives it: a byte that starts no whole character becomes a replacement character, controls nothing, and a mark in front goes."""
         surface = self.surface
         if self.high.isdisjoint(ids):
             text = "".join([surface[i] for i in ids])
@@ -190,11 +222,15 @@ class Pieces:
                     run.append(self.raw[i])
                 else:
                     if run:
-                        parts.append(run.decode("utf-8", "replace"))
+                        parts.append(run.decode("utf-8", "one_per_byte"))
                         run = bytearray()
                     parts.append(surface[i])
-            text = "".join([*parts, run.decode("utf-8", "replace")])
-        return text[1:] if text.startswith(" ") else text
+            text = "".join([*parts, run.decode("utf-8", "one_per_byte")])
+        return text[1:] if text.startswith(" ") and self.marked(ids) else text
+
+    def marked(self, ids: list[int]) -> bool:
+        """Whether the first piece with a text begins with the mark itself."""
+        return next((i in self.name for i in ids if self.surface[i] or i in self.raw), False)
 
 
 _PIECES: dict[str, Pieces] = {}

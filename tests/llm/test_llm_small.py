@@ -306,6 +306,33 @@ def test_token_counts_of_odd_texts():
         assert [enc.count(t, c, o) for c, o in ((1 << 16, 512), (8, 2), (20, 4))] == [want] * 3
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_chunks_are_spliced_at_proven_places(name):
+    """Small chunks of texts with and without blanks: counts equal the library's, by each kind of splice and by widening."""
+    enc, rng = tokens.Encoder(public_tokenizers.path(name)), random.Random(1)
+    kinds = (
+        lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz'") for _ in range(rng.randint(1, 12))) for _ in range(n)),
+        lambda n: "".join(rng.choice("abcdeéthinsor") for _ in range(3 * n)),
+        lambda n: "".join(rng.choice("日本語中文字漢") for _ in range(2 * n)),
+        lambda n: "".join(rng.choice("0123456789") for _ in range(2 * n)),
+        lambda n: "ab" * n,
+        lambda n: "".join(rng.choice(["<|endoftext|>", "!!'", "'s", "e\u0301", "\u0301", " ", "the", "  ", "İ"]) for _ in range(n)),
+    )
+    for k in range(240):
+        t = kinds[k % len(kinds)](rng.randint(50, 400))
+        want = len(enc.library.encode(t, add_special_tokens=False).ids)
+        assert [enc.count(t, c, o) for c, o in ((64, 16), (100, 40), (200, 8))] == [want] * 3
+    assert all(enc.seen[k] for k in ("between", "inside", "widened", "grown")), enc.seen
+    long = "".join(rng.choice("abcdefghij") for _ in range(60_000)) + " end " * 5000  # no blank for several chunks
+    assert enc.counts([long, "", "short"]) == [len(enc.library.encode(x, add_special_tokens=False).ids) for x in (long, "", "short")]
+
+
+def test_token_counts_replace_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "x", True), (1, None, "y", None)], "doc_id long, text string, N_Tokens string, over_limit boolean")
+    got = sorted(map(tuple, tokens.token_counts(df, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()))
+    assert got == [(1, 0, 0, False), (1, 3, 2, False)]
+
+
 def test_sentencepiece(docs, table):
     import sentencepiece
 
@@ -325,6 +352,42 @@ def test_sentencepiece(docs, table):
     assert pieces.encode(docs.where("false"), path).count() == 0
 
 
+def test_sentencepiece_streams(table, monkeypatch):
+    """Ordinary documents are committed bit by bit from a narrow window, in blocks of any size and without the memory of words."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [t for _, t in pairs(table.where("doc_id < 40"))]
+    for block, whole in ((37, False), (1 << 15, True)):
+        monkeypatch.setattr(pieces, "BLOCK", block)
+        model = pieces.Pieces(path)
+        if whole:  # one pass over the text itself
+            model.stretches = re.compile("(?s:.+)")
+        assert [model.encode(t) for t in texts] == [library.encode(t or "") for t in texts]
+        assert model.commits > 1000 and model.widest <= 3 * model.longest
+    assert model.commits > sum(len(t or "") for t in texts) / 10
+    t = "aé" * 40_000  # no structural boundary at all
+    assert model.encode(t) == library.encode(t) and model.widest <= pieces.COMMIT + 3 * model.longest
+
+
+def test_sentencepiece_decodes_any_ids_as_the_library_does():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, model, rng = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path), random.Random(0)
+    for k in range(3000):
+        ids = [rng.choice([rng.randrange(32000), rng.randrange(3, 259), rng.randrange(4)]) if k % 3 else rng.randrange(3, 259) for _ in range(rng.randint(1, 30))]
+        assert model.decode(ids) == library.decode(ids)
+
+
+def test_sentencepiece_replaces_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (2, None, None)], "doc_id long, text string, IDS string")
+    out = pieces.encode(df, public_tokenizers.path("piece_bpe_32k.model"))
+    assert out.columns == ["doc_id", "n_ids", "ids_sha256", "decoded_sha256", "round_trip", "ids"] and out.count() == 3
+    assert out.where("doc_id = 2").first()["n_ids"] == 0
+
+
 # sharding, archives
 
 
