@@ -2,9 +2,9 @@
 
 Rules read a few counts of a text and vote good (1), bad (-1) or abstain (0).
 Expectation-maximisation over the table of vote patterns, which holds at most
-3 ** len(RULES) rows whatever the corpus, estimates how often each rule votes
-each way on good and on bad texts. A text's posterior probability of being good then
-replaces the demand that every rule passes.
+3 ** len(RULES) rows whatever the corpus, estimates the share of good texts and
+how often each rule votes each way, or abstains, on good and on bad texts. A
+text's posterior probability of being good then replaces the demand that every rule passes.
 """
 
 from __future__ import annotations
@@ -18,12 +18,10 @@ from pyspark.sql import functions as F
 from engrama.llm.shared import SPACE_GAP, let, materialise, split_words, without
 
 WINDOW = 8
-#: Expected share of good texts.
-PRIOR = 0.8
-#: Expected accuracy of a vote that finds fault; as evidence it counts as much as the votes themselves.
-TRUST = 0.95
-RULES = ("sentences", "word_length", "symbols", "repeats", "lines", "variety", "capitals", "doubled")
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_letters", "n_doubled", "n_ended_lines")
+#: Counted once for each way to vote and for each class, so that no estimate is zero.
+PSEUDO = 1.0
+RULES = ("sentences", "letters", "worded", "word_length", "symbols", "repeats", "lines", "variety", "capitals", "doubled")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_letters", "n_doubled", "n_worded", "n_ended_lines")
 
 
 def _repeat_words(words: Column) -> Column:
@@ -66,6 +64,7 @@ def features(docs: DataFrame) -> DataFrame:
             F.size(F.array_distinct(words)).alias("n_distinct_words"),
             _repeat_words(words).alias("n_repeat_words"),
             F.size(F.filter(words, lambda w, i: (w == F.get(words, i - 1)).eqNullSafe(True))).alias("n_doubled"),
+            F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))).alias("n_worded"),
         )
 
     out = without(docs, *FEATURES).withColumns({
@@ -78,7 +77,7 @@ def features(docs: DataFrame) -> DataFrame:
     })
     out = out.withColumns({
         "n_lines": F.col("_l.n"), "n_dup_lines": F.col("_l.n") - F.col("_l.d"), "n_ended_lines": F.col("_l.e"),
-        **{c: F.col(f"_c.{c}") for c in ("n_words", "n_distinct_words", "n_repeat_words", "n_doubled")},
+        **{c: F.col(f"_c.{c}") for c in ("n_words", "n_distinct_words", "n_repeat_words", "n_doubled", "n_worded")},
     }).drop("_c", "_l")
     return out.withColumns({c: F.col(c).cast("long") for c in FEATURES})
 
@@ -92,27 +91,32 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Each rule's vote over FEATURES. A rule abstains where its evidence is weak; most can only find fault."""
-    n = F.col("n_words")
-    symbols, repeats, upper = _ratio("n_symbols", "n_words"), _ratio("n_repeat_words", "n_words"), _ratio("n_upper", "n_letters")
-    length, variety, doubled, dups = _ratio("word_chars", "n_words"), _ratio("n_distinct_words", "n_words"), _ratio("n_doubled", "n_words"), _ratio("n_dup_lines", "n_lines")
-    ended = _ratio("n_ended_lines", "n_lines")
-    never = F.lit(False)
+    """Each rule's vote over FEATURES. Between its two limits, and where a text is too short for it to find fault, a rule abstains.
+
+    worded is the share of words that hold a letter; variety is the logarithm of the different words over that of all words, which long texts do not lower as they lower the plain ratio.
+    """
+    long = F.col("n_words") >= 20
+    ended, letters, length = _ratio("n_ended_lines", "n_lines"), _ratio("n_letters", "word_chars"), _ratio("word_chars", "n_words")
+    symbols, repeats, dups = _ratio("n_symbols", "n_words"), _ratio("n_repeat_words", "n_words"), _ratio("n_dup_lines", "n_lines")
+    upper, doubled, worded = _ratio("n_upper", "n_letters"), _ratio("n_doubled", "n_words"), _ratio("n_worded", "n_words")
+    variety = F.log(F.greatest("n_distinct_words", F.lit(1))) / F.log(F.greatest("n_words", F.lit(2)))
     return {
-        "sentences": _vote(ended >= 0.7, (ended < 0.1) & (n >= 20)),
-        "word_length": _vote(length.between(3.5, 7.0), (length < 2.5) | (length > 12)),
-        "symbols": _vote(never, symbols > 0.1),
-        "repeats": _vote(never, repeats > 0.3),
-        "lines": _vote(never, dups > 0.3),
-        "variety": _vote(never, (variety < 0.2) & n.between(20, 2000)),
-        "capitals": _vote(never, (upper > 0.4) & (F.col("n_letters") >= 20)),
-        "doubled": _vote(never, doubled > 0.2),
+        "sentences": _vote(ended >= 0.8, (ended < 0.4) & long),
+        "letters": _vote(letters >= 0.9, letters < 0.75),
+        "worded": _vote(worded >= 0.9, worded < 0.8),
+        "word_length": _vote(length.between(3.5, 6.5), (length < 2.5) | (length > 10)),
+        "symbols": _vote(symbols <= 0.01, symbols > 0.1),
+        "repeats": _vote(repeats <= 0.05, repeats > 0.3),
+        "lines": _vote(dups == 0, dups > 0.3),
+        "variety": _vote(variety >= 0.85, (variety < 0.7) & long),
+        "capitals": _vote(upper <= 0.1, (upper > 0.4) & (F.col("n_letters") >= 20)),
+        "doubled": _vote(doubled <= 0.05, doubled > 0.2),
     }
 
 
 @dataclass(frozen=True)
 class Model:
-    """prior: P(good). weights: per rule, log P(vote | good) - log P(vote | bad) for the votes -1 and 1; abstaining says nothing."""
+    """prior: P(good). weights: per rule, log P(vote | good) - log P(vote | bad) for the votes -1, 0 and 1."""
 
     prior: float
     weights: dict[str, dict[int, float]]
@@ -121,40 +125,44 @@ class Model:
         """P(good | votes) of columns named like the rules."""
         logit = F.lit(math.log(self.prior / (1 - self.prior)))
         for rule, w in self.weights.items():
-            logit = logit + F.when(F.col(rule) == 1, w[1]).when(F.col(rule) == -1, w[-1]).otherwise(0.0)
+            logit = logit + F.when(F.col(rule) == 1, w[1]).when(F.col(rule) == -1, w[-1]).otherwise(w[0])
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], names: tuple[str, ...] = RULES, prior: float = PRIOR, rounds: int = 50) -> Model:
+def fit(patterns: list[tuple[tuple[int, ...], int]], names: tuple[str, ...] = RULES, rounds: int = 500, pseudo: float = PSEUDO) -> Model:
     """EM for two classes with votes independent given the class, over (votes, number of texts) of the whole corpus.
 
-    The start trusts any fault that is found. Each round estimates how often a
-    rule casts each vote on good and on bad texts, with TRUST as a Beta prior
-    that weighs as much as the votes, then the posteriors. A rule is held to be
-    no worse than chance. The share of good texts is given, since the votes do
-    not fix it where abstaining says nothing. No patterns give no weights.
+    The start believes any fault that is found. Each round estimates the share of good
+    texts and each rule's votes on good and on bad ones, then the
+    posteriors, until these stand still. The better class is the one on
+    which the rules find less fault. A way to vote that no text shows has weight 0; no patterns give even odds.
     """
     total = sum(c for _, c in patterns)
-    flat = {r: {-1: 0.0, 1: 0.0} for r in names}
     if not total:
-        return Model(prior, flat)
-    belief = [0.05 if -1 in v else 0.95 if 1 in v else 0.5 for v, _ in patterns]
-    weights, logit = flat, math.log(prior / (1 - prior))
+        return Model(0.5, {r: {-1: 0.0, 0: 0.0, 1: 0.0} for r in names})
+    sigmoid = lambda x: 1 / (1 + math.exp(-max(-700.0, min(700.0, x))))
+    belief = [0.1 if -1 in votes else 0.9 for votes, _ in patterns]
     for _ in range(rounds):
         good = sum(b * c for b, (_, c) in zip(belief, patterns, strict=True))
-        weights = {}
+        prior, weights, faults = (good + pseudo) / (total + 2 * pseudo), {}, 0.0
         for k, rule in enumerate(names):
-            w = {}
-            for v, trusted in ((-1, 1 - TRUST), (1, prior)):
-                n = sum(c for x, c in patterns if x[k] == v)
-                g = (sum(b * c for b, (x, c) in zip(belief, patterns, strict=True) if x[k] == v) + n * trusted) / 2  # of good texts among the votes
-                w[v] = math.log((g + 1) / (good + 2)) - math.log((n - g + 1) / (total - good + 2))
-            weights[rule] = {-1: min(0.0, w[-1]), 1: max(0.0, w[1])}
-        belief = [1 / (1 + math.exp(-max(-700.0, min(700.0, logit + sum(weights[r][v] for r, v in zip(names, votes, strict=True) if v))))) for votes, _ in patterns]
+            seen = {v: (sum(b * c for b, (x, c) in zip(belief, patterns, strict=True) if x[k] == v), sum(c for x, c in patterns if x[k] == v)) for v in (-1, 0, 1)}
+            ways = sum(n > 0 for _, n in seen.values())
+            rates = {v: ((g + pseudo) / (good + ways * pseudo), (n - g + pseudo) / (total - good + ways * pseudo)) for v, (g, n) in seen.items() if n}
+            weights[rule] = {v: math.log(rates[v][0] / rates[v][1]) if v in rates else 0.0 for v in (-1, 0, 1)}
+            faults += rates[-1][0] - rates[-1][1] if -1 in rates else 0.0
+        if faults > 0:  # the classes have changed places
+            prior, weights = 1 - prior, {r: {v: -x for v, x in w.items()} for r, w in weights.items()}
+        logit = math.log(prior / (1 - prior))
+        now = [sigmoid(logit + sum(weights[r][v] for r, v in zip(names, votes, strict=True))) for votes, _ in patterns]
+        still = max(abs(a - b) for a, b in zip(now, belief, strict=True)) < 1e-9
+        belief = now
+        if still:
+            break
     return Model(prior, weights)
 
 
-def quality(docs: DataFrame, threshold: float = 0.5, prior: float = PRIOR) -> DataFrame:
+def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Adds FEATURES, the votes (vote_<rule>), p_good, base_failed and kept to each row of docs (needs a text column).
 
     Null and empty texts have no words, so base_failed is true. Repeated rows
@@ -168,13 +176,19 @@ def quality(docs: DataFrame, threshold: float = 0.5, prior: float = PRIOR) -> Da
     seen = materialise(seen, "quality")
     votes = [F.col(f"vote_{r}") for r in RULES]
     patterns = [((*row[:-1],), row[-1]) for row in seen.groupBy(*votes).agg(F.count("*").alias("n")).collect()]  # at most 3 ** len(RULES) rows
-    model = fit(sorted(patterns), prior=prior)
+    model = fit(sorted(patterns))
     judged = seen.withColumnsRenamed({f"vote_{r}": r for r in RULES}).withColumn("p_good", model.posterior())
     return judged.withColumnsRenamed({r: f"vote_{r}" for r in RULES}).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """docs without the texts that quality() rejects; same columns. Ids and digests of rejected rows are broadcast up to broadcast_rows and joined by shuffle beyond."""
+    """docs without the texts that quality() rejects; same columns.
+
+    Ids and digests of rejected rows are broadcast up to broadcast_rows and
+    joined by shuffle beyond. Null and empty texts go, as they have no words;
+    rows of equal id and text stay or go together, null ids included; an
+    empty table gives no rows. Only doc_id and text are read, so other columns may have any names.
+    """
     digest = F.md5(F.col("text").cast("binary"))
     judged = quality(docs.select("doc_id", "text", digest.alias("digest")), threshold)
     bad = materialise(judged.where(~F.col("kept")).select(F.col("doc_id").alias("_d"), F.col("digest").alias("_t")).distinct(), "rejected")

@@ -76,10 +76,47 @@ def test_quality_model_finds_junk(table, spark):
     assert good.where("kept").count() >= 0.95 * good.count()
 
 
+def brute_em(votes):
+    """Posterior of each text by an EM over the texts themselves: -1, 0 and 1 as three outcomes, one pseudo-count for each that occurs."""
+    x = np.array(votes)
+    p = np.where((x == -1).any(axis=1), 0.1, 0.9)
+    for _ in range(500):
+        logit = np.log((p.sum() + 1) / ((1 - p).sum() + 1)) * np.ones(len(x))
+        for column in x.T:
+            kinds = [v for v in (-1, 0, 1) if (column == v).any()]
+            for v in kinds:
+                here = column == v
+                logit += here * np.log((p[here].sum() + 1) / (p.sum() + len(kinds)) / (((1 - p)[here].sum() + 1) / ((1 - p).sum() + len(kinds))))
+        before, p = p, 1 / (1 + np.exp(-logit))
+        if abs(p - before).max() < 1e-9:
+            break
+    return p
+
+
+def test_quality_posterior(table):
+    rows = quality.quality(table).select("p_good", "kept", "base_failed", *(f"vote_{r}" for r in quality.RULES)).collect()
+    want = brute_em([r[3:] for r in rows])
+    assert [r["p_good"] for r in rows] == pytest.approx(want.tolist(), abs=1e-6)
+    assert all(r["kept"] == (not r["base_failed"] and p >= 0.5) for r, p in zip(rows, want, strict=True) if abs(p - 0.5) > 1e-6)
+
+
+@pytest.mark.parametrize("share", [0.3, 0.8])
+def test_quality_em_finds_what_was_simulated(share):
+    rng, n, right = np.random.default_rng(0), 200_000, (0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.5)
+    good = rng.random(n) < share
+    votes = np.stack([np.where(rng.random(n) < 0.3, 0, np.where((rng.random(n) < r) == good, 1, -1)) for r in right], axis=1)
+    model = quality.fit(sorted(Counter(map(tuple, votes.tolist())).items()), tuple("abcdefgh"))
+    assert abs(model.prior - share) < 0.02
+    for rule, r in zip("abcdefgh", right, strict=True):
+        assert model.weights[rule][1] == pytest.approx(math.log(r / (1 - r)), abs=0.1)
+        assert model.weights[rule][-1] == pytest.approx(-math.log(r / (1 - r)), abs=0.1)
+        assert abs(model.weights[rule][0]) < 0.1
+
+
 def test_quality_em():
-    model = quality.fit([((1, 0), 90), ((-1, 0), 10), ((0, -1), 5)], ("a", "b"))
-    assert model.weights["a"][-1] < 0 <= model.weights["a"][1] and model.weights["b"][-1] < 0
-    assert quality.fit([]).weights["symbols"] == {-1: 0.0, 1: 0.0}
+    assert quality.fit([]).weights["symbols"] == {-1: 0.0, 0: 0.0, 1: 0.0}
+    model = quality.fit([((1, 1, 1), 900), ((-1, -1, 0), 60), ((-1, 0, -1), 40)], ("a", "b", "c"))
+    assert all(w[-1] < 0 < w[1] for w in model.weights.values()) and 0.8 < model.prior < 0.95
 
 
 def test_quality_empty_and_clashing(spark, docs):
@@ -87,6 +124,10 @@ def test_quality_empty_and_clashing(spark, docs):
     out = quality.quality(docs.withColumn("kept", F.lit("x")).withColumn("N_Words", F.lit(1)))
     assert dict(out.dtypes)["kept"] == "boolean" and out.count() == docs.count()
     assert quality.keep_good(docs).columns == docs.columns
+    odd = docs.withColumn("_d", F.lit(1)).withColumn("_T", F.lit("t")).withColumn("digest", F.lit(2)).withColumn("kept", F.lit(None).cast("int"))
+    got = quality.keep_good(odd)
+    assert got.columns == odd.columns and sorted(pairs(got), key=repr) == sorted(pairs(quality.keep_good(docs)), key=repr)
+    assert quality.keep_good(docs.where("false")).count() == 0 and None not in [t for _, t in pairs(got)]
 
 
 # decontamination
