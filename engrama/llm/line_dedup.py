@@ -10,6 +10,8 @@ Lines with equal sets are settled first by one aggregation, so a line that a thi
 of all documents hold is one row. Then each line is tried against the first
 earlier line that the filters let through in each of its words' lists, which settles
 groups of near copies; only lines whose tries all failed meet every earlier one.
+A word whose list is longer than LIST_ROWS is dealt out: its list is cut into parts,
+and every two parts meet in a task of their own, so no task holds more than two of them.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engrama.llm.shared import materialise
+from engrama.llm.shared import if_small, materialise
 
 THRESHOLD = 0.8
 #: Lines with fewer different words are left alone unless the caller asks for them; the query and the pipeline ask for all (1).
 LEAST = 5
 #: Counters for word frequency; words share them by hash.
 SLOTS = 1 << 18
+#: Entries of a word's list that one task may hold; longer lists are cut into parts of half as many.
+LIST_ROWS = 1 << 17
 #: Longs of the widest sketch.
 WIDE = 8
 #: Factor of the polynomial that hashes a word's bytes, and its inverse modulo 2 ** 64.
@@ -188,18 +192,19 @@ def _folds(sketch: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
 
 
 def candidates(table: pa.Table, t: float, every: bool) -> pa.RecordBatch:
-    """(xd, xl, yd, yl, key): for the asking entries of whole word lists (sorted by key, doc, line) the earlier entries of their lists that the filters on length, place and sketch let through: the first, or every one.
+    """(xd, xl, yd, yl, key): for the asking entries of whole word lists or pairs of their parts (sorted by key, part, doc, line) the earlier entries of their lists that the filters on length, place and sketch let through: the first, or every one.
 
     All lists advance together: round c tries every entry that is still open
     against the entry at place c of its list, so in search of the first a group of
     near copies is done after one round.
     """
     table = table.combine_chunks()
-    key, doc, line, size, i = (table.column(c).to_numpy() for c in ("key", "doc", "line", "size", "i"))
+    key, doc, line, size, i, part, own = (table.column(c).to_numpy() for c in ("key", "doc", "line", "size", "i", "part", "mine"))
+    alone = part < 0
     width, folds = _folds(pa.concat_arrays(table.column("sketch").chunks) if table.num_rows else pa.array([], pa.list_(pa.int64())))
     size, i = size.astype(np.int64), i.astype(np.int64)
     new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
+    new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
     start = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
     open_ = np.flatnonzero(~new & table.column("asking").to_numpy())
     xs, ys = [], []
@@ -210,7 +215,7 @@ def candidates(table: pa.Table, t: float, every: bool) -> pa.RecordBatch:
         need = np.ceil(t / (1 + t) * both - 1e-9).astype(np.int64)
         ok = np.minimum(size[x], size[y]) >= np.ceil(t * np.maximum(size[x], size[y]) - 1e-9)
         ok &= np.minimum(size[x] - i[x], size[y] - i[y]) >= need
-        ok &= (doc[x] != doc[y]) | (line[x] != line[y])
+        ok &= alone[x] | (own[x] != own[y])  # what lies in one part meets in that part's own task
         still = np.flatnonzero(ok)
         narrow = np.minimum(width[x[still]], width[y[still]])
         for w, fold in folds.items():
@@ -227,17 +232,20 @@ def candidates(table: pa.Table, t: float, every: bool) -> pa.RecordBatch:
 
 
 def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of a partition that is sorted by key, cut between keys only."""
+    """The rows of a partition that is sorted by key and part, cut between lists only."""
     held: list[pa.RecordBatch] = []
+    last = None
     for b in batches:
         if not b.num_rows:
             continue
-        key = b.column(b.schema.get_field_index("key")).to_numpy()
-        if held and held[-1].column(held[-1].schema.get_field_index("key"))[-1].as_py() != key[0]:
+        key, part = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("key", "part"))
+        if held and last != (key[0], part[0]):
             yield pa.Table.from_batches(held)
             held = []
-        if key[0] != key[-1]:
-            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1
+        last = key[-1], part[-1]
+        others = np.flatnonzero((key != key[-1]) | (part != part[-1]))
+        if len(others):
+            cut = int(others[-1]) + 1
             yield pa.Table.from_batches([*held, b.slice(0, cut)])
             held = [b.slice(cut)]
         else:
@@ -246,6 +254,16 @@ def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _dealt(entries: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """entries with part (-1 for a whole list or a part with itself, told apart by mine; else the pair of parts) and mine, the entry's own part. Long lists' entries appear once for each pair of parts."""
+    if hot is None:
+        return entries.withColumns({"part": F.lit(-1).cast("long"), "mine": F.lit(0)})
+    mine = F.pmod(F.xxhash64("doc", "line"), F.col("m")).cast("int")
+    pair = lambda j: F.when(j == F.col("mine"), -1 - j).otherwise(F.least("mine", j) * F.col("m") + F.greatest("mine", j)).cast("long")
+    out = entries.join(hot, "key", "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("mine", mine)
+    return out.withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), pair))).drop("m")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc, line, n, sketch, w): the different words of the wanted lines, from the texts themselves, and a sketch of WIDE * 64 bits."""
 
@@ -268,7 +286,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, t: float, broadcast_rows: int)
     """(doc, line) of pairs' x whose words and those of y are similar enough. Words are only moved for pairs that wide sketches let through."""
     ends = pairs.select(F.explode(F.array(F.struct(F.col("xd").alias("doc"), F.col("xl").alias("line")), F.struct(F.col("yd").alias("doc"), F.col("yl").alias("line")))).alias("e")).select("e.*")
     wanted = materialise(ends.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("wanted")), "wanted-lines")
-    sets = materialise(_sets(docs, F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted), "line-words")
+    sets = materialise(_sets(docs, if_small(wanted, broadcast_rows, "wanted")), "line-words")
 
     def beside(pairs_: DataFrame, *names: str) -> DataFrame:
         for side in "xy":
@@ -294,7 +312,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
     return docs.join(order, docs["doc_id"].eqNullSafe(order["_id"]) & digest.eqNullSafe(order["_t"])).drop("_id", "_t"), False
 
 
-def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, broadcast_rows: int = 1_000_000) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, broadcast_rows: int = 1_000_000, list_rows: int = LIST_ROWS) -> DataFrame:
     """(doc, removed) for documents that lose lines: their numbers from 0, ascending. docs: doc (unique long), text."""
     counts = np.zeros(SLOTS, np.int64)
     for r in frequencies(docs).toLocalIterator():  # at most SLOTS rows
@@ -306,13 +324,21 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LE
     place = F.struct("doc", "line")
     same = every.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", F.col("first.doc").alias("fd"), F.col("first.line").alias("fl"))
     same = materialise(same, "equal-lines")
-    same = F.broadcast(same) if same.count() <= broadcast_rows else same
-    told = every.join(same, ["a", "b"], "left")
+    told = every.join(if_small(same, broadcast_rows), ["a", "b"], "left")
     is_first = F.col("fd").isNull() | ((F.col("fd") == F.col("doc")) & (F.col("fl") == F.col("line")))
     gone = told.where(~is_first).select("doc", "line")
     # each word's list, in order; every line's first candidate in each. Unequal sets share at most n / (n + 1) of n words, so shorter ones have met all their matches above
     shortest = math.ceil(threshold / (1 - threshold) - 1e-6) if threshold < 1 else 1
-    entries = told.where(is_first & (F.col("size") >= shortest)).select("doc", "line", "size", "sketch", F.posexplode("prefix").alias("i", "key"))
+    asking = told.where(is_first & (F.col("size") >= shortest)).select("doc", "line", "size", "sketch", "prefix")
+    entries = asking.select("doc", "line", "size", "sketch", F.posexplode("prefix").alias("i", "key"))
+    # a list is no longer than its word is frequent, so only words of frequent slots are counted; a prefix rises in frequency
+    often = int(np.searchsorted(np.sort(counts), list_rows, "right"))
+    hot = None
+    if often < SLOTS:
+        slot = lambda k: F.shiftrightunsigned(k, 64 - int(SLOTS - 1).bit_length())
+        long = asking.where(slot(F.element_at("prefix", -1)) >= often).select(F.explode(F.filter("prefix", lambda k: slot(k) >= often)).alias("key"))
+        hot = materialise(long.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > list_rows).select("key", F.ceil(2 * F.col("n") / list_rows).cast("int").alias("m")), "long-lists")
+        hot = None if hot.isEmpty() else if_small(hot, broadcast_rows)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -321,7 +347,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LE
             for whole in _whole_lists(batches):
                 yield candidates(whole, threshold, every)
 
-        return entries_.repartition(parts, "key").sortWithinPartitions("key", "doc", "line").mapInArrow(run, "xd long, xl int, yd long, yl int, key long")
+        return _dealt(entries_, hot).repartition(parts, "key", "part").sortWithinPartitions("key", "part", "doc", "line").mapInArrow(run, "xd long, xl int, yd long, yl int, key long")
 
     first = materialise(pairs(entries.withColumn("asking", F.lit(True)), False), "first-pairs")
     ends = ["xd", "xl", "yd", "yl"]
@@ -338,15 +364,14 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LE
     return gone.union(settled).union(more).groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
-def _with_removed(docs: DataFrame, threshold: float, least: int, broadcast_rows: int) -> DataFrame:
-    """docs with doc and removed (an array, empty where nothing goes)."""
+def _with_removed(docs: DataFrame, threshold: float, least: int, broadcast_rows: int, list_rows: int) -> DataFrame:
+    """docs (doc_id, text and others) with doc and removed (an array, empty where nothing goes)."""
     numbered, _ = _numbered(docs)
-    removed = materialise(removed_lines(numbered.select("doc", "text"), threshold, least, broadcast_rows), "removed-lines")
-    removed = F.broadcast(removed) if removed.count() <= broadcast_rows else removed
-    return numbered.join(removed, "doc", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    removed = materialise(removed_lines(numbered.select("doc", "text"), threshold, least, broadcast_rows, list_rows), "removed-lines")
+    return numbered.join(if_small(removed, broadcast_rows, "removed"), "doc", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
 
 
-def line_duplicates(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, broadcast_rows: int = 1_000_000) -> DataFrame:
+def line_duplicates(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, broadcast_rows: int = 1_000_000, list_rows: int = LIST_ROWS) -> DataFrame:
     """doc_id, n_lines, n_removed (long) and removed (line numbers from 0, comma-joined) of each row of docs.
 
     A null or empty text is one empty line. Ids order documents, null first;
@@ -354,16 +379,21 @@ def line_duplicates(docs: DataFrame, threshold: float = THRESHOLD, least: int =
     ids with other texts follow in the order of the texts' digests. An empty
     table gives no rows; other columns are not read.
     """
-    out = _with_removed(docs.select("doc_id", "text"), threshold, least, broadcast_rows)
+    out = _with_removed(docs.select("doc_id", "text"), threshold, least, broadcast_rows, list_rows)
     n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
     return out.select("doc_id", n_lines.alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda i: i.cast("string")), ",").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """docs without the removed lines in their texts; same rows and columns, n_chars (if there) counted anew."""
-    left = lambda r: F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(r, i)), "\n")
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(left(F.col("removed")))
-    out = _with_removed(docs, threshold, least, broadcast_rows).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, broadcast_rows: int = 1_000_000, list_rows: int = LIST_ROWS) -> DataFrame:
+    """docs without the removed lines in their texts; same rows and columns, n_chars (if there) counted anew.
+
+    Null, repeated and empty rows as in line_duplicates(): a null text stays
+    null, a text that loses all its lines becomes empty, and its row stays.
+    Other columns may have any names.
+    """
+    out = _with_removed(docs.select("doc_id", "text", F.struct("*").alias("_row")), threshold, least, broadcast_rows, list_rows)
+    whole, same = F.col("_row")["text"], F.size("removed") == 0
+    left = lambda r: F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains(r, i)), "\n")
+    text = F.when(same, whole).otherwise(left(F.col("removed")))
+    new = {"text": text} | ({"n_chars": F.when(same, F.col("_row")["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
+    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -23,7 +23,7 @@ WITH l AS (
          unnest(string_split(coalesce(text, ''), chr(10))) AS s
   FROM documents),
 w AS (SELECT doc_id, line, list_distinct(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS t FROM l),
-x AS (SELECT row_number() OVER (ORDER BY doc_id, line) AS r, doc_id, line, t, len(t) AS n FROM w WHERE len(t) >= 5),
+x AS (SELECT row_number() OVER (ORDER BY doc_id, line) AS r, doc_id, line, t, len(t) AS n FROM w WHERE len(t) >= 1),
 tok AS (SELECT r, n, unnest(t) AS tok FROM x),
 df AS (SELECT tok, count(*) AS c FROM tok GROUP BY tok),
 rare AS (

@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share; a temporary one only where none is named and all run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="engrama-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -48,6 +50,13 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, rows: int, *arrays: str) -> DataFrame:
+    """df (written already, so that counting is cheap), marked for broadcast if it has at most `rows` rows and its array columns at most four elements per row of that bound in all."""
+    sizes = [F.coalesce(F.sum(F.size(a)), F.lit(0)) for a in arrays]
+    n, *held = df.agg(F.count("*"), *sizes).first()
+    return F.broadcast(df) if n <= rows and sum(held) <= 4 * rows else df
+
+
 def let(value: Column, body) -> Column:
     """body(v) with v bound to value once; a plain reference would be evaluated again for each element of an inner lambda."""
     return F.transform(F.array(value), body)[0]

@@ -233,9 +233,21 @@ def test_line_duplicates(spark, table):
     for df in (made, table):
         assert by_id(line_dedup.line_duplicates(df), "n_lines", "n_removed", "removed") == sorted(brute_removed(pairs(df)), key=repr)
     assert by_id(line_dedup.line_duplicates(made, broadcast_rows=0), "n_removed") == by_id(line_dedup.line_duplicates(made), "n_removed")
+    # lists of any length are cut into parts that meet two by two
+    for limit in (1, 3, 20):
+        assert by_id(line_dedup.line_duplicates(made, list_rows=limit), "n_removed", "removed") == by_id(line_dedup.line_duplicates(made), "n_removed", "removed")
     assert line_dedup.line_duplicates(made.where("false")).count() == 0
 
 
+def test_line_dedup_keeps_other_columns(docs):
+    odd = docs.withColumn("doc", F.lit("mine")).withColumn("removed", F.lit(1)).withColumn("_row", F.lit(2)).withColumn("line", F.lit(3)).withColumn("Key", F.lit(4))
+    got = line_dedup.dedup_lines(odd)
+    assert got.columns == odd.columns and sorted(pairs(got), key=repr) == sorted(pairs(line_dedup.dedup_lines(docs)), key=repr)
+    assert {tuple(r) for r in got.select("doc", "removed", "_row", "line", "Key").distinct().collect()} == {("mine", 1, 2, 3, 4)}
+    assert all(r["n_chars"] == len(r["text"] or "") for r in got.where("n_chars IS NOT NULL").collect())
+    assert line_dedup.dedup_lines(odd.where("false")).count() == 0
+
+
 def test_line_duplicates_with_repeated_and_null_ids(docs):
     got = line_dedup.dedup_lines(docs)
     assert got.columns == docs.columns and got.count() == docs.count()
