@@ -31,14 +31,13 @@ def op2_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses are decoded and measured; of the others only headers are read. Both predicates are pushed into the archives' reader."""
     path = scratch_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
-    read = warc.read(spark, path)
-    whole = F.col("record_type") == "response"  # its payload came back; a revisit's figures stand in its headers
-    return read.select(
-        "page_id", F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(whole, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to",
-    )
+    whole = warc.read(spark, path).where("record_type = 'response'")
+    whole = whole.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
+    again = warc.read(spark, path, payload=False).where("record_type = 'revisit'").select(*whole.columns)
+    return whole.unionByName(again)
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

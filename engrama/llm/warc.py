@@ -1,10 +1,12 @@
 """WARC archives as a Spark data source in Python.
 
 Writing: one gzip member per record, each with the skip lengths in its header, in
-files that a manifest names once all tasks are done. Reading: one
-partition per file; a record's headers are decoded first, and its payload only if
-the pushed predicates hold and the payload is asked for; else the reader seeks
-to the next record.
+files that a manifest names once all tasks are done. Reading: any WARC files, be
+their gzip members one per record (with skip lengths or without), one per
+file, or none at all. Large files of one member per record are divided by bytes. A
+record's headers are decoded first, and its payload only if the pushed
+predicates hold and the payload is asked for; else the reader seeks to the next
+record where it knows its place, and inflates to nothing where it doesn't.
 """
 
 from __future__ import annotations
@@ -44,11 +46,16 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 GZIP = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff"
+#: Bytes of a partition's share of a file, of a read, and of the longest block of headers that is taken for one.
+SPLIT, STEP, HEADERS = 64 << 20, 1 << 16, 1 << 20
 #: Rows of a batch that is handed to Spark, and their payload bytes.
 ROWS, BYTES = 1000, 8 << 20
 
 
 def _fs(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it; Hadoop's names for S3 mean S3."""
+    if path.startswith(("s3a://", "s3n://")):
+        path = "s3" + path[3:]
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -89,8 +96,10 @@ def encode_record(kind: str, page_id: int | None, url: str | None, refers_to: in
 
 
 class Part(InputPartition):
-    def __init__(self, path: str):
-        self.value = path
+    """The records whose start lies between two bytes of a file."""
+
+    def __init__(self, path: str, start: int = 0, end: int = 1 << 62):
+        self.value, self.start, self.end = path, start, end
 
 
 class Done(WriterCommitMessage):
@@ -117,12 +126,13 @@ class Writer(DataSourceArrowWriter):
         return Done(name)
 
     def commit(self, messages: list[Done | None]) -> None:
-        """Files of tasks that ran twice or failed stay out of the manifest and so out of every read."""
+        """A manifest of this write's files, moved into place whole. Files of tasks that ran twice or failed stay out of it and so out of every read."""
         store, base = _fs(self.path)
         store.create_dir(base, recursive=True)
-        old = _manifest(self.path)
-        with store.open_output_stream(f"{base}/{MANIFEST}", compression=None) as f:
-            f.write(json.dumps(old + sorted(m.name for m in messages if m is not None and m.name)).encode())
+        name = f"{uuid.uuid4().hex}{MANIFEST}"
+        with store.open_output_stream(f"{base}/.{name}", compression=None) as f:
+            f.write(json.dumps(sorted(m.name for m in messages if m is not None and m.name)).encode())
+        store.move(f"{base}/.{name}", f"{base}/{name}")
 
     def abort(self, messages: list[Done | None]) -> None:
         store, base = _fs(self.path)
@@ -131,21 +141,102 @@ class Writer(DataSourceArrowWriter):
                 store.delete_file(f"{base}/{m.name}")
 
 
-def _manifest(path: str) -> list[str]:
+def _files(path: str) -> list[tuple[str, int]]:
+    """Files to read and their sizes: the path itself, or what the manifests in it name, or, without any, all archives in it."""
     store, base = _fs(path)
-    if store.get_file_info(f"{base}/{MANIFEST}").type == fs.FileType.NotFound:
+    at = store.get_file_info(base)
+    if at.type == fs.FileType.File:
+        return [(path, at.size)]
+    if at.type == fs.FileType.NotFound:
         return []
-    with store.open_input_stream(f"{base}/{MANIFEST}", compression=None) as f:
-        return json.loads(f.read())
+    inside = {x.base_name: x.size for x in store.get_file_info(fs.FileSelector(base)) if x.type == fs.FileType.File and not x.base_name.startswith((".", "_"))}
+    manifests = [n for n in inside if n.endswith(MANIFEST)]
+    names = [n for n in inside if n.endswith((".warc", ".warc.gz"))]
+    if manifests:
+        names = []
+        for m in manifests:
+            with store.open_input_stream(f"{base}/{m}", compression=None) as f:
+                names += json.loads(f.read())
+    return [(f"{path}/{n}", inside[n]) for n in sorted(names)]
+
+
+class Bytes:
+    """The text of an archive from a byte on: read() and skip() over its decompressed bytes, one gzip member after the other."""
+
+    def __init__(self, f: pa.NativeFile, at: int, packed: bool):
+        self.f, self.packed, self.held, self.raw = f, packed, b"", b""
+        self.member = at  #: where the member of the next byte starts
+        self.inflate = zlib.decompressobj(31) if packed else None
+        self.next = at  #: of the next read
+        f.seek(at)
+
+    def more(self, most: int = STEP) -> bool:
+        """Holds more bytes, or says that there are none in this member."""
+        if not self.packed:
+            chunk = self.f.read(STEP)
+            self.next += len(chunk)
+            self.held += chunk
+            return bool(chunk)
+        while True:
+            if self.inflate.eof:
+                return False
+            if not self.raw:
+                self.raw = self.f.read(STEP)
+                self.next += len(self.raw)
+                if not self.raw:
+                    return False
+            got = self.inflate.decompress(self.raw, most)
+            self.raw = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+            if got:
+                self.held += got
+                return True
+
+    def next_member(self) -> bool:
+        """Goes on to the next gzip member, if there is one."""
+        if not (self.packed and self.inflate.eof):
+            return False
+        if not self.raw:
+            self.raw = self.f.read(STEP)
+            self.next += len(self.raw)
+        if not self.raw:
+            return False
+        self.member = self.next - len(self.raw)
+        self.inflate = zlib.decompressobj(31)
+        return True
+
+    def skip(self, n: int) -> None:
+        """Leaves out n bytes without keeping them."""
+        while n > len(self.held):
+            n -= len(self.held)
+            self.held = b""
+            if not self.packed and n > STEP:
+                self.next += n
+                self.f.seek(self.next)
+                return
+            if not self.more():
+                return
+        self.held = self.held[n:]
+
+    def take(self, n: int) -> bytes:
+        parts, got = [], 0
+        while got < n and (self.held or self.more()):
+            part = self.held[: n - got]
+            self.held = self.held[len(part) :]
+            parts.append(part)
+            got += len(part)
+        if got < n:
+            raise ValueError(f"a record cut short in the member at byte {self.member}")
+        return b"".join(parts)
 
 
 class Reader(DataSourceReader):
-    """Options: path; payload ("true", or "false" to leave every payload undecoded)."""
+    """Options: path; payload ("true", or "false" to leave every payload undecoded); split (bytes of a file per partition, about)."""
 
     HEADERS = ("record_type", "page_id", "url", "refers_to", "payload_digest", "payload_bytes")
 
     def __init__(self, options: dict[str, str]):
         self.path, self.payload = options["path"], options.get("payload", "true").lower() == "true"
+        self.split = int(options.get("split", SPLIT))
         self.checks: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -158,8 +249,11 @@ class Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Part]:
-        names = _manifest(self.path)
-        return [Part(f"{self.path}/{n}") for n in names] or [Part("")]
+        parts = []
+        for path, size in _files(self.path):
+            step = self.split if path.endswith(".gz") else max(size, 1)  # without members there is no sure place to start at
+            parts += [Part(path, at, at + step) for at in range(0, max(size, 1), step)]
+        return parts or [Part("")]
 
     def wanted(self, row: dict) -> bool:
         for kind, name, value in self.checks:
@@ -175,7 +269,7 @@ class Reader(DataSourceReader):
         store, name = _fs(partition.value)
         rows, held = [], 0
         with store.open_input_file(name) as f:
-            for row in self.records(f):
+            for row in self.records(f, partition.start, partition.end):
                 rows.append(row)
                 held += len(row["payload"] or b"")
                 if len(rows) >= ROWS or held >= BYTES:
@@ -184,40 +278,123 @@ class Reader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    def records(self, f: pa.NativeFile) -> Iterator[dict]:
-        at, size = 0, f.size()
-        while at < size:
+    def records(self, f: pa.NativeFile, start: int = 0, end: int = 1 << 62) -> Iterator[dict]:
+        """Records of the members that start between two bytes; of files without members, all."""
+        size = f.size()
+        f.seek(0)
+        packed = f.read(2) == GZIP[:2]
+        at = self.first_member(f, start, min(end, size)) if packed and start else start
+        while at is not None and at < min(end, size):
+            f.seek(at)
+            head = f.read(24) if packed else b""
+            if head[:4] == GZIP[:4] and head[12:14] == b"sl":
+                whole, full = struct.unpack("<II", head[16:24])
+                yield from self.own(f, at, whole, full)
+                at += whole
+            else:
+                text = Bytes(f, at, packed)
+                at = None
+                while True:
+                    yield from self.foreign(text)
+                    if not text.next_member():
+                        break
+                    if text.member >= end:
+                        return
+                    if text.raw[12:14] == b"sl":
+                        at = text.member
+                        break
+
+    @staticmethod
+    def first_member(f: pa.NativeFile, start: int, end: int) -> int | None:
+        """Where the first member at or after start begins whose text begins as a record does."""
+        at, held = start, b""
+        while at < end:
             f.seek(at)
-            start = f.read(24)
-            if start[:4] != GZIP[:4] or start[12:14] != b"sl":
-                raise ValueError(f"no record with skip lengths at byte {at}")
-            whole, full = struct.unpack("<II", start[16:24])
-            inflate = zlib.decompressobj(-15)
-            raw, read, step = b"", 24, min(whole - 32, 1024)
-            while (end := raw.find(b"\r\n\r\n")) < 0:  # headers first
-                chunk = f.read(step)
-                read += len(chunk)
-                if not chunk:
-                    raise ValueError(f"a record without end of headers at byte {at}")
-                raw += inflate.decompress(chunk)
-            row, length = self.head(raw[:end])
-            if self.wanted(row):
-                if self.payload and row["record_type"] == "response":
-                    raw += inflate.decompress(f.read(whole - 8 - read)) + inflate.flush()
-                    if len(raw) & 0xFFFFFFFF != full:
-                        raise ValueError(f"a damaged record at byte {at}")
-                    block = raw[end + 4 : end + 4 + length]
-                    row["payload"] = block[block.index(b"\r\n\r\n") + 4 :]
-                yield row
-            at += whole
+            held = f.read(STEP + 4096)
+            here = held.find(GZIP[:3])
+            while 0 <= here < STEP:
+                if at + here >= end:
+                    return None
+                try:
+                    if zlib.decompressobj(31).decompress(held[here:], 5) == b"WARC/":
+                        return at + here
+                except zlib.error:
+                    pass
+                here = held.find(GZIP[:3], here + 1)
+            at += STEP
+        return None
+
+    def own(self, f: pa.NativeFile, at: int, whole: int, full: int) -> Iterator[dict]:
+        """The record of a member that says how long it is."""
+        inflate = zlib.decompressobj(-15)
+        raw, read, step = b"", 24, min(whole - 32, 1024)
+        while (end := raw.find(b"\r\n\r\n")) < 0:  # headers first
+            chunk = f.read(step)
+            read += len(chunk)
+            if not chunk:
+                raise ValueError(f"a record without end of headers at byte {at}")
+            raw += inflate.decompress(chunk)
+        row, length, http = self.head(raw[:end])
+        if not self.wanted(row):
+            return
+        if self.payload and row["record_type"] == "response":
+            raw += inflate.decompress(f.read(whole - 8 - read)) + inflate.flush()
+            if len(raw) & 0xFFFFFFFF != full:
+                raise ValueError(f"a damaged record at byte {at}")
+            self.fill(row, raw[end + 4 : end + 4 + length], http)
+        yield row
+
+    def foreign(self, text: Bytes) -> Iterator[dict]:
+        """The records of a member, or of a file without any, in the order of their bytes."""
+        while True:
+            while True:  # line ends before a record
+                text.held = text.held.lstrip(b"\r\n")
+                if text.held or not text.more(1024):
+                    break
+            if not text.held:
+                return
+            while (end := text.held.find(b"\r\n\r\n")) < 0:
+                if len(text.held) > HEADERS or not text.more(1024):
+                    raise ValueError(f"a record without end of headers in the member at byte {text.member}")
+            row, length, http = self.head(text.held[:end])
+            text.held = text.held[end + 4 :]
+            if not self.wanted(row):
+                text.skip(length)
+                continue
+            if self.payload and row["record_type"] == "response":
+                self.fill(row, text.take(length), http)
+            else:
+                text.skip(length)
+            yield row
+
+    @staticmethod
+    def fill(row: dict, block: bytes, http: bool) -> None:
+        row["payload"] = block[block.find(b"\r\n\r\n") + 4 :] if http and b"\r\n\r\n" in block else block
+        if row["payload_bytes"] is None:
+            row["payload_bytes"] = len(row["payload"])
 
     @staticmethod
-    def head(raw: bytes) -> tuple[dict, int]:
-        h = dict(line.split(": ", 1) for line in raw.decode().split("\r\n")[1:])
-        number = lambda k: int(h[k]) if k in h else None
-        row = {"record_type": h["WARC-Type"], "page_id": number("X-Page-ID"), "url": _restore(h["WARC-Target-URI"]) if "WARC-Target-URI" in h else None, "refers_to": number("X-Refers-To-Page"),
-               "payload_digest": h["WARC-Payload-Digest"].removeprefix("sha256:"), "payload_bytes": number("X-Payload-Length"), "payload": None}
-        return row, int(h["Content-Length"])
+    def head(raw: bytes) -> tuple[dict, int, bool]:
+        """A record's row without payload, the length of its block, and whether that is an HTTP message. Header names have no case; lines that begin with a blank go on from the one before."""
+        first, *lines = raw.decode("utf-8", "replace").split("\r\n")
+        if not first.startswith("WARC/"):
+            raise ValueError(f"no record begins with {first[:20]!r}")
+        h: dict[str, str] = {}
+        name = ""
+        for line in lines:
+            if line[:1] in (" ", "\t") and name:
+                h[name] += " " + line.strip()
+            else:
+                name, _, value = line.partition(":")
+                h[name := name.strip().lower()] = value.strip()
+        number = lambda k: int(v) if (v := h.get(k, "")).isdecimal() or v[:1] == "-" and v[1:].isdecimal() else None
+        url = h.get("warc-target-uri")
+        if url is not None:
+            url = _restore(url) if "x-payload-length" in h else url.removeprefix("<").removesuffix(">")
+        digest = h.get("warc-payload-digest")
+        row = {"record_type": h.get("warc-type"), "page_id": number("x-page-id"), "url": url, "refers_to": number("x-refers-to-page"),
+               "payload_digest": digest and digest.removeprefix("sha256:"), "payload_bytes": number("x-payload-length"), "payload": None}
+        return row, number("content-length") or 0, h.get("content-type", "").startswith("application/http")
 
 
 class WarcSource(DataSource):
@@ -246,7 +423,8 @@ def records(pages: DataFrame, small: int = SMALL, broadcast_rows: int = 1_000_00
     Of rows with equal payloads of at least `small` bytes, those with the
     smallest page_id are responses and the others revisits that refer to it; a row without page_id
     is a revisit if another has one. Null html is an empty payload. Payloads
-    of revisits are dropped. Digests are grouped first; only groups of
+    of revisits are dropped; repeated rows with the smallest page_id are all responses; columns other than the three are not read,
+    and an empty table gives no records. Digests are grouped first; only groups of
     several page ids join back, by broadcast up to broadcast_rows.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -268,6 +446,12 @@ def write(pages: DataFrame, path: str, small: int = SMALL) -> None:
     records(pages, small).write.format(FORMAT).mode("append").save(path)
 
 
-def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, payload: bool = True, split: int = SPLIT) -> DataFrame:
+    """Rows in SCHEMA, one per record of an archive or of a folder of them.
+
+    Records of other writers have no page_id, and payload_bytes only where
+    their payload was decoded. Payloads are those of response records, without their
+    HTTP headers; all others are null. A folder without archives gives no rows, a damaged record is an error.
+    """
     register(spark)
-    return spark.read.format(FORMAT).option("payload", str(payload).lower()).load(path)
+    return spark.read.format(FORMAT).option("payload", str(payload).lower()).option("split", str(split)).load(path)

@@ -497,6 +497,41 @@ def test_warc(spark, tmp_path):
     assert warc.read(spark, empty).count() == 0
 
 
+def foreign(kind, url, block, extra="", http=True):
+    return (f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {url}\r\n{extra}Content-Type: {'application/http; msgtype=response' if http else 'text/plain'}\r\nContent-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    """One gzip member per record, one per file, none, and files divided by bytes."""
+    import gzip
+
+    rng = random.Random(0)
+    bodies = [bytes(rng.choice(b"<>abc \r\n") for _ in range(rng.choice([0, 10, 3000]))) for _ in range(60)]
+    records = [foreign("warcinfo", "x", b"software: test\r\n", http=False)]
+    for i, b in enumerate(bodies):
+        records += [foreign("request", f"http://a/{i}", b"GET / HTTP/1.1\r\n\r\n"), foreign("response", f"http://a/{i}", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + b, "WARC-Payload-Digest: sha1:ABC\r\n"), foreign("metadata", f"http://a/{i}", b"fetch: 1", http=False)]
+    files = {"members.warc.gz": b"".join(gzip.compress(r) for r in records), "one.warc.gz": gzip.compress(b"".join(records)), "plain.warc": b"".join(records)}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+        for split in (warc.SPLIT, 700):
+            got = warc.read(spark, str(tmp_path / name), split=split)
+            rows = got.collect()
+            assert Counter(r["record_type"] for r in rows) == {"warcinfo": 1, "request": 60, "response": 60, "metadata": 60}
+            assert {r["url"]: bytes(r["payload"]) for r in rows if r["record_type"] == "response"} == {f"http://a/{i}": b for i, b in enumerate(bodies)}
+            assert all(r["payload"] is None and r["page_id"] is None for r in rows if r["record_type"] != "response")
+            some = got.where("record_type = 'response' AND url LIKE 'http://a/1%'").collect()
+            assert sorted(r["url"] for r in some) == sorted(f"http://a/{i}" for i in range(60) if str(i).startswith("1"))
+    assert warc.read(spark, str(tmp_path)).count() == 3 * 181
+    mixed = tmp_path / "mixed"
+    warc.write(spark.createDataFrame([(1, "u", "é" * 200), (2, "u", "é" * 200)], "page_id long, url string, html string").coalesce(1), str(mixed))
+    mine = next(mixed.glob("*.warc.gz"))
+    (tmp_path / "both.warc.gz").write_bytes(files["members.warc.gz"] + mine.read_bytes() + files["members.warc.gz"])
+    for split in (warc.SPLIT, 500):
+        assert Counter(r["record_type"] for r in warc.read(spark, str(tmp_path / "both.warc.gz"), split=split).collect()) == {"warcinfo": 2, "request": 120, "response": 121, "metadata": 120, "revisit": 1}
+    warc.write(spark.createDataFrame([(3, "v", "x")], "page_id long, url string, html string"), str(mixed))  # a second write is added
+    assert warc.read(spark, str(mixed)).count() == 3
+
+
 def test_warc_pushdown_skips_payloads():
     reader = warc.Reader({"path": "x"})
     left = list(reader.pushFilters([warc.EqualTo(("record_type",), "response"), warc.EqualTo(("payload",), b"")]))
