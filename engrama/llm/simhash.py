@@ -1,8 +1,9 @@
 """SimHash near-duplicates: 64-bit fingerprints joined by a binary trie self-join.
 
 Distinct fingerprints that differ in at most BUDGET = 4 bits agree on at least
-two of six blocks of bits. Each pair of blocks makes a forest of tries, one
-per value of the two blocks; below its root, pairs of nodes are walked
+m of 4 + m blocks of bits. Each choice of m blocks makes a forest of tries, one
+per value of these blocks (m grows with the number of fingerprints, so that
+tries stay small); below its root, pairs of nodes are walked
 together, differing bits add up, and a pair of nodes is left when its sum
 exceeds the budget. Only a spanning forest of each trie's links is kept, so a
 group of copies costs rows in proportion to its size.
@@ -11,6 +12,7 @@ group of copies costs rows in proportion to its size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -19,14 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engrama.llm.shared import materialise, without
+from engrama.llm.shared import if_small, materialise, without
 
 SHINGLE, SEED, BUDGET = 4, 42, 4
-#: Six blocks of bits from the lowest: (first bit, bits).
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-PAIRS = tuple(combinations(range(len(BLOCKS)), 2))
+#: Fingerprints up to which two, and three, blocks are to agree (forests of some 2^21 and 2^27 tries); beyond, four.
+TWO, THREE = 1 << 32, 1 << 38
 #: Fingerprints of a trie that one task joins; larger tries are dealt out as pairs of parts.
 TRIE_ROWS = 8192
+#: Rows of a component that are joined by shuffle; larger components are few and looked up by broadcast.
+HOT = 1 << 16
 #: Pairs of nodes that are walked at once, and leaf pairs below which a pair of nodes is compared outright.
 SLICE, LEAF = 1 << 17, 32
 #: Shingles that are counted at once.
@@ -163,10 +166,22 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield of(pa.concat_tables(held))
 
 
-def links(distinct: DataFrame, trie_rows: int = TRIE_ROWS) -> DataFrame:
+def blocks(agree: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of 4 + agree blocks from the lowest bit, as even as they can be."""
+    n = BUDGET + agree
+    sizes = [64 // n + (i < 64 % n) for i in range(n)]
+    return [(sum(sizes[:i]), size) for i, size in enumerate(sizes)]
+
+
+def links(distinct: DataFrame, trie_rows: int = TRIE_ROWS, agree: int = 2) -> DataFrame:
     """(u, v) fingerprints at most BUDGET bits apart: enough of them to connect all that are, at most one per fingerprint and trie part."""
-    block = lambda k: F.shiftrightunsigned("fp", BLOCKS[k][0]).bitwiseAND(F.lit((1 << BLOCKS[k][1]) - 1))
-    keys = [(F.lit(n << 40).bitwiseOR(F.shiftleft(block(i), 20)).bitwiseOR(block(j))) for n, (i, j) in enumerate(PAIRS)]
+    parts = blocks(agree)
+    keys = []
+    for forest, chosen in enumerate(combinations(parts, agree)):
+        key = F.lit(forest).cast("long")
+        for first, bits in chosen:
+            key = F.shiftleft(key, bits).bitwiseOR(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1).cast("long")))
+        keys.append(key)
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     hot = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > trie_rows).select("key", F.ceil(2 * F.col("n") / trie_rows).cast("int").alias("m")), "hot-tries")
     if hot.isEmpty():
@@ -174,7 +189,7 @@ def links(distinct: DataFrame, trie_rows: int = TRIE_ROWS) -> DataFrame:
     else:  # every two parts of a large trie meet in one task
         mine = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("m")).cast("int")
         part = lambda j: F.least(mine, j) * F.col("m") + F.greatest(mine, j)
-        rows = rows.join(hot, "key", "left").withColumn("m", F.coalesce("m", F.lit(1))).select("fp", "key", F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), part)).alias("part"))
+        rows = rows.join(if_small(hot, 1_000_000), "key", "left").withColumn("m", F.coalesce("m", F.lit(1))).select("fp", "key", F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), part)).alias("part"))
     dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part", "fp")
     return dealt.select("key", "part", "fp").mapInArrow(_links, "u long, v long")
 
@@ -184,7 +199,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps; each round is written to the
     shared folder, so lineage stays short and nothing is gathered on the driver
-    but a count and a checksum.
+    but a count and a checksum. Minima are combined before they are shuffled, and a
+    join at a node with very many edges is divided at run time (spark.sql.adaptive.skewJoin).
     """
 
     def state(e: DataFrame) -> tuple:
@@ -210,7 +226,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("fp"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, trie_rows: int = TRIE_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, trie_rows: int = TRIE_ROWS, hot: int = HOT) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable over links, its own included) of each row of docs.
 
     Null and empty texts have fingerprint zero and link like any other.
@@ -219,16 +235,27 @@ def near_duplicates(docs: DataFrame, trie_rows: int = TRIE_ROWS) -> DataFrame:
     columns of docs are not read.
     """
     fps = materialise(fingerprints(without(docs, "fp")), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("lead"))
-    roots = components(links(distinct.select("fp"), trie_rows))
-    named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lead = named.groupBy("root").agg(F.min("lead").alias("component_id"))
-    per_fp = materialise(named.join(lead, "root").select("fp", "component_id"), "components")
-    return fps.join(per_fp, "fp").select("doc_id", "fp", "component_id")
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("lead")), "distinct")
+    n = distinct.count()
+    agree = 2 if n <= TWO else 3 if n <= THREE else 4
+    roots = components(links(distinct.select("fp"), trie_rows, agree))  # only fingerprints with links
+    roots = roots.unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
+    named = materialise(distinct.join(roots, "fp", "left"), "roots")
+    linked = named.where("root IS NOT NULL")
+    lead = materialise(linked.groupBy("root").agg(F.min("lead").alias("component_id"), F.count("*").alias("n")), "leads")
+    large = F.broadcast(lead.where(F.col("n") > hot).drop("n"))  # at most one in `hot` fingerprints
+    parts = [named.where("root IS NULL").select("fp", F.col("lead").alias("component_id"))]
+    parts += [linked.join(large, "root").select("fp", "component_id"), linked.join(large, "root", "left_anti").join(lead.where(F.col("n") <= hot), "root").select("fp", "component_id")]
+    per_fp = materialise(reduce(DataFrame.unionByName, parts), "components")
+    return fps.join(if_small(per_fp, 1_000_000), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without those whose component holds a smaller doc_id: one document of each group of near-duplicates stays (repeats of its row with it)."""
+    """docs without those whose component holds a smaller doc_id: one document of each group of near-duplicates stays (repeats of its row with it).
+
+    Null and empty texts are one group. Rows without doc_id stay. An empty
+    table gives no rows; other columns may have any names.
+    """
     gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_d")).distinct()
     gone = materialise(gone, "near-copies")
-    return docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, docs["doc_id"] == gone["_d"], "left_anti")
+    return docs.join(if_small(gone, 1_000_000), docs["doc_id"] == gone["_d"], "left_anti")
