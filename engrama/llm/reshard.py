@@ -157,10 +157,11 @@ def reshard(docs: DataFrame, old, shards: int, keep: tuple[str, ...] = ("doc_id"
     """The keep columns, size, text_crc32, law, old_shard, shard, slot and grown_shard of each row of docs (law bytes, so grown_shard is null).
 
     old: column with the old shard of a row; null means shard 0. Null texts
-    have size 1 and no checksum. Repeated rows are placed one by one; equal
-    texts may part, since a group may outgrow a shard. The texts themselves are not moved here.
+    are texts of no bytes: size 1, checksum 0. Repeated rows are placed one by one; equal
+    texts may part, since a group of them may outgrow a shard and bytes could then not be
+    equal. An empty table gives no rows. The texts themselves are not moved here.
     """
-    narrow = docs.select(*keep, F.monotonically_increasing_id().alias("rid"), F.coalesce(old, F.lit(0)).cast("int").alias("old"), size_of().alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    narrow = docs.select(*keep, F.monotonically_increasing_id().alias("rid"), F.coalesce(old, F.lit(0)).cast("int").alias("old"), size_of().alias("size"), _checksum().alias("text_crc32"))
     narrow = materialise(narrow, "sizes")
     placed = plan(narrow.select("rid", "old", "size"), shards)
     out = narrow.drop("old", "size").join(placed, "rid")
@@ -199,6 +200,18 @@ def stored(root: str, version: int, spark: SparkSession) -> DataFrame | None:
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
+def _with_rid(rows: DataFrame) -> DataFrame:
+    """rows of stored() with a unique long rid in place of _file and _row: the file's number above 40 bits of the row's place in it."""
+    files = rows.select("_file").distinct().withColumn("_number", F.row_number().over(Window.orderBy("_file")))  # one row per file
+    numbered = rows.join(F.broadcast(materialise(files, "files")), "_file")
+    return numbered.withColumn("rid", F.shiftleft(F.col("_number").cast("long"), 40) + F.col("_row")).drop("_file", "_row", "_number")
+
+
+def _checksum(text: str = "text"):
+    """CRC-32 of the text in UTF-8; that of no bytes for a null one."""
+    return F.crc32(F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")))
+
+
 def lay_out(docs: DataFrame, old, root: str) -> None:
     """Writes docs as version 0 of root, by the shard that old gives (null means 0)."""
     without(docs, "shard", "_file", "_row").withColumn("shard", F.coalesce(old, F.lit(0)).cast("int")).write.partitionBy("shard").parquet(f"{root}/v0")
@@ -221,14 +234,14 @@ def rewrite(root: str, version: int, shards: int, spark: SparkSession) -> DataFr
     if before is None:
         _commit(root, version + 1, {}, spark)
         return spark.createDataFrame([], report)
-    rid = F.xxhash64("_file", "_row")
-    rows = materialise(before.select(rid.alias("rid"), F.col("shard").alias("old"), size_of().alias("size")), "sizes")
+    columns = [c for c in before.columns if c not in ("shard", "_file", "_row")]
+    before = _with_rid(before.select(F.struct(*columns).alias("_of"), "shard", "_file", "_row"))
+    rows = materialise(before.select("rid", F.col("shard").alias("old"), size_of("_of.text").alias("size")), "sizes")
     dealing = deal(rows, shards)
     flows = dealing.place(rows).groupBy("old", "shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()  # at most one row per flow
     touched = sorted({x for r in flows if r["old"] != r["shard"] for x in (r["old"], r["shard"])})
     if touched:
-        columns = [c for c in before.columns if c not in ("shard", "_file", "_row")]
-        moving = before.where(F.col("shard").isin(touched)).select(F.struct(*columns).alias("_of"), rid.alias("rid"), F.col("shard").alias("old"))
+        moving = before.where(F.col("shard").isin(touched)).select("_of", "rid", F.col("shard").alias("old"))
         dealing.place(moving).select("_of.*", "shard").write.partitionBy("shard").parquet(f"{root}/v{version + 1}")
     now = {s: version + 1 if s in touched else held[s] for s in {r["shard"] for r in flows}}
     _commit(root, version + 1, now, spark)
@@ -239,12 +252,13 @@ def rewrite(root: str, version: int, shards: int, spark: SparkSession) -> DataFr
 def resharded(docs: DataFrame, old, shards: int, root: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """reshard() carried out: docs are laid out under root by old shard and rewritten, and what is returned is read back from the new version's files; slot is a row's place among those of its shard.
 
-    old: column over docs' own columns, which are all moved with the text.
+    old: column over docs' own columns, which are all moved with the text. A
+    column of docs by the name of one that is added, or of shard, gives way. Nulls, repeated rows and empty tables as in reshard().
     """
     lay_out(docs, old, root)
     rewrite(root, 0, shards, docs.sparkSession)
     after = stored(root, 1, docs.sparkSession)
-    facts = [size_of().alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), F.coalesce(old, F.lit(0)).cast("int").alias("old_shard")]
+    facts = [size_of().alias("size"), _checksum().alias("text_crc32"), F.lit("bytes").alias("law"), F.coalesce(old, F.lit(0)).cast("int").alias("old_shard")]
     if after is None:
         return docs.limit(0).select(*keep, *facts, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     read = materialise(after.select(*keep, *facts, "shard", "_file", "_row"), "read-back")

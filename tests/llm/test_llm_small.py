@@ -187,16 +187,33 @@ def brute_components(prints):
     return label
 
 
-@pytest.mark.parametrize("limit", [8192, 2])
-def test_near_duplicates(docs, table, limit):
+@pytest.mark.parametrize("agree", [2, 3, 4])
+def test_blocks_miss_no_pair(spark, agree):
+    """Every two fingerprints at most four bits apart are linked, directly or through others, whichever blocks agree."""
+    rng = np.random.default_rng(agree)
+    centre = rng.integers(0, 2**63, size=20, dtype=np.uint64)
+    fps = sorted({int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for c in rng.choice(centre, 300)})
+    signed = [int(np.uint64(f).view(np.int64)) for f in fps]
+    got = simhash.components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), agree=agree))
+    root = {f: f for f in signed} | {r["fp"]: r["root"] for r in got.collect()}
+    label = brute_components(fps)
+    groups = lambda names: sorted(sorted(k for k in range(len(fps)) if names[k] == n) for n in set(names))
+    assert groups([root[f] for f in signed]) == groups(label)
+
+
+@pytest.mark.parametrize("limit,hot", [(8192, 1 << 16), (2, 1)])
+def test_near_duplicates(docs, table, limit, hot):
     for df in (docs.where("doc_id IS NOT NULL"), table):
         rows = sorted(pairs(df))
         label = brute_components([brute_print(t) for _, t in rows])
         want = sorted((i, brute_print(t), rows[k][0]) for (i, t), k in zip(rows, label, strict=True))
-        got = sorted((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(df, limit).collect())
+        got = sorted((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_duplicates(df, limit, hot).collect())
         assert got == want
     assert simhash.near_duplicates(docs.where("false")).count() == 0
     assert simhash.near_duplicates(docs).where("doc_id IS NULL").first()["component_id"] == 5
+    odd = docs.withColumn("fp", F.lit("x")).withColumn("_d", F.lit(1)).withColumn("component_id", F.lit(2))
+    assert simhash.keep_one(odd).columns == odd.columns and sorted(pairs(simhash.keep_one(odd)), key=repr) == sorted(pairs(simhash.keep_one(docs)), key=repr)
+    assert simhash.keep_one(docs.where("false")).count() == 0
 
 
 def test_trie_join_against_all_pairs():
@@ -451,10 +468,47 @@ def test_min_cost_flow():
         reshard.min_cost_flow({0: 5}, {0: 4})
 
 
+def test_min_cost_flow_moves_the_fewest_units():
+    """Against all ways to fill the new shards, unit by unit."""
+    rng = random.Random(3)
+    for _ in range(60):
+        old = {i: rng.randint(0, 4) for i in range(rng.randint(1, 3))}
+        room = {j: rng.randint(0, 4) for j in range(rng.randint(1, 3))}
+        room[0] += max(0, sum(old.values()) - sum(room.values()))
+        best = {tuple(room.values()): 0}  # room left -> fewest moved so far
+        for i, n in old.items():
+            for _unit in range(n):
+                step: dict = {}
+                for left, moved in best.items():
+                    for k, j in enumerate(room):
+                        if left[k]:
+                            to = (*left[:k], left[k] - 1, *left[k + 1 :])
+                            step[to] = min(step.get(to, 10**9), moved + (i != j))
+                best = step
+        flow = reshard.min_cost_flow(old, room)
+        assert sum(v for (i, j), v in flow.items() if i != j) == min(best.values())
+        assert all(sum(v for (i, _), v in flow.items() if i == k) == n for k, n in old.items())
+        assert all(sum(v for (_, j), v in flow.items() if j == k) <= n for k, n in room.items())
+
+
+def test_resharded_moves_little_and_takes_clashing_columns(spark, table, tmp_path):
+    """Bytes of rows that change their shard are those of the flow, up to the rows at its cuts."""
+    odd = table.withColumn("shard", F.lit("s")).withColumn("_FILE", F.lit("f")).withColumn("rid", F.lit(1)).withColumn("old", F.lit(2))
+    rows = reshard.resharded(odd, F.pmod("doc_id", F.lit(3)), 4, str(tmp_path / "r"), keep=("doc_id", "rid", "old")).collect()
+    assert len(rows) == table.count() and {(r["rid"], r["old"]) for r in rows} == {(1, 2)}
+    held = Counter()
+    for r in rows:
+        held[r["old_shard"]] += r["size"]
+    flow = reshard.min_cost_flow(dict(held), reshard.equal_capacities(sum(held.values()), 4))
+    least = sum(v for (i, j), v in flow.items() if i != j)
+    longest = max(r["size"] for r in rows)
+    assert abs(sum(r["size"] for r in rows if r["old_shard"] != r["shard"]) - least) <= longest * len(flow)
+
+
 def test_reshard(docs, table):
     for df, old in ((docs, F.lit(None)), (table, F.pmod(F.xxhash64("source"), F.lit(3)))):
         rows = reshard.reshard(df, old, 4).collect()
-        texts = Counter((i, None if t is None else zlib.crc32(t.encode()), len((t or "").encode()) + 1) for i, t in pairs(df))
+        texts = Counter((i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for i, t in pairs(df))
         assert Counter((r["doc_id"], r["text_crc32"], r["size"]) for r in rows) == texts
         for s in range(4):
             assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
