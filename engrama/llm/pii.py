@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,19 +48,19 @@ _AT = r"(?:at|ät|arroba|arobase)"
 
 
 def _spelled(separator: str, least: int) -> re.Pattern:
-    """Runs of digit words and single digits, `least` of them at least, between which stands a separator."""
-    return re.compile(rf"(?<!\w)(?P<plus>plus{separator})?(?:{_WORD}|[0-9])(?!\w)(?:{separator}(?:{_WORD}|[0-9])(?!\w)){{{least - 1},}}", re.I)
+    """Runs of digit words and groups of digits, `least` of them at least, between which stands a separator."""
+    return re.compile(rf"(?<!\w)(?P<plus>plus{separator})?(?:{_WORD}|[0-9]+)(?!\w)(?:{separator}(?:{_WORD}|[0-9]+)(?!\w)){{{least - 1},}}", re.I)
 
 
 #: Full stops separate digits of a long run; else they stay as they are, for addresses.
 SPELLED_LONG = _spelled(r"[\s,.\-]{1,3}", 6)
 SPELLED = _spelled(r"[\s,\-]{1,3}", 1)
-SPELLED_PART = re.compile(rf"{_WORD}|[0-9]", re.I)
+SPELLED_PART = re.compile(rf"{_WORD}|[0-9]+", re.I)
 BRACKETED = re.compile(rf"\s?[\[({{<]\s?(?P<sign>@|\.|{_AT}|{_DOT})\s?[\])}}>]\s?", re.I)
-SPACED_DOT = re.compile(rf"(?<=[A-Za-z0-9._%+-])\s{{1,3}}{_DOT}\s{{1,3}}(?=[A-Za-z0-9-])", re.I)
+SPACED_DOT = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:\s{{1,3}}{_DOT}\s{{1,3}}|_{_DOT}_)(?=[A-Za-z0-9-])", re.I)
 #: Before what the base pattern takes as a domain; its last label is one of letters, since 'at' also stands before numbers.
-SPACED_AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])\s{{1,3}}(?:@|{_AT})\s{{1,3}}(?=(?P<domain>[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+))", re.I)
-A_SPACED_AT = re.compile(rf"\s(?:@|{_AT})\s", re.I)
+SPACED_AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?:\s{{1,3}}(?:@|{_AT})\s{{1,3}}|_{_AT}_)(?=(?P<domain>[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+))", re.I)
+A_SPACED_AT = re.compile(rf"[\s_](?:@|{_AT})[\s_]", re.I)
 AT_SIGNS = frozenset(("@", "at", "ät", "arroba", "arobase"))
 DOT_WORDS = ("dot", "punkt", "punto", "point")
 
@@ -156,10 +157,14 @@ def disguised(text: str) -> list[Span]:
         for pattern in (SPELLED, SPELLED_LONG):
             edits = []
             for m in pattern.finditer(plain.text):
-                digits = "".join(DIGIT_WORDS.get(p[0].lower(), p[0]) for p in SPELLED_PART.finditer(plain.text, m.end("plus") if m["plus"] else m.start(), m.end()))
+                parts = [p[0].lower() for p in SPELLED_PART.finditer(plain.text, m.end("plus") if m["plus"] else m.start(), m.end())]
+                if not m["plus"] and sum(p not in DIGIT_WORDS and len(p) > 1 for p in parts) > sum(p in DIGIT_WORDS for p in parts):  # a list of numbers is no disguise
+                    continue
+                digits = "".join(DIGIT_WORDS.get(p, p) for p in parts)
                 edits.append((m.start(), m.end(), ("+" if m["plus"] else "") + digits))
                 # a spelled run of a phone's length is one with or without its plus sign
-                if not m["plus"] and 9 <= len(digits) <= 15 and pattern is SPELLED_LONG and not (len(digits) >= 12 and luhn(digits)):
+                single = sum(p in DIGIT_WORDS or len(p) == 1 for p in parts)
+                if not m["plus"] and single >= 6 and 9 <= len(digits) <= 15 and pattern is SPELLED_LONG and not (len(digits) >= 12 and luhn(digits)):
                     found.append(("phone", plain.starts[m.start()], plain.ends[m.end() - 1]))
             if edits or not readings:
                 readings.append(signs + edits)
@@ -184,7 +189,12 @@ def disguised(text: str) -> list[Span]:
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans, each by start, then kind as listed."""
     base = detect(text)
-    inside = lambda x: any(k == x[0] and a <= x[1] and x[2] <= b for k, a, b in base)
+    starts: dict[str, list[int]] = {k: [] for k in KINDS}  # spans of a kind do not overlap, so only the last that starts before can hold another
+    ends: dict[str, list[int]] = {k: [] for k in KINDS}
+    for k, a, b in sorted(base, key=lambda x: x[1]):
+        starts[k].append(a)
+        ends[k].append(b)
+    inside = lambda x: (i := bisect_right(starts[x[0]], x[1])) > 0 and x[2] <= ends[x[0]][i - 1]
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     more = {x for x in disguised(text) if not inside(x)}
     return sorted(base, key=order), sorted([*base, *more], key=order)
