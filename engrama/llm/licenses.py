@@ -20,33 +20,60 @@ from pyspark.sql import functions as F
 from engrama.llm.shared import without
 
 #: Words of a match that counts; words that may stand between two matches of a chain.
-LONG, GAP = 4, 40
-#: Covered part of a template that gives its label: of a template under SHORT words, and of others.
-SHORT, COVER_SHORT, COVER = 20, 0.9, 0.6
+LONG, GAP = 3, 40
+#: Covered part of a text that gives its label; of a name, all words must be there.
+COVER = 0.6
 
-# Phrases of the base with their labels, and licence texts (label, words).
+# Phrases of the base with their labels, and licence texts (label, words): names first, then notices and passages that stand alone.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0"),
+NAMES = (
+    ("apache-2.0", "apache license version 2 0"),
+    ("apache-2.0", "apache license 2 0"),
+    ("apache-2.0", "apache license v2 0"),
+    ("mit", "the mit license"),
+    ("mit", "mit license copyright"),
+    ("mit", "under mit license"),
+    ("gpl-3.0", "general public license version 3"),
+    ("gpl-3.0", "general public license v3"),
+    ("gpl-2.0", "general public license version 2"),
+    ("gpl-2.0", "general public license v2"),
+    ("lgpl", "gnu lesser general public license"),
+    ("agpl", "gnu affero general public license"),
+    ("bsd", "bsd 2 clause license"),
+    ("bsd", "bsd 3 clause license"),
+    ("bsd", "the bsd license"),
+    ("isc", "the isc license"),
+    ("mpl-2.0", "mozilla public license version 2 0"),
+    ("mpl-2.0", "mozilla public license 2 0"),
+    ("mpl-2.0", "mozilla public license v 2 0"),
+    ("cc-by-4.0", "cc by 4 0"),
+    ("cc-by-sa-4.0", "cc by sa 4 0"),
+    ("cc-by-nc-4.0", "cc by nc 4 0"),
+    ("cc-by-nd-4.0", "cc by nd 4 0"),
+    ("cc-by-4.0", "creative commons attribution 4 0"),
+    ("cc-by-sa-4.0", "creative commons attribution sharealike 4 0"),
+    ("cc-by-nc-4.0", "creative commons attribution noncommercial 4 0"),
+    ("cc0-1.0", "cc0 1 0 universal"),
+)
+TEXTS = (
     ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
+    ("apache-2.0", "grant of copyright license subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form"),
+    ("apache-2.0", "grant of patent license subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable except as stated in this section patent license to make have made use offer to sell sell import and otherwise transfer the work where such license applies only to those patent claims licensable by such contributor that are necessarily infringed by their contribution s alone or by combination of their contribution s with the work to which such contribution s was submitted"),
+    ("apache-2.0", "redistribution you may reproduce and distribute copies of the work or derivative works thereof in any medium with or without modifications and in source or object form provided that you meet the following conditions you must give any other recipients of the work or derivative works a copy of this license and you must cause any modified files to carry prominent notices stating that you changed the files"),
+    ("apache-2.0", "disclaimer of warranty unless required by applicable law or agreed to in writing licensor provides the work and each contributor provides its contributions on an as is basis without warranties or conditions of any kind either express or implied including without limitation any warranties or conditions of title non infringement merchantability or fitness for a particular purpose"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3"),
-    ("gpl-2.0", "licensed under the gnu general public license version 2"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl", "the gnu general public license is a free copyleft license for software and other kinds of works the licenses for most software and other practical works are designed to take away your freedom to share and change the works by contrast the gnu general public license is intended to guarantee your freedom to share and change all versions of a program to make sure it remains free software for all its users"),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
-    ("cc-by-4.0", "licensed under cc by 4 0"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("cc-by-nc-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
 )
+TEMPLATES = NAMES + TEXTS
 
 #: Bytes to bytes: A-Z to a-z, what stands between words to blanks; UTF-8 above ASCII is all of words.
 WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isdigit() or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -64,7 +91,8 @@ class State:
 class Automaton:
     """Generalised suffix automaton of word sequences."""
 
-    def __init__(self, templates: list[list[str]]):
+    def __init__(self, templates: list[list[str]], names: int = 0):
+        """The first `names` templates are names: they count wherever all their words stand, be it inside a longer match."""
         self.templates = templates
         self.ids = {w: i for i, w in enumerate(dict.fromkeys(w for t in templates for w in t))}
         self.states = [State(0)]
@@ -81,6 +109,15 @@ class Automaton:
         self.next = [s.next for s in self.states]
         self.link = [s.link for s in self.states]
         self.length = [s.length for s in self.states]
+        #: per state, the names that its strings end in
+        self.whole: list[list[int]] = [[] for _ in self.states]
+        for t, words in enumerate(templates[:names]):
+            state = 0
+            for w in words:
+                state = self.next[state][self.ids[w]]
+            self.whole[state].append(t)
+        for s in sorted(range(1, len(self.states)), key=lambda s: self.length[s]):
+            self.whole[s] = self.whole[s] + self.whole[self.link[s]]
 
     def _split(self, p: int, q: int, word: int) -> int:
         """A copy of q for the shorter strings that reach it from p."""
@@ -108,8 +145,8 @@ class Automaton:
             self.states[new].link = q if self.states[q].length == self.states[p].length + 1 else self._split(p, q, word)
         return new
 
-    def matches(self, ids: list[int], at: int, least: int) -> Iterator[tuple[int, int, int]]:
-        """Maximal matches (start, end, state) of at least `least` words in ids, which stand from `at` on in the text."""
+    def matches(self, ids: list[int], at: int, least: int, names: list[tuple[int, int, int]] | None = None) -> Iterator[tuple[int, int, int]]:
+        """Maximal matches (start, end, state) of at least `least` words in ids, which stand from `at` on in the text. names takes (template, start, end) of each name met."""
         state = size = 0
         for i, w in enumerate(ids, at + 1):
             grown = w in self.next[state]
@@ -123,14 +160,17 @@ class Automaton:
             if w in self.next[state]:
                 state = self.next[state][w]
                 size += 1
+                if names is not None and self.whole[state]:
+                    names += [(t, i - n, i) for t in self.whole[state] if (n := len(self.templates[t])) <= size]
         if size >= least:
             yield at + len(ids) - size, at + len(ids), state
 
 
 class Scanner:
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, base: tuple[tuple[str, str], ...] = BASE):
-        self.labels = [label for label, _ in templates]
-        self.automaton = Automaton([words.split() for _, words in templates])
+    def __init__(self, names: tuple[tuple[str, str], ...] = NAMES, texts: tuple[tuple[str, str], ...] = TEXTS, base: tuple[tuple[str, str], ...] = BASE):
+        templates = (*names, *texts)
+        self.labels, self.names = [label for label, _ in templates], len(names)
+        self.automaton = Automaton([words.split() for _, words in templates], len(names))
         self.known = {w.encode(): i for w, i in self.automaton.ids.items()}
         self.base = [([w.encode() for w in phrase.split()], label) for phrase, label in base]
 
@@ -148,17 +188,19 @@ class Scanner:
         return sorted(out)
 
     def spans(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
-        """(template, start, end, covered part) of every chain of long matches."""
+        """(template, start, end, covered part) of every chain of long matches, and of every name."""
         get = self.known.get
         ids = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
         edges = np.flatnonzero(np.diff(np.concatenate([[False], ids >= 0, [False]]).astype(np.int8)))
         found: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+        names: list[tuple[int, int, int]] = []
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             if b - a >= LONG:
-                for start, end, state in self.automaton.matches(ids[a:b].tolist(), a, LONG):
+                for start, end, state in self.automaton.matches(ids[a:b].tolist(), a, LONG, names):
                     for t, place in self.automaton.states[state].ends.items():
-                        found[t].append((start, end, place - (end - start), place))
-        out = []
+                        if t >= self.names:
+                            found[t].append((start, end, place - (end - start), place))
+        out = [(t, start, end, 1.0) for t, start, end in names]
         for t, parts in found.items():
             total = len(self.automaton.templates[t])
             chain: list | None = None  # start, end, place after, words covered
@@ -176,13 +218,13 @@ class Scanner:
     def scan(self, text: bytes | None) -> dict:
         words = (text or b"").translate(WORD_BYTES).split()
         places = self.base_places(words)
-        spans = [(self.labels[t], a, b, min(1.0, part), len(self.automaton.templates[t])) for t, a, b, part in self.spans(words)]
-        kept = [x for x in spans if x[3] >= (COVER_SHORT if x[4] < SHORT else COVER)]
+        spans = [(self.labels[t], a, b, min(1.0, part)) for t, a, b, part in self.spans(words)]
+        kept = [x for x in spans if x[3] >= COVER]
         base = {label for _, label in places}
         return {
             "n_words": len(words), "n_base": len(places), "first_word": places[0][0] if places else None, "last_word": places[-1][0] if places else None,
             "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | {x[0] for x in kept})),
-            "score": max((x[3] for x in spans), default=0.0), "spans": ",".join(f"{label}:{a}:{b}" for label, a, b, _, _ in kept),
+            "score": max((x[3] for x in spans), default=0.0), "spans": ",".join(f"{label}:{a}:{b}" for label, a, b, _ in kept),
         }
 
 

@@ -323,7 +323,7 @@ def test_personal_data_rows(docs, table):
 
 
 def test_licenses(docs, table, spark):
-    more = spark.createDataFrame([(1, "CC BY cc by; All Rights\nReserved"), (2, "blah " + licenses.TEMPLATES[4][1].replace(" merge ", " blend ")), (3, "Licensed under CC BY-NC 4.0.")], "doc_id long, text string")
+    more = spark.createDataFrame([(1, "CC BY cc by; All Rights\nReserved"), (2, "blah " + next(t for label, t in licenses.TEXTS if label == "mit").replace(" merge ", " blend ")), (3, "Licensed under CC BY-NC 4.0.")], "doc_id long, text string")
     for df in (docs.select("doc_id", "text"), table.select("doc_id", "text"), more):
         want = []
         for i, t in pairs(df):
@@ -336,6 +336,41 @@ def test_licenses(docs, table, spark):
     assert licenses.licenses(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text,labels",
+    [
+        ("Distributed under the Apache License, Version 2.0", "apache-2.0"),
+        ("Apache License, Version 2.0", "apache-2.0"),
+        ("Distributed under the MIT License", "mit"),
+        ("MIT License\n\nCopyright (c) 2020 X", "mit"),
+        ("GNU General Public License v3", "gpl,gpl-3.0"),
+        ("use it under CC BY-SA 4.0, please", "cc-by,cc-by-sa-4.0"),
+        ("see the Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc-4.0"),
+        (dict(reversed(licenses.TEXTS))["mit"], "mit"),
+        (licenses.TEXTS[6][1], "mit"),
+        (licenses.TEXTS[4][1][100:], "apache-2.0"),
+        (licenses.TEXTS[11][1], "bsd"),
+        (licenses.TEXTS[13][1], "isc"),
+        ("the apache helicopter, version 2.0 of it, has no licence", ""),
+        ("she went to MIT; the driving license came later", ""),
+        ("without warranty of any kind", ""),
+    ],
+)
+def test_license_wordings(text, labels):
+    """Names whatever stands around them, and passages that stand alone; words in common with a licence are none."""
+    assert licenses.scanner().scan(text.encode())["labels"] == labels
+
+
+def test_licenses_replace_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "the MIT License", "x"), (1, None, "y")], "doc_id long, text string, Labels string")
+    assert sorted((r["n_words"], r["labels"]) for r in licenses.licenses(df).collect()) == [(0, ""), (3, "mit")]
+
+
+def test_every_template_gives_its_label():
+    for label, words in licenses.TEMPLATES:
+        assert label in licenses.scanner().scan(words.encode())["labels"].split(",")
+
+
 def test_automaton_against_substrings():
     rng = random.Random(4)
     texts = [[rng.choice("abc") for _ in range(rng.randint(1, 25))] for _ in range(6)]
