@@ -73,6 +73,8 @@ class Pieces:
         # where no piece runs on, all paths meet: before a mark that follows another character, and around a line end
         meets = all(MARK not in p.lstrip(MARK) for p in self.vocab) and not any("\n" in p for p in self.vocab)
         self.stretches = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if meets else "(?s:.+)")
+        #: neighbours inside some piece; between any others all paths meet, too
+        self.joined = {p[i : i + 2] for p in self.vocab for i in range(len(p) - 1)}
         self.apart: dict[tuple[int, int], bool] = {}
         #: boundaries committed at, and the widest window so far
         self.commits = self.widest = 0
@@ -107,68 +109,83 @@ class Pieces:
         Starts are taken in order, so the best path to a start is settled
         before its pieces are tried; pieces[x] is 0 for what only begins a piece.
         """
-        pieces, longest, apart = self.starts, self.longest, self.apart
-        size = len(text)
-        base = 0  # all paths run through base
-        reach = 0  # no piece so far ends beyond
-        last: list[int | None] = [None] * (longest + 2)  # the piece that ends at base + i, and where it starts
-        back = [0] * len(last)
-        before = None
+        pieces, longest, apart, size = self.starts.get, self.longest, self.apart.get, len(text)
+        last: dict[int, int] = {}  # the window: for each place the piece that ends there, and where it starts
+        back: dict[int, int] = {}
+        base = reach = 0  # all paths run through base; no piece so far ends beyond reach
+        before, next_walk = None, commit
         for start in range(size):
-            at = start - base
-            if start == reach and at:  # every path that goes on passes here
-                yield from self.commit(last, back, base, start)
-                before = last[at]
-                last, back, base, at = [before] + [None] * (longest + 1), [base] + [0] * (longest + 1), start, 0
+            if start == reach and start:  # every path that goes on passes here
+                before = last[start]
+                if back[start] == base:
+                    yield before
+                else:
+                    yield from self.path(last, back, base, start)
+                self.note(len(last))
+                last.clear()
+                back.clear()
+                base, next_walk = start, start + commit
             elif start:
-                before = last[at]
+                before = last[start]
             for end in range(start + 1, min(size, start + longest) + 1):
-                piece = pieces.get(text[start:end])
+                piece = pieces(text[start:end])
                 if piece is None:
                     if end > start + 1:
                         break
                     piece = -1 - ord(text[start])
                 elif not piece:
                     continue
-                to = end - base
-                if to >= len(last):
-                    last += [None] * (to + 1 - len(last))
-                    back += [0] * (to + 1 - len(back))
-                if last[to] is None and (before is None or (fits if (fits := apart.get((before, piece))) is not None else self.stay_apart(before, piece))):
-                    last[to], back[to] = piece, start
-                    reach = max(reach, end)
+                if end not in last and (before is None or (fits if (fits := apart((before, piece))) is not None else self.stay_apart(before, piece))):
+                    last[end], back[end] = piece, start
+                    if end > reach:
+                        reach = end
                 if piece < 0:
                     break
-            if at and at % commit == 0:
-                live = {e for e in range(start + 1, min(size, start + longest) + 1) if e - base < len(last) and last[e - base] is not None} | {start + 1}
+            if start >= next_walk:
+                live = {e for e in range(start + 1, reach + 1) if e in last} | {start + 1}
                 while len(live) > 1:  # walk the youngest back until all meet
                     live.discard(young := max(live))
-                    live.add(back[young - base])
+                    live.add(back[young])
                 if (meet := live.pop()) > base:
-                    yield from self.commit(last, back, base, meet)
-                    last, back = last[meet - base :], back[meet - base :]
+                    yield from self.path(last, back, base, meet)
+                    self.note(len(last))
+                    last, back = ({e: v for e, v in d.items() if e >= meet} for d in (last, back))
                     base = meet
-        yield from self.commit(last, back, base, size)
+                next_walk = start + commit
+        self.note(len(last))
+        yield from self.path(last, back, base, size)
 
-    def commit(self, last: list, back: list, base: int, end: int) -> list[int]:
-        """The ids between two boundaries that all paths pass."""
-        self.commits += end > base
-        self.widest = max(self.widest, len(last))
-        return self.path(last, back, base, end)
+    def note(self, window: int) -> None:
+        self.commits += 1
+        if window > self.widest:
+            self.widest = window
 
     @staticmethod
-    def path(last: list, back: list, base: int, end: int) -> list[int]:
+    def path(last: dict[int, int], back: dict[int, int], base: int, end: int) -> list[int]:
+        """The pieces between two boundaries that all paths pass."""
         out = []
         while end > base:
-            out.append(last[end - base])
-            end = back[end - base]
+            out.append(last[end])
+            end = back[end]
         return out[::-1]
 
     def ids_of(self, stretch: str) -> bytes:
-        out = array("i", chain.from_iterable((i,) if i >= 0 else [self.bytes[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")] for i in self.viterbi(stretch))).tobytes()
-        if len(stretch) <= STRETCH:
-            self.remember(stretch, out)
-        return out
+        """Ids of a stretch that is not remembered: of its parts between neighbours that no piece joins."""
+        joined, at, out = self.joined, 0, []
+        for i in range(1, len(stretch) + 1):
+            if stretch[i - 1 : i + 1] not in joined or i == len(stretch):
+                part = stretch[at:i]
+                ids = self.known.get(part)
+                if ids is None:
+                    ids = array("i", chain.from_iterable((i,) if i >= 0 else [self.bytes[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")] for i in self.viterbi(part))).tobytes()
+                    if len(part) <= STRETCH:
+                        self.remember(part, ids)
+                out.append(ids)
+                at = i
+        ids = b"".join(out)
+        if len(out) > 1 and len(stretch) <= STRETCH:
+            self.remember(stretch, ids)
+        return ids
 
     def remember(self, stretch: str, ids: bytes) -> None:
         """Two generations: what is not met again while MEMORY / 2 others come in is forgotten."""
