@@ -1,7 +1,9 @@
 """From raw documents to token ids: quality rules, line dedup, near-duplicates, benchmark decontamination, SentencePiece.
 
 Each stage works on all that the one before kept; every stage but the last
-returns the columns of documents.
+returns the columns of documents. Columns beyond those of documents pass through all stages but the last,
+whatever their names. An empty table gives an empty one at every stage, and an
+empty benchmark takes nothing away.
 """
 
 from __future__ import annotations
@@ -22,27 +24,37 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules' posterior rejects go."""
+    """Documents that the rules' posterior rejects, and those that fail the base rules, go.
+
+    Null and empty texts go, as they have no words; rows of equal id and text stay or go together.
+    """
     return keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line of the corpus go from their texts; every document stays."""
+    """Lines that match an earlier line of the corpus go from their texts; every document stays.
+
+    Documents are ordered by doc_id, null first, equal ones by their text's digest; rows that
+    repeat an id and a text are one document. A null text stays null, one that loses all lines becomes empty.
+    """
     return dedup_lines(docs, least=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: that with the smallest doc_id."""
+    """One document of each SimHash component stays: that with the smallest doc_id, with all rows of that id.
+
+    Null and empty texts have fingerprint zero and are near-duplicates of each other. Rows without doc_id stay.
+    """
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Documents that hold a benchmark window go. Null and empty texts hold none; rows of equal id and text stay or go together."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids and their digests of each document that is left."""
+    """doc_id, lang, source, ids and their digests of each row that is left, repeated ones too. Null and empty texts have no ids."""
     return pieces.encode(docs.select("doc_id", "lang", "source", "text"), MODEL)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engrama.llm.shared import ALNUM_GAP, fold_ascii, let, materialise, split_words
+from engrama.llm.shared import ALNUM_GAP, fold_ascii, if_small, let, materialise, split_words
 
 WINDOW = 10
 #: Windows that may be broadcast: about 100 bytes each in memory.
@@ -105,17 +105,24 @@ def remove_spans(text: Column, hits: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "documents", window: int = WINDOW, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """docs without contaminated documents, or (action "spans") with the hit words cut out of their texts. Same columns as docs.
+    """docs without contaminated documents, or (action "spans") with the hit words cut out of their texts and n_chars (if there) counted anew. Same columns as docs, whatever their names.
 
-    The contaminated rows' ids and text digests are written first; they are
-    broadcast up to broadcast_rows and joined by shuffle beyond. Texts of clean
+    Null and empty texts are clean. Rows of equal id and text share their
+    verdict, null ids included. An empty benchmark leaves docs as they are, and empty docs give no rows.
+
+    The contaminated rows' ids and text digests are written first; they (and the places to cut) are
+    broadcast if small and joined by shuffle beyond. Texts of clean
     documents are not moved in the first case.
     """
-    bad = contamination(docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("digest")), benchmark, window, keep=("doc_id", "digest"))
-    bad = materialise(bad.where("contaminated").groupBy("doc_id", "digest").agg(F.first("hits").alias("hits")), "contaminated").withColumnsRenamed({"doc_id": "_d", "digest": "_t"})
-    bad = F.broadcast(bad) if bad.count() <= broadcast_rows else bad
-    same = docs["doc_id"].eqNullSafe(bad["_d"]) & F.md5(docs["text"].cast("binary")).eqNullSafe(bad["_t"])
+    digest = F.md5(F.col("text").cast("binary"))
+    bad = contamination(docs.select("doc_id", "text", digest.alias("digest")), benchmark, window, keep=("doc_id", "digest")).where("contaminated")
+    same = lambda left, right: left["doc_id"].eqNullSafe(right["_d"]) & left["digest"].eqNullSafe(right["_t"])
+    packed = docs.select("doc_id", digest.alias("digest"), F.struct("*").alias("_row"))
     if action == "documents":
-        return docs.join(bad, same, "left_anti")
-    cut = F.when(F.col("_t").isNull(), docs["text"]).otherwise(remove_spans(docs["text"], F.col("hits")))
-    return docs.join(bad, same, "left").select(*[cut.alias(c) if c == "text" else docs[c] for c in docs.columns])
+        bad = if_small(materialise(bad.select(F.col("doc_id").alias("_d"), F.col("digest").alias("_t")).distinct(), "contaminated"), broadcast_rows)
+        return packed.join(bad, same(packed, bad), "left_anti").select("_row.*")
+    bad = bad.groupBy(F.col("doc_id").alias("_d"), F.col("digest").alias("_t")).agg(F.first("hits").alias("hits"))
+    bad = if_small(materialise(bad, "contaminated"), broadcast_rows, "hits")
+    text = F.when(F.col("hits").isNull(), F.col("_row")["text"]).otherwise(remove_spans(F.col("_row")["text"], F.col("hits")))
+    new = {"text": text} | ({"n_chars": F.when(F.col("hits").isNull(), F.col("_row")["n_chars"]).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
+    return packed.join(bad, same(packed, bad), "left").select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -167,6 +167,23 @@ def test_decontaminate(spark, docs):
     assert cut[5].split() == [w for i, w in enumerate(LOREM.split()) if not 2 <= i < 12] and cut[3] == "one" and len(cut[9]) == 50_000
 
 
+@pytest.mark.parametrize("action", ["documents", "spans"])
+def test_decontaminate_keeps_other_columns(spark, docs, action):
+    bench = spark.createDataFrame([(1, "brown fox jumps over the lazy dog while seven tall")], "item_id long, text string")
+    odd = docs.withColumns({c: F.lit(c) for c in ("_t", "_d", "hits", "digest", "_row", "_w", "items", "Contaminated")})
+    plain, got = (decontaminate.decontaminate(x, bench, action, broadcast_rows=n) for x, n in ((docs, 10**6), (odd, 0)))
+    assert got.columns == odd.columns and sorted(pairs(got), key=repr) == sorted(pairs(plain), key=repr)
+    assert got.where("hits = 'hits' AND digest = 'digest'").count() == got.count() > 0
+    assert decontaminate.decontaminate(docs.where("false"), bench, action).count() == 0
+    assert sorted(pairs(decontaminate.decontaminate(docs, bench.where("false"), action)), key=repr) == sorted(pairs(docs), key=repr)
+    assert all(r["n_chars"] == len(r["text"] or "") for r in plain.where("n_chars IS NOT NULL").collect())
+
+
+def test_personal_data_replaces_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.cd", "x"), (2, None, "y"), (2, None, "y")], "doc_id long, text string, N_Email string")
+    assert sorted((r["doc_id"], r["n_email"], r["spans"]) for r in pii.personal_data(df).collect()) == [(1, 1, "email:0:6"), (2, 0, ""), (2, 0, "")]
+
+
 # simhash
 
 
