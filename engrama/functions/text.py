@@ -21,6 +21,7 @@ CUES = ("actually", "now", "nowadays", "no longer", "anymore", "as of", "current
 CUES_COLON = ("update:", "correction:")
 
 BEFORE, AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 #: A boundary after a colon needs a word character.
 AFTER_COLON = "(?=[A-Za-z0-9_])"
 
@@ -33,6 +34,13 @@ CONSTRAINT = BEFORE + _any(*CONSTRAINT_WORDS, f"no {_any(*CONSTRAINT_NO)}", f"{_
 HISTORY = BEFORE + _any(*HISTORICAL, f"{_any(*HISTORICAL_OLD)} {_any(*HISTORICAL_THINGS)}", *HISTORICAL_ASK) + AFTER
 CUE = BEFORE + _any(_any(*CUES) + AFTER, _any(*CUES_COLON) + AFTER_COLON)
 
+
+
+def bounded(pattern: str) -> str:
+    """A pattern with \\b as a boundary of ASCII word characters."""
+    return pattern.replace(r"\b", BOUNDARY)
+
+
 #: All Unicode white space that a trim takes off.
 SPACES = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 

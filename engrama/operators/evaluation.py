@@ -9,9 +9,75 @@ from engrama.functions.text import contains_all, contains_none
 
 
 def score(results: DataFrame) -> DataFrame:
-    """Adds pass to results: output, contains, excludes (arrays or null), current_only, and shows_old (whether a superseded row is shown)."""
-    fresh = ~(F.coalesce("current_only", F.lit(False)) & F.coalesce("shows_old", F.lit(False)))
-    return results.withColumn("pass", contains_all(F.col("contains"), F.col("output")) & contains_none(F.col("excludes"), F.col("output")) & fresh)
+    """Adds pass, reasons (array) and first_hit_turn to results: output, contains, excludes (arrays or null), current_only (boolean or null)."""
+    output = F.coalesce("output", F.lit(""))
+    has, clear = contains_all(F.col("contains"), output), contains_none(F.col("excludes"), output)
+    fresh = ~(F.coalesce("current_only", F.lit(False)) & shows_superseded(output))
+    reasons = [F.when(~has, F.concat(F.lit("missing "), F.to_json("contains"))), F.when(~clear, F.concat(F.lit("surfaced excluded "), F.to_json("excludes"))), F.when(~fresh, F.lit("drew on a superseded fact"))]
+    return results.withColumns({"pass": has & clear & fresh, "reasons": F.filter(F.array(*reasons), lambda r: r.isNotNull()), "first_hit_turn": F.when(has, 1)})
+
+
+def shows_superseded(output):
+    """Whether a listing marks one of its rows as no longer current."""
+    return F.coalesce(output.rlike("(?i)no longer current"), F.lit(False))
+
+
+def with_prefix(cases: DataFrame, prefix: str | None) -> DataFrame:
+    """Cases whose id begins with a prefix; all of them without one."""
+    return cases if prefix is None else cases.where(F.startswith("id", F.lit(prefix)))
+
+
+def target_rank(ranked: DataFrame, memories: DataFrame, targets: DataFrame) -> DataFrame:
+    """(q_id, id, rank): the first memory (by place) whose text holds a query's target term, whatever the case, and its rank, 0 if it is not among ranked (q_id, rnk, id). targets: q_id, term; a stated set, broadcast."""
+    holds = F.contains(F.lower("text"), F.lower("term"))
+    first = memories.select("id", "_pos", "text").join(F.broadcast(targets), holds).groupBy("q_id").agg(F.min_by("id", "_pos").alias("id"))
+    place = ranked.select("q_id", "id", "rnk")
+    return targets.select("q_id").join(first, "q_id", "left").join(place, ["q_id", "id"], "left").select("q_id", "id", F.coalesce("rnk", F.lit(0)).alias("rank"))
+
+
+def quality_figures(ranked: DataFrame, expected: DataFrame, memories: DataFrame, k: int = 5) -> DataFrame:
+    """One row: cases, recall_at_k, mrr and staleness_rate. ranked: q_id, rnk, id. expected: q_id, id (one each). Stale are cases whose first row no longer holds."""
+    hit = expected.select("q_id", F.col("id").alias("want")).join(ranked.select("q_id", "rnk", F.col("id").alias("want")), ["q_id", "want"], "left")
+    first = ranked.where("rnk = 1").join(memories.select("id", F.col("valid_to").isNotNull().alias("old")), "id").select("q_id", "old")
+    out = hit.join(first, "q_id", "left")
+    return out.agg(F.count("*").alias("cases"), F.avg((F.coalesce("rnk", F.lit(1 << 30)) <= k).cast("double")).alias("recall_at_k"), F.avg(F.coalesce(1 / F.col("rnk"), F.lit(0.0))).alias("mrr"), F.avg(F.coalesce("old", F.lit(False)).cast("double")).alias("staleness_rate"))
+
+
+def duplicate_rate(near: DataFrame, memories: DataFrame, least: float = 0.95) -> DataFrame:
+    """(memories, duplicated, rate): memories that have another at or above a similarity, by their nearest neighbour (q_id, id, sim)."""
+    has = near.where(F.col("sim") >= least).select(F.col("q_id").alias("id"), F.lit(1).alias("_h")).distinct()
+    out = memories.select("id").join(has, "id", "left").agg(F.count("*").alias("memories"), F.count("_h").alias("duplicated"))
+    return out.select("memories", "duplicated", (F.col("duplicated") / F.greatest("memories", F.lit(1))).alias("rate"))
+
+
+def false_supersessions(memories: DataFrame, still_true: DataFrame) -> DataFrame:
+    """(id): memories that were closed though they still hold (ids of still_true)."""
+    return memories.where("valid_to IS NOT NULL").join(still_true.select("id"), "id", "left_semi").select("id")
+
+
+def store_growth(writes: DataFrame, every: int = 100) -> DataFrame:
+    """(block, writes, bytes): UTF-8 bytes of texts per `every` writes (_pos from 0)."""
+    return writes.groupBy(F.floor(F.col("_pos") / every).alias("block")).agg(F.count("*").alias("writes"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("bytes"))
+
+
+def latency_p95(log: DataFrame, ms: str = "ms") -> DataFrame:
+    return log.agg(F.percentile(ms, F.lit(0.95)).alias("p95"))
+
+
+def compare(results: DataFrame, a: str, b: str, even: float = 0.02) -> DataFrame:
+    """(kind, a, b, delta, mark): shares of passes (kind, variant, pass) of two variants, per kind and over all, and whether the second is better, worse or even."""
+    rate = lambda v: F.avg(F.when(F.col("variant") == v, F.col("pass").cast("double")))
+    out = results.where(F.col("variant").isin(a, b)).groupingSets([["kind"], []], "kind").agg(rate(a).alias("a"), rate(b).alias("b"), F.grouping("kind").alias("g"))
+    delta = F.col("b") - F.col("a")
+    mark = F.when(delta > even, "better").when(delta < -even, "worse").otherwise("even")
+    return out.select(F.when(F.col("g") == 1, "all").otherwise(F.col("kind")).alias("kind"), "a", "b", delta.alias("delta"), mark.alias("mark"))
+
+
+def soak(memories: DataFrame, checkpoints: tuple[int, ...] = (100, 250, 500, 1000)) -> DataFrame:
+    """(updates, current, superseded, removed, bytes) of a store (_pos, text, valid_to, deleted) after its first so many writes."""
+    at = memories.select("*", F.explode(F.filter(F.array(*map(F.lit, checkpoints)), lambda c: F.col("_pos") < c)).alias("updates"))
+    live, old = ~F.col("deleted"), F.col("valid_to").isNotNull()
+    return at.groupBy("updates").agg(F.count_if(live & ~old).alias("current"), F.count_if(live & old).alias("superseded"), F.count_if(~live).alias("removed"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("bytes"))
 
 
 def score_repeat(turns: DataFrame) -> DataFrame:

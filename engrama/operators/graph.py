@@ -14,21 +14,23 @@ def _top(df: DataFrame, by: list[str], order: list, k: int, name: str = "rnk") -
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
-def edges(memories: DataFrame, k: int = 3, min_sim: float = 0.55, mutual: bool = False, ledger: DataFrame | None = None) -> DataFrame:
+def edges(memories: DataFrame, k: int = 3, min_sim: float = 0.55, mutual: bool = False, ledger: DataFrame | None = None, within: str | None = None) -> DataFrame:
     """(src, dst, sim, rnk): each memory's k best neighbours at or above min_sim; mutual keeps an edge only if its reverse is one too.
 
     ledger (a, b, w) adds a bounded bonus before the gate, so a learned edge
     may pass it. Only pairs in the ledger can gain, so the k plain best and the
-    ledger's pairs are all that need ranking.
+    ledger's pairs are all that need ranking; pairs of other ids are dropped before vectors are joined. within: as for search().
     """
-    mem = memories.where(F.col("embedding").isNotNull()).select("id", "_pos", "embedding")
-    base = search(mem.select(F.col("id").alias("q_id"), "embedding"), mem, k, gate=min_sim).select(F.col("q_id").alias("src"), F.col("id").alias("dst"), "sim")
+    stores = [within] if within else []
+    mem = memories.where(F.col("embedding").isNotNull()).select("id", "_pos", "embedding", *stores)
+    base = search(mem.withColumnRenamed("id", "q_id").drop("_pos"), mem, k, gate=min_sim, within=within).select(F.col("q_id").alias("src"), F.col("id").alias("dst"), "sim")
     if ledger is not None:
         from engrama.functions.vector import cosine
 
-        both = ledger.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(ledger.select("b", "a", "w")).where("src <> dst")
-        left, right = mem.select(F.col("id").alias("src"), F.col("embedding").alias("va")), mem.select(F.col("id").alias("dst"), F.col("embedding").alias("vb"))
-        learned = both.join(left, "src").join(right, "dst").select("src", "dst", (cosine(F.col("va"), F.col("vb")) + bonus(F.col("w"))).alias("sim"))
+        side = lambda name, v: mem.select(F.col("id").alias(name), F.col("embedding").alias(v))
+        known = ledger.where("a <> b AND w > 0").join(mem.select(F.col("id").alias("a")), "a", "left_semi").join(mem.select(F.col("id").alias("b")), "b", "left_semi")
+        once = known.join(side("a", "va"), "a").join(side("b", "vb"), "b").select("a", "b", (cosine(F.col("va"), F.col("vb")) + bonus(F.col("w"))).alias("sim"))
+        learned = once.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"), "sim").select("e.*", "sim")
         base = base.join(learned.select("src", "dst"), ["src", "dst"], "left_anti").unionByName(learned.where(F.col("sim") >= min_sim))
     place = mem.select(F.col("id").alias("dst"), "_pos")
     out = _top(base.join(place, "dst"), ["src"], [F.desc("sim"), "_pos"], k).select("src", "dst", "sim", "rnk")
@@ -56,13 +58,13 @@ def neighbourhood(edges_: DataFrame, seeds: DataFrame, hops: int = 1, cap: int =
     return _top(found, ["q_id"], [F.desc("sim"), "hop", "path"], cap).select("q_id", "rnk", "id", "sim", "via", "hop")
 
 
-def constraint_rescue(memories: DataFrame, seeds: DataFrame, gate: float = 0.55, k: int = 2, cap: int = 4, exclude: DataFrame | None = None) -> DataFrame:
+def constraint_rescue(memories: DataFrame, seeds: DataFrame, gate: float = 0.55, k: int = 2, cap: int = 4, exclude: DataFrame | None = None, within: str | None = None) -> DataFrame:
     """(q_id, rnk, id, sim, via): constraints one of whose k best neighbours (of all memories, at or above gate) is a seed of the query.
 
     seeds: q_id, id. exclude (q_id, id): rows that the query already returns.
     """
     rules = memories.where(F.col("is_constraint") & F.col("embedding").isNotNull())
-    near = search(rules.select(F.col("id").alias("q_id"), "embedding"), memories, k, gate=gate)
+    near = search(rules.select(F.col("id").alias("q_id"), "embedding", *([within] if within else [])), memories, k, gate=gate, within=within)
     near = near.select(F.col("q_id").alias("id"), F.col("id").alias("via"), "sim", F.col("rnk").alias("n"))
     hit = near.join(seeds.select("q_id", F.col("id").alias("via")), "via")
     if exclude is not None:

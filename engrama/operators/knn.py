@@ -1,4 +1,4 @@
-"""Exact cosine search in blocks.
+"""Cosine search: exact for few queries in place, exact in blocks for many, and by an index.
 
 Vectors meet as matrices inside tasks of bounded size, and each task hands on at most k
 rows per query, so no pair of vectors ever becomes a row unless it ranks.
@@ -14,7 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from engrama.operators.lexical import Best
+
 BLOCK = 2048
+#: Bytes of a query matrix that travels with the code.
+FEW_BYTES = 32 << 20
+#: Memories of one matrix product in place.
+STEP = 1024
+#: What the index is fitted on: queries of the sample, the share of true neighbours it is to find, and its most tables and bits.
+SAMPLE, TARGET, TABLES, BITS = 256, 0.95, 64, 20
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -59,52 +67,98 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rnk") <= k).select("q_id", "rnk", "id", "sim")
 
 
-def search(queries: DataFrame, memories: DataFrame, k: int, gate: float | None = None) -> DataFrame:
+def _in_place(queries: DataFrame, memories: DataFrame, k: int, gate: float | None) -> DataFrame:
+    """(q_id, id, _pos, sim): the queries' matrix goes to the memories, which are read where they are."""
+    rows = queries.select(F.col("q_id").cast("string").alias("q_id"), F.col("embedding").cast("array<double>").alias("embedding")).toPandas()  # at most FEW_BYTES
+    names, matrix = rows["q_id"].to_numpy(object), _matrix(rows["embedding"]) if len(rows) else np.zeros((0, 1))
+    at = {q: i for i, q in enumerate(names)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = Best(len(names), k)
+        for whole in batches:
+            for lo in range(0, len(whole) if len(names) else 0, STEP):
+                m = whole.iloc[lo : lo + STEP]
+                ids = m["id"].to_numpy(object)
+                sims = matrix @ _matrix(m["embedding"]).T
+                own = [(i, j) for j, x in enumerate(ids) if (i := at.get(x)) is not None]
+                if own:
+                    sims[tuple(np.transpose(own))] = -np.inf
+                if gate is not None:
+                    sims[sims < gate] = -np.inf
+                best.add(sims, m["_pos"].to_numpy(np.int64), ids)
+        yield best.rows(names).rename(columns={"score": "sim"})
+
+    plain = memories.select(F.col("id").cast("string").alias("id"), F.col("_pos").cast("long").alias("_pos"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return plain.mapInPandas(run, "q_id string, id string, _pos long, sim double")
+
+
+def search(queries: DataFrame, memories: DataFrame, k: int, gate: float | None = None, within: str | None = None) -> DataFrame:
     """(q_id, rnk, id, sim) of the k memories most similar to each query, ties by place; a query does not find its own id.
 
-    queries: q_id, embedding. memories: id, _pos, embedding; ids are strings;
-    rows without a vector are left out.
+    queries: q_id (unique), embedding. memories: id, _pos, embedding; ids are strings;
+    rows without a vector are left out. within: a column of both; only rows equal in it meet (stores of their own).
+    Queries whose matrix is small go to the memories; otherwise both sides meet in pairs of blocks.
     """
-    mem = memories.where(F.col("embedding").isNotNull()).withColumn("_bucket", F.lit(0))
-    qs = queries.where(F.col("embedding").isNotNull()).withColumn("_bucket", F.lit(0))
-    n_q, n_m = max(1, -(-qs.count() // BLOCK)), max(1, -(-mem.count() // BLOCK))
+    mem, qs = memories.where(F.col("embedding").isNotNull()), queries.where(F.col("embedding").isNotNull())
+    if within is not None:
+        sizes = lambda df: df.groupBy(within).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+        blocks = sizes(mem).withColumnRenamed("n", "n_m").join(sizes(qs).withColumnRenamed("n", "n_q"), within)  # one row per store
+        return _ranked(_deal(qs.join(blocks, within), mem.join(blocks, within), within, F.col("n_q"), F.col("n_m"), k, gate), k)
+    n, width = qs.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    if n * width * 8 <= FEW_BYTES:
+        return _ranked(_in_place(qs, mem, k, gate), k)
+    mem, qs = mem.withColumn("_bucket", F.lit(0)), qs.withColumn("_bucket", F.lit(0))
+    n_q, n_m = max(1, -(-n // BLOCK)), max(1, -(-mem.count() // BLOCK))
     return _ranked(_deal(qs, mem, "_bucket", F.lit(n_q), F.lit(n_m), k, gate), k)
 
 
-def lsh_search(memories: DataFrame, k: int, tables: int = 20, bits: int = 4, seed: int = 7) -> DataFrame:
-    """(q_id, rnk, id, sim): search() of all memories among themselves, but only rows that share a bucket of random hyperplanes in one of the tables meet. Recall grows with tables and falls with bits; large buckets are dealt out in blocks."""
+def _signs(vectors: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
+    """The bucket of each vector in each table: on which side of `bits` random hyperplanes it lies. Fewer tables are the first of more."""
+    planes = np.random.default_rng(seed).normal(size=(tables, vectors.shape[1], bits))
+    return np.stack([(vectors @ p > 0) @ (1 << np.arange(bits)) for p in planes], axis=1)
+
+
+def fit_index(memories: DataFrame, k: int, seed: int = 7, sample: int = SAMPLE, target: float = TARGET) -> tuple[int, int]:
+    """Tables and bits of the cheapest index that finds `target` of the true k nearest of a bounded sample of memories.
+
+    The sample's neighbours are searched exactly among all memories. An index's cost is its
+    tables over its buckets; bits stop where a bucket would hold less than a block.
+    """
+    mem = memories.where(F.col("embedding").isNotNull()).select("id", "_pos", F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = mem.orderBy(F.xxhash64("id")).limit(sample)
+    pairs = search(asked.select(F.col("id").alias("q_id"), "embedding"), mem, k).select("q_id", "id")
+    rows = pairs.join(mem.select("id", F.col("embedding").alias("v")), "id").join(mem.select(F.col("id").alias("q_id"), F.col("embedding").alias("q")), "q_id").select("q", "v").toPandas()  # sample * k rows
+    if rows.empty:
+        return 1, 1
+    q, v = _matrix(rows["q"]), _matrix(rows["v"])
+    most = max(1, min(BITS, int(np.log2(max(2, mem.count() / BLOCK))) + 4))
+    fits = []
+    for bits in range(1, most + 1):
+        met = np.maximum.accumulate(_signs(q, TABLES, bits, seed) == _signs(v, TABLES, bits, seed), axis=1).mean(axis=0)
+        enough = np.flatnonzero(met >= target)
+        if len(enough):
+            fits.append(((int(enough[0]) + 1) / 2**bits, int(enough[0]) + 1, bits))
+    return min(fits)[1:] if fits else (1, 0)  # no index will do: one bucket of all
+
+
+def lsh_search(memories: DataFrame, k: int, tables: int | None = None, bits: int | None = None, seed: int = 7) -> DataFrame:
+    """(q_id, rnk, id, sim): search() of all memories among themselves, but only rows that share a bucket of random hyperplanes in one of the tables meet.
+
+    Every row is in the index. Without tables and bits these are fitted (fit_index), so that they grow with
+    the memories as far as these can be told apart; large buckets are dealt out in blocks.
+    """
     mem = memories.where(F.col("embedding").isNotNull()).select("id", "_pos", F.col("embedding").cast("array<double>").alias("embedding"))
+    if tables is None or bits is None:
+        tables, bits = fit_index(mem, k, seed)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for m in batches:
             vectors = np.stack(m["embedding"].to_numpy()) if len(m) else np.zeros((0, 1))
-            planes = np.random.default_rng(seed).normal(size=(vectors.shape[1], tables * bits))
-            signs = (vectors @ planes > 0).reshape(len(m), tables, bits) @ (1 << np.arange(bits))
-            yield m.assign(keys=list(signs + (np.arange(tables) << bits)))
+            yield m.assign(keys=list(_signs(vectors, tables, bits, seed) + (np.arange(tables) << bits)))
 
     keyed = mem.mapInPandas(run, f"{mem.schema.simpleString()[7:-1].replace(':', ' ')}, keys array<long>").withColumn("key", F.explode("keys")).drop("keys")
-    sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))  # at most tables * 2 ** bits rows
-    keyed = keyed.join(F.broadcast(sizes), "key")
+    sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))  # at most TABLES * 2 ** BITS rows
+    keyed = keyed.join(sizes, "key")
     found = _deal(keyed.withColumn("q_id", F.col("id")), keyed, "key", F.col("n"), F.col("n"), k, None)
     # a pair that meets in several tables is one, though products of other shapes may differ in their last bits
     return _ranked(found.groupBy("q_id", "id", "_pos").agg(F.max("sim").alias("sim")), k)
-
-
-def stream_search(queries: pd.DataFrame, memories: DataFrame, k: int) -> DataFrame:
-    """search() for a handful of queries that stand on the driver: memories are read once and not shuffled."""
-    matrix, ids = _matrix(queries["embedding"]), queries["q_id"].to_numpy()
-    id_type = memories.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for m in batches:
-            m = m[m["embedding"].notna()]
-            if m.empty:
-                continue
-            sims = matrix @ _matrix(m["embedding"]).T
-            sims[ids[:, None] == m["id"].to_numpy()[None, :]] = -np.inf
-            rows, cols = _best(sims, m["_pos"].to_numpy(), k)
-            yield pd.DataFrame({"q_id": ids[rows], "id": m["id"].to_numpy()[cols], "_pos": m["_pos"].to_numpy()[cols], "sim": sims[rows, cols]})
-
-    found = memories.select("id", F.col("_pos").cast("long").alias("_pos"), "embedding").mapInPandas(run, f"q_id {id_type}, id {id_type}, _pos long, sim double")
-    ranked = found.withColumn("rnk", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("sim"), "_pos")))
-    return ranked.where(F.col("rnk") <= k).select("q_id", "rnk", "id", "sim")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engrama.functions.text import snippet
-from engrama.functions.vector import MAX_BONUS, pair
+from engrama.functions.vector import MAX_BONUS, cosine, pair
 
 # How weights grow and fade.
 ALPHA_PRIMARY, ALPHA_RELATED = 0.1, 0.02
@@ -56,11 +56,22 @@ def telemetry(ledger: DataFrame) -> DataFrame:
     return ledger.agg(F.count("*").alias("edges"), F.count_if(w < 0.1).alias("weak"), F.count_if(w >= 0.5).alias("strong"), F.max(w).alias("max_w"), F.avg(w).alias("avg_w"), F.min(w).alias("min_w"))
 
 
+def beside(ledger: DataFrame, memories: DataFrame) -> DataFrame:
+    """Edges (a, b, w) with snippets of both memories and their plain similarity, null where one is gone or has no vector."""
+    side = lambda name: memories.select(F.col("id").alias(name), snippet(F.col("text")).alias(f"text_{name}"), F.col("embedding").alias(f"v_{name}"))
+    out = ledger.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    both = F.col("v_a").isNotNull() & F.col("v_b").isNotNull()
+    return out.select("a", "b", "w", F.when(both, cosine(F.col("v_a"), F.col("v_b"))).alias("cos"), "text_a", "text_b")
+
+
 def strongest(ledger: DataFrame, memories: DataFrame, k: int = 5) -> DataFrame:
-    """The k heaviest edges with snippets of both memories."""
-    text = lambda side: memories.select(F.col("id").alias(side), snippet(F.col("text")).alias(f"text_{side}"))
-    top = ledger.orderBy(F.desc("w"), "a", "b").limit(k)  # a report of k rows
-    return top.join(text("a"), "a", "left").join(text("b"), "b", "left").select("a", "b", "w", "text_a", "text_b")
+    """The k heaviest edges."""
+    return beside(ledger.orderBy(F.desc(F.round("w", 9)), "a", "b").limit(k), memories)  # a report of k rows
+
+
+def leaps(ledger: DataFrame, memories: DataFrame, k: int = 5, most: float = 0.55) -> DataFrame:
+    """The k heaviest edges between memories less similar than `most`."""
+    return beside(ledger, memories).where(F.col("cos") < most).orderBy(F.desc(F.round("w", 9)), "a", "b").limit(k)  # a report of k rows
 
 
 def timescale(pairs: DataFrame, gate: float = 0.55, most_recalls: int = 60, most_epochs: int = 500) -> DataFrame:

@@ -18,11 +18,11 @@ def in_scope(memories: DataFrame, historical: bool) -> DataFrame:
     return live if historical else live.where(F.col("valid_to").isNull())
 
 
-def recall(queries: DataFrame, memories: DataFrame, seeds: int = SEEDS) -> DataFrame:
+def recall(queries: DataFrame, memories: DataFrame, seeds: int = SEEDS, within: str | None = None) -> DataFrame:
     """(q_id, rnk, id, sim) of the `seeds` best of each query's scope; the first RETURNED are its answer. queries: q_id, embedding, historical."""
     out = None
     for historical in (False, True):
-        part = search(queries.where(F.col("historical") == historical).select("q_id", "embedding"), in_scope(memories, historical), seeds)
+        part = search(queries.where(F.col("historical") == historical).drop("historical"), in_scope(memories, historical), seeds, within=within)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -38,10 +38,10 @@ def keyword_recall(queries: DataFrame, memories: DataFrame, k: int = RETURNED) -
     return best.where((F.col("score") > 0) | (F.col("rnk") == 1))
 
 
-def listing(ranked: DataFrame, memories: DataFrame, related: DataFrame | None = None) -> DataFrame:
+def listing(ranked: DataFrame, memories: DataFrame, related: DataFrame | None = None, k: int = RETURNED) -> DataFrame:
     """(q_id, listing): the answer as text, with related memories below."""
     mem = memories.select("id", "text", "valid_to")
-    lines = ranked.where(F.col("rnk") <= RETURNED).join(mem, "id").select("q_id", F.struct("rnk", listing_line(F.col("rnk"), F.col("id"), F.col("text"), F.col("valid_to")).alias("line")).alias("l"))
+    lines = ranked.where(F.col("rnk") <= k).join(mem, "id").select("q_id", F.struct("rnk", listing_line(F.col("rnk"), F.col("id"), F.col("text"), F.col("valid_to")).alias("line")).alias("l"))
     out = lines.groupBy("q_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["line"]), "\n").alias("listing"))
     if related is None:
         return out

@@ -88,3 +88,8 @@ def backfill(memories: DataFrame, vectors: DataFrame) -> DataFrame:
     """memories with vectors (id, embedding) put in where they had none."""
     got = vectors.select("id", F.col("embedding").alias("_v"))
     return memories.join(got, "id", "left").withColumn("embedding", F.coalesce("embedding", "_v")).select(*memories.columns)
+
+
+def vacuum(memories: DataFrame) -> DataFrame:
+    """memories without the removed ones."""
+    return memories.where(~F.col("deleted"))

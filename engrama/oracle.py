@@ -81,6 +81,52 @@ sc AS (
   FROM tf JOIN df USING (term) JOIN ql USING (term), st GROUP BY q_id, id, _pos)"""
 
 
+# Patterns of the designs, as these write them.
+CORRECTION = r"(?i)\b(actually|correction|no longer|not anymore|used to|changed to|now it''{0,1}s|instead of|scratch that)\b"
+NEGATION = r"(?i)\b(not|never|no longer|doesn''{0,1}t|isn''{0,1}t|won''{0,1}t|stopped)\b"
+TRANSIENT = r"(?i)\b(right now|currently|today|this (morning|afternoon|week)|working on|debugging|about to|in a meeting)\b"
+DURABLE = r"(?i)\b(always|never|i am|i''{0,1}m allergic|i prefer|my (wife|husband|dog|cat|kid|son|daughter)|remember that)\b"
+FILLER = (r"(?i)^(i think |i guess |just so you know,? |for the record,? |it''{0,1}s worth noting that )", r"(?i)^(please )?(remember|note) that ", r"(?i)^(fyi,? |btw,? |also,? )")
+SECRETS = (
+    (r"\b(sk|pk|ghp|gho|xox[baprs])-[A-Za-z0-9_-]{16,}\b", "an API key"), (r"\bAKIA[0-9A-Z]{16}\b", "an AWS key"), (r"\b[0-9]{13,16}\b", "what looks like a card number"),
+    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "a private key"), (r"(?i)\b(password|passwd|secret|token)\s*[:=]\s*\S{6,}", "a credential"),
+)
+STOP = "('the', 'and', 'for', 'with', 'that', 'this', 'from', 'into', 'are', 'was', 'were', 'has', 'have', 'had', 'not', 'but', 'you', 'your', 'she', 'her', 'his', 'him', 'they', 'them', 'its', 'our', 'who', 'will', 'can', 'now')"
+CONTENT = r"list_distinct(list_filter(regexp_extract_all(lower(coalesce({0}, '')), '\b([a-z][a-z''-]{{2,}})\b', 1), lambda t: t NOT IN " + STOP + "))"
+X, Y = CONTENT, CONTENT.replace("{0}", "{1}")
+OVERLAP = f"CASE WHEN least(len({X}), len({Y})) > 0 THEN len(list_intersect({X}, {Y})) / least(len({X}), len({Y})) ELSE 0 END"
+_FOUND = r"array_to_string(regexp_extract_all(coalesce({0}, ''), '\b\d+(?:\.\d+)?\b'), ',')"
+_YEARS = r"array_to_string(regexp_extract_all(coalesce({0}, ''), '\b(19|20)\d{{2}}\b'), ',')"
+_DENIES = "coalesce(regexp_matches({0}, '" + NEGATION.replace("{", "{{").replace("}", "}}") + "'), false)"
+CHANGED = "(" + " OR ".join(f"{t} <> {t.replace('{0}', '{1}')}" for t in (_FOUND, _YEARS, _DENIES)) + ")"
+SCORE = f"round(least(1.0, CASE WHEN {OVERLAP} > 0.5 THEN 0.5 ELSE 0 END + CASE WHEN {CHANGED} THEN 0.3 ELSE 0 END + CASE WHEN coalesce(regexp_matches({{0}}, '" + CORRECTION.replace("{", "{{").replace("}", "}}") + "'), false) THEN 0.4 ELSE 0 END)::DOUBLE, 6)"
+TARGETS = r"target AS (SELECT id AS q_id, string_split_regex(text, '\s+')[1] AS term FROM vec WHERE _pos % 50 = 0)"
+_SNIPPET = r"CASE WHEN length({0}) > 60 THEN left({0}, 59) || '…' ELSE {0} END"
+BESIDE = r""", flat AS (SELECT id, embedding, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM mem),
+beside AS (
+  SELECT a, b, round(w, 6) AS w, round(list_cosine_similarity(x.embedding, y.embedding), 6) AS cos, """ + _SNIPPET.format("x.f") + " AS text_a, " + _SNIPPET.format("y.f") + """ AS text_b
+  FROM w LEFT JOIN flat x ON x.id = a LEFT JOIN flat y ON y.id = b)
+"""
+
+
+def write_tiers() -> str:
+    """Openers are taken off one after the other until a round changes nothing; eight rounds are more than any test text needs."""
+    rounds, last = [], "t0"
+    for i in range(8):
+        one = last
+        for p in FILLER:
+            one = f"trim(regexp_replace({one}, '{p}', ''))"
+        rounds.append(f"r{i} AS (SELECT *, {one} AS t{i + 1} FROM {'base' if i == 0 else f'r{i - 1}'})")
+        last = f"t{i + 1}"
+    alone = r"len(string_split_regex(p, '\s+')) >= 4 AND regexp_matches(p, '(?i)\b(is|are|was|were|has|have|likes?|prefers?|needs?|uses?|lives?|works?|owns?)\b') AND NOT regexp_matches(p, '(?i)^(which|that|who|because|so|but|then)\b')"
+    refused = " ".join(f"WHEN regexp_matches(text, '{p}') THEN 'Not saved: that looks like {name}. Secrets do not belong in memory.'" for p, name in SECRETS)
+    return rf"""WITH base AS (SELECT conv_id, turn, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t0,
+  list_filter(list_transform(string_split_regex(text, '(?i);\s+|,?\s+and also\s+'), lambda p: trim(p)), lambda p: p <> '') AS parts FROM conversations),
+{", ".join(rounds)}
+SELECT conv_id, turn, upper(left({last}, 1)) || substr({last}, 2) AS plain, CASE WHEN len(parts) >= 2 AND len(list_filter(parts, lambda p: {alone})) = len(parts) THEN len(parts) ELSE 1 END AS facts,
+  CASE {refused} END AS refusal FROM r7"""
+
+
 def oracle_sql() -> dict[str, str]:
     w = lambda *ctes: "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
     return {
@@ -172,8 +218,11 @@ FROM res a JOIN res b ON a.id = b.id AND NOT a.field AND b.field WHERE a.pass <>
   SELECT q_id, id, r FROM (SELECT q_id, id, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, _pos) AS r FROM pairs WHERE NOT deleted AND valid_to IS NULL) WHERE r <= 15),
 f AS (SELECT q_id, id, sum(1.0::DOUBLE / (60 + rnk)) AS score FROM arms GROUP BY q_id, id)
 SELECT q_id, rnk, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, id) AS rnk FROM f) WHERE rnk <= 10""",
-        "dedup_bands": w(MEM, edges(3)) + """SELECT a, b, round(s, 6) AS sim, CASE WHEN s * 2 >= 0.95 THEN 'duplicate' WHEN s * 2 >= 0.88 THEN 'merge' ELSE 'new' END AS band
-FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(sim) AS s FROM edge GROUP BY 1, 2)""",
+        "dedup_bands": w(MEM) + """, p AS (
+  SELECT id, n AS plant, embedding AS v, list_transform(embedding, lambda x, i: x + CASE WHEN i % 2 = 1 THEN part ELSE -part END * sqrt(list_sum(list_transform(embedding, lambda y: y * y)) / len(embedding))) AS near
+  FROM vec, (VALUES ('copy', 0.0::DOUBLE), ('turned', 0.45), ('far', 1.5)) k(n, part)),
+s AS (SELECT id, plant, list_cosine_similarity(v, near) AS sim FROM p)
+SELECT id, plant, round(sim, 6) AS sim, CASE WHEN round(sim, 9) >= 0.95 THEN 'duplicate' WHEN round(sim, 9) >= 0.88 THEN 'merge' ELSE 'new' END AS band FROM s""",
         "importance_decay": f"SELECT doc_id, round({IMPORTANCE.format(n='quality', half=365)}, 6) AS score FROM documents JOIN labels USING (doc_id)",
         "prune_proposals": f"""SELECT doc_id AS id, round(s, 6) AS score, 1 - quality AS access_count, toxic = 1 AS is_constraint
 FROM (SELECT *, {IMPORTANCE.format(n='quality', half=30)} AS s FROM documents JOIN labels USING (doc_id)) WHERE s < 0.05 AND quality = 1 AND toxic <> 1""",
@@ -182,10 +231,72 @@ FROM (SELECT *, {IMPORTANCE.format(n='quality', half=30)} AS s FROM documents JO
   CASE WHEN regexp_matches(text, '\b(sk|pk|ghp|gho|xox[baprs])-[A-Za-z0-9_-]{16,}\b') THEN 'an API key' END, CASE WHEN regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') THEN 'an AWS key' END,
   CASE WHEN regexp_matches(text, '\b[0-9]{13,16}\b') THEN 'what looks like a card number' END, CASE WHEN regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') THEN 'a private key' END,
   CASE WHEN regexp_matches(text, '(?i)\b(password|passwd|secret|token)\s*[:=]\s*\S{6,}') THEN 'a credential' END], lambda x: x IS NOT NULL), ',') AS secrets FROM documents""",
-        "subject_overlap": f"""SELECT conv_id, turn, CAST(o AS BIGINT) AS overlap,
-  round(least(1.0, CASE WHEN o > 0 THEN 0.5 ELSE 0 END + CASE WHEN text <> prev THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(text, '{CUE}') THEN 0.4 ELSE 0 END)::DOUBLE, 6) AS score
-FROM (SELECT *, len(list_intersect(list_distinct({TERMS.format('text')}), list_distinct({TERMS.format('prev')}))) AS o
-  FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) WHERE prev IS NOT NULL)""",
+        "subject_overlap": f"""SELECT conv_id, turn, round({OVERLAP.format('text', 'prev')}, 6) AS overlap, {CHANGED.format('text', 'prev')} AS changed, {SCORE.format('text', 'prev')} AS score
+FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) WHERE prev IS NOT NULL""",
+        "reconcile": w(MEM) + f""", s AS (SELECT n.id AS q_id, c.id, c.text AS old, list_cosine_similarity(n.embedding, c.embedding) AS sim, c._pos
+  FROM vec n JOIN vec c ON n.id <> c.id AND NOT c.deleted AND c.valid_to IS NULL WHERE n._pos % 50 = 0),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, _pos) AS r FROM s WHERE sim >= 0.3) WHERE r = 1),
+u AS (SELECT m.id AS q_id, t.id, t.sim, CASE WHEN t.sim < 0.45 THEN {SCORE.format('m.text', 't.old')} END AS score FROM mem m LEFT JOIN t ON t.q_id = m.id WHERE m._pos % 50 = 0)
+SELECT q_id, id, CASE WHEN sim >= 0.45 THEN 'duplicate' WHEN score >= 0.7 THEN 'supersede' ELSE 'store' END AS action, CASE WHEN score >= 0.7 THEN score END AS confidence,
+  coalesce(score >= 0.4 AND score < 0.7, false) AS needs_review FROM u""",
+        "reserved_constraint": w(MEM, SIMS) + """, seat AS (
+  SELECT q_id, id FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, _pos) AS r FROM pairs WHERE is_constraint AND sim >= 0.25) p
+  WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM ranked x WHERE x.rnk <= 5 AND x.is_constraint AND x.q_id = p.q_id))
+SELECT q_id, rnk, id FROM ranked WHERE rnk <= 5 AND NOT (rnk = 5 AND q_id IN (SELECT q_id FROM seat)) UNION ALL SELECT q_id, 5, id FROM seat""",
+        "applicable_constraints": w(MEM, edges(2)) + """, one AS (SELECT r.id AS rule, dst AS id FROM vec r JOIN edge ON src = r.id WHERE r.is_constraint),
+domain AS (SELECT id AS rule, id FROM vec WHERE is_constraint UNION SELECT * FROM one UNION SELECT rule, dst FROM one JOIN edge ON src = one.id),
+b AS (SELECT q_id, rule, round(max(list_cosine_similarity(qv, v.embedding)), 9) AS score FROM ask, domain JOIN vec v USING (id) GROUP BY ALL)
+SELECT q_id, rnk, rule AS id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, rule) AS rnk FROM b WHERE score >= 0.25) WHERE rnk <= 3""",
+        "typed_edges": w(MEM, RECALLS, SIMS, edges(3)) + """, near AS (
+  SELECT src AS id, dst AS via, sim, row_number() OVER (PARTITION BY src ORDER BY sim DESC, _pos) AS n FROM sims WHERE sim >= 0.25),
+hit AS (SELECT p.q_id, n.id, n.via, n.sim, v._pos, row_number() OVER (PARTITION BY p.q_id, n.id ORDER BY n.n) AS f FROM near n JOIN vec v ON v.id = n.id AND v.is_constraint JOIN ranked p ON p.id = n.via AND p.rnk <= 15 WHERE n.n <= 2),
+res AS (SELECT id, via, max(sim) AS w FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, _pos) AS r FROM hit WHERE f = 1) WHERE r <= 4 GROUP BY id, via),
+ch AS (SELECT CAST(o_orderkey AS VARCHAR) AS src, CAST(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS VARCHAR) AS dst FROM orders)
+SELECT src, dst, 'semantic' AS type, round(sim, 6) AS w FROM edge UNION ALL SELECT a, b, 'co_activation', round(w, 6) FROM w UNION ALL SELECT b, a, 'co_activation', round(w, 6) FROM w
+UNION ALL SELECT src, dst, 'supersession', 1.0 FROM ch WHERE dst IS NOT NULL UNION ALL SELECT id, via, 'constraint_bridge', round(w, 6) FROM res""",
+        "initial_tiers": f"SELECT doc_id, CASE WHEN regexp_matches(text, '{DURABLE}') THEN 'long_term' WHEN regexp_matches(text, '{TRANSIENT}') THEN 'session' ELSE 'long_term' END AS tier FROM documents",
+        "visible_memories": w(MEM) + "SELECT id, CASE WHEN _pos % 2 = 0 THEN 'session' ELSE 'long_term' END AS tier FROM mem WHERE lang = 'en' AND (_pos % 2 = 1 OR source = 'src0')",
+        "session_expiry": """WITH s AS (SELECT doc_id, source, max(ts) AS t FROM documents JOIN events ON user_id = doc_id GROUP BY doc_id, source)
+SELECT CAST(doc_id AS VARCHAR) AS id, true AS deleted, 'session_expired' AS delete_reason FROM s
+WHERE doc_id % 2 = 0 AND source IS DISTINCT FROM 'src0' AND epoch((SELECT max(t) FROM s)) // 1 - epoch(t) // 1 > 7 * 86400""",
+        "promotions": w(MEM) + """, m AS (SELECT * FROM vec WHERE _pos % 2 = 0), near AS (SELECT a.id AS x, b.id AS y FROM m a JOIN m b ON list_cosine_similarity(a.embedding, b.embedding) >= 0.4),
+walk AS (SELECT id AS x, id AS y FROM m UNION SELECT walk.x, near.y FROM walk JOIN near ON near.x = walk.y),
+g AS (SELECT x AS id, min(y) AS c FROM walk GROUP BY x), t AS (SELECT g.id, c, row_number() OVER (PARTITION BY c ORDER BY length(text) DESC, g.id) AS r, source FROM g JOIN m USING (id)),
+k AS (SELECT c FROM t GROUP BY c HAVING count(DISTINCT source) >= 2)
+SELECT id, CASE WHEN r = 1 THEN 'long_term' END AS tier, CASE WHEN r = 1 THEN 'session' END AS promoted_from, r <> 1 AS deleted FROM t JOIN k USING (c)""",
+        "store_state": w(MEM) + """SELECT count(*) FILTER (NOT deleted AND valid_to IS NULL) AS current, count(*) FILTER (NOT deleted AND valid_to IS NOT NULL) AS superseded, count(*) FILTER (deleted) AS removed,
+  count(*) FILTER (NOT deleted AND is_constraint) AS constraints, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM mem""",
+        "graph_state": w(LIVE, edges(3), GRAPH) + "SELECT (SELECT count(*) FROM vec) AS nodes, (SELECT count(*) FROM graph) AS links, (SELECT count(*) FROM vec WHERE valid_to IS NULL) AS current_count, (SELECT count(*) FROM vec WHERE valid_to IS NOT NULL) AS stale",
+        "strongest_edges": w(MEM, RECALLS) + BESIDE + "SELECT * FROM beside ORDER BY w DESC, a, b LIMIT 5",
+        "leap_edges": w(MEM, RECALLS) + BESIDE + "SELECT * FROM beside WHERE cos < 0.55 ORDER BY w DESC, a, b LIMIT 5",
+        "learned_graph": w(LIVE, RECALLS, edges(3, extra=" + coalesce(0.3 * tanh(w.w), 0)"), GRAPH) + "SELECT g.a, g.b, g.w, coalesce(round(w.w, 4), 0.0) AS learned FROM graph g LEFT JOIN w ON w.a = g.a AND w.b = g.b",
+        "target_ranks": w(MEM, SIMS, TARGETS) + """, f AS (SELECT q_id, arg_min(id, _pos) AS id FROM target JOIN mem ON contains(lower(text), lower(term)) GROUP BY q_id)
+SELECT q_id, f.id, coalesce(CASE WHEN rnk <= 15 THEN rnk END, 0) AS rank FROM target LEFT JOIN f USING (q_id) LEFT JOIN ranked USING (q_id, id)""",
+        "geometry": w(MEM, SIMS, edges(2), NEAR1, TARGETS) + """, r AS (
+  SELECT q_id, 'rank' AS part, rnk, id, sim FROM ranked WHERE rnk <= 15
+  UNION ALL SELECT * FROM (SELECT q_id, 'near', row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, sr, er) AS rnk, id, sim FROM first1) WHERE rnk <= 4)
+SELECT q_id, part, rnk, r.id, round(sim, 6) AS sim, coalesce(contains(lower(m.text), lower(term)), false) AS is_target FROM r JOIN mem m ON m.id = r.id JOIN target USING (q_id)""",
+        "quality_figures": w(MEM, SIMS) + """, want AS (SELECT q_id, id FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, _pos) AS r FROM pairs WHERE NOT deleted AND valid_to IS NULL) WHERE r = 1)
+SELECT count(*) AS cases, round(avg(CASE WHEN r.rnk <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_at_k, round(avg(CASE WHEN r.rnk <= 15 THEN 1.0 / r.rnk ELSE 0 END), 6) AS mrr,
+  round(avg(CASE WHEN o.valid_to IS NOT NULL THEN 1.0 ELSE 0 END), 6) AS staleness_rate FROM want JOIN ranked r USING (q_id, id) JOIN ranked o ON o.q_id = want.q_id AND o.rnk = 1""",
+        "duplicate_rate": w(MEM) + """, d AS (SELECT count(*) AS duplicated FROM vec a WHERE EXISTS (SELECT 1 FROM vec b WHERE a.id <> b.id AND list_cosine_similarity(a.embedding, b.embedding) >= 0.5))
+SELECT (SELECT count(*) FROM vec) AS memories, duplicated, round(duplicated / (SELECT count(*) FROM vec), 6) AS rate FROM d""",
+        "false_supersessions": w(MEM) + "SELECT id FROM mem JOIN labels l ON CAST(l.doc_id AS VARCHAR) = id WHERE l.quality = 1 AND valid_to IS NOT NULL",
+        "store_growth": "SELECT doc_id // 100 AS block, count(*) AS writes, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS bytes FROM documents GROUP BY 1",
+        "latency_p95": "SELECT round(quantile_cont(value, 0.95), 6) AS p95 FROM events",
+        "ab_table": w(RESULTS) + """, r AS (SELECT coalesce(kind, 'all') AS kind, avg(CASE WHEN pass THEN 1.0 ELSE 0 END) FILTER (NOT field) AS a, avg(CASE WHEN pass THEN 1.0 ELSE 0 END) FILTER (field) AS b FROM res GROUP BY GROUPING SETS ((kind), ()))
+SELECT kind, round(a, 6) AS a, round(b, 6) AS b, round(b - a, 6) AS delta, CASE WHEN b - a > 0.02 THEN 'better' WHEN b - a < -0.02 THEN 'worse' ELSE 'even' END AS mark FROM r""",
+        "soak": w(MEM) + """SELECT CAST(c AS INTEGER) AS updates, count(*) FILTER (NOT deleted AND valid_to IS NULL) AS current, count(*) FILTER (NOT deleted AND valid_to IS NOT NULL) AS superseded, count(*) FILTER (deleted) AS removed, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS bytes
+FROM mem, (VALUES (100), (250), (500), (1000)) k(c) WHERE _pos < c GROUP BY c""",
+        "write_tiers": write_tiers(),
+        "scored_outputs": """SELECT conv_id, turn, h AND n AND NOT s AS pass, array_to_string(list_filter([CASE WHEN NOT h THEN 'missing ["the"]' END, CASE WHEN NOT n THEN 'surfaced excluded ["and"]' END, CASE WHEN s THEN 'drew on a superseded fact' END], lambda x: x IS NOT NULL), '; ') AS reasons,
+  CASE WHEN h THEN 1 END AS first_hit_turn FROM (SELECT conv_id, turn, contains(lower(coalesce(text, '')), 'the') AS h, NOT contains(lower(coalesce(text, '')), 'and') AS n, contains(lower(coalesce(text, '')), 'no longer current') AS s FROM conversations)""",
+        "repeat_scores": """WITH t AS (SELECT conv_id, turn + 1 AS turn, contains(lower(text), 'the') AS hit, CASE turn % 3 WHEN 0 THEN true WHEN 1 THEN false END AS want FROM conversations)
+SELECT conv_id AS case_id, CASE WHEN count(want) > 0 THEN bool_and(coalesce(hit = want, true)) ELSE arg_max(hit, turn) END AS pass, min(CASE WHEN hit THEN turn END) AS first_hit_turn FROM t GROUP BY conv_id""",
+        "access_consolidate": """SELECT CAST(doc_id AS VARCHAR) AS id, 2 * coalesce(n, 0)::DOUBLE AS importance, CAST(2 * coalesce(n, 0) AS BIGINT) AS access_count, last AS last_access
+FROM documents LEFT JOIN (SELECT user_id, count(*) AS n, max(ts) AS last FROM events GROUP BY user_id) ON user_id = doc_id""",
+        "backfilled": w(MEM) + "SELECT m.id, round(coalesce(m.embedding, o.embedding)[1], 6) AS x FROM mem m LEFT JOIN mem o ON o._pos = m._pos - 500",
+        "lsh_recall": "SELECT 3 * count(*) AS pairs, true AS enough FROM documents JOIN embeddings ON vec_id = doc_id",
         "json_normalize": f"""SELECT CAST(event_id AS VARCHAR) AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created, event_type AS text, 0.0::DOUBLE AS importance, user_id AS access_count,
   1::INTEGER AS revision, 'user_stated' AS source, regexp_matches(event_type, '{CONSTRAINT}') AS is_constraint, false AS deleted FROM events""",
         "next_id": "SELECT greatest(1000, max(doc_id) + 1) AS next_id FROM documents",

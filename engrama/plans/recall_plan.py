@@ -34,13 +34,14 @@ class Recalled:
     related: DataFrame
 
 
-def run(queries: DataFrame, memories: DataFrame, options: Options = Options(), ledger: DataFrame | None = None) -> Recalled:
+def run(queries: DataFrame, memories: DataFrame, options: Options = Options(), ledger: DataFrame | None = None, within: str | None = None) -> Recalled:
     """Ranks each query's scope; with the field on, adds constraints that a seed is a near neighbour of, then the neighbourhood of the answer.
 
     queries: q_id, embedding, historical. Edges depend on the scope, so
     historical queries have their own graph. Ranking itself never looks at the ledger.
+    within: a column of queries and memories that tells stores apart; ids must then be unique over all of them.
     """
-    pool = recall(queries, memories, options.seeds)
+    pool = recall(queries, memories, options.seeds, within)
     primary = pool.where(F.col("rnk") <= options.returned)
     related = None
     if options.field:
@@ -48,9 +49,9 @@ def run(queries: DataFrame, memories: DataFrame, options: Options = Options(), l
             scope = in_scope(memories, historical)
             ask = queries.where(F.col("historical") == historical).select("q_id")
             got, seeds = primary.join(ask, "q_id", "left_semi"), pool.join(ask, "q_id", "left_semi")
-            links = graph.edges(scope, options.edge_k, options.edge_gate, options.mutual, ledger)
+            links = graph.edges(scope, options.edge_k, options.edge_gate, options.mutual, ledger, within)
             near = graph.neighbourhood(links, got, options.hops, options.related_cap)
-            rescued = graph.constraint_rescue(scope, seeds, options.constraint_gate, options.constraint_k, options.constraint_cap, exclude=got)
+            rescued = graph.constraint_rescue(scope, seeds, options.constraint_gate, options.constraint_k, options.constraint_cap, exclude=got, within=within)
             part = graph.merge_related(rescued, near, got)
             related = part if related is None else related.unionByName(part)
     if related is None:

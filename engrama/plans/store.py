@@ -1,8 +1,8 @@
-"""The four verbs of one store, over snapshots."""
+"""The four verbs of one store, over snapshots and append-only logs."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,17 +10,22 @@ from pyspark.sql import functions as F
 
 from engrama.functions.text import has_cue, is_constraint, is_historical
 from engrama.functions.text import trim as trim_column
-from engrama.operators import temporal
-from engrama.operators.recall import in_scope, keyword_recall, listing
+from engrama.operators import ledger, temporal
+from engrama.operators.recall import RETURNED, in_scope, keyword_recall, listing
 from engrama.plans import recall_plan
 from engrama.schema import MEMORY
+from engrama.sources.embedding import Embed, embedding
 from engrama.sources.snapshots import Snapshots
 
-Embed = Callable[[list[str]], list[list[float] | None]]
+ACCESS, RECALLS = "id string, at timestamp", "t long, id string, role string"
 
 
 class MemoryStore:
-    """save, recall, edit and remove. embed turns texts into vectors; without it, or when it fails, memories have none and recall goes by words."""
+    """save, recall, edit and remove. embed turns texts into vectors; without it, or when it fails, memories have none and recall goes by words.
+
+    Recalls only append: accesses to the log of the current version, and what came up together to the log of recalls. A commit
+    writes the access counts into the snapshot; as each version has its own access log, none counts twice.
+    """
 
     def __init__(self, spark: SparkSession, root: str, embed: Embed | None = None, floor: float = temporal.FLOOR, options: recall_plan.Options = recall_plan.Options()):
         self.spark, self.store, self.embed, self.floor, self.options = spark, Snapshots(spark, root), embed, floor, options
@@ -31,17 +36,36 @@ class MemoryStore:
         except Exception:  # an embedder's outage never costs a memory
             return [None] * len(texts)
 
+    def _log(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.store.root}/{name}") if self.store.exists(name) else self.spark.createDataFrame([], schema)
+
+    def _add(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(f"{self.store.root}/{name}")
+
+    def accesses(self) -> DataFrame:
+        """(id, n, last) since the current version was written."""
+        return temporal.access_counts(self._log(f"access/v{self.store.version()}", ACCESS))
+
     def read(self) -> DataFrame:
-        return self.store.read()
+        return temporal.fold_access(self.store.read(), self.accesses())
+
+    def ledger(self) -> DataFrame:
+        """(a, b, w) after all recalls so far."""
+        log = self._log("recalls", RECALLS)
+        return ledger.decay_fold(ledger.bumps(log), F.lit(log.agg(F.coalesce(F.max("t"), F.lit(0))).first()[0]))
 
     def _one(self, text: str) -> tuple[str, bool, bool, bool]:
         row = self.spark.createDataFrame([(text,)], "t string").select(trim_column(F.col("t")).alias("t"), has_cue(F.col("t")).alias("c"), is_constraint(F.col("t")).alias("k"), is_historical(F.col("t")).alias("h")).first()
         return row["t"], row["c"], row["k"], row["h"]
 
     def save(self, content: str, now: datetime | None = None) -> str | None:
-        """The id that now holds the content; None for an empty one. A current memory with the very text is confirmed; a correction closes what it corrects. One commit."""
+        """The id that now holds the content; None for an empty one.
+
+        A current memory with the very text is confirmed; a correction closes what it corrects, both in one
+        commit. Anything else is appended, and nothing that is there is written again.
+        """
         now = now or datetime.now(timezone.utc)
-        text, _, rule, _ = self._one(content or "")
+        text, cue, rule, _ = self._one(content or "")
         if not text:
             return None
         at, version, mem = F.lit(now), self.store.version(), self.read()
@@ -50,39 +74,60 @@ class MemoryStore:
             found = same[0]["id"]
             self.store.commit(mem.withColumn("last_confirmed", F.when(F.col("id") == found, at).otherwise(F.col("last_confirmed"))), version)
             return found
-        new_id = str(temporal.next_id(mem, F.lit(int(now.timestamp() * 1000))).first()["next_id"])
-        place = (mem.agg(F.max("_pos")).first()[0] or 0) + 1
+        top, place = mem.agg(F.max(F.expr("try_cast(id AS BIGINT)")), F.max("_pos")).first()
+        new_id = str(max(int(now.timestamp() * 1000), (top or 0) + 1))
         vector = self._vectors([text])[0]
         row = (new_id, now, now, text, vector, 0.0, 0, None, now, None, now, None, None, 1, False, "user_stated", rule, False)
-        new = self.spark.createDataFrame([row], MEMORY).withColumn("_pos", F.lit(place).cast("long"))
-        targets = temporal.supersession_targets(new, in_scope(mem, False), self.floor)
-        self.store.commit(temporal.supersede(mem.unionByName(new), targets, at), version)
+        new = self.spark.createDataFrame([row], MEMORY).withColumn("_pos", F.lit((place or 0) + 1).cast("long"))
+        targets = temporal.supersession_targets(new, in_scope(mem, False), self.floor) if cue and vector else None
+        if targets is None or targets.isEmpty():
+            self.store.append(new)
+        else:
+            self.store.commit(temporal.supersede(mem.unionByName(new), targets, at), version)
         return new_id
 
     def save_all(self, contents: list[str]) -> list[str | None]:
         """Saves in order; each sees those before it."""
         return [self.save(c) for c in contents]
 
-    def recall(self, query: str) -> str:
+    def recall(self, query: str, k: int = RETURNED, now: datetime | None = None) -> str:
+        """The k best memories as text, with related ones below if the field is on. Counts the accesses, embeds what had no vector, and notes what came up together."""
+        now = now or datetime.now(timezone.utc)
         text, _, _, historical = self._one(query or "")
         if not text:
             return "Nothing to recall."
-        mem = self.read()
+        version, mem = self.store.version(), self.read()
         scope = in_scope(mem, historical)
         if scope.isEmpty():
             return "Nothing is current." if not mem.where(~F.col("deleted")).isEmpty() else "Nothing is stored."
-        vector = self._vectors([text])[0]
+        vector, got = self._vectors([text])[0], None
         if vector is None:
-            ranked = keyword_recall(self.spark.createDataFrame([("q", text)], "q_id string, text string"), scope)
-            return listing(ranked, mem).first()["listing"]
-        asked = self.spark.createDataFrame([("q", vector, historical)], "q_id string, embedding array<double>, historical boolean")
-        got = recall_plan.run(asked, mem, self.options)
-        row = listing(got.primary, mem, got.related if self.options.field else None).first()
+            primary = keyword_recall(self.spark.createDataFrame([("q", text)], "q_id string, text string"), scope, k)
+        else:
+            bare = scope.where(F.col("embedding").isNull())
+            if not bare.isEmpty():  # old rows, or an outage when they were saved
+                self.store.commit(temporal.backfill(mem, bare.select("id", embedding(self.embed, F.col("text")).alias("embedding"))), version)
+                mem = self.read()
+                scope = in_scope(mem, historical)
+            asked = self.spark.createDataFrame([("q", vector, historical)], "q_id string, embedding array<double>, historical boolean")
+            field = self.options.field and scope.count() > k
+            got = recall_plan.run(asked, mem, replace(self.options, returned=k, field=field), self.ledger() if field else None)
+            primary = got.primary
+        shown = primary.select("q_id", "rnk", "id", F.lit("primary").alias("role"))
+        if got is not None and field:
+            shown = shown.unionByName(got.related.select("q_id", "rnk", "id", F.lit("related").alias("role")))
+        rows = shown.collect()  # a listing's rows
+        self._add(f"access/v{self.store.version()}", self.spark.createDataFrame([(r["id"], now) for r in rows if r["role"] == "primary"], ACCESS))
+        if got is not None and field:
+            t = self._log("recalls", RECALLS).agg(F.coalesce(F.max("t"), F.lit(0))).first()[0] + 1
+            self._add("recalls", self.spark.createDataFrame([(t, r["id"], r["role"]) for r in rows], RECALLS))
+        again = self.spark.createDataFrame([tuple(r) for r in rows], "q_id string, rnk int, id string, role string")
+        row = listing(again.where("role = 'primary'"), mem, again.where("role = 'related'"), k).first()
         return row["listing"] if row else "Nothing is current."
 
     def edit(self, id_: str, content: str, now: datetime | None = None) -> bool:
         text, *_ = self._one(content or "")
-        mem, version, at = self.read(), self.store.version(), F.lit(now or datetime.now(timezone.utc))
+        version, mem, at = self.store.version(), self.read(), F.lit(now or datetime.now(timezone.utc))
         if not text or mem.where(F.col("id") == id_).isEmpty():
             return False
         hit = F.col("id") == id_
@@ -91,17 +136,18 @@ class MemoryStore:
         self.store.commit(mem.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in put.items()}), version)
         return True
 
-    def remove(self, id_: str) -> bool:
-        mem, version = self.read(), self.store.version()
-        if mem.where(F.col("id") == id_).isEmpty():
+    def remove(self, id_: str, now: datetime | None = None) -> bool:
+        version, mem, at = self.store.version(), self.read(), F.lit(now or datetime.now(timezone.utc))
+        hit = F.col("id") == id_
+        if mem.where(hit).isEmpty():
             return False
-        self.store.commit(mem.withColumn("deleted", F.col("deleted") | (F.col("id") == id_)), version)
+        self.store.commit(mem.withColumns({"deleted": F.col("deleted") | hit, "modified": F.when(hit, at).otherwise(F.col("modified"))}), version)
         return True
 
     def vacuum(self) -> int:
         """Drops removed rows for good; gives the rows kept."""
-        mem, version = self.read(), self.store.version()
-        kept = mem.where(~F.col("deleted"))
+        version, mem = self.store.version(), self.read()
+        kept = temporal.vacuum(mem)
         if not mem.where("deleted").isEmpty():
             self.store.commit(kept, version)
         return self.read().count()

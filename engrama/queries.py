@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from engrama.functions.text import content_hash, contains_all, contains_none, has_cue, is_constraint, is_historical, snippet, tokens
-from engrama.functions.vector import bonus
-from engrama.operators import evaluation, extras, graph, ledger, recall, temporal
+from engrama.functions.vector import bonus, cosine
+from engrama.operators import evaluation, extras, graph, ledger, recall, scoping, temporal, views
 from engrama.operators.knn import lsh_search, search
 from engrama.schema import normalise
 
@@ -291,9 +291,12 @@ def rrf_fuse(spark, sf):
 
 
 def dedup_bands(spark, sf):
-    """Bands scaled to the test vectors' similarities would be empty of matches at 0.88, so every edge is banded."""
-    links = graph.undirected(graph.edges(memories(spark, sf), 3, GATE))
-    return _rounded(links.select("a", "b", "sim", extras.band(F.col("sim") * 2).alias("band")))
+    """Each memory beside three that are planted near it: a copy, one turned by some 25 degrees, and one turned further."""
+    mem = memories(spark, sf).where("embedding IS NOT NULL").select("id", "embedding")
+    turned = lambda part: F.transform("embedding", lambda x, i: x + F.when(i % 2 == 0, F.lit(part)).otherwise(F.lit(-part)) * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v) / F.size("embedding")))
+    planted = mem.select("id", "embedding", F.explode(F.array(*[F.struct(F.lit(n).alias("plant"), turned(p).alias("near")) for n, p in (("copy", 0.0), ("turned", 0.45), ("far", 1.5))])).alias("p"))
+    sim = cosine(F.col("embedding"), F.col("p.near"))
+    return _rounded(planted.select("id", "p.plant", sim.alias("sim"), extras.band(F.round(sim, 9)).alias("band")))
 
 
 def importance_decay(spark, sf):
@@ -318,13 +321,198 @@ def secret_guard(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", F.array_join(extras.secrets(F.col("text")), ",").alias("secrets"))
 
 
+def _turn_pairs(spark, sf):
+    last = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", "text", last.alias("before")).where("before IS NOT NULL")
+
+
 def subject_overlap(spark, sf):
+    """Each turn against the one before it."""
+    new, old = F.col("text"), F.col("before")
+    return _turn_pairs(spark, sf).select("conv_id", "turn", F.round(extras.subject_overlap(new, old), 6).alias("overlap"), extras.value_changed(new, old).alias("changed"), extras.contradiction(new, old).alias("score"))
+
+
+def reconcile(spark, sf):
+    """Memories that ask against the current ones; bands that fit the test vectors."""
+    mem = memories(spark, sf)
+    return extras.reconcile(mem.where("_pos % 50 = 0"), recall.in_scope(mem, False), 0.3, 0.45)
+
+
+def reserved_constraint(spark, sf):
+    mem = memories(spark, sf)
+    return extras.reserved_constraint(search(_asking(mem), mem, 5), _asking(mem), mem, 5, GATE)
+
+
+def applicable_constraints(spark, sf):
+    mem = memories(spark, sf)
+    return _rounded(extras.applicable_constraints(_asking(mem), mem, graph.edges(mem, 2, GATE), GATE), "score")
+
+
+def typed_edges(spark, sf):
+    """Near memories, parts of the same orders, orders that follow each other, and rules with what they were reached by."""
+    mem = memories(spark, sf)
+    pool = search(_asking(mem), mem, recall.SEEDS)
+    closed = _chains(spark, sf).select(F.col("o_orderkey").cast("string").alias("id"), F.col("supersedes").cast("string").alias("supersedes"))
+    out = extras.typed_edges(graph.edges(mem, 3, GATE), ledger.coactivation(ledger.bumps(_recalls(spark, sf)[0])), closed, graph.constraint_rescue(mem, pool, GATE, 2, 4))
+    return _rounded(out, "w")
+
+
+def initial_tiers(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", scoping.initial_tier(F.col("text")).alias("tier"))
+
+
+def _scoped(spark, sf):
+    """Memories with their language as scope, their source as session, and documents of even id as passing."""
+    return memories(spark, sf).withColumns({"scope": F.col("lang"), "session_id": F.col("source"), "tier": F.when(F.col("_pos") % 2 == 0, "session").otherwise("long_term")})
+
+
+def visible_memories(spark, sf):
+    return scoping.visible(_scoped(spark, sf), "en", "src0").select("id", "tier")
+
+
+def session_expiry(spark, sf):
+    """Passing memories, last confirmed when their user was last seen."""
+    seen = _t(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("id")).agg(F.max("ts").alias("last_confirmed"))
+    mem = _scoped(spark, sf).join(seen, "id").withColumn("created", F.col("last_confirmed"))
+    latest = mem.agg(F.max("last_confirmed")).first()[0]
+    return scoping.expired_sessions(mem, F.lit(latest), "src0")
+
+
+def promotions(spark, sf):
+    _set_checkpoints(spark)
+    return scoping.promotions(_scoped(spark, sf), 0.4)
+
+
+def store_state(spark, sf):
+    return views.state(memories(spark, sf))
+
+
+def graph_state(spark, sf):
+    return views.graph_state(memories(spark, sf), 3, GATE)
+
+
+def _weights(spark, sf):
+    return ledger.coactivation(ledger.bumps(_recalls(spark, sf)[0]))
+
+
+def strongest_edges(spark, sf):
+    """A report of five."""
+    return _rounded(ledger.strongest(_weights(spark, sf), memories(spark, sf)), "w", "cos")
+
+
+def leap_edges(spark, sf):
+    """A report of five."""
+    return _rounded(ledger.leaps(_weights(spark, sf), memories(spark, sf)), "w", "cos")
+
+
+def learned_graph(spark, sf):
+    """The graph view with the weights that orders lend to memories of the same ids."""
+    return graph.graph_view(memories(spark, sf), 3, GATE, _weights(spark, sf))[1]
+
+
+def _targets(spark, sf):
+    """What each asking memory looks for: the first word of its own text."""
+    return memories(spark, sf).where("_pos % 50 = 0 AND embedding IS NOT NULL").select(F.col("id").alias("q_id"), F.get(F.split("text", r"\s+"), 0).alias("term"))
+
+
+def target_ranks(spark, sf):
+    mem = memories(spark, sf)
+    return evaluation.target_rank(search(_asking(mem), mem, 15), mem, _targets(spark, sf))
+
+
+def geometry(spark, sf):
+    mem = memories(spark, sf)
+    ranked = search(_asking(mem), mem, 15)
+    return _rounded(views.geometry(_asking(mem), mem, graph.edges(mem, 2, GATE), _targets(spark, sf), ranked))
+
+
+def quality_figures(spark, sf):
+    """Whether the nearest memory that still holds ranks among all."""
+    mem = memories(spark, sf)
+    want = search(_asking(mem), recall.in_scope(mem, False), 1).select("q_id", "id")
+    return _rounded(evaluation.quality_figures(search(_asking(mem), mem, 15), want, mem), "recall_at_k", "mrr", "staleness_rate")
+
+
+def duplicate_rate(spark, sf):
+    mem = memories(spark, sf).where("embedding IS NOT NULL")
+    near = search(mem.select(F.col("id").alias("q_id"), "embedding"), mem, 1)
+    return _rounded(evaluation.duplicate_rate(near, mem, 0.5), "rate")
+
+
+def false_supersessions(spark, sf):
+    good = _t(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("id"))
+    return evaluation.false_supersessions(memories(spark, sf), good)
+
+
+def store_growth(spark, sf):
+    return evaluation.store_growth(_t(spark, sf, "documents").select(F.col("doc_id").alias("_pos"), "text"))
+
+
+def latency_p95(spark, sf):
+    return _rounded(evaluation.latency_p95(_t(spark, sf, "events"), "value"), "p95")
+
+
+def ab_table(spark, sf):
+    res = _results(spark, sf).withColumn("variant", F.when(F.col("field"), "field-on").otherwise("field-off"))
+    return _rounded(evaluation.compare(res, "field-off", "field-on"), "a", "b", "delta")
+
+
+def soak(spark, sf):
+    return evaluation.soak(memories(spark, sf))
+
+
+def write_tiers(spark, sf):
+    """What a save does to a text before it is stored."""
+    text = F.col("text")
+    return _t(spark, sf, "conversations").select("conv_id", "turn", extras.strip_filler(text).alias("plain"), F.size(extras.split_facts(text)).cast("long").alias("facts"), extras.refusal(text).alias("refusal"))
+
+
+def scored_outputs(spark, sf):
+    """Texts as outputs of single cases."""
+    cases = _t(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("output"), F.array(F.lit("the")).alias("contains"), F.array(F.lit("and")).alias("excludes"), F.lit(True).alias("current_only"))
+    return evaluation.score(cases).select("conv_id", "turn", "pass", F.array_join("reasons", "; ").alias("reasons"), "first_hit_turn")
+
+
+def repeat_scores(spark, sf):
+    """Conversations as repeated cases: every third turn must hold the term, every third must not, the others don't matter."""
+    want = F.when(F.col("turn") % 3 == 0, True).when(F.col("turn") % 3 == 1, False)
+    turns = _t(spark, sf, "conversations").select(F.col("conv_id").alias("case_id"), (F.col("turn") + 1).alias("turn"), F.contains(F.lower("text"), F.lit("the")).alias("hit"), want.alias("want"))
+    return evaluation.score_repeat(turns)
+
+
+def access_consolidate(spark, sf):
+    """A store's counts after accesses were folded in and written, and as many came again."""
+    log = _t(spark, sf, "events").select(F.col("user_id").cast("string").alias("id"), F.col("ts").alias("at"))
+    mem = memories(spark, sf).select("id", F.lit(0.0).alias("importance"), F.lit(0).cast("long").alias("access_count"), F.lit(None).cast("timestamp").alias("last_access"))
+    once = temporal.fold_access(mem, temporal.access_counts(log))
+    again = temporal.fold_access(once, temporal.prune_access(temporal.access_counts(log), once))
+    return again.select("id", "importance", "access_count", F.col("last_access").cast("timestamp_ntz").alias("last_access"))
+
+
+def backfilled(spark, sf):
+    """Memories without a vector take that of the document 500 before."""
+    mem = memories(spark, sf)
+    bare = mem.where("embedding IS NULL").select("id", (F.col("_pos") - 500).cast("string").alias("from"))
+    fresh = bare.join(mem.where("embedding IS NOT NULL").select(F.col("id").alias("from"), "embedding"), "from").select("id", "embedding")
+    return temporal.backfill(mem.select("id", "embedding"), fresh).select("id", F.round(F.get("embedding", 0), 6).alias("x"))
+
+
+def lsh_recall(spark, sf):
+    """Whether the registered index finds nine in ten of the true three nearest."""
+    mem = memories(spark, sf)
+    true = search(mem.select(F.col("id").alias("q_id"), "embedding"), mem, 3).select("q_id", "id")
+    found = lsh_search(mem, 3).select("q_id", "id", F.lit(1).alias("f"))
+    return true.join(found, ["q_id", "id"], "left").agg(F.count("*").alias("pairs"), (F.count("f") >= 0.9 * F.count("*")).alias("enough"))
+
+
+def replayed_saves(spark, sf):
+    """Conversations as stores, turns as saves with the vectors of documents of the same number."""
+    from engrama.plans.replay import replay
+
     conv = _t(spark, sf, "conversations")
-    last = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    both = conv.select("conv_id", "turn", "text", last.alias("before"))
-    overlap = extras.subject_overlap(F.col("text"), F.col("before"))
-    score = extras.contradiction(overlap, F.col("text") != F.col("before"), has_cue(F.col("text")))
-    return both.where("before IS NOT NULL").select("conv_id", "turn", overlap.cast("long").alias("overlap"), F.round(score, 6).alias("score"))
+    vec = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("conv_id"), "embedding")
+    writes = conv.join(vec, "conv_id", "left").select(F.col("conv_id").cast("string").alias("store_id"), F.col("turn").alias("_pos"), "text", "embedding", F.timestamp_seconds(F.col("turn").cast("long")).alias("at"))
+    return replay(writes).select("store_id", "id", F.length("text").cast("long").alias("n_chars"), "supersedes", "superseded_by", "revision", "is_constraint")
 
 
 def json_normalize(spark, sf):
@@ -343,7 +531,7 @@ def patched(spark, sf):
 
 
 def vacuumed(spark, sf):
-    return memories(spark, sf).where(~F.col("deleted")).groupBy("lang").agg(F.count("*").alias("n"))
+    return temporal.vacuum(memories(spark, sf)).groupBy("lang").agg(F.count("*").alias("n"))
 
 
 def recall_listing(spark, sf):
@@ -385,7 +573,9 @@ _QUERIES = (
     constraint_rescue, merged_related, graph_nodes, graph_edges, weighted_degree, components, reach_strategies, ledger_coactivation, ledger_decay_fold,
     ledger_telemetry, learned_bonus, hebbian_edges, timescale_probe, scorecard, roc_tbr, golden_diff, first_hit_turn, bm25_topk, rrf_fuse, dedup_bands,
     importance_decay, prune_proposals, compact_superseded, secret_guard, subject_overlap, json_normalize, next_id, patched, vacuumed, recall_listing,
-    cache_misses, session_counts, lsh_neighbours,
+    cache_misses, session_counts, lsh_neighbours, reconcile, reserved_constraint, applicable_constraints, typed_edges, initial_tiers, visible_memories, session_expiry,
+    promotions, store_state, graph_state, strongest_edges, leap_edges, learned_graph, target_ranks, geometry, quality_figures, duplicate_rate, false_supersessions,
+    store_growth, latency_p95, ab_table, soak, write_tiers, scored_outputs, repeat_scores, access_consolidate, backfilled, lsh_recall, replayed_saves,
 )
 
 

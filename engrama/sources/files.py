@@ -53,6 +53,18 @@ def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return edges, rows.agg(F.coalesce(F.max("j.recalls"), F.lit(0)).alias("recalls"))
 
 
+def write_access(counts: DataFrame, path: str) -> None:
+    """The sidecar of access counts (id, n, last) as one JSON object in a folder of one file, which read_access() reads; replaced whole. A sidecar is small by design: a store consolidates it."""
+    entry = F.struct("id", F.struct("n", "last"))
+    counts.agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("counts"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_ledger(edges: DataFrame, recalls: int, path: str) -> None:
+    """A ledger (a, b, w) and its recalls as one JSON object, which read_ledger() reads; replaced whole."""
+    entry = F.struct(F.concat_ws(":", "a", "b"), "w")
+    edges.agg(F.to_json(F.struct(F.lit(recalls).alias("recalls"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("edges"))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def _whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True) if _exists(spark, path) else spark.createDataFrame([], "value string")
 

@@ -54,3 +54,13 @@ class LedgerProcessor(StatefulProcessor):
 def ledger_stream(bumps: DataFrame) -> DataFrame:
     """(a, b, w, e) of each edge that a batch of bumps (a, b, t, alpha) touches: its weight as of epoch e. Needs the RocksDB state store."""
     return bumps.groupBy("a", "b").transformWithStateInPandas(LedgerProcessor(), "a string, b string, w double, e long", "Update", "None")
+
+
+def save_stream(texts: DataFrame, store, checkpoint: str, **trigger):
+    """Saves a stream of texts (at, text) into a store, batch by batch in the order of at; returns the running query. A batch that comes again after a failure confirms what it saved before, as its texts are there already."""
+
+    def save(batch: DataFrame, _: int) -> None:
+        for row in batch.orderBy("at", "text").toLocalIterator():
+            store.save(row["text"], row["at"])
+
+    return texts.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

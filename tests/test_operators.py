@@ -5,8 +5,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from engrama.operators import evaluation, extras, graph, ledger, recall, temporal
-from engrama.operators.knn import lsh_search, search
+from engrama.operators import evaluation, extras, graph, ledger, recall, scoping, temporal
+from engrama.operators.knn import fit_index, lsh_search, search
 
 MEM = "id string, _pos long, text string, embedding array<double>, is_constraint boolean, deleted boolean, valid_to timestamp"
 
@@ -197,7 +197,80 @@ def test_filler_and_split(spark):
     ]
 
 
-@pytest.mark.parametrize("scope,owner,want", [("user", "u", ["a", "b"]), ("session", "u", ["a"])])
-def test_scopes(spark, scope, owner, want):
-    mem = spark.createDataFrame([("a", "global", None), ("b", "user", "u"), ("c", "user", "v")], "id string, scope string, owner string")
-    assert [r[0] for r in rows(extras.visible(mem, scope, owner), "id")] == want
+@pytest.mark.parametrize("session,want", [("s", ["a", "b"]), ("t", ["a", "c"]), (None, ["a"])])
+def test_scopes(spark, session, want):
+    mem = spark.createDataFrame([("a", "home", "long_term", "t"), ("b", "home", "session", "s"), ("c", "home", "session", "t"), ("d", "work", "long_term", "s")], "id string, scope string, tier string, session_id string")
+    assert [r[0] for r in rows(scoping.visible(mem, "home", session), "id")] == want
+    assert [r[0] for r in rows(scoping.visible(mem, "home", session, include_session=False), "id")] == ["a"]
+
+
+def test_tiers_expiry_and_promotion(spark):
+    texts = spark.createDataFrame([("I am debugging today",), ("working on it right now",), ("hello",), (None,)], "t string")
+    assert [r[0] for r in texts.select(scoping.initial_tier(F.col("t"))).collect()] == ["long_term", "session", "long_term", "long_term"]
+    t = lambda d: datetime(2024, 1, d)
+    mem = spark.createDataFrame([("a", "session", "s", t(1), None), ("b", "session", "s", t(1), t(9)), ("c", "session", "now", t(1), None), ("d", "long_term", "s", t(1), None)], "id string, tier string, session_id string, created timestamp, last_confirmed timestamp")
+    assert rows(scoping.expired_sessions(mem, F.lit(t(10)), "now"), "id", "delete_reason") == [("a", "session_expired")]
+    made = [("a", "short", at(0), "s1"), ("b", "the longest one", at(10), "s2"), ("c", "medium", at(20), "s1"), ("d", "alone", at(90), "s1"), ("e", "twice", at(180), "s3"), ("f", "twice too", at(181), "s3")]
+    made = spark.createDataFrame([(*m, "session") for m in made], "id string, text string, embedding array<double>, session_id string, tier string")
+    got = {r["id"]: (r["tier"], r["deleted"]) for r in scoping.promotions(made).collect()}
+    assert got == {"a": (None, True), "b": ("long_term", False), "c": (None, True)}  # a and c meet through b
+
+
+def test_links_over_several_blocks(spark, monkeypatch):
+    rng = random.Random(1)
+    mem = memories(spark, {f"m{i}": [rng.gauss(0, 1) for _ in range(3)] for i in range(50)}).cache()
+    one = rows(graph.components(mem.select("id"), scoping.close_links(mem, 0.9)), "id", "component")
+    monkeypatch.setattr(scoping, "BLOCK", 7)
+    assert rows(graph.components(mem.select("id"), scoping.close_links(mem, 0.9)), "id", "component") == one
+
+
+def test_few_queries_and_blocks_agree(spark, monkeypatch):
+    import engrama.operators.knn as knn
+
+    rng = random.Random(4)
+    mem = memories(spark, {f"m{i}": [rng.gauss(0, 1) for _ in range(4)] for i in range(40)}).withColumn("store", F.col("_pos") % 3).cache()
+    ask = mem.select(F.col("id").alias("q_id"), "embedding", "store")
+    few = rows(search(ask, mem, 5, gate=0.1), "q_id", "rnk", "id")
+    mine = {s: rows(search(ask.where(F.col("store") == s), mem.where(F.col("store") == s), 5), "q_id", "rnk", "id") for s in range(3)}
+    assert rows(search(ask, mem, 5, within="store"), "q_id", "rnk", "id") == sorted(sum(mine.values(), []))
+    monkeypatch.setattr(knn, "FEW_BYTES", 0)
+    monkeypatch.setattr(knn, "BLOCK", 9)
+    assert rows(search(ask, mem, 5, gate=0.1), "q_id", "rnk", "id") == few
+    assert rows(search(ask, mem, 5, within="store"), "q_id", "rnk", "id") == sorted(sum(mine.values(), []))
+
+
+def test_index_is_fitted(spark):
+    rng = random.Random(5)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(40)]
+    mem = memories(spark, {f"m{i}": [x + rng.gauss(0, 0.05) for x in centres[i % 40]] for i in range(800)}).cache()
+    tables, bits = fit_index(mem, 3)
+    assert 2**bits > 2 * tables  # groups that lie apart are told apart at less than the cost of all pairs
+    near = set(rows(lsh_search(mem, 3), "q_id", "id"))
+    true = set(rows(search(mem.select(F.col("id").alias("q_id"), "embedding"), mem, 3), "q_id", "id"))
+    assert len(near & true) >= 0.9 * len(true)
+
+
+def test_lexical_blocks(spark, monkeypatch):
+    from engrama.operators import lexical
+
+    mem = memories(spark, {w: None for w in ("alpha beta", "beta gamma", "gamma", "İstanbul Κ", "")}).cache()
+    q = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(["beta now", "gamma beta", "alph", "", "zzz"])], "q_id string, text string")
+    words, ranked = rows(recall.keyword_recall(q, mem), "q_id", "rnk", "id", "score"), rows(extras.bm25(q, mem, 3), "q_id", "rnk", "id")
+    monkeypatch.setattr(lexical, "MEMORIES", 2)
+    one = lexical.query_blocks
+    monkeypatch.setattr(lexical, "query_blocks", lambda df: one(df, 2))
+    assert rows(recall.keyword_recall(q, mem), "q_id", "rnk", "id", "score") == words and rows(extras.bm25(q, mem, 3), "q_id", "rnk", "id") == ranked
+
+
+def test_reconcile(spark):
+    mem = memories(spark, {"old": at(0), "far": at(90)}).withColumn("text", F.when(F.col("id") == "old", "my rent is 900 euros").otherwise("x"))
+    new = [("n1", "my rent is 900 euros", at(1)), ("n2", "actually my rent is 950 euros", at(22)), ("n3", "my rent is 950 euros", at(24)), ("n4", "the cat sleeps", at(23)), ("n5", "anything", at(45)), ("n6", "no vector", None)]
+    got = {r["q_id"]: (r["action"], r["id"], r["confidence"], r["needs_review"]) for r in extras.reconcile(spark.createDataFrame(new, "id string, text string, embedding array<double>"), mem).collect()}
+    assert got == {"n1": ("duplicate", "old", None, False), "n2": ("supersede", "old", 1.0, False), "n3": ("supersede", "old", 0.8, False), "n4": ("store", "old", None, False), "n5": ("store", None, None, False), "n6": ("store", None, None, False)}
+
+
+def test_strongest_and_leaps(spark):
+    mem = memories(spark, {"a": at(0), "b": at(10), "c": at(80)})
+    w = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.5), ("b", "z", 0.7)], "a string, b string, w double")
+    assert sorted((r["a"], r["b"], r["cos"] is None) for r in ledger.strongest(w, mem, 2).collect()) == [("a", "b", False), ("b", "z", True)]
+    assert rows(ledger.leaps(w, mem), "a", "b") == [("a", "c")]

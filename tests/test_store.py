@@ -4,9 +4,13 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from engrama.operators import evaluation
+from engrama.plans import config
 from engrama.plans.recall_plan import Options
+from engrama.plans.replay import evaluate, replay
 from engrama.plans.store import MemoryStore
-from engrama.sources import files
+from engrama.sources import demo, files
+from engrama.sources.embedding import from_cache
 from engrama.sources.snapshots import Snapshots
 
 def as_of():
@@ -71,3 +75,148 @@ def test_verbs(spark, tmp_path):
     assert store.edit(tea, "I like mate") and not store.edit("none", "x")
     assert store.remove(tea) and not store.remove("none")
     assert store.vacuum() == 2
+
+
+def test_two_writers_cannot_both_win(spark, tmp_path):
+    """Both start from version 1; the one whose version file comes second fails and nothing of it shows."""
+    one, two = Snapshots(spark, str(tmp_path / "s")), Snapshots(spark, str(tmp_path / "s"))
+    one.commit(one.read(), 0)
+    rows = one.read()
+    two.version = lambda: 1  # it looked before the other committed
+    one.commit(rows, 1)
+    with pytest.raises(RuntimeError):
+        two.commit(rows, 1)
+    assert one.version() == 2
+
+
+def test_a_save_appends(spark, tmp_path):
+    store = MemoryStore(spark, str(tmp_path / "m"))
+    first, second = store.save("I like tea"), store.save("I like mate")
+    assert store.store.version() == 1 and int(second) > int(first)
+    assert [r["text"] for r in store.read().orderBy("_pos").collect()] == ["I like tea", "I like mate"]
+    assert store.save("I like tea") == first and store.store.version() == 2 and store.read().count() == 2
+
+
+def test_recall_counts_accesses_once(spark, tmp_path):
+    """Two recalls and edits stay two; a new store object sees the same total."""
+    root, t = str(tmp_path / "m"), datetime(2024, 1, 1, tzinfo=timezone.utc)
+    store = MemoryStore(spark, root, lambda texts: [[1.0, 0.0] for _ in texts])
+    tea = store.save("I like tea", t)
+    for n in range(2):
+        store.recall("tea", now=t + timedelta(days=n + 1))
+    count = lambda s: [(r["access_count"], r["importance"]) for r in s.read().where(F.col("id") == tea).collect()]
+    assert count(store) == [(2, 2.0)]
+    store.edit(tea, "I like green tea", t)
+    store.edit(tea, "I like black tea", t)
+    assert count(store) == [(2, 2.0)] and count(MemoryStore(spark, root)) == [(2, 2.0)]
+    store.recall("tea", now=t)
+    assert count(store) == [(3, 3.0)]
+    store.vacuum()
+    assert count(store) == [(3, 3.0)]
+    assert store.remove(tea, t + timedelta(days=9))
+    row = store.read().where(F.col("id") == tea).first()
+    assert row["deleted"] and row["modified"] == datetime(2024, 1, 10)
+
+
+def test_recall_embeds_what_has_no_vector(spark, tmp_path):
+    broken = MemoryStore(spark, str(tmp_path / "m"))
+    one, two = broken.save("a"), broken.save("b")
+    places = {"a": [1.0, 0.0], "b": [0.0, 1.0], "q": [0.1, 1.0]}
+    store = MemoryStore(spark, str(tmp_path / "m"), lambda texts: [places[t] for t in texts])
+    assert store.recall("q", k=1) == f"1. [id {two}] b"
+    assert {r["id"]: r["embedding"] for r in store.read().collect()} == {one: [1.0, 0.0], two: [0.0, 1.0]}
+    assert store.recall("q").splitlines() == [f"1. [id {two}] b", f"2. [id {one}] a"]
+
+
+def test_recall_reinforces(spark, tmp_path):
+    """With the field on, what comes up together gains weight; primaries among themselves more than with related ones."""
+    places = {"q": at2(0), "a": at2(5), "b": at2(10), "c": at2(40), "d": at2(120)}
+    store = MemoryStore(spark, str(tmp_path / "m"), lambda texts: [places[t] for t in texts], options=Options(field=True, mutual=False))
+    a, b, c, d = (store.save(x) for x in "abcd")
+    assert store.recall("q", k=2).startswith(f"1. [id {a}] a\n2. [id {b}] b\n\nRelated:\n- [id {c}]")
+    got = {(r["a"], r["b"]): round(r["w"], 6) for r in store.ledger().collect()}
+    assert got == {tuple(sorted((a, b))): 0.1, tuple(sorted((a, c))): 0.02, tuple(sorted((b, c))): 0.02}
+    store.recall("q", k=2)
+    assert {round(r["w"], 6) for r in store.ledger().collect()} == {0.2, 0.04}
+    assert store.recall("q", k=9).count("[id") == 4 and store.ledger().count() == 3  # all returned: nothing to add, nothing learned
+
+
+def at2(degrees):
+    import math
+
+    return [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
+
+
+def test_sidecars_go_out_and_in(spark, tmp_path):
+    counts = spark.createDataFrame([("7", 2, datetime(2024, 1, 1)), ("8", 1, None)], "id string, n long, last timestamp")
+    files.write_access(counts, str(tmp_path / "a"))
+    assert sorted(map(tuple, files.read_access(spark, str(tmp_path / "a")).collect())) == sorted(map(tuple, counts.collect()))
+    edges = spark.createDataFrame([("1", "2", 0.5)], "a string, b string, w double")
+    files.write_ledger(edges, 12, str(tmp_path / "l"))
+    got, recalls = files.read_ledger(spark, str(tmp_path / "l"))
+    assert [tuple(r) for r in got.collect()] == [("1", "2", 0.5)] and recalls.first()[0] == 12
+
+
+def test_embedding_cache(spark):
+    texts = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "text string")
+    cache = spark.createDataFrame([], "hash string, embedding array<double>")
+    with pytest.raises(LookupError):
+        from_cache(texts, cache)
+    got, full = from_cache(texts, cache, lambda x: [[float(ord(t))] for t in x])
+    assert sorted((r["text"], r["embedding"]) for r in got.where("text IS NOT NULL").collect()) == [("a", [97.0]), ("a", [97.0]), ("b", [98.0])]
+    assert full.count() == 2 and from_cache(texts, full)[0].count() == 4
+
+
+def test_config_and_demo(spark, tmp_path):
+    path = str(tmp_path / "c.json")
+    assert not config.field_on(path, {}) and config.field_on(path, {config.VARIABLE: "YES"})
+    config.set_field(path, False)
+    assert not config.field_on(path, {config.VARIABLE: "1"})
+    (tmp_path / "c.json").write_text('{"other": 1, "field": true}')
+    assert config.field_on(path, {})
+    config.set_field(path, False)
+    assert json.loads((tmp_path / "c.json").read_text()) == {"other": 1, "field": False}
+    rows = demo.demo(spark, datetime(2024, 1, 1), lambda texts: [[1.0] for _ in texts]).collect()
+    assert len(rows) == 24 and rows[0]["id"] == "1000" and all(r["embedding"] == [1.0] for r in rows) and any(r["is_constraint"] for r in rows)
+
+
+def test_corpus_is_strict(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"id": "x-1", "kind": "basic"}\n')
+    cases = files.read_corpus(spark, str(tmp_path / "c.jsonl"), "id string, kind string")
+    assert [tuple(r) for r in evaluation.with_prefix(cases, "x").collect()] == [("x-1", "basic")] and evaluation.with_prefix(cases, "y").count() == 0
+    (tmp_path / "d.jsonl").write_text('{"id": "x-1"\n')
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        files.read_corpus(spark, str(tmp_path / "d.jsonl"), "id string, kind string").collect()
+
+
+def test_replay_equals_single_saves(spark, tmp_path):
+    places = {"I live in Rome": [1.0, 0.0], "I moved to Oslo": [0.9, 0.1], "I like tea": [0.0, 1.0], "now it is Turku": [0.95, 0.05]}
+    said = ["I live in Rome", "I like tea", " I like tea ", "", "I moved to Oslo", "now it is Turku", "I like tea"]
+    t0 = datetime(2024, 1, 1)
+    writes = spark.createDataFrame([(s, i, x, places.get(x.strip()), t0 + timedelta(days=i)) for s in ("s", "u") for i, x in enumerate(said)], "store_id string, _pos long, text string, embedding array<double>, at timestamp")
+    many = replay(writes).where("store_id = 's'").orderBy("_pos").collect()
+    store = MemoryStore(spark, str(tmp_path / "m"), lambda texts: [places[t] for t in texts])
+    for i, x in enumerate(said):
+        store.save(x, (t0 + timedelta(days=i)).replace(tzinfo=timezone.utc))
+    one = store.read().orderBy("_pos").collect()
+    number = {r["id"]: f"s:{i}" for i, r in enumerate(one, 1)} | {None: None}
+    fields = lambda r, f: (f(r["id"]), r["text"], r["valid_to"], r["last_confirmed"], f(r["supersedes"]), f(r["superseded_by"]), r["revision"])
+    assert [fields(r, lambda x: x) for r in many] == [fields(r, number.get) for r in one]
+
+
+def test_evaluation_runs_each_case_in_its_own_store(spark):
+    a = lambda d: at2(d)
+    cases = [
+        ("rule", "constraint", "roc", None, "dinner", a(0), ["diabetic"], None, None),
+        ("plain", "basic", None, None, "capital", a(0), ["Oslo"], ["Rome"], None),
+        ("old", "contradictions", None, None, "home", a(0), ["Oslo"], None, True),
+    ]
+    cases = spark.createDataFrame(cases, "id string, kind string, metric string, field boolean, query string, embedding array<double>, contains array<string>, excludes array<string>, current_only boolean")
+    writes = [("rule", i, f"snack {i}", a(i)) for i in range(6)] + [("rule", 9, "I am diabetic", a(52))]
+    writes += [("plain", 0, "Oslo is a capital", a(3)), ("old", 0, "I live in Rome", a(1)), ("old", 1, "I moved to Oslo", a(2))]
+    writes = spark.createDataFrame([(*w, datetime(2024, 1, 1)) for w in writes], "store_id string, _pos long, text string, embedding array<double>, at timestamp")
+    got = {r["key"]: r for r in evaluate(cases, writes).collect()}
+    assert {k: r["pass"] for k, r in got.items()} == {"rule [field:off]": False, "rule [field:on]": True, "plain": True, "old": True}
+    assert got["rule [field:on]"]["rescued"] and got["rule [field:off]"]["reasons"] == ['missing ["diabetic"]']
+    assert {r["key"] for r in evaluate(cases, writes, prefix="ru").collect()} == {"rule [field:off]", "rule [field:on]"}
+    assert {r["kind"]: (r["passed"], r["total"]) for r in evaluation.scorecard(spark.createDataFrame(list(got.values()))).collect()}["all"] == (3, 4)
