@@ -33,6 +33,10 @@ THRESHOLD = 0.8
 LEAST = 5
 #: Counters for word frequency; words share them by hash.
 SLOTS = 1 << 18
+#: Counters that are added up together.
+CHUNK = 1 << 14
+#: Entries whose lists a task compares at once.
+AT_ONCE = 1 << 17
 #: Entries of a word's list that one task may hold; longer lists are cut into parts of half as many.
 LIST_ROWS = 1 << 17
 #: Longs of the widest sketch.
@@ -97,17 +101,25 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[
             at += n
 
 
-def frequencies(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(slot, n): how often words whose hash falls into a slot occur in all texts. At most `slots` rows."""
+def frequencies(docs: DataFrame, slots: int = SLOTS, chunk: int = CHUNK) -> np.ndarray:
+    """How often words whose hash falls into each slot occur in all texts. Every task counts into one array; arrays are added up chunk by chunk, so that `slots` numbers reach the driver."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
         for _, _, buffer in _pieces(batches):
             total += np.bincount((words(buffer)[2] % np.uint64(slots)).astype(np.int64), minlength=slots)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["slot", "n"])
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(0, slots, chunk)), pa.array([total[at : at + chunk].tobytes() for at in range(0, slots, chunk)])], ["at", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"at": table.column("at").slice(0, 1), "counts": pa.array([total.tobytes()])})
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col("text").cast("binary")).mapInArrow(count, "at long, counts binary")
+    out = np.zeros(slots, np.int64)
+    for r in counted.groupBy("at").applyInArrow(add, "at long, counts binary").toLocalIterator():
+        out[r["at"] : r["at"] + chunk] = np.frombuffer(r["counts"], np.int64)
+    return out
 
 
 def _prefix(sizes: np.ndarray, threshold: float) -> np.ndarray:
@@ -174,39 +186,64 @@ def lines(docs: DataFrame, ranks: bytes, threshold: float, least: int) -> DataFr
     return docs.select("doc", F.col("text").cast("binary")).mapInArrow(run, "doc long, line int, a long, b long, size int, sketch array<long>, prefix array<long>")
 
 
-def _folds(sketch: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Longs of each sketch, and all sketches folded to 1, 2, 4 and WIDE longs (narrower ones leave the wide folds unused)."""
-    width = np.diff(sketch.offsets.to_numpy())
-    flat, starts = sketch.values.to_numpy().view(np.uint64), sketch.offsets.to_numpy()[:-1]
-    whole = {w: np.zeros((len(width), w), np.uint64) for w in (1, 2, 4, WIDE)}
-    for w in (1, 2, 4, WIDE):
-        rows = np.flatnonzero(width == w)
-        part = flat[starts[rows][:, None] + np.arange(w)]
-        while True:
-            whole[part.shape[1]][rows] = part
-            if part.shape[1] == 1:
-                break
-            half = part.shape[1] // 2
-            part = part[:, :half] ^ part[:, half:]
-    return width, whole
+class Sketches:
+    """Sketches of 1 to WIDE longs, compared at the width of the narrower of two: a wider one folds by exclusive or."""
+
+    def __init__(self, sketch: pa.ListArray):
+        offsets = sketch.offsets.to_numpy()
+        width = np.diff(offsets)
+        flat, start = sketch.values.to_numpy().view(np.uint64), offsets[:-1]
+        self.width = width
+        self.one = flat[start] if len(start) else flat[:0]  # folded to one long
+        self.wide: dict[int, np.ndarray] = {}  # folds of the wider ones, by place among these
+        more = np.flatnonzero(width > 1)
+        self.place = None
+        if not len(more):
+            return
+        self.place = np.zeros(len(width), np.int64)
+        self.place[more] = np.arange(len(more))
+        self.wide = {w: np.zeros((len(more), w), np.uint64) for w in (2, 4, WIDE)}
+        for w in (2, 4, WIDE):
+            rows = np.flatnonzero(width[more] == w)
+            part = flat[start[more[rows]][:, None] + np.arange(w)]
+            while part.shape[1] > 1:
+                self.wide[part.shape[1]][rows] = part
+                half = part.shape[1] // 2
+                part = part[:, :half] ^ part[:, half:]
+            self.one[more[rows]] = part[:, 0]
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of x and y differ: no more than their sets differ in words."""
+        out = np.bitwise_count(self.one[x] ^ self.one[y]).astype(np.int64)
+        if self.place is not None:
+            narrow = np.minimum(self.width[x], self.width[y])
+            for w, fold in self.wide.items():
+                mine = np.flatnonzero(narrow == w)
+                if len(mine):
+                    out[mine] = np.bitwise_count(fold[self.place[x[mine]]] ^ fold[self.place[y[mine]]]).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def candidates(table: pa.Table, t: float, every: bool) -> pa.RecordBatch:
-    """(xd, xl, yd, yl, key): for the asking entries of whole word lists or pairs of their parts (sorted by key, part, doc, line) the earlier entries of their lists that the filters on length, place and sketch let through: the first, or every one.
+    """(xd, xl, yd, yl, key): for the asking entries (all, if nothing says which) of whole word lists or pairs of their parts (sorted by key, part, doc, line; meta is size and place) the earlier entries of their lists that the filters on length, place and sketch let through: the first, or every one.
 
     All lists advance together: round c tries every entry that is still open
     against the entry at place c of its list, so in search of the first a group of
     near copies is done after one round.
     """
     table = table.combine_chunks()
-    key, doc, line, size, i, part, own = (table.column(c).to_numpy() for c in ("key", "doc", "line", "size", "i", "part", "mine"))
-    alone = part < 0
-    width, folds = _folds(pa.concat_arrays(table.column("sketch").chunks) if table.num_rows else pa.array([], pa.list_(pa.int64())))
-    size, i = size.astype(np.int64), i.astype(np.int64)
+    key, doc, line, meta = (table.column(c).to_numpy() for c in ("key", "doc", "line", "meta"))
+    sketches = Sketches(pa.concat_arrays(table.column("sketch").chunks) if table.num_rows else pa.array([], pa.list_(pa.int64())))
+    size, i = meta >> 31, meta & ((1 << 31) - 1)
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+    new[1:] = key[1:] != key[:-1]
+    own = None
+    if "part" in table.column_names:
+        part, own = table.column("part").to_numpy(), table.column("own").to_numpy()
+        new[1:] |= part[1:] != part[:-1]
+        alone = part < 0
     start = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    open_ = np.flatnonzero(~new & table.column("asking").to_numpy())
+    open_ = np.flatnonzero(~new & table.column("asking").to_numpy() if "asking" in table.column_names else ~new)
     xs, ys = [], []
     c = 0
     while len(open_):
@@ -215,13 +252,10 @@ def candidates(table: pa.Table, t: float, every: bool) -> pa.RecordBatch:
         need = np.ceil(t / (1 + t) * both - 1e-9).astype(np.int64)
         ok = np.minimum(size[x], size[y]) >= np.ceil(t * np.maximum(size[x], size[y]) - 1e-9)
         ok &= np.minimum(size[x] - i[x], size[y] - i[y]) >= need
-        ok &= alone[x] | (own[x] != own[y])  # what lies in one part meets in that part's own task
+        if own is not None:
+            ok &= alone[x] | (own[x] != own[y])  # what lies in one part meets in that part's own task
         still = np.flatnonzero(ok)
-        narrow = np.minimum(width[x[still]], width[y[still]])
-        for w, fold in folds.items():
-            mine = still[narrow == w]
-            if len(mine):
-                ok[mine] = np.bitwise_count(fold[x[mine]] ^ fold[y[mine]]).sum(axis=1, dtype=np.int64) <= both[mine] - 2 * need[mine]
+        ok[still] = sketches.apart(x[still], y[still]) <= both[still] - 2 * need[still]
         xs.append(x[ok])
         ys.append(y[ok])
         c += 1
@@ -232,35 +266,35 @@ def candidates(table: pa.Table, t: float, every: bool) -> pa.RecordBatch:
 
 
 def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of a partition that is sorted by key and part, cut between lists only."""
+    """The rows of a partition that is sorted by key (and part, if lists are cut), cut between lists only, about AT_ONCE at a time."""
     held: list[pa.RecordBatch] = []
-    last = None
+    rows = 0
     for b in batches:
         if not b.num_rows:
             continue
-        key, part = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("key", "part"))
-        if held and last != (key[0], part[0]):
-            yield pa.Table.from_batches(held)
-            held = []
-        last = key[-1], part[-1]
-        others = np.flatnonzero((key != key[-1]) | (part != part[-1]))
-        if len(others):
-            cut = int(others[-1]) + 1
-            yield pa.Table.from_batches([*held, b.slice(0, cut)])
-            held = [b.slice(cut)]
-        else:
-            held.append(b)
+        if rows >= AT_ONCE:
+            names = [c for c in ("key", "part") if c in b.schema.names]
+            last = tuple(held[-1].column(held[-1].schema.get_field_index(c))[-1].as_py() for c in names)
+            other = np.zeros(b.num_rows, bool)
+            for c, value in zip(names, last, strict=True):
+                other |= b.column(b.schema.get_field_index(c)).to_numpy() != value
+            if other.any():
+                cut = int(np.argmax(other))
+                yield pa.Table.from_batches([*held, b.slice(0, cut)])
+                b, held, rows = b.slice(cut), [], 0
+        held.append(b)
+        rows += b.num_rows
     if held:
         yield pa.Table.from_batches(held)
 
 
 def _dealt(entries: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """entries with part (-1 for a whole list or a part with itself, told apart by mine; else the pair of parts) and mine, the entry's own part. Long lists' entries appear once for each pair of parts."""
+    """entries as they are; if some lists are long (hot: key, m), with part (-1 for a whole list, less for a part with itself, else the pair of parts) and own, the entry's own part. Long lists' entries appear once for each pair of parts."""
     if hot is None:
-        return entries.withColumns({"part": F.lit(-1).cast("long"), "mine": F.lit(0)})
-    mine = F.pmod(F.xxhash64("doc", "line"), F.col("m")).cast("int")
-    pair = lambda j: F.when(j == F.col("mine"), -1 - j).otherwise(F.least("mine", j) * F.col("m") + F.greatest("mine", j)).cast("long")
-    out = entries.join(hot, "key", "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("mine", mine)
+        return entries
+    out = entries.join(hot, "key", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    out = out.withColumn("own", F.pmod(F.xxhash64("doc", "line"), F.col("m")).cast("int"))
+    pair = lambda j: F.when(j == F.col("own"), -1 - j).otherwise(F.least("own", j) * F.col("m") + F.greatest("own", j)).cast("long")
     return out.withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), pair))).drop("m")
 
 
@@ -314,9 +348,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LEAST, broadcast_rows: int = 1_000_000, list_rows: int = LIST_ROWS) -> DataFrame:
     """(doc, removed) for documents that lose lines: their numbers from 0, ascending. docs: doc (unique long), text."""
-    counts = np.zeros(SLOTS, np.int64)
-    for r in frequencies(docs).toLocalIterator():  # at most SLOTS rows
-        counts[r["slot"]] = r["n"]
+    counts = frequencies(docs)
     rank = np.empty(SLOTS, np.uint32)
     rank[np.argsort(counts, kind="stable")] = np.arange(SLOTS, dtype=np.uint32)
     every = materialise(lines(docs, rank.tobytes(), threshold, least), "lines")
@@ -330,13 +362,13 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LE
     # each word's list, in order; every line's first candidate in each. Unequal sets share at most n / (n + 1) of n words, so shorter ones have met all their matches above
     shortest = math.ceil(threshold / (1 - threshold) - 1e-6) if threshold < 1 else 1
     asking = told.where(is_first & (F.col("size") >= shortest)).select("doc", "line", "size", "sketch", "prefix")
-    entries = asking.select("doc", "line", "size", "sketch", F.posexplode("prefix").alias("i", "key"))
+    entries = asking.select("doc", "line", F.shiftleft(F.col("size").cast("long"), 31).alias("meta"), "sketch", F.posexplode("prefix").alias("i", "key")).withColumn("meta", F.col("meta") + F.col("i")).drop("i")
     # a list is no longer than its word is frequent, so only words of frequent slots are counted; a prefix rises in frequency
     often = int(np.searchsorted(np.sort(counts), list_rows, "right"))
     hot = None
     if often < SLOTS:
         slot = lambda k: F.shiftrightunsigned(k, 64 - int(SLOTS - 1).bit_length())
-        long = asking.where(slot(F.element_at("prefix", -1)) >= often).select(F.explode(F.filter("prefix", lambda k: slot(k) >= often)).alias("key"))
+        long = every.select("prefix").where(slot(F.element_at("prefix", -1)) >= often).select(F.explode(F.filter("prefix", lambda k: slot(k) >= often)).alias("key"))
         hot = materialise(long.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > list_rows).select("key", F.ceil(2 * F.col("n") / list_rows).cast("int").alias("m")), "long-lists")
         hot = None if hot.isEmpty() else if_small(hot, broadcast_rows)
 
@@ -347,9 +379,10 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LE
             for whole in _whole_lists(batches):
                 yield candidates(whole, threshold, every)
 
-        return _dealt(entries_, hot).repartition(parts, "key", "part").sortWithinPartitions("key", "part", "doc", "line").mapInArrow(run, "xd long, xl int, yd long, yl int, key long")
+        lists = ["key"] if hot is None else ["key", "part"]
+        return _dealt(entries_, hot).repartition(parts, *lists).sortWithinPartitions(*lists, "doc", "line").mapInArrow(run, "xd long, xl int, yd long, yl int, key long")
 
-    first = materialise(pairs(entries.withColumn("asking", F.lit(True)), False), "first-pairs")
+    first = materialise(pairs(entries, False), "first-pairs")
     ends = ["xd", "xl", "yd", "yl"]
     settled = materialise(_verified(docs, first.select(ends).distinct(), threshold, broadcast_rows), "settled")
     # a line whose first candidates all failed meets every earlier line of the lists that they came from; its other lists let none through
