@@ -12,7 +12,6 @@ group of copies costs rows in proportion to its size.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -235,7 +234,7 @@ def near_duplicates(docs: DataFrame, trie_rows: int = TRIE_ROWS, hot: int = HOT)
     columns of docs are not read.
     """
     fps = materialise(fingerprints(without(docs, "fp")), "fingerprints")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("lead")), "distinct")
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("lead"), F.count("*").alias("copies")), "distinct")
     n = distinct.count()
     agree = 2 if n <= TWO else 3 if n <= THREE else 4
     roots = components(links(distinct.select("fp"), trie_rows, agree))  # only fingerprints with links
@@ -243,11 +242,16 @@ def near_duplicates(docs: DataFrame, trie_rows: int = TRIE_ROWS, hot: int = HOT)
     named = materialise(distinct.join(roots, "fp", "left"), "roots")
     linked = named.where("root IS NOT NULL")
     lead = materialise(linked.groupBy("root").agg(F.min("lead").alias("component_id"), F.count("*").alias("n")), "leads")
-    large = F.broadcast(lead.where(F.col("n") > hot).drop("n"))  # at most one in `hot` fingerprints
-    parts = [named.where("root IS NULL").select("fp", F.col("lead").alias("component_id"))]
-    parts += [linked.join(large, "root").select("fp", "component_id"), linked.join(large, "root", "left_anti").join(lead.where(F.col("n") <= hot), "root").select("fp", "component_id")]
-    per_fp = materialise(reduce(DataFrame.unionByName, parts), "components")
-    return fps.join(if_small(per_fp, 1_000_000), "fp").select("doc_id", "fp", "component_id")
+    single = named.where("root IS NULL").select("fp", "copies", F.col("lead").alias("component_id"))
+    per_fp = materialise(single.unionByName(_looked_up(linked, lead, "root", "n", hot).select("fp", "copies", "component_id")), "components")
+    return _looked_up(fps, per_fp, "fp", "copies", hot).select("doc_id", "fp", "component_id")
+
+
+def _looked_up(rows: DataFrame, named: DataFrame, key: str, n: str, hot: int) -> DataFrame:
+    """rows joined with named (key, its number of rows n, and others): keys of over `hot` rows, of which there are at most one in `hot` rows, by broadcast, the others by shuffle."""
+    named = named.select(*[c for c in named.columns if c == key or c not in rows.columns])
+    large = F.broadcast(named.where(F.col(n) > hot))
+    return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(named.where(F.col(n) <= hot), key))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
