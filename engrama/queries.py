@@ -560,10 +560,12 @@ def lsh_neighbours(spark, sf):
 
 
 def _set_checkpoints(spark: SparkSession) -> None:
-    """A folder only where the cluster names none."""
+    """A folder only where none is named and all run on this machine."""
     import tempfile
 
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="engrama-"))
 
 
