@@ -45,19 +45,32 @@ def bounded(pattern: str) -> str:
 SPACES = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 
 
+#: What a text must hold somewhere, in lower case, for a pattern to match at all.
+CONSTRAINT_STEMS = (*CONSTRAINT_WORDS, *(f"no {w}" for w in CONSTRAINT_NO), *(f"{w} " for w in CONSTRAINT_CANNOT))
+HISTORY_STEMS = (*HISTORICAL, *(f"{w} " for w in HISTORICAL_OLD), *HISTORICAL_ASK)
+CUE_STEMS = (*CUES, *CUES_COLON)
+
+
+def _matches(text: Column, pattern: str, stems: tuple[str, ...]) -> Column:
+    """Whether a text matches, whatever the case; most texts hold no stem and are not matched at all. A stem that holds another is left to that one."""
+    least = [s for s in stems if not any(o != s and o in s for o in stems)]
+    held = F.exists(F.array(F.lower(text)), lambda low: F.exists(F.array(*map(F.lit, least)), lambda s: F.contains(low, s)))
+    return F.coalesce(held & text.rlike("(?i)" + pattern), F.lit(False))
+
+
 def is_constraint(text: Column) -> Column:
     """Whether a memory states something that must not be overlooked."""
-    return F.coalesce(text.rlike("(?i)" + CONSTRAINT), F.lit(False))
+    return _matches(text, CONSTRAINT, CONSTRAINT_STEMS)
 
 
 def is_historical(query: Column) -> Column:
     """Whether a query asks about what used to hold."""
-    return F.coalesce(query.rlike("(?i)" + HISTORY), F.lit(False))
+    return _matches(query, HISTORY, HISTORY_STEMS)
 
 
 def has_cue(text: Column) -> Column:
     """Whether a memory announces a change."""
-    return F.coalesce(text.rlike("(?i)" + CUE), F.lit(False))
+    return _matches(text, CUE, CUE_STEMS)
 
 
 def trim(text: Column) -> Column:
