@@ -36,7 +36,7 @@ SLOTS = 1 << 18
 #: Counters that are added up together.
 CHUNK = 1 << 14
 #: Entries whose lists a task compares at once.
-AT_ONCE = 1 << 17
+AT_ONCE = 1 << 16
 #: Entries of a word's list that one task may hold; longer lists are cut into parts of half as many.
 LIST_ROWS = 1 << 17
 #: Longs of the widest sketch.

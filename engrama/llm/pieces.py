@@ -30,7 +30,7 @@ from engrama.llm.shared import without
 
 MARK = "▁"
 #: Stretches that a worker remembers, and the longest of them.
-MEMORY, STRETCH = 800_000, 48
+MEMORY, STRETCH = 300_000, 48
 #: Places between two walks along the back pointers, and code points of a block of text.
 COMMIT, BLOCK = 64, 1 << 15
 
