@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engrama.llm import pieces, warc
+from engrama.llm import conversations, pieces, warc
 from engrama.llm.decontaminate import contamination
 from engrama.llm.licenses import licenses
 from engrama.llm.line_dedup import line_duplicates
+from engrama.llm.periodic import periodic_runs, strongest, with_planted_runs
 from engrama.llm.pii import personal_data
 from engrama.llm.quality import quality
 from engrama.llm.reshard import resharded
@@ -74,5 +75,20 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    top, lines = strongest(F.col("runs")), F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    out = out.withColumn("top", top)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", F.expr("1000 * top.length DIV top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversations.repaired_digests(turns, conversations.damaged(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
