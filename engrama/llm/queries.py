@@ -11,6 +11,7 @@ from engrama.llm import conversations, pieces, warc
 from engrama.llm.decontaminate import contamination
 from engrama.llm.licenses import licenses
 from engrama.llm.line_dedup import line_duplicates
+from engrama.llm.pages import main_text
 from engrama.llm.periodic import periodic_runs, strongest, with_planted_runs
 from engrama.llm.pii import personal_data
 from engrama.llm.quality import quality
@@ -90,5 +91,9 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired_digests(turns, conversations.damaged(turns))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
