@@ -329,7 +329,7 @@ class Reader(DataSourceReader):
         inflate = zlib.decompressobj(-15)
         raw, read, step = b"", 24, min(whole - 32, 1024)
         while (end := raw.find(b"\r\n\r\n")) < 0:  # headers first
-            chunk = f.read(step)
+            chunk = f.read(min(step, whole - 8 - read))  # never beyond the member's own deflated bytes
             read += len(chunk)
             if not chunk:
                 raise ValueError(f"a record without end of headers at byte {at}")
