@@ -29,12 +29,10 @@ from pyspark.sql import functions as F
 from engrama.llm.shared import if_small, materialise
 
 THRESHOLD = 0.8
-#: Lines with fewer different words are left alone unless the caller asks for them; the query and the pipeline ask for all (1).
-LEAST = 5
+#: Lines with fewer different words are left alone; those without words always are.
+LEAST = 1
 #: Counters for word frequency; words share them by hash.
 SLOTS = 1 << 18
-#: Counters that are added up together.
-CHUNK = 1 << 14
 #: Entries whose lists a task compares at once.
 AT_ONCE = 1 << 16
 #: Entries of a word's list that one task may hold; longer lists are cut into parts of half as many.
@@ -101,24 +99,19 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[
             at += n
 
 
-def frequencies(docs: DataFrame, slots: int = SLOTS, chunk: int = CHUNK) -> np.ndarray:
-    """How often words whose hash falls into each slot occur in all texts. Every task counts into one array; arrays are added up chunk by chunk, so that `slots` numbers reach the driver."""
+def frequencies(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
+    """How often words whose hash falls into each slot occur in all texts. Every task counts into one array and hands on the slots that it met; these are added up slot by slot, so no task holds more than `slots` sums, however many tasks there are, and `slots` numbers reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
         for _, _, buffer in _pieces(batches):
             total += np.bincount((words(buffer)[2] % np.uint64(slots)).astype(np.int64), minlength=slots)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(0, slots, chunk)), pa.array([total[at : at + chunk].tobytes() for at in range(0, slots, chunk)])], ["at", "counts"])
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], ["slot", "n"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"at": table.column("at").slice(0, 1), "counts": pa.array([total.tobytes()])})
-
-    counted = docs.select(F.col("text").cast("binary")).mapInArrow(count, "at long, counts binary")
+    counted = docs.select(F.col("text").cast("binary")).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most `slots` rows
     out = np.zeros(slots, np.int64)
-    for r in counted.groupBy("at").applyInArrow(add, "at long, counts binary").toLocalIterator():
-        out[r["at"] : r["at"] + chunk] = np.frombuffer(r["counts"], np.int64)
+    out[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
     return out
 
 
