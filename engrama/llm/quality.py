@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,26 +141,24 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], names: tuple[str, ...] = RU
     total = sum(c for _, c in patterns)
     if not total:
         return Model(0.5, {r: {-1: 0.0, 0: 0.0, 1: 0.0} for r in names})
-    sigmoid = lambda x: 1 / (1 + math.exp(-max(-700.0, min(700.0, x))))
-    belief = [0.1 if -1 in votes else 0.9 for votes, _ in patterns]
+    votes, count = np.array([x for x, _ in patterns], np.int8), np.array([c for _, c in patterns], np.float64)
+    cast = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(np.float64)  # pattern, rule, way to vote
+    n = np.tensordot(count, cast, 1)
+    there = n > 0
+    ways = there.sum(axis=1, keepdims=True)
+    belief = np.where((votes == -1).any(axis=1), 0.1, 0.9)
     for _ in range(rounds):
-        good = sum(b * c for b, (_, c) in zip(belief, patterns, strict=True))
-        prior, weights, faults = (good + pseudo) / (total + 2 * pseudo), {}, 0.0
-        for k, rule in enumerate(names):
-            seen = {v: (sum(b * c for b, (x, c) in zip(belief, patterns, strict=True) if x[k] == v), sum(c for x, c in patterns if x[k] == v)) for v in (-1, 0, 1)}
-            ways = sum(n > 0 for _, n in seen.values())
-            rates = {v: ((g + pseudo) / (good + ways * pseudo), (n - g + pseudo) / (total - good + ways * pseudo)) for v, (g, n) in seen.items() if n}
-            weights[rule] = {v: math.log(rates[v][0] / rates[v][1]) if v in rates else 0.0 for v in (-1, 0, 1)}
-            faults += rates[-1][0] - rates[-1][1] if -1 in rates else 0.0
-        if faults > 0:  # the classes have changed places
-            prior, weights = 1 - prior, {r: {v: -x for v, x in w.items()} for r, w in weights.items()}
-        logit = math.log(prior / (1 - prior))
-        now = [sigmoid(logit + sum(weights[r][v] for r, v in zip(names, votes, strict=True))) for votes, _ in patterns]
-        still = max(abs(a - b) for a, b in zip(now, belief, strict=True)) < 1e-9
-        belief = now
-        if still:
+        good, g = belief @ count, np.tensordot(belief * count, cast, 1)
+        prior = (good + pseudo) / (total + 2 * pseudo)
+        on_good, on_bad = (g + pseudo) / (good + ways * pseudo), (n - g + pseudo) / (total - good + ways * pseudo)
+        weights = np.where(there, np.log(on_good / on_bad), 0.0)
+        if (on_good - on_bad)[:, 0][there[:, 0]].sum() > 0:  # the classes have changed places
+            prior, weights = 1 - prior, -weights
+        logits = math.log(prior / (1 - prior)) + np.tensordot(cast, weights, 2)
+        before, belief = belief, 1 / (1 + np.exp(-np.clip(logits, -700.0, 700.0)))
+        if np.abs(belief - before).max() < 1e-9:
             break
-    return Model(prior, weights)
+    return Model(float(prior), {r: dict(zip((-1, 0, 1), w, strict=True)) for r, w in zip(names, weights.tolist(), strict=True)})
 
 
 def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
