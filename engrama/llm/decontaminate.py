@@ -43,9 +43,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     back as often as they came. Null item ids mark words but name no item.
     Empty tables give no rows, or no hits. keep must not clash with the names above.
     """
-    grams = benchmark_windows(benchmark, window)
-    sizes = grams.groupBy("len").agg(F.count("*").alias("n")).collect()  # at most `window` rows
-    lengths, n_grams = sorted(int(r["len"]) for r in sizes), sum(r["n"] for r in sizes)
+    grams = materialise(benchmark_windows(benchmark, window), "windows")
+    sizes = grams.groupBy("len").agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("held")).collect()  # at most `window` rows
+    lengths, few = sorted(int(r["len"]) for r in sizes), sum(r["n"] for r in sizes) <= broadcast_windows and sum(r["held"] for r in sizes) <= 4 * broadcast_windows
     keep_cols = [F.col(c) for c in keep]
     base = docs.select(*keep_cols, F.md5(F.col("text").cast("binary")).alias("_t"), words_of(F.col("text")).alias("_w"))
     base = base.withColumn("_n", F.size("_w"))
@@ -65,7 +65,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     if not lengths:
         return base.select(*keep_cols, *_digest(F.col("_n"), F.array().cast("array<struct<pos:int,len:int>>"), F.array().cast("array<string>")))
     base = base.withColumn("_p", let(F.transform("_w", lambda w: F.xxhash64(w)), probes))
-    if n_grams <= broadcast_windows:
+    if few:
         # the row that starts each array stands for the document, and matches nothing
         rows = base.select(*keep_cols, "_t", "_n", "_w", F.posexplode(F.concat(F.array(F.lit(None).cast("long")), "_p")).alias("_j", "_k")).withColumn("_i", F.col("_j") - 1)
         found = rows.join(F.broadcast(grams), F.col("_k") == F.col("key"), "left").where((F.col("_j") == 0) | F.col("key").isNotNull())

@@ -247,10 +247,10 @@ def near_duplicates(docs: DataFrame, trie_rows: int = TRIE_ROWS, hot: int = HOT)
     return _looked_up(fps, per_fp, "fp", "copies", hot).select("doc_id", "fp", "component_id")
 
 
-def _looked_up(rows: DataFrame, named: DataFrame, key: str, n: str, hot: int) -> DataFrame:
-    """rows joined with named (key, its number of rows n, and others): keys of over `hot` rows, of which there are at most one in `hot` rows, by broadcast, the others by shuffle."""
+def _looked_up(rows: DataFrame, named: DataFrame, key: str, n: str, hot: int, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """rows joined with named (key, its number of rows n, and others): keys of over `hot` rows, of which there are at most one in `hot` rows, by broadcast while they are few, the others by shuffle."""
     named = named.select(*[c for c in named.columns if c == key or c not in rows.columns])
-    large = F.broadcast(named.where(F.col(n) > hot))
+    large = if_small(named.where(F.col(n) > hot), broadcast_rows)
     return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(named.where(F.col(n) <= hot), key))
 
 
