@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from engrama.llm.shared import materialise, without
+from engrama.llm.shared import if_small, materialise, without
 
 #: Rows of a block, about; a block is the unit that moves.
 BLOCK_ROWS = 4096
+#: Files whose numbers are broadcast; those of more are joined by shuffle.
+BROADCAST_FILES = 1_000_000
 
 
 def min_cost_flow(supply: dict[int, int], capacity: dict[int, int], cost=lambda old, new: int(old != new)) -> dict[tuple[int, int], int]:
@@ -202,8 +204,11 @@ def stored(root: str, version: int, spark: SparkSession) -> DataFrame | None:
 
 def _with_rid(rows: DataFrame) -> DataFrame:
     """rows of stored() with a unique long rid in place of _file and _row: the file's number above 40 bits of the row's place in it."""
-    files = rows.select("_file").distinct().withColumn("_number", F.row_number().over(Window.orderBy("_file")))  # one row per file
-    numbered = rows.join(F.broadcast(materialise(files, "files")), "_file")
+    files = rows.select("shard", "_file").distinct()
+    per_shard = files.groupBy("shard").agg(F.count("*").alias("n"))
+    lift = per_shard.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("_lift"))  # one row per shard
+    files = files.withColumn("_i", F.row_number().over(Window.partitionBy("shard").orderBy("_file"))).join(lift, "shard").select("_file", (F.col("_lift") + F.col("_i")).alias("_number"))
+    numbered = rows.join(if_small(materialise(files, "files"), BROADCAST_FILES), "_file")
     return numbered.withColumn("rid", F.shiftleft(F.col("_number").cast("long"), 40) + F.col("_row")).drop("_file", "_row", "_number")
 
 
@@ -264,5 +269,5 @@ def resharded(docs: DataFrame, old, shards: int, root: str, keep: tuple[str, ...
     read = materialise(after.select(*keep, *facts, "shard", "_file", "_row"), "read-back")
     files = read.groupBy("shard", "_file").agg(F.count("*").alias("n"))
     files = files.select("shard", "_file", (F.sum("n").over(Window.partitionBy("shard").orderBy("_file")) - F.col("n")).alias("_before"))
-    out = read.join(F.broadcast(files), ["shard", "_file"])  # one row per file
+    out = read.join(if_small(materialise(files, "files"), BROADCAST_FILES), ["shard", "_file"])
     return out.select(*keep, "size", "text_crc32", "law", "old_shard", "shard", (F.col("_before") + F.col("_row")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

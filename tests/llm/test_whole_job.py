@@ -111,3 +111,35 @@ def test_reshard_query_reads_new_files(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     empty = reshard.resharded(docs.where("false"), F.lit(0), 4, str(tmp_path / "empty"))
     assert empty.count() == 0 and empty.columns == queries.op2_reshard(spark, str(tmp_path)).select("doc_id", "size", "text_crc32", "law", "old_shard", "shard", "slot", "grown_shard").columns
+
+
+def test_warc_of_urls_of_any_length(spark, tmp_path):
+    """URLs of 0 to 100,000 random letters, whose headers go past the first step, before payloads of 0 to 2,000 bytes."""
+    import random
+
+    from engrama.llm import warc
+
+    rng = random.Random(2)
+    rows = [(i * 10 + j, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n)), "".join(rng.choices("xyz <>&é", k=m)) or None) for i, n in enumerate((0, 100, 900, 1000, 1100, 1200, 3000, 100_000)) for j, m in enumerate((0, 9, 99, 400, 2000))]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "a"))
+    whole = {r["page_id"]: (r["url"], bytes(r["payload"]).decode() if r["payload"] is not None else None) for r in warc.read(spark, str(tmp_path / "a")).collect()}
+    assert whole == {i: (u, t or "") for i, u, t in rows}
+    assert warc.read(spark, str(tmp_path / "a"), payload=False).count() == len(rows)
+
+
+def test_lines_of_every_length_are_deduplicated_by_default(spark):
+    from engrama.llm import line_dedup
+
+    docs = spark.createDataFrame([(1, "All rights reserved."), (2, "All rights reserved.")], "doc_id long, text string")
+    assert [r["n_removed"] for r in line_dedup.line_duplicates(docs).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_windows_that_many_items_hold_are_not_broadcast(spark):
+    """The limit counts the items that windows hold, too; both ways agree."""
+    from engrama.llm import decontaminate
+
+    passage = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, passage), (2, "x " + passage + " y"), (3, "none of it")], "doc_id long, text string")
+    bench = spark.createDataFrame([(f"i{i}", passage) for i in range(50)], "item_id string, text string")
+    rows = lambda limit: sorted(map(tuple, decontaminate.contamination(docs, bench, broadcast_windows=limit).select("doc_id", "n_hit", "n_items", "items_sha256").collect()))
+    assert rows(10) == rows(1_000_000) and [r[2] for r in rows(10)] == [50, 50, 0]
