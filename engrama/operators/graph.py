@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from engrama.functions.vector import bonus, pair
+from engrama.operators import cells
 from engrama.operators.knn import search
 
 
@@ -14,16 +15,25 @@ def _top(df: DataFrame, by: list[str], order: list, k: int, name: str = "rnk") -
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
-def edges(memories: DataFrame, k: int = 3, min_sim: float = 0.55, mutual: bool = False, ledger: DataFrame | None = None, within: str | None = None) -> DataFrame:
+def _nearest(queries: DataFrame, memories: DataFrame, k: int, gate: float, within: str | None, index: cells.Cells | None) -> DataFrame:
+    if index is None:
+        return search(queries, memories, k, gate=gate, within=within)
+    if within is not None or gate <= 0:
+        raise ValueError("an index holds one store, and prunes by a gate above 0")
+    return cells.search(queries, memories, k, gate, index)
+
+
+def edges(memories: DataFrame, k: int = 3, min_sim: float = 0.55, mutual: bool = False, ledger: DataFrame | None = None, within: str | None = None, index: cells.Cells | None = None) -> DataFrame:
     """(src, dst, sim, rnk): each memory's k best neighbours at or above min_sim; mutual keeps an edge only if its reverse is one too.
 
     ledger (a, b, w) adds a bounded bonus before the gate, so a learned edge
     may pass it. Only pairs in the ledger can gain, so the k plain best and the
     ledger's pairs are all that need ranking; pairs of other ids are dropped before vectors are joined. within: as for search().
+    index: cells of these memories (cells.fit()), by which the same edges are found without all pairs; min_sim must be above 0.
     """
     stores = [within] if within else []
     mem = memories.where(F.col("embedding").isNotNull()).select("id", "_pos", "embedding", *stores)
-    base = search(mem.withColumnRenamed("id", "q_id").drop("_pos"), mem, k, gate=min_sim, within=within).select(F.col("q_id").alias("src"), F.col("id").alias("dst"), "sim")
+    base = _nearest(mem.withColumnRenamed("id", "q_id").drop("_pos"), mem, k, min_sim, within, index).select(F.col("q_id").alias("src"), F.col("id").alias("dst"), "sim")
     if ledger is not None:
         from engrama.functions.vector import cosine
 
@@ -58,13 +68,13 @@ def neighbourhood(edges_: DataFrame, seeds: DataFrame, hops: int = 1, cap: int =
     return _top(found, ["q_id"], [F.desc("sim"), "hop", "path"], cap).select("q_id", "rnk", "id", "sim", "via", "hop")
 
 
-def constraint_rescue(memories: DataFrame, seeds: DataFrame, gate: float = 0.55, k: int = 2, cap: int = 4, exclude: DataFrame | None = None, within: str | None = None) -> DataFrame:
+def constraint_rescue(memories: DataFrame, seeds: DataFrame, gate: float = 0.55, k: int = 2, cap: int = 4, exclude: DataFrame | None = None, within: str | None = None, index: cells.Cells | None = None) -> DataFrame:
     """(q_id, rnk, id, sim, via): constraints one of whose k best neighbours (of all memories, at or above gate) is a seed of the query.
 
-    seeds: q_id, id. exclude (q_id, id): rows that the query already returns.
+    seeds: q_id, id. exclude (q_id, id): rows that the query already returns. index: as for edges().
     """
     rules = memories.where(F.col("is_constraint") & F.col("embedding").isNotNull())
-    near = search(rules.select(F.col("id").alias("q_id"), "embedding", *([within] if within else [])), memories, k, gate=gate, within=within)
+    near = _nearest(rules.select(F.col("id").alias("q_id"), "embedding", *([within] if within else [])), memories, k, gate, within, index)
     near = near.select(F.col("q_id").alias("id"), F.col("id").alias("via"), "sim", F.col("rnk").alias("n"))
     hit = near.join(seeds.select("q_id", F.col("id").alias("via")), "via")
     if exclude is not None:

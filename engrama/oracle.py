@@ -296,6 +296,12 @@ SELECT conv_id AS case_id, CASE WHEN count(want) > 0 THEN bool_and(coalesce(hit
         "access_consolidate": """SELECT CAST(doc_id AS VARCHAR) AS id, 2 * coalesce(n, 0)::DOUBLE AS importance, CAST(2 * coalesce(n, 0) AS BIGINT) AS access_count, last AS last_access
 FROM documents LEFT JOIN (SELECT user_id, count(*) AS n, max(ts) AS last FROM events GROUP BY user_id) ON user_id = doc_id""",
         "backfilled": w(MEM) + "SELECT m.id, round(coalesce(m.embedding, o.embedding)[1], 6) AS x FROM mem m LEFT JOIN mem o ON o._pos = m._pos - 500",
+        "cell_edges": w(MEM, edges(3)) + "SELECT src, dst, round(sim, 6) AS sim, rnk FROM edge",
+        "cell_rescue": w(MEM, SIMS, edges(2), RESCUE) + "SELECT q_id, rnk, id, round(sim, 6) AS sim, via FROM rescued",
+        "cell_recall": "SELECT 3 * count(*) AS pairs, true AS enough FROM documents JOIN embeddings ON vec_id = doc_id",
+        "cell_pruning": """WITH v AS (SELECT e.vec_id, list_transform(list_zip(e.embedding::DOUBLE[], c.embedding::DOUBLE[]), lambda x: 0.25 * x[1] + x[2]) AS v FROM embeddings e JOIN embeddings c ON c.vec_id = e.vec_id % 25),
+n AS (SELECT a.vec_id, least(3, count(*)) AS n FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.8 GROUP BY a.vec_id)
+SELECT (SELECT count(*) FROM v) * (SELECT count(*) FROM v) AS pairs, true AS few, CAST(coalesce(sum(n), 0) AS BIGINT) AS edges FROM n""",
         "lsh_recall": "SELECT 3 * count(*) AS pairs, true AS enough FROM documents JOIN embeddings ON vec_id = doc_id",
         "json_normalize": f"""SELECT CAST(event_id AS VARCHAR) AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created, event_type AS text, 0.0::DOUBLE AS importance, user_id AS access_count,
   1::INTEGER AS revision, 'user_stated' AS source, regexp_matches(event_type, '{CONSTRAINT}') AS is_constraint, false AS deleted FROM events""",

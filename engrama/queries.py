@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from engrama.functions.text import content_hash, contains_all, contains_none, has_cue, is_constraint, is_historical, snippet, tokens
 from engrama.functions.vector import bonus, cosine
-from engrama.operators import evaluation, extras, graph, ledger, recall, scoping, temporal, views
+from engrama.operators import cells, evaluation, extras, graph, ledger, recall, scoping, temporal, views
 from engrama.operators.knn import lsh_search, search
 from engrama.schema import normalise
 
@@ -555,6 +555,49 @@ def session_counts(spark, sf):
     return out.select("id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
+def _with_vectors(spark, sf):
+    return memories(spark, sf).where("embedding IS NOT NULL")
+
+
+def cell_edges(spark, sf):
+    """knn_directional by cells."""
+    mem = _with_vectors(spark, sf)
+    return _rounded(graph.edges(mem, 3, GATE, index=cells.fit(mem)))
+
+
+def cell_rescue(spark, sf):
+    """constraint_rescue by cells."""
+    mem = memories(spark, sf)
+    pool = search(_asking(mem), mem, recall.SEEDS)
+    out = graph.constraint_rescue(mem, pool, GATE, 2, 4, exclude=pool.where(F.col("rnk") <= recall.RETURNED), index=cells.fit(mem))
+    return _rounded(out.select("q_id", "rnk", "id", "sim", "via"))
+
+
+def cell_recall(spark, sf):
+    """Whether the fitted number of nearest cells holds nine in ten of the true three nearest."""
+    mem = _with_vectors(spark, sf)
+    asks, index = mem.select(F.col("id").alias("q_id"), "embedding"), cells.fit(mem)
+    found = cells.search(asks, mem, 3, cells=index, probes=cells.fit_probes(mem, index, 3)).select("q_id", "id", F.lit(1).alias("f"))
+    return search(asks, mem, 3).select("q_id", "id").join(found, ["q_id", "id"], "left").agg(F.count("*").alias("pairs"), (F.count("f") >= 0.9 * F.count("*")).alias("enough"))
+
+
+def clustered(spark, sf, centres: int = 25, own: float = 0.25):
+    """The vectors drawn towards some of them, so that there is something for cells to leave out."""
+    emb = _t(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    hub = emb.where(F.col("vec_id") < centres).select(F.col("vec_id").alias("h"), F.col("embedding").alias("c"))  # `centres` rows
+    out = emb.join(F.broadcast(hub), F.col("vec_id") % centres == F.col("h"))
+    return out.select(F.col("vec_id").cast("string").alias("id"), F.col("vec_id").alias("_pos"), F.zip_with("embedding", "c", lambda x, y: own * x + y).alias("embedding"))
+
+
+def cell_pruning(spark, sf):
+    """Of all pairs of clustered vectors, whether less than a quarter is compared for a gate of 0.8, and how many edges there are."""
+    mem = clustered(spark, sf)
+    index, asks = cells.fit(mem), mem.select(F.col("id").alias("q_id"), "embedding")
+    n = graph.edges(mem, 3, 0.8, index=index).agg(F.count("*").alias("edges"))
+    few = cells.compared(asks, mem, 0.8, index).select("pairs", (4 * F.col("compared") < F.col("pairs")).alias("few"))
+    return few.join(F.broadcast(n))  # one row each
+
+
 def lsh_neighbours(spark, sf):
     return _rounded(lsh_search(memories(spark, sf), 3))
 
@@ -578,6 +621,7 @@ _QUERIES = (
     cache_misses, session_counts, lsh_neighbours, reconcile, reserved_constraint, applicable_constraints, typed_edges, initial_tiers, visible_memories, session_expiry,
     promotions, store_state, graph_state, strongest_edges, leap_edges, learned_graph, target_ranks, geometry, quality_figures, duplicate_rate, false_supersessions,
     store_growth, latency_p95, ab_table, soak, write_tiers, scored_outputs, repeat_scores, access_consolidate, backfilled, lsh_recall, replayed_saves,
+    cell_edges, cell_rescue, cell_recall, cell_pruning,
 )
 
 
