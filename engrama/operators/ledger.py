@@ -18,11 +18,11 @@ ALPHA_PRIMARY, ALPHA_RELATED = 0.1, 0.02
 BETA, FLOOR, EPOCH = 0.95, 0.05, 10
 
 
-def bumps(recalls: DataFrame) -> DataFrame:
-    """(a, b, t, alpha) of each pair that a recall (t, id, role) brings up: two primary rows, or a primary and a related one. A recall returns a bounded list, so pairs are made inside it."""
-    lists = recalls.groupBy("t").agg(F.array_sort(F.collect_set(F.struct("id", "role"))).alias("r"))
-    primary = F.filter("r", lambda x: x["role"] == "primary")
-    related = F.filter("r", lambda x: x["role"] != "primary")
+def bumps(recalls: DataFrame, *keys: str) -> DataFrame:
+    """(a, b, t, alpha) of each pair that a recall (t, id, role) brings up: two primary rows, or a primary and a related one. A recall returns a bounded list, so pairs are made inside it. keys: columns that tell recalls with one t apart."""
+    lists = recalls.groupBy("t", *keys).agg(F.array_sort(F.collect_set(F.struct("id", "role"))).alias("_list"))
+    primary = F.filter("_list", lambda x: x["role"] == "primary")
+    related = F.filter("_list", lambda x: x["role"] != "primary")
     strong = F.flatten(F.transform(primary, lambda x, i: F.transform(F.slice(primary, i + 2, F.size(primary)), lambda y: F.struct(x["id"].alias("x"), y["id"].alias("y"), F.lit(ALPHA_PRIMARY).alias("alpha")))))
     weak = F.flatten(F.transform(primary, lambda x: F.transform(related, lambda y: F.struct(x["id"].alias("x"), y["id"].alias("y"), F.lit(ALPHA_RELATED).alias("alpha")))))
     each = lists.select("t", F.explode(F.concat(strong, weak)).alias("p")).where("p.x <> p.y")
@@ -40,14 +40,30 @@ def _decayed(w: Column, epochs: Column) -> Column:
     return F.when((epochs > 0) & (faded < FLOOR), F.lit(0.0)).otherwise(faded)
 
 
-def decay_fold(bumps_: DataFrame, recalls: Column) -> DataFrame:
-    """(a, b, w) after `recalls` recalls; pairs that were pruned and not met again are gone. A weight that is not touched only falls, so one test at the end of a gap is exact."""
-    per_epoch = bumps_.groupBy("a", "b", F.floor((F.col("t") - 1) / EPOCH).alias("e")).agg(F.sum("alpha").alias("s"))
-    lists = per_epoch.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("e", "s"))).alias("h"))
+def fold_state(bumps_: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """(a, b, w, e): each pair's weight as of e, the epoch in which it was last touched, from the state (a, b, w, e) of earlier bumps and later ones.
+
+    A bump of an epoch before its pair's state counts in the state's epoch. Only the state's
+    pairs and the new bumps are read, so a store folds its tail into a snapshot and never its whole history.
+    """
+    epoch = F.floor((F.col("t") - 1) / EPOCH)
+    rows = bumps_.groupBy("a", "b", epoch.alias("e")).agg(F.sum("alpha").alias("s")).withColumn("had", F.lit(False))
+    if state is not None:
+        rows = rows.unionByName(state.select("a", "b", "e", F.col("w").alias("s"), F.lit(True).alias("had")))
+    lists = rows.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct((~F.col("had")).alias("late"), "e", "s"))).alias("h"))
     start = F.struct(F.lit(0).cast("long").alias("e"), F.lit(0.0).alias("w"))
-    last = F.aggregate("h", start, lambda acc, x: F.struct(x["e"].alias("e"), (_decayed(acc["w"], x["e"] - acc["e"]) + x["s"]).alias("w")))
-    out = lists.select("a", "b", last.alias("z")).select("a", "b", _decayed(F.col("z.w"), F.floor(recalls / EPOCH) - F.col("z.e")).alias("w"))
-    return out.where("w > 0")
+    step = lambda acc, x: F.struct(F.greatest(x["e"], acc["e"]).alias("e"), (_decayed(acc["w"], F.greatest(x["e"] - acc["e"], F.lit(0))) + x["s"]).alias("w"))
+    return lists.select("a", "b", F.aggregate("h", start, step).alias("z")).select("a", "b", "z.w", "z.e")
+
+
+def as_of(state: DataFrame, recalls: Column) -> DataFrame:
+    """(a, b, w, e) of a state after `recalls` recalls, w brought forward; pairs that were pruned by then are gone. A weight that is not touched only falls, so one test at the end of a gap is exact."""
+    return state.select("a", "b", _decayed(F.col("w"), F.floor(recalls / EPOCH) - F.col("e")).alias("now"), "w", "e").where("now > 0").select("a", "b", F.col("now").alias("w"), "e")
+
+
+def decay_fold(bumps_: DataFrame, recalls: Column) -> DataFrame:
+    """(a, b, w) after `recalls` recalls; pairs that were pruned and not met again are gone."""
+    return as_of(fold_state(bumps_), recalls).drop("e")
 
 
 def telemetry(ledger: DataFrame) -> DataFrame:

@@ -191,6 +191,15 @@ fold AS (
   SELECT q.a, q.b, q.e, CASE WHEN f.w * pow(0.95, q.e - f.e) < 0.05 THEN 0 ELSE f.w * pow(0.95, q.e - f.e) END + q.s, q.i, q.n
   FROM fold f JOIN seq q ON q.a = f.a AND q.b = f.b AND q.i = f.i + 1),
 fin AS (SELECT a, b, w * pow(0.95, (SELECT floor(count(*) / 10) FROM orders) - e) AS w, (SELECT floor(count(*) / 10) FROM orders) - e AS g FROM fold WHERE i = n)
+SELECT a, b, round(w, 6) AS w FROM fin WHERE g = 0 OR w >= 0.05""",
+        "ledger_incremental": w(RECALLS) + """, ep AS (SELECT a, b, CAST(floor((t - 1) / 10) AS BIGINT) AS e, sum(alpha) AS s FROM bump GROUP BY ALL),
+seq AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY e) AS i, count(*) OVER (PARTITION BY a, b) AS n FROM ep),
+fold AS (
+  SELECT a, b, e, s AS w, i, n FROM seq WHERE i = 1
+  UNION ALL
+  SELECT q.a, q.b, q.e, CASE WHEN f.w * pow(0.95, q.e - f.e) < 0.05 THEN 0 ELSE f.w * pow(0.95, q.e - f.e) END + q.s, q.i, q.n
+  FROM fold f JOIN seq q ON q.a = f.a AND q.b = f.b AND q.i = f.i + 1),
+fin AS (SELECT a, b, w * pow(0.95, (SELECT floor(count(*) / 10) FROM orders) - e) AS w, (SELECT floor(count(*) / 10) FROM orders) - e AS g FROM fold WHERE i = n)
 SELECT a, b, round(w, 6) AS w FROM fin WHERE g = 0 OR w >= 0.05""",
         "ledger_telemetry": w(RECALLS) + """, r AS (SELECT round(w, 6) AS w FROM w)
 SELECT count(*) AS edges, count(*) FILTER (w < 0.1) AS weak, count(*) FILTER (w >= 0.5) AS strong, max(w) AS max_w, round(avg(w), 6) AS avg_w, min(w) AS min_w FROM r""",
@@ -303,6 +312,24 @@ FROM documents LEFT JOIN (SELECT user_id, count(*) AS n, max(ts) AS last FROM ev
 n AS (SELECT a.vec_id, least(3, count(*)) AS n FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.8 GROUP BY a.vec_id)
 SELECT (SELECT count(*) FROM v) * (SELECT count(*) FROM v) AS pairs, true AS few, CAST(coalesce(sum(n), 0) AS BIGINT) AS edges FROM n""",
         "lsh_recall": "SELECT 3 * count(*) AS pairs, true AS enough FROM documents JOIN embeddings ON vec_id = doc_id",
+        "replayed_saves": rf"""WITH RECURSIVE w0 AS (
+  SELECT c.conv_id, c.turn, vec_id IS NOT NULL AS vec, CASE WHEN (c.conv_id + c.turn) % 5 = 1 THEN 'Now that I moved, ' || c.text WHEN (c.conv_id + c.turn) % 7 = 2 THEN 'I am allergic to ' || c.text
+    WHEN (c.conv_id + c.turn) % 6 = 3 THEN coalesce(f.text, c.text) ELSE c.text END AS said
+  FROM conversations c LEFT JOIN embeddings ON vec_id = c.conv_id LEFT JOIN conversations f ON f.conv_id = c.conv_id AND f.turn = 0),
+w1 AS (SELECT conv_id, turn, vec, regexp_replace(regexp_replace(said, '^\s+', ''), '\s+$', '') AS text FROM w0),
+w AS (SELECT *, regexp_matches(text, '{CUE}') AND vec AS cue, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM w1 WHERE text <> ''),
+fold AS (
+  SELECT conv_id, i, text, 1 AS num, true AS made, CAST(NULL AS BIGINT) AS closes, 1 AS rev, [{{'num': 1, 'text': text, 'rev': 1}}] AS cur, 1 AS n FROM w WHERE i = 1
+  UNION ALL
+  SELECT conv_id, i, text, n + 1, made, CASE WHEN shut THEN cur[1].num END, CASE WHEN shut THEN cur[1].rev + 1 ELSE 1 END,
+    CASE WHEN NOT made THEN cur ELSE list_append(CASE WHEN shut THEN cur[2:] ELSE cur END, {{'num': n + 1, 'text': text, 'rev': CASE WHEN shut THEN cur[1].rev + 1 ELSE 1 END}}) END, n + CASE WHEN made THEN 1 ELSE 0 END
+  FROM (SELECT w.conv_id, w.i, w.text, f.cur, f.n, NOT list_contains(list_transform(f.cur, lambda x: x.text), w.text) AS made,
+          NOT list_contains(list_transform(f.cur, lambda x: x.text), w.text) AND w.cue AND len(f.cur) > 0 AS shut
+        FROM fold f JOIN w ON w.conv_id = f.conv_id AND w.i = f.i + 1)),
+m AS (SELECT * FROM fold WHERE made)
+SELECT CAST(m.conv_id AS VARCHAR) AS store_id, m.conv_id || ':' || m.num AS id, CAST(length(m.text) AS BIGINT) AS n_chars, CASE WHEN m.closes IS NOT NULL THEN m.conv_id || ':' || m.closes END AS supersedes,
+  CASE WHEN b.num IS NOT NULL THEN m.conv_id || ':' || b.num END AS superseded_by, m.rev AS revision, regexp_matches(m.text, '{CONSTRAINT}') AS is_constraint
+FROM m LEFT JOIN m b ON b.conv_id = m.conv_id AND b.closes = m.num""",
         "json_normalize": f"""SELECT CAST(event_id AS VARCHAR) AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created, event_type AS text, 0.0::DOUBLE AS importance, user_id AS access_count,
   1::INTEGER AS revision, 'user_stated' AS source, regexp_matches(event_type, '{CONSTRAINT}') AS is_constraint, false AS deleted FROM events""",
         "next_id": "SELECT greatest(1000, max(doc_id) + 1) AS next_id FROM documents",

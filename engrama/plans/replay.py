@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from engrama.functions.text import has_cue, is_constraint, is_historical, trim
+from engrama.functions.text import is_historical
 from engrama.operators import evaluation, temporal
 from engrama.operators.recall import in_scope, listing
-from engrama.plans import recall_plan
+from engrama.plans import recall_plan, saves
 
 REPLAYED = "store_id string, id string, _pos long, text string, embedding array<double>, valid_from timestamp, valid_to timestamp, last_confirmed timestamp, supersedes string, superseded_by string, revision int, is_constraint boolean, deleted boolean"
 
@@ -21,37 +20,50 @@ def replay(writes: DataFrame, floor: float = temporal.FLOOR) -> DataFrame:
     """Memories (REPLAYED) after the writes (store_id, _pos, text, embedding, at) of many stores, each in the order of _pos.
 
     As for a single save: empty texts are nothing, a current memory with the very text is confirmed, a
-    text that announces a change closes the most similar current memory at or above floor. A store's writes depend on
-    those before, so one task folds them; stores are independent. Ids are store:number, unique over all stores.
+    text that announces a change closes the most similar current memory at or above floor. Only writes that can
+    affect one another are folded in order (saves.resolve()), so one store takes as many tasks as many do. Ids are
+    store:number, unique over all stores.
     """
-    ready = writes.select("store_id", "_pos", trim(F.col("text")).alias("text"), F.col("embedding").cast("array<double>").alias("embedding"), "at")
-    ready = ready.where("text <> ''").withColumns({"cue": has_cue(F.col("text")), "rule": is_constraint(F.col("text"))})
+    nodes = saves.prepared(writes).checkpoint()
+    kept = saves.resolve(nodes, floor).checkpoint()
+    ids = saves.numbered(kept.select("store_id", "seq")).withColumn("id", F.concat_ws(":", "store_id", "number")).checkpoint()
+    other = lambda seq, name: ids.select("store_id", F.col("seq").alias(seq), F.col("id").alias(name))
+    out = kept.join(nodes.select("store_id", "seq", "text", "embedding", "at", "rule"), ["store_id", "seq"]).join(ids, ["store_id", "seq"])
+    out = out.join(other("closes", "supersedes"), ["store_id", "closes"], "left").join(other("closed_by", "superseded_by"), ["store_id", "closed_by"], "left")
+    return out.select(
+        F.col("store_id").cast("string").alias("store_id"), "id", F.col("number").alias("_pos"), "text", "embedding", F.col("at").alias("valid_from"), F.col("closed").alias("valid_to"), F.col("confirmed").alias("last_confirmed"),
+        "supersedes", "superseded_by", "revision", F.col("rule").alias("is_constraint"), F.lit(False).alias("deleted"),
+    )
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: list[dict] = []
-        current: dict[str, int] = {}  # text -> place in rows
-        units: list[np.ndarray | None] = []
-        for w in pdf.sort_values("_pos").itertuples(index=False):
-            if w.text in current:
-                rows[current[w.text]]["last_confirmed"] = w.at
-                continue
-            v = None if w.embedding is None else np.asarray(w.embedding, float)
-            unit = v / n if v is not None and (n := np.sqrt(v @ v)) > 0 else v
-            new = {"store_id": w.store_id, "id": f"{w.store_id}:{len(rows) + 1}", "_pos": len(rows) + 1, "text": w.text, "embedding": None if v is None else v.tolist(), "valid_from": w.at, "valid_to": pd.NaT, "last_confirmed": w.at,
-                   "supersedes": None, "superseded_by": None, "revision": 1, "is_constraint": w.rule, "deleted": False}
-            if w.cue and unit is not None:
-                near = [(float(units[i] @ unit), -i) for i in current.values() if units[i] is not None]
-                if near and max(near)[0] >= floor:
-                    old = rows[-max(near)[1]]
-                    old["valid_to"], old["superseded_by"] = w.at, new["id"]
-                    new["supersedes"], new["revision"] = old["id"], old["revision"] + 1
-                    del current[old["text"]]
-            current[w.text] = len(rows)
-            rows.append(new)
-            units.append(unit)
-        return pd.DataFrame(rows)
 
-    return ready.groupBy("store_id").applyInPandas(fold, REPLAYED)
+def saved(memories: DataFrame, writes: DataFrame, top: int, place: int, floor: float = temporal.FLOOR) -> tuple[DataFrame, DataFrame]:
+    """What saving writes (_pos, text, embedding, at) into a store of memories makes: new rows (MEMORY and _pos), and patches (id and the columns that change) of memories that were there.
+
+    top and place: the greatest number among ids and the greatest _pos so far. A new id is its time in milliseconds, or one more than the greatest before it.
+    """
+    old = in_scope(memories, False).select(F.lit(0).alias("store_id"), (F.col("_pos") - (place + 1)).alias("seq"), "text", "embedding", F.lit(None).cast("timestamp").alias("at"), F.lit(False).alias("cue"), F.lit(False).alias("rule"), F.lit(True).alias("there"), "revision", "id")
+    coming = saves.prepared(writes.select(F.lit(0).alias("store_id"), "_pos", "text", "embedding", "at"))
+    start = coming.agg(F.min("seq")).first()[0] or 0
+    coming = coming.withColumn("seq", F.col("seq") - start).checkpoint()
+    kept = saves.resolve(old.drop("id").unionByName(coming), floor).checkpoint()
+    made = saves.numbered(kept.where("made"))
+    # id i is i + the greatest of (time - place) up to it, found bucket by bucket
+    lead = F.unix_millis("at") - F.col("number")
+    made = made.join(coming.select("store_id", "seq", "text", "embedding", "at", "rule"), ["store_id", "seq"]).withColumns({"_lead": F.greatest(lead, F.lit(top)), "_b": F.floor(F.col("number") / saves.BUCKET)})
+    ahead = made.groupBy("_b").agg(F.max("_lead").alias("_m")).withColumn("_before", F.max("_m").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).select("_b", "_before")
+    upto = F.max("_lead").over(Window.partitionBy("_b").orderBy("number"))
+    made = made.join(ahead, "_b").withColumn("id", (F.greatest(upto, "_before") + F.col("number")).cast("string")).checkpoint()
+    ids = made.select("seq", "id").unionByName(old.select("seq", "id")).checkpoint()
+    other = lambda seq, name: ids.select(F.col("seq").alias(seq), F.col("id").alias(name))
+    none = lambda t: F.lit(None).cast(t)
+    new = made.join(other("closes", "supersedes"), "closes", "left").join(other("closed_by", "superseded_by"), "closed_by", "left")
+    new = new.select(
+        "id", F.col("at").alias("created"), F.coalesce("closed", "at").alias("modified"), "text", "embedding", F.lit(0.0).alias("importance"), F.lit(0).cast("long").alias("access_count"), none("timestamp").alias("last_access"),
+        F.col("at").alias("valid_from"), F.col("closed").alias("valid_to"), F.col("confirmed").alias("last_confirmed"), "superseded_by", "supersedes", F.col("revision").cast("int").alias("revision"),
+        F.lit(False).alias("needs_review"), F.lit("user_stated").alias("source"), F.col("rule").alias("is_constraint"), F.lit(False).alias("deleted"), (F.lit(place) + F.col("number")).cast("long").alias("_pos"),
+    )
+    changed = kept.where("NOT made AND (confirmed IS NOT NULL OR closed IS NOT NULL)").join(old.select("seq", "id"), "seq").join(other("closed_by", "superseded_by"), "closed_by", "left")
+    return new, changed.select("id", F.col("confirmed").alias("last_confirmed"), F.col("closed").alias("valid_to"), F.col("closed").alias("modified"), "superseded_by")
 
 
 def evaluate(cases: DataFrame, writes: DataFrame, options: recall_plan.Options = recall_plan.Options(), prefix: str | None = None) -> DataFrame:

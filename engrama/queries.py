@@ -228,6 +228,16 @@ def ledger_decay_fold(spark, sf):
     return _rounded(_folded(spark, sf), "w")
 
 
+def ledger_incremental(spark, sf):
+    """ledger_decay_fold in three steps, each from the state of the one before and the recalls since."""
+    recalls, orders = _recalls(spark, sf)
+    n, all_, state = orders.count(), ledger.bumps(recalls), None
+    for lo, hi in ((0, n // 3), (n // 3, n // 2), (n // 2, n)):
+        state = ledger.fold_state(all_.where((F.col("t") > lo) & (F.col("t") <= hi)), state)
+        state = ledger.as_of(state, F.lit(hi)).withColumn("e", F.floor(F.lit(hi) / ledger.EPOCH))
+    return _rounded(state.select("a", "b", "w"), "w")
+
+
 def ledger_telemetry(spark, sf):
     return _rounded(ledger.telemetry(ledger.coactivation(ledger.bumps(_recalls(spark, sf)[0])).withColumn("w", F.round("w", 6))), "avg_w")
 
@@ -506,12 +516,15 @@ def lsh_recall(spark, sf):
 
 
 def replayed_saves(spark, sf):
-    """Conversations as stores, turns as saves with the vectors of documents of the same number."""
+    """Conversations as stores, turns as saves with the vectors of documents of the same number. Some turns announce a change, state a rule, or say what the first turn said."""
     from engrama.plans.replay import replay
 
-    conv = _t(spark, sf, "conversations")
+    _set_checkpoints(spark)
+    conv, n = _t(spark, sf, "conversations"), F.col("conv_id") + F.col("turn")
     vec = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("conv_id"), "embedding")
-    writes = conv.join(vec, "conv_id", "left").select(F.col("conv_id").cast("string").alias("store_id"), F.col("turn").alias("_pos"), "text", "embedding", F.timestamp_seconds(F.col("turn").cast("long")).alias("at"))
+    first = conv.where("turn = 0").select("conv_id", F.col("text").alias("first"))
+    text = F.when(n % 5 == 1, F.concat(F.lit("Now that I moved, "), "text")).when(n % 7 == 2, F.concat(F.lit("I am allergic to "), "text")).when(n % 6 == 3, F.coalesce("first", "text")).otherwise(F.col("text"))
+    writes = conv.join(vec, "conv_id", "left").join(first, "conv_id", "left").select(F.col("conv_id").cast("string").alias("store_id"), F.col("turn").alias("_pos"), text.alias("text"), "embedding", F.timestamp_seconds(F.col("turn").cast("long")).alias("at"))
     return replay(writes).select("store_id", "id", F.length("text").cast("long").alias("n_chars"), "supersedes", "superseded_by", "revision", "is_constraint")
 
 
@@ -621,7 +634,7 @@ _QUERIES = (
     cache_misses, session_counts, lsh_neighbours, reconcile, reserved_constraint, applicable_constraints, typed_edges, initial_tiers, visible_memories, session_expiry,
     promotions, store_state, graph_state, strongest_edges, leap_edges, learned_graph, target_ranks, geometry, quality_figures, duplicate_rate, false_supersessions,
     store_growth, latency_p95, ab_table, soak, write_tiers, scored_outputs, repeat_scores, access_consolidate, backfilled, lsh_recall, replayed_saves,
-    cell_edges, cell_rescue, cell_recall, cell_pruning,
+    ledger_incremental, cell_edges, cell_rescue, cell_recall, cell_pruning,
 )
 
 

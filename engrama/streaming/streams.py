@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
 
 from engrama.operators.ledger import BETA, EPOCH, FLOOR
 
@@ -51,16 +52,49 @@ class LedgerProcessor(StatefulProcessor):
         pass
 
 
-def ledger_stream(bumps: DataFrame) -> DataFrame:
-    """(a, b, w, e) of each edge that a batch of bumps (a, b, t, alpha) touches: its weight as of epoch e. Needs the RocksDB state store."""
-    return bumps.groupBy("a", "b").transformWithStateInPandas(LedgerProcessor(), "a string, b string, w double, e long", "Update", "None")
+class FadingLedgerProcessor(LedgerProcessor):
+    """One edge's weight, dropped when it fades. Recalls are the clock: recall t is second t of event time, and a timer waits at the first recall of the epoch in which the weight falls under the floor."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        out = list(super().handleInputRows(key, rows, timers))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        w, e = self.state.get()
+        lasts = next((n for n in range(1, 1 << 12) if w * BETA**n < FLOOR), 1 << 12)
+        self.handle.registerTimer(((e + lasts) * EPOCH + 1) * 1000)
+        yield from out
+
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+        _, e = self.state.get()
+        self.state.clear()
+        yield pd.DataFrame({"a": [key[0]], "b": [key[1]], "w": [0.0], "e": [max(int(e), (expired.getExpiryTimeInMs() // 1000 - 1) // EPOCH)]})
+
+
+def ledger_stream(bumps: DataFrame, prune: bool = False, late: int = 0) -> DataFrame:
+    """(a, b, w, e) of each edge that a batch of bumps (a, b, t, alpha) touches: its weight as of epoch e. Needs the RocksDB state store.
+
+    prune: edges whose weight has faded leave the state, and come out once more with weight 0. Recalls may
+    then arrive at most `late` recalls out of order; later ones are left out.
+    """
+    schema = "a string, b string, w double, e long"
+    if not prune:
+        return bumps.groupBy("a", "b").transformWithStateInPandas(LedgerProcessor(), schema, "Update", "None")
+    clocked = bumps.withColumn("_at", F.timestamp_seconds("t")).withWatermark("_at", f"{late} seconds")
+    return clocked.groupBy("a", "b").transformWithStateInPandas(FadingLedgerProcessor(), schema, "Update", "EventTime")
 
 
 def save_stream(texts: DataFrame, store, checkpoint: str, **trigger):
-    """Saves a stream of texts (at, text) into a store, batch by batch in the order of at; returns the running query. A batch that comes again after a failure confirms what it saved before, as its texts are there already."""
+    """Saves a stream of texts (at, text) into a store, each micro-batch as one entry in the order of at; returns the running query. A batch that comes again after a failure confirms what it saved before, as its texts are there already."""
 
     def save(batch: DataFrame, _: int) -> None:
-        for row in batch.orderBy("at", "text").toLocalIterator():
-            store.save(row["text"], row["at"])
+        day = F.floor(F.unix_micros("at") / 86_400_000_000)
+        rows = batch.where("text IS NOT NULL AND at IS NOT NULL").withColumns({"_d": day, "_i": F.row_number().over(Window.partitionBy(day).orderBy("at", "text"))})
+        # places in the order of time: days are numbered by themselves, then lifted
+        lift = rows.groupBy("_d").agg(F.count("*").alias("_n")).withColumn("_lift", F.sum("_n").over(Window.orderBy("_d")) - F.col("_n")).drop("_n")  # one row per day
+        store.save_set(rows.join(lift, "_d").select((F.col("_lift") + F.col("_i")).alias("_pos"), "text", "at"))
 
     return texts.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -11,7 +11,7 @@ from engrama.plans.replay import evaluate, replay
 from engrama.plans.store import MemoryStore
 from engrama.sources import demo, files
 from engrama.sources.embedding import from_cache
-from engrama.sources.snapshots import Snapshots
+from engrama.sources.snapshots import Conflict, Snapshots
 
 def as_of():
     return F.lit(datetime(2020, 1, 1))
@@ -92,9 +92,96 @@ def test_two_writers_cannot_both_win(spark, tmp_path):
 def test_a_save_appends(spark, tmp_path):
     store = MemoryStore(spark, str(tmp_path / "m"))
     first, second = store.save("I like tea"), store.save("I like mate")
-    assert store.store.version() == 1 and int(second) > int(first)
+    held = store.store.entry()["files"]
+    assert store.store.version() == 2 and len(held) == 2 and held[0] in store.store.entry(1)["files"] and int(second) > int(first)
     assert [r["text"] for r in store.read().orderBy("_pos").collect()] == ["I like tea", "I like mate"]
-    assert store.save("I like tea") == first and store.store.version() == 2 and store.read().count() == 2
+    assert store.save("I like tea") == first and store.store.version() == 3 and store.read().count() == 2
+    assert held[1] in store.store.entry()["files"]  # a confirmation rewrites the one file that holds the memory
+
+
+def test_an_append_is_never_lost_beside_a_commit(spark, tmp_path):
+    """Another save between a writer's read and its commit: the commit fails, and what was saved stays."""
+    root = str(tmp_path / "m")
+    one, two = MemoryStore(spark, root), MemoryStore(spark, root)
+    one.save("fact one")
+    version, rows = one.store.version(), one.read()
+    two.save("fact two")
+    with pytest.raises(Conflict):
+        one.store.commit(rows, version)
+    assert sorted(r["text"] for r in one.read().collect()) == ["fact one", "fact two"]
+
+
+def test_two_saves_at_once_take_two_ids(spark, tmp_path):
+    """The second writer looked before the first one's entry was there; it is told so, looks again and takes the next id and place."""
+    root, t = str(tmp_path / "m"), datetime(2024, 1, 1, tzinfo=timezone.utc)
+    one, two = MemoryStore(spark, root), MemoryStore(spark, root)
+    one.save("a", t)
+    real, put = two.store.append, []
+
+    def late(rows, expected):
+        if not put:
+            put.append(one.save("b", t))
+        return real(rows, expected)
+
+    two.store.append = late
+    two.save("c", t)
+    rows = one.read().orderBy("_pos").collect()
+    assert [r["text"] for r in rows] == ["a", "b", "c"] and len({r["id"] for r in rows}) == len({r["_pos"] for r in rows}) == 3
+
+
+def test_a_patch_rewrites_the_file_that_holds_its_id(spark, tmp_path):
+    store = MemoryStore(spark, str(tmp_path / "m"))
+    rows = [(f"{i:04}", None, None, f"t{i}", None, 0.0, 0, None, None, None, None, None, None, 1, False, "x", False, False, i) for i in range(300)]
+    schema = "id string, created timestamp, modified timestamp, text string, embedding array<double>, importance double, access_count long, last_access timestamp, valid_from timestamp, valid_to timestamp, last_confirmed timestamp, superseded_by string, supersedes string, revision int, needs_review boolean, source string, is_constraint boolean, deleted boolean, _pos long"
+    store.store.commit(spark.createDataFrame(rows, schema).repartitionByRange(30, "id"))
+    before = store.store.entry()["files"]
+    assert len(before) == 30 and sum(f[1] for f in before) == 300
+    assert store.edit("0123", "new") and not store.edit("9999", "x")
+    after = store.store.entry()["files"]
+    assert len(after) == 30 and len([f for f in after if f not in before]) == 1
+    assert store.read().where("id = '0123'").first()["text"] == "new" and store.read().count() == 300
+    assert store.store.compact(5) and len(store.store.entry()["files"]) == 1 and store.read().count() == 300
+    store.store.expire(1)
+    assert store.store.names("versions") == [str(store.store.version())] and store.read().count() == 300
+
+
+def test_an_access_that_lands_during_a_fold_counts_once(spark, tmp_path):
+    root, t = str(tmp_path / "m"), datetime(2024, 1, 1, tzinfo=timezone.utc)
+    store, other = (MemoryStore(spark, root, lambda texts: [[1.0, 0.0] for _ in texts]) for _ in range(2))
+    store.save("I like tea", t)
+    store.recall("tea", now=t)
+    real = store.store.commit
+
+    def slow(rows, version, **notes):
+        other.recall("tea", now=t)  # after the fold has listed the log
+        return real(rows, version, **notes)
+
+    store.store.commit = slow
+    store.consolidate()
+    assert [r["access_count"] for r in store.store.read().collect()] == [1]
+    assert [r["access_count"] for r in store.read().collect()] == [2]
+    store.store.commit = real
+    store.consolidate()
+    store.consolidate()
+    assert [r["access_count"] for r in store.store.read().collect()] == [2] and len(store.store.names("access")) == 0
+
+
+def test_ledger_reads_its_state_and_the_tail_only(spark, tmp_path):
+    """Folded in the middle or not, the weights are the same, and what was folded is not read again."""
+    places = {"q": at2(0), "a": at2(5), "b": at2(10), "c": at2(40)}
+    plain, folded = (MemoryStore(spark, str(tmp_path / n), lambda texts: [places[t] for t in texts], options=Options(field=True, mutual=False)) for n in "pf")
+    t = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    for store in (plain, folded):
+        for x in "abc":
+            store.save(x, t)
+        for i in range(12):
+            store.recall("q", k=2, now=t)
+            if store is folded and i in (3, 9):
+                store.fold_ledger()
+    weights = lambda s: {(r["a"], r["b"]): round(r["w"], 9) for r in s.ledger().collect()}
+    assert weights(plain) == weights(folded) and len(weights(plain)) == 1  # weak pairs have faded at the first epoch
+    assert folded._ledger(folded.store.entry())[2] == folded._logged("recalls", folded.store.entry()["ledger"]["folded"]) and len(folded._ledger(folded.store.entry())[2]) == 2
+    assert len(folded.store.names("recalls")) == 8  # those of the first fold are deleted by the second
 
 
 def test_recall_counts_accesses_once(spark, tmp_path):

@@ -56,3 +56,29 @@ def test_save_stream(spark, tmp_path):
     store = MemoryStore(spark, str(tmp_path / "m"))
     streams.save_stream(texts, store, str(tmp_path / "c")).awaitTermination(120)
     assert [r["text"] for r in store.read().orderBy("_pos").collect()] == ["I like tea", "I like mate"]
+
+
+def test_faded_edges_leave_the_state(spark, tmp_path):
+    """As recalls go on, weak edges fall under the floor: each comes out with weight 0 and its key is dropped; the others stay as the fold has them."""
+    rows = [("a", "b", t, 0.1) for t in range(1, 30)] + [("a", "c", 3, 0.06), ("b", "c", 4, 0.05)]
+    schema = "a string, b string, t long, alpha double"
+    path = tmp_path / "in"
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(path))
+    q = streams.ledger_stream(log, prune=True).writeStream.outputMode("update").format("memory").queryName("fading").start()
+    try:
+        q.processAllAvailable()
+        before = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+        for t in (60, 61, 62):
+            spark.createDataFrame([("a", "b", t, 0.1)], schema).coalesce(1).write.mode("append").parquet(str(path))
+            q.processAllAvailable()
+        after = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    finally:
+        q.stop()
+    got = spark.table("fading").collect()
+    assert {(r["a"], r["b"]) for r in got if r["w"] == 0} == {("a", "c"), ("b", "c")}
+    assert after < before
+    everything = spark.createDataFrame([*rows, *(("a", "b", t, 0.1) for t in (60, 61, 62))], schema)
+    want = ledger.decay_fold(everything, F.lit(62)).collect()
+    assert [(r["a"], r["b"]) for r in want] == [("a", "b")]
+    assert round(max((r["e"], r["w"]) for r in got if r["b"] == "b")[1], 9) == round(want[0]["w"], 9)
