@@ -33,6 +33,8 @@ THRESHOLD = 0.8
 LEAST = 1
 #: Counters for word frequency; words share them by hash.
 SLOTS = 1 << 18
+#: Counters that travel together: an Arrow batch of chunks stays small.
+CHUNK = 1 << 10
 #: Entries whose lists a task compares at once.
 AT_ONCE = 1 << 16
 #: Entries of a word's list that one task may hold; longer lists are cut into parts of half as many.
@@ -99,19 +101,29 @@ def _pieces(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[
             at += n
 
 
-def frequencies(docs: DataFrame, slots: int = SLOTS) -> np.ndarray:
-    """How often words whose hash falls into each slot occur in all texts. Every task counts into one array and hands on the slots that it met; these are added up slot by slot, so no task holds more than `slots` sums, however many tasks there are, and `slots` numbers reach the driver."""
+def frequencies(docs: DataFrame, slots: int = SLOTS, chunk: int = CHUNK) -> np.ndarray:
+    """How often words whose hash falls into each slot occur in all texts. Every task counts into one array, which goes on in chunks; chunks of one place are added up as they stream by, so no task holds more than `slots` sums, however many tasks there are, and `slots` numbers reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(slots, np.int64)
         for _, _, buffer in _pieces(batches):
             total += np.bincount((words(buffer)[2] % np.uint64(slots)).astype(np.int64), minlength=slots)
-        met = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(total[met])], ["slot", "n"])
-
-    counted = docs.select(F.col("text").cast("binary")).mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most `slots` rows
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(0, slots, chunk)), pa.array([total[at : at + chunk].tobytes() for at in range(0, slots, chunk)])], ["at", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                new = np.frombuffer(counts, np.int64)
+                sums[at] = sums[at] + new if at in sums else new
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.tobytes() for x in sums.values()])], ["at", "counts"])
+
+    counted = docs.select(F.col("text").cast("binary")).mapInArrow(count, "at long, counts binary")
     out = np.zeros(slots, np.int64)
-    out[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    for r in counted.repartition("at").mapInArrow(add, "at long, counts binary").toLocalIterator():
+        out[r["at"] : r["at"] + chunk] = np.frombuffer(r["counts"], np.int64)
     return out
 
 
