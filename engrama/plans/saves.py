@@ -65,7 +65,7 @@ def links(nodes: DataFrame, floor: float) -> DataFrame:
                 if a != b:
                     root[max(a, b)] = min(a, b)
                     out.append((int(ms[j]), int(qs[i])))
-        return pd.DataFrame({"store_id": [pdf["store_id"].iloc[0]] * len(out), "a": np.array([x for x, _ in out], np.int64), "b": np.array([x for _, x in out], np.int64)})
+        return pd.DataFrame({"store_id": pd.Series([pdf["store_id"].iloc[0]] * len(out), dtype=pdf["store_id"].dtype if pdf["store_id"].dtype.kind == "i" else object), "a": np.array([x for x, _ in out], np.int64), "b": np.array([x for _, x in out], np.int64)})
 
     near = left.unionByName(right).groupBy("store_id", "q", "m").applyInPandas(meet, f"store_id {nodes.schema['store_id'].dataType.simpleString()}, a long, b long")
     return same.unionByName(near.where("a <> b"))
@@ -92,16 +92,18 @@ def _fold(pdf: pd.DataFrame, floor: float) -> pd.DataFrame:
                 old["closed"], old["closed_by"] = w.at, w.seq
                 row["closes"], row["revision"] = old["seq"], old["revision"] + 1
                 current = {t: i for t, i in current.items() if i != old["seq"]}
-        if w.until != w.at and not w.there:
+        if not w.there:
             row["confirmed"] = w.until
         if not (w.there and w.text in current):  # of memories that say the same the first is confirmed
             current[w.text] = w.seq
         elif unit is not None:
             current[f"\0{w.seq}"] = w.seq
+        if w.there and not pd.isna(w.until):  # a save said the same next
+            rows[current[w.text]]["confirmed"] = w.until
         if unit is not None:
             units[w.seq] = unit
     out = pd.DataFrame(list(rows.values()))
-    return out.astype({"closed_by": "Int64", "closes": "Int64"})
+    return out.astype({"closed_by": "Int64", "closes": "Int64"} | ({} if out["store_id"].dtype.kind == "i" else {"store_id": object}))
 
 
 def resolve(nodes: DataFrame, floor: float) -> DataFrame:

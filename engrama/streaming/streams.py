@@ -68,10 +68,10 @@ class FadingLedgerProcessor(LedgerProcessor):
         self.handle.registerTimer(((e + lasts) * EPOCH + 1) * 1000)
         yield from out
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         _, e = self.state.get()
         self.state.clear()
-        yield pd.DataFrame({"a": [key[0]], "b": [key[1]], "w": [0.0], "e": [max(int(e), (expired.getExpiryTimeInMs() // 1000 - 1) // EPOCH)]})
+        yield pd.DataFrame({"a": [key[0]], "b": [key[1]], "w": [0.0], "e": [max(int(e), (expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1) // EPOCH)]})
 
 
 def ledger_stream(bumps: DataFrame, prune: bool = False, late: int = 0) -> DataFrame:
