@@ -8,8 +8,9 @@ The text is streamed in blocks. A window of places is kept, and as soon as the
 back pointers of all its places that may still be extended meet at one boundary, the ids up to there are
 committed and the places before it dropped. Where no piece that starts earlier
 reaches beyond a place, that place is such a boundary at once (each word's
-start is); otherwise the back pointers are walked every COMMIT places. What stands between two
-boundaries at which all paths meet in any text is remembered, so a word that comes again is committed without another pass.
+start is); otherwise the back pointers are walked as soon as the window is as long as the longest piece, and at every such stretch again.
+A memory is a shortcut beside the pass, and counts its hits: what was committed between two boundaries at which all paths
+meet in any text (word starts, line ends) is remembered, and the pass goes over the stretches in between, all that follow one another at once.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,8 @@ from engrama.llm.shared import without
 MARK = "▁"
 #: Stretches that a worker remembers, and the longest of them.
 MEMORY, STRETCH = 300_000, 48
-#: Places between two walks along the back pointers, and code points of a block of text.
-COMMIT, BLOCK = 64, 1 << 15
+#: Code points of a block of text.
+BLOCK = 1 << 15
 
 # the library writes one replacement character per byte that starts no whole character
 codecs.register_error("one_per_byte", lambda e: ("\ufffd", e.start + 1))
@@ -73,11 +73,10 @@ class Pieces:
         # where no piece runs on, all paths meet: before a mark that follows another character, and around a line end
         meets = all(MARK not in p.lstrip(MARK) for p in self.vocab) and not any("\n" in p for p in self.vocab)
         self.stretches = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if meets else "(?s:.+)")
-        #: neighbours inside some piece; between any others all paths meet, too
-        self.joined = {p[i : i + 2] for p in self.vocab for i in range(len(p) - 1)}
+        self.size = [len(self.name.get(i, "")) for i in range(len(model.pieces))]
         self.apart: dict[tuple[int, int], bool] = {}
-        #: boundaries committed at, and the widest window so far
-        self.commits = self.widest = 0
+        #: boundaries committed at, those of them that a walk along the back pointers found, the widest window so far, and stretches that the memory answered
+        self.commits = self.walks = self.widest = self.hits = 0
         self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
         self.old: dict[str, bytes] = {}
 
@@ -103,7 +102,7 @@ class Pieces:
             self.apart[key] = a < 0 or b < 0 or self.merged(self.name[a] + self.name[b]) == [self.name[a], self.name[b]]
         return self.apart[key]
 
-    def viterbi(self, text: str, commit: int = COMMIT) -> Iterator[int]:
+    def viterbi(self, text: str) -> Iterator[int]:
         """Ids of a text without its mark in front; characters without a piece come as -1 - code point.
 
         Starts are taken in order, so the best path to a start is settled
@@ -113,6 +112,7 @@ class Pieces:
         last: dict[int, int] = {}  # the window: for each place the piece that ends there, and where it starts
         back: dict[int, int] = {}
         base = reach = 0  # all paths run through base; no piece so far ends beyond reach
+        commit = longest
         before, next_walk = None, commit
         for start in range(size):
             if start == reach and start:  # every path that goes on passes here
@@ -147,6 +147,7 @@ class Pieces:
                     live.discard(young := max(live))
                     live.add(back[young])
                 if (meet := live.pop()) > base:
+                    self.walks += 1
                     yield from self.path(last, back, base, meet)
                     self.note(len(last))
                     last, back = ({e: v for e, v in d.items() if e >= meet} for d in (last, back))
@@ -169,23 +170,26 @@ class Pieces:
             end = back[end]
         return out[::-1]
 
-    def ids_of(self, stretch: str) -> bytes:
-        """Ids of a stretch that is not remembered: of its parts between neighbours that no piece joins."""
-        joined, at, out = self.joined, 0, []
-        for i in range(1, len(stretch) + 1):
-            if stretch[i - 1 : i + 1] not in joined or i == len(stretch):
-                part = stretch[at:i]
-                ids = self.known.get(part)
-                if ids is None:
-                    ids = array("i", chain.from_iterable((i,) if i >= 0 else [self.bytes[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")] for i in self.viterbi(part))).tobytes()
-                    if len(part) <= STRETCH:
-                        self.remember(part, ids)
-                out.append(ids)
-                at = i
-        ids = b"".join(out)
-        if len(out) > 1 and len(stretch) <= STRETCH:
-            self.remember(stretch, ids)
-        return ids
+    def passed(self, stretches: list[str]) -> list[bytes]:
+        """Ids of stretches that follow one another and are not remembered, by one pass over all of them."""
+        out: list[bytes] = []
+        ids: list[int] = []
+        at, end, size = 0, len(stretches[0]), self.size
+        for piece in self.viterbi("".join(stretches)):
+            if piece >= 0:
+                ids.append(piece)
+                at += size[piece]
+            else:
+                ids += [self.bytes[b] for b in chr(-1 - piece).encode("utf-8", "surrogatepass")]
+                at += 1
+            if at == end:
+                mine = array("i", ids).tobytes()
+                if len(stretches[len(out)]) <= STRETCH:
+                    self.remember(stretches[len(out)], mine)
+                out.append(mine)
+                ids = []
+                end += len(stretches[len(out)]) if len(out) < len(stretches) else 0
+        return out
 
     def remember(self, stretch: str, ids: bytes) -> None:
         """Two generations: what is not met again while MEMORY / 2 others come in is forgotten."""
@@ -210,19 +214,24 @@ class Pieces:
         """Ids of stretches between boundaries that all paths pass."""
         known = self.known
         try:
-            return b"".join([known[s] for s in stretches])
+            out = [known[s] for s in stretches]
+            self.hits += len(out)
+            return b"".join(out)
         except KeyError:
-            out = []
+            out, new = [], []
             for s in stretches:
                 ids = self.known.get(s)
+                if ids is None and (ids := self.old.get(s)) is not None:
+                    self.remember(s, ids)
                 if ids is None:
-                    ids = self.old.get(s)
-                    if ids is None:
-                        ids = self.ids_of(s)
-                    else:
-                        self.remember(s, ids)
+                    new.append(s)
+                    continue
+                if new:
+                    out += self.passed(new)
+                    new = []
+                self.hits += 1
                 out.append(ids)
-            return b"".join(out)
+            return b"".join([*out, *(self.passed(new) if new else [])])
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.packed(text), np.int32).tolist()
