@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from engrama.functions.text import contains_all, contains_none
+from engrama.operators.knn import ranks_of
+from engrama.operators.lexical import first_holding
 
 
 def score(results: DataFrame) -> DataFrame:
@@ -27,12 +30,10 @@ def with_prefix(cases: DataFrame, prefix: str | None) -> DataFrame:
     return cases if prefix is None else cases.where(F.startswith("id", F.lit(prefix)))
 
 
-def target_rank(ranked: DataFrame, memories: DataFrame, targets: DataFrame) -> DataFrame:
-    """(q_id, id, rank): the first memory (by place) whose text holds a query's target term, whatever the case, and its rank, 0 if it is not among ranked (q_id, rnk, id). targets: q_id, term; a stated set, broadcast."""
-    holds = F.contains(F.lower("text"), F.lower("term"))
-    first = memories.select("id", "_pos", "text").join(F.broadcast(targets), holds).groupBy("q_id").agg(F.min_by("id", "_pos").alias("id"))
-    place = ranked.select("q_id", "id", "rnk")
-    return targets.select("q_id").join(first, "q_id", "left").join(place, ["q_id", "id"], "left").select("q_id", "id", F.coalesce("rnk", F.lit(0)).alias("rank"))
+def target_rank(queries: DataFrame, memories: DataFrame, targets: DataFrame) -> DataFrame:
+    """(q_id, id, rank): the first memory (by place) other than the query itself whose text holds a query's target term, whatever the case, and its exact rank among all memories, by counting; 0 without such a memory. queries: q_id, embedding; targets: q_id, term; both a stated set."""
+    first = first_holding(targets, memories).checkpoint()
+    return ranks_of(queries, memories, first)
 
 
 def quality_figures(ranked: DataFrame, expected: DataFrame, memories: DataFrame, k: int = 5) -> DataFrame:
@@ -60,8 +61,38 @@ def store_growth(writes: DataFrame, every: int = 100) -> DataFrame:
     return writes.groupBy(F.floor(F.col("_pos") / every).alias("block")).agg(F.count("*").alias("writes"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("bytes"))
 
 
+def exact_percentile(values: DataFrame, column: str, q: float, bins: int = 4096) -> float | None:
+    """The exact percentile (linear between neighbours) of a column's values that are neither null nor NaN; None without any.
+
+    Histograms narrow the range in which the value lies: they are merged by bin, so no task holds or sorts
+    the values, and each pass divides what is left into `bins`; a bin of one value ends it.
+    """
+    v = F.col(column).cast("double")
+    rows = values.select(v.alias("v")).where(v.isNotNull() & ~F.isnan(v))
+    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+
+    def at(rank: int) -> float:
+        lo, hi, left = low, high, rank
+        while lo < hi:
+            step = F.least(F.floor((F.col("v") - lo) / F.lit(hi - lo) * bins), F.lit(bins - 1))
+            found = rows.where(F.col("v").between(lo, hi)).groupBy(step.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()  # at most `bins` rows
+            for r in found:
+                if left < r["n"]:
+                    break
+                left -= r["n"]
+            lo, hi = r["lo"], r["hi"]
+        return lo
+
+    place = q * (n - 1)
+    below = at(int(place))
+    return below if place == int(place) else below + (at(int(place) + 1) - below) * (place - int(place))
+
+
 def latency_p95(log: DataFrame, ms: str = "ms") -> DataFrame:
-    return log.agg(F.percentile(ms, F.lit(0.95)).alias("p95"))
+    """(p95): one row, null for an empty log."""
+    return log.sparkSession.createDataFrame([(exact_percentile(log, ms, 0.95),)], "p95 double")
 
 
 def compare(results: DataFrame, a: str, b: str, even: float = 0.02) -> DataFrame:
@@ -74,10 +105,15 @@ def compare(results: DataFrame, a: str, b: str, even: float = 0.02) -> DataFrame
 
 
 def soak(memories: DataFrame, checkpoints: tuple[int, ...] = (100, 250, 500, 1000)) -> DataFrame:
-    """(updates, current, superseded, removed, bytes) of a store (_pos, text, valid_to, deleted) after its first so many writes."""
-    at = memories.select("*", F.explode(F.filter(F.array(*map(F.lit, checkpoints)), lambda c: F.col("_pos") < c)).alias("updates"))
+    """(updates, current, superseded, removed, bytes) of a store (_pos from 0, text, valid_to, deleted) after its first so many writes, and after all of them. Rows are counted between two checkpoints; these few sums then add up."""
+    marks = F.array(*map(F.lit, checkpoints))
+    step = F.size(F.filter(marks, lambda c: c <= F.col("_pos")))
     live, old = ~F.col("deleted"), F.col("valid_to").isNotNull()
-    return at.groupBy("updates").agg(F.count_if(live & ~old).alias("current"), F.count_if(live & old).alias("superseded"), F.count_if(~live).alias("removed"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("bytes"))
+    parts = memories.groupBy(step.alias("s")).agg(F.count_if(live & ~old).alias("current"), F.count_if(live & old).alias("superseded"), F.count_if(~live).alias("removed"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("bytes"), F.max("_pos").alias("last"))
+    upto = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)  # a row per checkpoint
+    end = (F.max("last").over(Window.partitionBy()) + 1).cast("int")
+    sums = parts.select("s", *[F.sum(c).over(upto).alias(c) for c in ("current", "superseded", "removed", "bytes")], end.alias("end"))
+    return sums.select(F.coalesce(F.get(marks, F.col("s")), "end").cast("int").alias("updates"), "current", "superseded", "removed", "bytes")
 
 
 def score_repeat(turns: DataFrame) -> DataFrame:

@@ -112,6 +112,67 @@ def search(queries: DataFrame, memories: DataFrame, k: int, gate: float | None =
     return _ranked(_deal(qs, mem, "_bucket", F.lit(n_q), F.lit(n_m), k, gate), k)
 
 
+def similarities(queries: DataFrame, memories: DataFrame) -> DataFrame:
+    """(q_id, id, _pos, sim) of every memory for each query of a stated set: a whole ranking asks for as many rows. A memory without a vector has similarity 0, and a query does not meet its own id."""
+    rows = queries.where(F.col("embedding").isNotNull()).select(F.col("q_id").cast("string").alias("q_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    if n * width * 8 > FEW_BYTES:
+        raise ValueError("a whole ranking is for queries whose matrix is small")
+    asked = rows.toPandas()  # at most FEW_BYTES
+    names, matrix = asked["q_id"].to_numpy(object), _matrix(asked["embedding"]) if n else np.zeros((0, width))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for lo in range(0, len(whole) if n else 0, STEP):
+                m = whole.iloc[lo : lo + STEP]
+                vectors = _matrix(pd.Series([np.zeros(width) if v is None else v for v in m["embedding"]]))
+                sims, ids = matrix @ vectors.T, m["id"].to_numpy(object)
+                q, i = np.nonzero(names[:, None] != ids[None, :])
+                yield pd.DataFrame({"q_id": names[q], "id": ids[i], "_pos": m["_pos"].to_numpy(np.int64)[i], "sim": sims[q, i]})
+
+    plain = memories.select(F.col("id").cast("string").alias("id"), F.col("_pos").cast("long").alias("_pos"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return plain.mapInPandas(run, "q_id string, id string, _pos long, sim double")
+
+
+def ranking(queries: DataFrame, memories: DataFrame) -> DataFrame:
+    """(q_id, rnk, id, sim): similarities() with the rank of each row, ties by place; no list is cut."""
+    out = similarities(queries, memories).withColumn("rnk", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc(F.round("sim", 12)), "_pos")))
+    return out.select("q_id", "rnk", "id", "sim")
+
+
+def ranks_of(queries: DataFrame, memories: DataFrame, targets: DataFrame) -> DataFrame:
+    """(q_id, id, rank): the exact rank of each query's target (q_id, id) among all memories, by counting those above it (ties by place): nothing is ranked, sorted or cut. 0 where the query has no vector or the target is no memory, or is the query itself."""
+    want = targets.join(memories.select(F.col("id").cast("string").alias("id"), F.col("_pos").cast("long").alias("_pos"), F.col("embedding").cast("array<double>").alias("v")), "id").where("q_id <> id")
+    rows = queries.where(F.col("embedding").isNotNull()).select(F.col("q_id").cast("string").alias("q_id"), F.col("embedding").cast("array<double>").alias("embedding")).join(want, "q_id")
+    n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    blocks = max(1, -(-n * width * 16 // FEW_BYTES))
+    out = None
+    for b in range(blocks):
+        part = rows.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b).select("q_id", "id", "_pos", "embedding", "v").toPandas()  # one block
+        names, own, place = part["q_id"].to_numpy(object), part["id"].to_numpy(object), part["_pos"].to_numpy(np.int64)
+        matrix = _matrix(part["embedding"]) if len(part) else np.zeros((0, width))
+        mark = (matrix * _matrix(pd.Series([np.zeros(width) if v is None else v for v in part["v"]]))).sum(axis=1) if len(part) else np.zeros(0)
+
+        def run(batches: Iterator[pd.DataFrame], names=names, own=own, place=place, matrix=matrix, mark=mark) -> Iterator[pd.DataFrame]:
+            above = np.zeros(len(names), np.int64)
+            for whole in batches:
+                for lo in range(0, len(whole) if len(names) else 0, STEP):
+                    m = whole.iloc[lo : lo + STEP]
+                    ids, pos = m["id"].to_numpy(object), m["_pos"].to_numpy(np.int64)
+                    sims = matrix @ _matrix(pd.Series([np.zeros(width) if v is None else v for v in m["embedding"]])).T
+                    even = np.abs(sims - mark[:, None]) <= 1e-12
+                    ahead = ~even & (sims > mark[:, None]) | even & (pos[None, :] < place[:, None])
+                    ahead &= (ids[None, :] != names[:, None]) & (ids[None, :] != own[:, None])
+                    above += ahead.sum(axis=1)
+            yield pd.DataFrame({"q_id": names, "id": own, "n": above})
+
+        plain = memories.select(F.col("id").cast("string").alias("id"), F.col("_pos").cast("long").alias("_pos"), F.col("embedding").cast("array<double>").alias("embedding"))
+        counted = plain.mapInPandas(run, "q_id string, id string, n long")
+        out = counted if out is None else out.unionByName(counted)
+    ranked = out.groupBy("q_id", "id").agg((F.sum("n") + 1).alias("rank"))
+    return targets.select("q_id", "id").join(ranked, ["q_id", "id"], "left").select("q_id", "id", F.coalesce("rank", F.lit(0)).alias("rank"))
+
+
 def _signs(vectors: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
     """The bucket of each vector in each table: on which side of `bits` random hyperplanes it lies. Fewer tables are the first of more."""
     planes = np.random.default_rng(seed).normal(size=(tables, vectors.shape[1], bits))

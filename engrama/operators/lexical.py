@@ -89,6 +89,29 @@ def ranked(block: list[tuple[str, list[str]]], weights: dict[str, float], share:
     return plain.mapInPandas(run, "q_id string, id string, _pos long, score double")
 
 
+def first_holding(targets: DataFrame, memories: DataFrame, size: int = QUERIES) -> DataFrame:
+    """(q_id, id): for each of a stated set of targets (q_id, term) the first memory by place, other than q_id itself, whose text holds the term, whatever the case; null where none does. One pass per block of targets; an empty term is held by every text."""
+    asked = targets.select(F.col("q_id").cast("string").alias("q_id"), F.lower("term").alias("term"))
+    blocks, out = max(1, -(-asked.count() // size)), None
+    plain = memories.select(F.col("id").cast("string").alias("id"), F.col("_pos").cast("long").alias("_pos"), F.lower("text").alias("text")).where("text IS NOT NULL")
+    for b in range(blocks):
+        block = [(r["q_id"], r["term"]) for r in asked.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b).collect() if r["term"] is not None]  # one block
+
+        def run(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
+            best: dict[str, tuple[int, str]] = {}
+            for m in batches:
+                for id_, pos, text in zip(m["id"], m["_pos"], m["text"], strict=True):
+                    for q, term in block:
+                        if (q not in best or pos < best[q][0]) and q != id_ and term in text:
+                            best[q] = (pos, id_)
+            yield pd.DataFrame({"q_id": pd.Series(list(best), dtype=object), "id": pd.Series([i for _, i in best.values()], dtype=object), "_pos": pd.Series([p for p, _ in best.values()], dtype="int64")})
+
+        found = plain.mapInPandas(run, "q_id string, id string, _pos long")
+        out = found if out is None else out.unionByName(found)
+    first = out.groupBy("q_id").agg(F.min_by("id", "_pos").alias("id"))
+    return asked.select("q_id").join(first, "q_id", "left")
+
+
 def inside(place: dict[str, int]) -> Reader:
     """Words that occur anywhere in the lower-case text, be it inside others; weight 1."""
     lengths = sorted({len(w) for w in place})

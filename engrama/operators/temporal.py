@@ -26,6 +26,29 @@ def as_of(facts: DataFrame, at: Column) -> DataFrame:
     return facts.where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (at < F.col("valid_to"))))
 
 
+def as_of_join(times: DataFrame, facts: DataFrame, key: str, at: str, opened: str, id_: str, span: str = "30 days") -> DataFrame:
+    """times with fact, the facts' row (a struct) that held at each time: the last of the key that opened at or before it (of one time the greatest id_); null where none had.
+
+    Both sides go by (key, period of `span`) and time, so a key's history is cut into periods and no task holds the
+    whole of a key; the fact that a period begins with is the last of the periods before, found among one row each.
+    Null keys and times have no fact, repeated rows are all returned, and columns may have the same names.
+    """
+    period = lambda t: F.floor(F.unix_micros(t.cast("timestamp")) / (F.unix_micros(F.lit("1970-01-01").cast("timestamp") + F.expr(f"INTERVAL {span}")) - F.unix_micros(F.lit("1970-01-01").cast("timestamp"))))
+    fact = facts.select(F.col(key).alias("_k"), F.col(opened).alias("_at"), F.col(id_).alias("_id"), F.struct(*facts.columns).alias("_f")).where("_k IS NOT NULL AND _at IS NOT NULL").withColumn("_p", period(F.col("_at")))
+    ask = times.select(F.col(key).alias("_k"), F.col(at).alias("_at"), F.struct(*times.columns).alias("_t")).withColumn("_p", period(F.col("_at")))
+    known = ask.where("_k IS NOT NULL AND _at IS NOT NULL")
+    lasts = fact.groupBy("_k", "_p").agg(F.max_by("_f", F.struct("_at", "_id")).alias("_l"))
+    periods = lasts.join(known.select("_k", "_p").distinct(), ["_k", "_p"], "full")
+    before = F.last("_l", True).over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # one row per key and period
+    carried = periods.withColumn("_c", before).select("_k", "_p", "_c")
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    both = fact.select("_k", "_p", "_at", "_id", "_f", none(ask, "_t")).unionByName(known.select("_k", "_p", "_at", none(fact, "_id"), none(fact, "_f"), "_t"))
+    order = Window.partitionBy("_k", "_p").orderBy("_at", F.col("_t").isNotNull(), "_id").rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("_h", F.last("_f", True).over(order)).where(F.col("_t").isNotNull()).join(carried, ["_k", "_p"], "left")
+    out = held.select("_t", F.coalesce("_h", "_c").alias("fact")).unionByName(ask.where("_k IS NULL OR _at IS NULL").select("_t", F.lit(None).cast(fact.schema["_f"].dataType).alias("fact")))
+    return out.select(*[F.col("_t")[c].alias(c) for c in times.columns], "fact")
+
+
 def supersession_targets(new: DataFrame, current: DataFrame, floor: float = FLOOR) -> DataFrame:
     """(q_id, id, sim): for each new memory (id, text, embedding) that announces a change, the most similar current one at or above floor; ties go to the earlier."""
     asking = new.where(F.col("embedding").isNotNull() & has_cue(F.col("text"))).select(F.col("id").alias("q_id"), "embedding")

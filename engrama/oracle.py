@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from engrama.queries import PHRASES
+
 MEM = """mem AS (
   SELECT CAST(d.doc_id AS VARCHAR) AS id, d.doc_id AS _pos, d.text, CAST(e.embedding AS DOUBLE[]) AS embedding,
          coalesce(l.toxic, 0) = 1 AS is_constraint, coalesce(l.quality, 1) = 0 AS deleted,
@@ -15,6 +17,10 @@ SIMS = """pairs AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, _pos) AS rnk FROM pairs)"""
 
 
+ALL_RANKED = """all_ranked AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(sim, 12) DESC, _pos) AS rnk
+  FROM (SELECT q_id, id, _pos, coalesce(list_cosine_similarity(qv, embedding), 0) AS sim FROM ask, mem WHERE q_id <> id))"""
+
+
 def edges(k: int, mutual: bool = False, gate: float = 0.25, extra: str = "") -> str:
     """CTEs sims and edge (src, dst, sim, rnk)."""
     score = f"list_cosine_similarity(a.embedding, b.embedding){extra}"
@@ -50,9 +56,21 @@ bump AS (
   FROM item x JOIN item y ON x.t = y.t AND x.id <> y.id AND x.role = 'primary' AND (y.role <> 'primary' OR x.id < y.id)),
 w AS (SELECT a, b, sum(alpha) AS w FROM bump GROUP BY a, b)"""
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def phrased(number: str) -> str:
+    """text behind the phrase of its number, as the queries have it."""
+    return f"CASE {number} % 20 " + " ".join(f"WHEN {i} THEN {quoted(p + ' ')} || text" for i, p in enumerate(PHRASES)) + " ELSE text END"
+
+
+PHRASED_DOCS = f"(SELECT doc_id, {phrased('doc_id')} AS text FROM documents)"
+PHRASED_TURNS = f"(SELECT conv_id, turn, {phrased('(conv_id + turn)')} AS text FROM conversations)"
+
 RESULTS = """res AS (
   SELECT d.doc_id AS id, d.lang AS kind, f.field, CASE WHEN toxic = 1 THEN 'tbr' ELSE 'roc' END AS metric,
-         CASE WHEN f.field THEN quality = 1 OR n_chars > 1000 ELSE quality = 1 END AS pass,
+         CASE WHEN f.field THEN (quality = 1 OR n_chars > 1000) AND n_chars % 10 <> 3 AND (d.lang <> 'es' OR n_chars % 3 <> 0) ELSE quality = 1 END AS pass,
          n_chars > 500 AND (f.field OR quality = 1) AS rescued, CASE WHEN f.field THEN toxic ELSE 0 END AS bled
   FROM labels l JOIN documents d USING (doc_id), (VALUES (false), (true)) f(field))"""
 
@@ -121,7 +139,7 @@ def write_tiers() -> str:
     alone = r"len(string_split_regex(p, '\s+')) >= 4 AND regexp_matches(p, '(?i)\b(is|are|was|were|has|have|likes?|prefers?|needs?|uses?|lives?|works?|owns?)\b') AND NOT regexp_matches(p, '(?i)^(which|that|who|because|so|but|then)\b')"
     refused = " ".join(f"WHEN regexp_matches(text, '{p}') THEN 'Not saved: that looks like {name}. Secrets do not belong in memory.'" for p, name in SECRETS)
     return rf"""WITH base AS (SELECT conv_id, turn, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t0,
-  list_filter(list_transform(string_split_regex(text, '(?i);\s+|,?\s+and also\s+'), lambda p: trim(p)), lambda p: p <> '') AS parts FROM conversations),
+  list_filter(list_transform(string_split_regex(text, '(?i);\s+|,?\s+and also\s+'), lambda p: trim(p)), lambda p: p <> '') AS parts FROM {PHRASED_TURNS}),
 {", ".join(rounds)}
 SELECT conv_id, turn, upper(left({last}, 1)) || substr({last}, 2) AS plain, CASE WHEN len(parts) >= 2 AND len(list_filter(parts, lambda p: {alone})) = len(parts) THEN len(parts) ELSE 1 END AS facts,
   CASE {refused} END AS refusal FROM r7"""
@@ -138,6 +156,10 @@ def oracle_sql() -> dict[str, str]:
         "keyword_fallback": w(MEM) + f""", q AS (SELECT conv_id || ':' || turn AS q_id, {UNIQUE.format(WORDS.format('text'))} AS tok FROM conversations WHERE conv_id % 50 = 0),
 s AS (SELECT q_id, id, _pos, CASE WHEN len(tok) > 0 THEN len(list_filter(tok, lambda t: contains(lower(text), t))) / len(tok) ELSE 0 END AS score FROM q, mem),
 r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, _pos) AS rnk FROM s)
+SELECT q_id, rnk, id, round(score, 6) AS score FROM r WHERE rnk <= 5 AND (score > 0 OR rnk = 1)""",
+        "keyword_indexed": w(MEM) + f""", q AS (SELECT conv_id || ':' || turn AS q_id, {UNIQUE.format(WORDS.format('text'))} AS tok FROM conversations WHERE conv_id % 50 = 0),
+s AS (SELECT q_id, id, _pos, CASE WHEN len(tok) > 0 THEN len(list_filter(tok, lambda t: contains(lower(text), t))) / len(tok) ELSE 0 END AS score FROM q, mem),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, _pos) AS rnk FROM s)
 SELECT q_id, rnk, id, round(score, 6) AS score FROM r WHERE rnk <= 5 AND (score > 0 OR rnk = 1)""",
         "current_scope": w(MEM) + "SELECT id, source FROM mem WHERE NOT deleted AND valid_to IS NULL",
         "active_scope": w(MEM) + "SELECT id, CAST(valid_to AS TIMESTAMP) AS valid_to FROM mem WHERE NOT deleted",
@@ -146,7 +168,10 @@ SELECT q_id, rnk, id, round(score, 6) AS score FROM r WHERE rnk <= 5 AND (score
         "as_of": """SELECT o_orderkey, o_custkey, o_totalprice FROM (
   SELECT *, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to FROM orders)
 WHERE o_orderdate <= TIMESTAMP '1996-06-30' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1996-06-30')""",
-        "classifiers": f"SELECT doc_id, regexp_matches(text, '{CONSTRAINT}') AS is_constraint, regexp_matches(text, '{HISTORY}') AS is_historical, regexp_matches(text, '{CUE}') AS has_cue FROM documents",
+        "as_of_join": """WITH e AS (SELECT event_id, user_id AS o_custkey, make_timestamp(788918400000000 + (epoch_us(ts) - 1704067200000000) * 80) AS moment FROM events),
+c AS (SELECT *, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS until FROM orders)
+SELECT event_id, e.o_custkey, o_orderkey, o_totalprice FROM e LEFT JOIN c ON c.o_custkey = e.o_custkey AND o_orderdate <= moment AND (until IS NULL OR until > moment)""",
+        "classifiers": f"SELECT doc_id, regexp_matches(text, '{CONSTRAINT}') AS is_constraint, regexp_matches(text, '{HISTORY}') AS is_historical, regexp_matches(text, '{CUE}') AS has_cue FROM {PHRASED_DOCS}",
         "supersede_cue": f"SELECT conv_id, turn, role FROM conversations WHERE regexp_matches(text, '{CUE}')",
         "supersede_argmax": w(MEM) + f""", s AS (SELECT n.id AS q_id, c.id, c._pos, list_cosine_similarity(n.embedding, c.embedding) AS sim
   FROM vec n JOIN vec c ON n.id <> c.id AND NOT c.deleted AND c.valid_to IS NULL WHERE regexp_matches(n.text, '{CUE}'))
@@ -241,11 +266,12 @@ FROM (SELECT *, {IMPORTANCE.format(n='quality', half=30)} AS s FROM documents JO
   CASE WHEN regexp_matches(text, '\b[0-9]{13,16}\b') THEN 'what looks like a card number' END, CASE WHEN regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') THEN 'a private key' END,
   CASE WHEN regexp_matches(text, '(?i)\b(password|passwd|secret|token)\s*[:=]\s*\S{6,}') THEN 'a credential' END], lambda x: x IS NOT NULL), ',') AS secrets FROM documents""",
         "subject_overlap": f"""SELECT conv_id, turn, round({OVERLAP.format('text', 'prev')}, 6) AS overlap, {CHANGED.format('text', 'prev')} AS changed, {SCORE.format('text', 'prev')} AS score
-FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) WHERE prev IS NOT NULL""",
-        "reconcile": w(MEM) + f""", s AS (SELECT n.id AS q_id, c.id, c.text AS old, list_cosine_similarity(n.embedding, c.embedding) AS sim, c._pos
-  FROM vec n JOIN vec c ON n.id <> c.id AND NOT c.deleted AND c.valid_to IS NULL WHERE n._pos % 50 = 0),
-t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, _pos) AS r FROM s WHERE sim >= 0.3) WHERE r = 1),
-u AS (SELECT m.id AS q_id, t.id, t.sim, CASE WHEN t.sim < 0.45 THEN {SCORE.format('m.text', 't.old')} END AS score FROM mem m LEFT JOIN t ON t.q_id = m.id WHERE m._pos % 50 = 0)
+FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 20 < 10 THEN string_split(text, '.')[1] ELSE text END AS text FROM {PHRASED_TURNS})) WHERE prev IS NOT NULL""",
+        "reconcile": w(MEM) + f""", told AS (SELECT * REPLACE (CASE WHEN _pos % 150 = 0 THEN {quoted(PHRASES[2])} WHEN _pos % 150 = 50 THEN {quoted(PHRASES[3])} WHEN _pos % 3 = 1 THEN {quoted(PHRASES[4])} WHEN _pos % 3 = 2 THEN {quoted(PHRASES[3])} ELSE text END AS text) FROM mem),
+s AS (SELECT n.id AS q_id, c.id, c.text AS old, list_cosine_similarity(n.embedding, c.embedding) AS sim, c._pos
+  FROM (SELECT * FROM told WHERE embedding IS NOT NULL) n JOIN (SELECT * FROM told WHERE embedding IS NOT NULL) c ON n.id <> c.id AND NOT c.deleted AND c.valid_to IS NULL WHERE n._pos % 50 = 0),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, _pos) AS r FROM s WHERE sim >= 0.15) WHERE r = 1),
+u AS (SELECT m.id AS q_id, t.id, t.sim, CASE WHEN t.sim < 0.45 THEN {SCORE.format('m.text', 't.old')} END AS score FROM told m LEFT JOIN t ON t.q_id = m.id WHERE m._pos % 50 = 0)
 SELECT q_id, id, CASE WHEN sim >= 0.45 THEN 'duplicate' WHEN score >= 0.7 THEN 'supersede' ELSE 'store' END AS action, CASE WHEN score >= 0.7 THEN score END AS confidence,
   coalesce(score >= 0.4 AND score < 0.7, false) AS needs_review FROM u""",
         "reserved_constraint": w(MEM, SIMS) + """, seat AS (
@@ -263,9 +289,9 @@ res AS (SELECT id, via, max(sim) AS w FROM (SELECT *, row_number() OVER (PARTITI
 ch AS (SELECT CAST(o_orderkey AS VARCHAR) AS src, CAST(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS VARCHAR) AS dst FROM orders)
 SELECT src, dst, 'semantic' AS type, round(sim, 6) AS w FROM edge UNION ALL SELECT a, b, 'co_activation', round(w, 6) FROM w UNION ALL SELECT b, a, 'co_activation', round(w, 6) FROM w
 UNION ALL SELECT src, dst, 'supersession', 1.0 FROM ch WHERE dst IS NOT NULL UNION ALL SELECT id, via, 'constraint_bridge', round(w, 6) FROM res""",
-        "initial_tiers": f"SELECT doc_id, CASE WHEN regexp_matches(text, '{DURABLE}') THEN 'long_term' WHEN regexp_matches(text, '{TRANSIENT}') THEN 'session' ELSE 'long_term' END AS tier FROM documents",
+        "initial_tiers": f"SELECT doc_id, CASE WHEN regexp_matches(text, '{DURABLE}') THEN 'long_term' WHEN regexp_matches(text, '{TRANSIENT}') THEN 'session' ELSE 'long_term' END AS tier FROM {PHRASED_DOCS}",
         "visible_memories": w(MEM) + "SELECT id, CASE WHEN _pos % 2 = 0 THEN 'session' ELSE 'long_term' END AS tier FROM mem WHERE lang = 'en' AND (_pos % 2 = 1 OR source = 'src0')",
-        "session_expiry": """WITH s AS (SELECT doc_id, source, max(ts) AS t FROM documents JOIN events ON user_id = doc_id GROUP BY doc_id, source)
+        "session_expiry": """WITH s AS (SELECT doc_id, source, min(ts) + INTERVAL 1 DAY * CAST(doc_id % 15 AS INTEGER) AS t FROM documents JOIN events ON user_id = doc_id GROUP BY doc_id, source)
 SELECT CAST(doc_id AS VARCHAR) AS id, true AS deleted, 'session_expired' AS delete_reason FROM s
 WHERE doc_id % 2 = 0 AND source IS DISTINCT FROM 'src0' AND epoch((SELECT max(t) FROM s)) // 1 - epoch(t) // 1 > 7 * 86400""",
         "promotions": w(MEM) + """, m AS (SELECT * FROM vec WHERE _pos % 2 = 0), near AS (SELECT a.id AS x, b.id AS y FROM m a JOIN m b ON list_cosine_similarity(a.embedding, b.embedding) >= 0.4),
@@ -279,10 +305,10 @@ SELECT id, CASE WHEN r = 1 THEN 'long_term' END AS tier, CASE WHEN r = 1 THEN 's
         "strongest_edges": w(MEM, RECALLS) + BESIDE + "SELECT * FROM beside ORDER BY w DESC, a, b LIMIT 5",
         "leap_edges": w(MEM, RECALLS) + BESIDE + "SELECT * FROM beside WHERE cos < 0.55 ORDER BY w DESC, a, b LIMIT 5",
         "learned_graph": w(LIVE, RECALLS, edges(3, extra=" + coalesce(0.3 * tanh(w.w), 0)"), GRAPH) + "SELECT g.a, g.b, g.w, coalesce(round(w.w, 4), 0.0) AS learned FROM graph g LEFT JOIN w ON w.a = g.a AND w.b = g.b",
-        "target_ranks": w(MEM, SIMS, TARGETS) + """, f AS (SELECT q_id, arg_min(id, _pos) AS id FROM target JOIN mem ON contains(lower(text), lower(term)) GROUP BY q_id)
-SELECT q_id, f.id, coalesce(CASE WHEN rnk <= 15 THEN rnk END, 0) AS rank FROM target LEFT JOIN f USING (q_id) LEFT JOIN ranked USING (q_id, id)""",
-        "geometry": w(MEM, SIMS, edges(2), NEAR1, TARGETS) + """, r AS (
-  SELECT q_id, 'rank' AS part, rnk, id, sim FROM ranked WHERE rnk <= 15
+        "target_ranks": w(MEM, ALL_RANKED, TARGETS) + """, f AS (SELECT q_id, arg_min(id, _pos) AS id FROM target JOIN mem ON contains(lower(text), lower(term)) AND q_id <> id GROUP BY q_id)
+SELECT q_id, f.id, coalesce(rnk, 0) AS rank FROM target LEFT JOIN f USING (q_id) LEFT JOIN all_ranked USING (q_id, id)""",
+        "geometry": w(MEM, ALL_RANKED, SIMS, edges(2), NEAR1, TARGETS) + """, r AS (
+  SELECT q_id, 'rank' AS part, rnk, id, sim FROM all_ranked
   UNION ALL SELECT * FROM (SELECT q_id, 'near', row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, sr, er) AS rnk, id, sim FROM first1) WHERE rnk <= 4)
 SELECT q_id, part, rnk, r.id, round(sim, 6) AS sim, coalesce(contains(lower(m.text), lower(term)), false) AS is_target FROM r JOIN mem m ON m.id = r.id JOIN target USING (q_id)""",
         "quality_figures": w(MEM, SIMS) + """, want AS (SELECT q_id, id FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, _pos) AS r FROM pairs WHERE NOT deleted AND valid_to IS NULL) WHERE r = 1)
@@ -296,10 +322,10 @@ SELECT (SELECT count(*) FROM vec) AS memories, duplicated, round(duplicated / (S
         "ab_table": w(RESULTS) + """, r AS (SELECT coalesce(kind, 'all') AS kind, avg(CASE WHEN pass THEN 1.0 ELSE 0 END) FILTER (NOT field) AS a, avg(CASE WHEN pass THEN 1.0 ELSE 0 END) FILTER (field) AS b FROM res GROUP BY GROUPING SETS ((kind), ()))
 SELECT kind, round(a, 6) AS a, round(b, 6) AS b, round(b - a, 6) AS delta, CASE WHEN b - a > 0.02 THEN 'better' WHEN b - a < -0.02 THEN 'worse' ELSE 'even' END AS mark FROM r""",
         "soak": w(MEM) + """SELECT CAST(c AS INTEGER) AS updates, count(*) FILTER (NOT deleted AND valid_to IS NULL) AS current, count(*) FILTER (NOT deleted AND valid_to IS NOT NULL) AS superseded, count(*) FILTER (deleted) AS removed, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS bytes
-FROM mem, (VALUES (100), (250), (500), (1000)) k(c) WHERE _pos < c GROUP BY c""",
+FROM mem, (SELECT DISTINCT least(c, (SELECT max(_pos) + 1 FROM mem)) AS c FROM (VALUES (100), (250), (500), (1000), (1000000000000)) k(c)) WHERE _pos < c GROUP BY c""",
         "write_tiers": write_tiers(),
         "scored_outputs": """SELECT conv_id, turn, h AND n AND NOT s AS pass, array_to_string(list_filter([CASE WHEN NOT h THEN 'missing ["the"]' END, CASE WHEN NOT n THEN 'surfaced excluded ["and"]' END, CASE WHEN s THEN 'drew on a superseded fact' END], lambda x: x IS NOT NULL), '; ') AS reasons,
-  CASE WHEN h THEN 1 END AS first_hit_turn FROM (SELECT conv_id, turn, contains(lower(coalesce(text, '')), 'the') AS h, NOT contains(lower(coalesce(text, '')), 'and') AS n, contains(lower(coalesce(text, '')), 'no longer current') AS s FROM conversations)""",
+  CASE WHEN h THEN 1 END AS first_hit_turn FROM (SELECT conv_id, turn, contains(lower(coalesce(text, '')), 'the') AS h, NOT contains(lower(coalesce(text, '')), 'and') AS n, contains(lower(coalesce(text, '')), 'no longer current') AS s FROM """ + PHRASED_TURNS + ")",
         "repeat_scores": """WITH t AS (SELECT conv_id, turn + 1 AS turn, contains(lower(text), 'the') AS hit, CASE turn % 3 WHEN 0 THEN true WHEN 1 THEN false END AS want FROM conversations)
 SELECT conv_id AS case_id, CASE WHEN count(want) > 0 THEN bool_and(coalesce(hit = want, true)) ELSE arg_max(hit, turn) END AS pass, min(CASE WHEN hit THEN turn END) AS first_hit_turn FROM t GROUP BY conv_id""",
         "access_consolidate": """SELECT CAST(doc_id AS VARCHAR) AS id, 2 * coalesce(n, 0)::DOUBLE AS importance, CAST(2 * coalesce(n, 0) AS BIGINT) AS access_count, last AS last_access

@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 from engrama.functions.text import content_hash, contains_all, contains_none, has_cue, is_constraint, is_historical, snippet, tokens
 from engrama.functions.vector import bonus, cosine
-from engrama.operators import cells, evaluation, extras, graph, ledger, recall, scoping, temporal, views
-from engrama.operators.knn import lsh_search, search
+from engrama.operators import cells, evaluation, extras, grams, graph, ledger, recall, scoping, temporal, views
+from engrama.operators.knn import lsh_search, ranking, search
 from engrama.schema import normalise
 
 GATE = 0.25
@@ -71,6 +71,13 @@ def keyword_fallback(spark, sf):
     return _rounded(recall.keyword_recall(asks, memories(spark, sf)), "score")
 
 
+def keyword_indexed(spark, sf):
+    """keyword_fallback by postings of grams, which are written once."""
+    _set_checkpoints(spark)
+    mem = memories(spark, sf).select("id", "_pos", "text")
+    return _rounded(grams.keyword_recall(_turns_asking(spark, sf), mem, grams.build(mem).checkpoint(), recall.RETURNED), "score")
+
+
 def current_scope(spark, sf):
     return recall.in_scope(memories(spark, sf), False).select("id", "source")
 
@@ -91,9 +98,39 @@ def as_of(spark, sf):
     return temporal.as_of(_chains(spark, sf), F.lit("1996-06-30").cast("timestamp")).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+#: What some rows say before their own text, by a number of theirs modulo 20, so that every branch of the operators on texts occurs.
+PHRASES = (
+    "I am allergic to nuts and never eat dairy.", "Where did I live back then, and what was my old job?", "Actually I moved, the gate code is 12.", "The gate code is 12.", "The gate code is 9.",
+    "Right now debugging the build.", "I always prefer tea.", "My password: hunter2hunter2", "Please remember that the cat is on the mat; the dog is in the old house", "It is no longer current.",
+)
+
+
+def _phrased(number, text):
+    """text behind the phrase of its number."""
+    out = F.when(number % 20 == 0, F.concat(F.lit(PHRASES[0] + " "), text))
+    for i, phrase in enumerate(PHRASES[1:], 1):
+        out = out.when(number % 20 == i, F.concat(F.lit(phrase + " "), text))
+    return out.otherwise(text)
+
+
+def _said(spark, sf):
+    """conversations with phrases in some turns."""
+    conv = _t(spark, sf, "conversations")
+    return conv.withColumn("text", _phrased(F.col("conv_id") + F.col("turn"), F.col("text")))
+
+
+def as_of_join(spark, sf):
+    """The order of a customer of the same number that was their last at each event's time, moved to the orders' years."""
+    at = F.timestamp_micros(F.lit(788918400000000) + (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)) * 80)
+    times = _t(spark, sf, "events").select("event_id", F.col("user_id").alias("o_custkey"), at.alias("at"))
+    orders = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("o_orderdate"), "o_totalprice")
+    out = temporal.as_of_join(times, orders, "o_custkey", "at", "o_orderdate", "o_orderkey")
+    return out.select("event_id", "o_custkey", F.col("fact.o_orderkey").alias("o_orderkey"), F.col("fact.o_totalprice").alias("o_totalprice"))
+
+
 def classifiers(spark, sf):
     text = F.col("text")
-    return _t(spark, sf, "documents").select("doc_id", is_constraint(text).alias("is_constraint"), is_historical(text).alias("is_historical"), has_cue(text).alias("has_cue"))
+    return _t(spark, sf, "documents").withColumn("text", _phrased(F.col("doc_id"), F.col("text"))).select("doc_id", is_constraint(text).alias("is_constraint"), is_historical(text).alias("is_historical"), has_cue(text).alias("has_cue"))
 
 
 def supersede_cue(spark, sf):
@@ -264,7 +301,7 @@ def _results(spark, sf):
     both = lab.withColumn("field", F.explode(F.array(F.lit(False), F.lit(True))))
     return both.select(
         F.col("doc_id").alias("id"), F.col("lang").alias("kind"), "field", F.when(F.col("toxic") == 1, "tbr").otherwise("roc").alias("metric"),
-        F.when(F.col("field"), (F.col("quality") == 1) | (F.col("n_chars") > 1000)).otherwise(F.col("quality") == 1).alias("pass"),
+        F.when(F.col("field"), ((F.col("quality") == 1) | (F.col("n_chars") > 1000)) & (F.col("n_chars") % 10 != 3) & ((F.col("lang") != "es") | (F.col("n_chars") % 3 != 0))).otherwise(F.col("quality") == 1).alias("pass"),
         ((F.col("n_chars") > 500) & (F.col("field") | (F.col("quality") == 1))).alias("rescued"),
         F.when(F.col("field"), F.col("toxic")).otherwise(0).alias("bled"),
     )
@@ -333,7 +370,7 @@ def secret_guard(spark, sf):
 
 def _turn_pairs(spark, sf):
     last = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return _t(spark, sf, "conversations").select("conv_id", "turn", "text", last.alias("before")).where("before IS NOT NULL")
+    return _said(spark, sf).withColumn("text", F.when((F.col("conv_id") + F.col("turn")) % 20 < 10, F.substring_index("text", ".", 1)).otherwise(F.col("text"))).select("conv_id", "turn", "text", last.alias("before")).where("before IS NOT NULL")
 
 
 def subject_overlap(spark, sf):
@@ -343,9 +380,11 @@ def subject_overlap(spark, sf):
 
 
 def reconcile(spark, sf):
-    """Memories that ask against the current ones; bands that fit the test vectors."""
+    """Memories that ask against the current ones; bands that fit the test vectors. Those that ask speak of a code, against which half of the others speak."""
     mem = memories(spark, sf)
-    return extras.reconcile(mem.where("_pos % 50 = 0"), recall.in_scope(mem, False), 0.3, 0.45)
+    said = F.when(F.col("_pos") % 150 == 0, PHRASES[2]).when(F.col("_pos") % 150 == 50, PHRASES[3]).when(F.col("_pos") % 3 == 1, PHRASES[4]).when(F.col("_pos") % 3 == 2, PHRASES[3])
+    mem = mem.withColumn("text", F.coalesce(said, "text"))
+    return extras.reconcile(mem.where("_pos % 50 = 0"), recall.in_scope(mem, False), 0.15, 0.45)
 
 
 def reserved_constraint(spark, sf):
@@ -368,7 +407,7 @@ def typed_edges(spark, sf):
 
 
 def initial_tiers(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", scoping.initial_tier(F.col("text")).alias("tier"))
+    return _t(spark, sf, "documents").select("doc_id", scoping.initial_tier(_phrased(F.col("doc_id"), F.col("text"))).alias("tier"))
 
 
 def _scoped(spark, sf):
@@ -381,8 +420,8 @@ def visible_memories(spark, sf):
 
 
 def session_expiry(spark, sf):
-    """Passing memories, last confirmed when their user was last seen."""
-    seen = _t(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("id")).agg(F.max("ts").alias("last_confirmed"))
+    """Passing memories, last confirmed when their user was first seen, all within some days of the earliest."""
+    seen = _t(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("id")).agg((F.min("ts") + F.expr("INTERVAL 1 DAY") * (F.col("id").cast("int") % 15)).alias("last_confirmed"))
     mem = _scoped(spark, sf).join(seen, "id").withColumn("created", F.col("last_confirmed"))
     latest = mem.agg(F.max("last_confirmed")).first()[0]
     return scoping.expired_sessions(mem, F.lit(latest), "src0")
@@ -427,12 +466,13 @@ def _targets(spark, sf):
 
 def target_ranks(spark, sf):
     mem = memories(spark, sf)
-    return evaluation.target_rank(search(_asking(mem), mem, 15), mem, _targets(spark, sf))
+    _set_checkpoints(spark)
+    return evaluation.target_rank(_asking(mem), mem, _targets(spark, sf))
 
 
 def geometry(spark, sf):
     mem = memories(spark, sf)
-    ranked = search(_asking(mem), mem, 15)
+    ranked = ranking(_asking(mem), mem)
     return _rounded(views.geometry(_asking(mem), mem, graph.edges(mem, 2, GATE), _targets(spark, sf), ranked))
 
 
@@ -474,12 +514,12 @@ def soak(spark, sf):
 def write_tiers(spark, sf):
     """What a save does to a text before it is stored."""
     text = F.col("text")
-    return _t(spark, sf, "conversations").select("conv_id", "turn", extras.strip_filler(text).alias("plain"), F.size(extras.split_facts(text)).cast("long").alias("facts"), extras.refusal(text).alias("refusal"))
+    return _said(spark, sf).select("conv_id", "turn", extras.strip_filler(text).alias("plain"), F.size(extras.split_facts(text)).cast("long").alias("facts"), extras.refusal(text).alias("refusal"))
 
 
 def scored_outputs(spark, sf):
     """Texts as outputs of single cases."""
-    cases = _t(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("output"), F.array(F.lit("the")).alias("contains"), F.array(F.lit("and")).alias("excludes"), F.lit(True).alias("current_only"))
+    cases = _said(spark, sf).select("conv_id", "turn", F.col("text").alias("output"), F.array(F.lit("the")).alias("contains"), F.array(F.lit("and")).alias("excludes"), F.lit(True).alias("current_only"))
     return evaluation.score(cases).select("conv_id", "turn", "pass", F.array_join("reasons", "; ").alias("reasons"), "first_hit_turn")
 
 
@@ -634,7 +674,7 @@ _QUERIES = (
     cache_misses, session_counts, lsh_neighbours, reconcile, reserved_constraint, applicable_constraints, typed_edges, initial_tiers, visible_memories, session_expiry,
     promotions, store_state, graph_state, strongest_edges, leap_edges, learned_graph, target_ranks, geometry, quality_figures, duplicate_rate, false_supersessions,
     store_growth, latency_p95, ab_table, soak, write_tiers, scored_outputs, repeat_scores, access_consolidate, backfilled, lsh_recall, replayed_saves,
-    ledger_incremental, cell_edges, cell_rescue, cell_recall, cell_pruning,
+    as_of_join, keyword_indexed, ledger_incremental, cell_edges, cell_rescue, cell_recall, cell_pruning,
 )
 
 
