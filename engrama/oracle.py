@@ -230,7 +230,7 @@ SELECT a, b, round(w, 6) AS w FROM fin WHERE g = 0 OR w >= 0.05""",
 SELECT count(*) AS edges, count(*) FILTER (w < 0.1) AS weak, count(*) FILTER (w >= 0.5) AS strong, max(w) AS max_w, round(avg(w), 6) AS avg_w, min(w) AS min_w FROM r""",
         "learned_bonus": w(RECALLS) + "SELECT a, b, round(0.3 * tanh(w), 6) AS bonus FROM w",
         "hebbian_edges": w(MEM, RECALLS, edges(2, extra=" + coalesce(0.3 * tanh(w.w), 0)")) + "SELECT src, dst, round(sim, 6) AS sim, rnk FROM edge",
-        "timescale_probe": """WITH p(pair, cos) AS (VALUES ('a', 0.530::DOUBLE), ('b', 0.466), ('c', 0.25), ('d', 0.6)),
+        "timescale_probe": w(MEM, edges(2)) + """, p AS (SELECT src || '-' || dst AS pair, round(sim, 6) AS cos FROM edge),
 l AS (SELECT pair, cos, (SELECT min(n) FROM range(1, 61) r(n) WHERE cos + 0.3 * tanh(n * 0.1) >= 0.55) AS learn FROM p)
 SELECT pair, cos, CAST(learn AS INTEGER) AS learn, CAST(10 * (SELECT min(n) FROM range(1, 501) r(n)
   WHERE cos + 0.3 * tanh(CASE WHEN learn * 0.1 * pow(0.95, n) < 0.05 THEN 0 ELSE learn * 0.1 * pow(0.95, n) END) < 0.55) AS INTEGER) AS forget FROM l""",
@@ -246,6 +246,8 @@ FROM res a JOIN res b ON a.id = b.id AND NOT a.field AND b.field WHERE a.pass <>
         "first_hit_turn": """SELECT conv_id AS case_id, arg_max(contains(lower(text), 'the'), turn) AS pass,
   min(CASE WHEN contains(lower(text), 'the') THEN turn + 1 END) AS first_hit_turn FROM conversations GROUP BY conv_id""",
         "bm25_topk": w(MEM, BM25) + """SELECT q_id, rnk, id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, _pos) AS rnk FROM sc) WHERE rnk <= 10""",
+        "bm25_pruned": w(MEM, BM25) + """SELECT q_id, rnk, id, round(score, 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, _pos) AS rnk FROM sc) WHERE rnk <= 10""",
         "rrf_fuse": w(MEM, SIMS) + """, arms AS (
   SELECT q_id, id, rnk FROM ranked WHERE rnk <= 15 UNION ALL

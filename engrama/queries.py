@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from engrama.functions.text import content_hash, contains_all, contains_none, has_cue, is_constraint, is_historical, snippet, tokens
 from engrama.functions.vector import bonus, cosine
-from engrama.operators import cells, evaluation, extras, grams, graph, ledger, recall, scoping, temporal, views
+from engrama.operators import cells, evaluation, extras, grams, graph, ledger, postings, recall, scoping, temporal, views
 from engrama.operators.knn import lsh_search, ranking, search
 from engrama.schema import normalise
 
@@ -291,8 +291,9 @@ def hebbian_edges(spark, sf):
 
 
 def timescale_probe(spark, sf):
-    pairs = spark.createDataFrame([("a", 0.530), ("b", 0.466), ("c", 0.25), ("d", 0.6)], "pair string, cos double")
-    return ledger.timescale(pairs)
+    """How many joint recalls lift each edge over the usual gate, and how many without it take it under again."""
+    near = graph.edges(memories(spark, sf), 2, GATE)
+    return ledger.timescale(near.select(F.concat_ws("-", "src", "dst").alias("pair"), F.round("sim", 6).alias("cos")))
 
 
 def _results(spark, sf):
@@ -331,6 +332,14 @@ def bm25_topk(spark, sf):
     return _rounded(extras.bm25(asks, memories(spark, sf).select("id", "_pos", "text"), 10), "score")
 
 
+def bm25_pruned(spark, sf):
+    """bm25_topk from block-max postings."""
+    _set_checkpoints(spark)
+    mem = memories(spark, sf).select("id", "_pos", "text")
+    held, stats = postings.build(mem, 128)
+    return _rounded(postings.search(_turns_asking(spark, sf), mem, held.checkpoint(), stats, 10), "score")
+
+
 def rrf_fuse(spark, sf):
     mem = memories(spark, sf)
     arms = [search(_asking(mem), mem, 15), search(_asking(mem), recall.in_scope(mem, False), 15)]
@@ -646,9 +655,8 @@ def cell_pruning(spark, sf):
     """Of all pairs of clustered vectors, whether less than a quarter is compared for a gate of 0.8, and how many edges there are."""
     mem = clustered(spark, sf)
     index, asks = cells.fit(mem), mem.select(F.col("id").alias("q_id"), "embedding")
-    n = graph.edges(mem, 3, 0.8, index=index).agg(F.count("*").alias("edges"))
-    few = cells.compared(asks, mem, 0.8, index).select("pairs", (4 * F.col("compared") < F.col("pairs")).alias("few"))
-    return few.join(F.broadcast(n))  # one row each
+    n = graph.edges(mem, 3, 0.8, index=index).count()
+    return cells.compared(asks, mem, 0.8, index).select("pairs", (4 * F.col("compared") < F.col("pairs")).alias("few"), F.lit(n).cast("long").alias("edges"))
 
 
 def lsh_neighbours(spark, sf):
@@ -674,7 +682,7 @@ _QUERIES = (
     cache_misses, session_counts, lsh_neighbours, reconcile, reserved_constraint, applicable_constraints, typed_edges, initial_tiers, visible_memories, session_expiry,
     promotions, store_state, graph_state, strongest_edges, leap_edges, learned_graph, target_ranks, geometry, quality_figures, duplicate_rate, false_supersessions,
     store_growth, latency_p95, ab_table, soak, write_tiers, scored_outputs, repeat_scores, access_consolidate, backfilled, lsh_recall, replayed_saves,
-    as_of_join, keyword_indexed, ledger_incremental, cell_edges, cell_rescue, cell_recall, cell_pruning,
+    as_of_join, keyword_indexed, bm25_pruned, ledger_incremental, cell_edges, cell_rescue, cell_recall, cell_pruning,
 )
 
 
