@@ -194,3 +194,17 @@ def test_repair_of_nothing(spark):
     assert turns.count() == figures.count() == 0
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert conversations.repaired_digests(empty, conversations.damaged(empty)).count() == 0
+
+
+def test_repair_by_sql():
+    """The registered SQL against the brute-force version, null keys and repeated rows included."""
+    import duckdb
+
+    from engrama.llm.oracle import oracle_sql
+
+    rng = random.Random(8)
+    rows = ODD + [(9, i, rng.choice(["user", "assistant", "system"]), rng.choice(["Yes.", "No", "", f"word {i}."])) for i in range(60)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert sorted(con.execute(oracle_sql()["op12_conversation_repair"]).fetchall(), key=repr) == brute_op12(rows)
