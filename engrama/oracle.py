@@ -323,6 +323,13 @@ SELECT (SELECT count(*) FROM vec) AS memories, duplicated, round(duplicated / (S
         "latency_p95": "SELECT round(quantile_cont(value, 0.95), 6) AS p95 FROM events",
         "ab_table": w(RESULTS) + """, r AS (SELECT coalesce(kind, 'all') AS kind, avg(CASE WHEN pass THEN 1.0 ELSE 0 END) FILTER (NOT field) AS a, avg(CASE WHEN pass THEN 1.0 ELSE 0 END) FILTER (field) AS b FROM res GROUP BY GROUPING SETS ((kind), ()))
 SELECT kind, round(a, 6) AS a, round(b, 6) AS b, round(b - a, 6) AS delta, CASE WHEN b - a > 0.02 THEN 'better' WHEN b - a < -0.02 THEN 'worse' ELSE 'even' END AS mark FROM r""",
+        "ab_evaluated": r"""WITH w AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS text, embedding::DOUBLE[] AS v FROM conversations JOIN embeddings ON vec_id = (conv_id * 3 + turn) % 500),
+m AS (SELECT conv_id, text, min(turn) AS turn, arg_min(v, turn) AS v FROM w WHERE text <> '' GROUP BY conv_id, text),
+c AS (SELECT conv_id, string_split(text, ' ')[1] AS term, embedding::DOUBLE[] AS q FROM conversations JOIN embeddings ON vec_id = (conv_id * 7 + 1) % 500 WHERE turn = 1),
+r AS (SELECT c.conv_id, term, text, row_number() OVER (PARTITION BY c.conv_id ORDER BY list_cosine_similarity(q, v) DESC, turn) AS rnk FROM c JOIN m USING (conv_id)),
+p AS (SELECT 'k' || conv_id % 3 AS kind, bool_or(rnk <= 1 AND contains(lower(text), lower(term))) AS a, bool_or(rnk <= 3 AND contains(lower(text), lower(term))) AS b FROM r GROUP BY conv_id),
+s AS (SELECT coalesce(kind, 'all') AS kind, avg(CASE WHEN a THEN 1.0 ELSE 0 END) AS a, avg(CASE WHEN b THEN 1.0 ELSE 0 END) AS b FROM p GROUP BY GROUPING SETS ((kind), ()))
+SELECT kind, round(a, 6) AS a, round(b, 6) AS b, round(b - a, 6) AS delta, CASE WHEN b - a > 0.02 THEN 'better' WHEN b - a < -0.02 THEN 'worse' ELSE 'even' END AS mark FROM s""",
         "soak": w(MEM) + """SELECT CAST(c AS INTEGER) AS updates, count(*) FILTER (NOT deleted AND valid_to IS NULL) AS current, count(*) FILTER (NOT deleted AND valid_to IS NOT NULL) AS superseded, count(*) FILTER (deleted) AS removed, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS bytes
 FROM mem, (SELECT DISTINCT least(c, (SELECT max(_pos) + 1 FROM mem)) AS c FROM (VALUES (100), (250), (500), (1000), (1000000000000)) k(c)) WHERE _pos < c GROUP BY c""",
         "write_tiers": write_tiers(),

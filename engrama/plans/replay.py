@@ -66,6 +66,12 @@ def saved(memories: DataFrame, writes: DataFrame, top: int, place: int, floor: f
     return new, changed.select("id", F.col("confirmed").alias("last_confirmed"), F.col("closed").alias("valid_to"), F.col("closed").alias("modified"), "superseded_by")
 
 
+def compare_options(cases: DataFrame, writes: DataFrame, a: recall_plan.Options, b: recall_plan.Options, names: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """(kind, a, b, delta, mark): the shares of cases that pass when recalls run with options a and with options b, per kind and over all (evaluation.compare()). Both run on the same replayed stores."""
+    runs = [evaluate(cases, writes, o).select("kind", "pass", F.lit(n).alias("variant")) for n, o in zip(names, (a, b), strict=True)]
+    return evaluation.compare(runs[0].unionByName(runs[1]), *names)
+
+
 def evaluate(cases: DataFrame, writes: DataFrame, options: recall_plan.Options = recall_plan.Options(), prefix: str | None = None) -> DataFrame:
     """(id, kind, metric, field, key, pass, reasons, first_hit_turn, rescued, bled, appended) of recall cases, constraint ones with the field off and on.
 

@@ -516,6 +516,20 @@ def ab_table(spark, sf):
     return _rounded(evaluation.compare(res, "field-off", "field-on"), "a", "b", "delta")
 
 
+def ab_evaluated(spark, sf):
+    """Each conversation as a case of its own, run twice: recalls that return one memory against recalls that return three. A case asks for the first word of its second turn."""
+    from engrama.plans import recall_plan, replay
+
+    _set_checkpoints(spark)
+    conv, emb = _t(spark, sf, "conversations"), _t(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    vec = lambda n: emb.where("vec_id < 500").withColumnRenamed("vec_id", n)
+    writes = conv.withColumn("_v", (F.col("conv_id") * 3 + F.col("turn")) % 500).join(vec("_v"), "_v").select(F.col("conv_id").cast("string").alias("store_id"), F.col("turn").alias("_pos"), "text", "embedding", F.timestamp_seconds(F.col("turn").cast("long")).alias("at"))
+    cases = conv.where("turn = 1").withColumn("_v", (F.col("conv_id") * 7 + 1) % 500).join(vec("_v"), "_v")
+    none = lambda t: F.lit(None).cast(t)
+    cases = cases.select(F.col("conv_id").cast("string").alias("id"), F.concat(F.lit("k"), F.col("conv_id") % 3).alias("kind"), none("string").alias("metric"), none("boolean").alias("field"), F.lit("what was said").alias("query"), "embedding", F.array(F.get(F.split("text", " "), 0)).alias("contains"), none("array<string>").alias("excludes"), none("boolean").alias("current_only"))
+    return _rounded(replay.compare_options(cases, writes, recall_plan.Options(returned=1), recall_plan.Options(returned=3)), "a", "b", "delta")
+
+
 def soak(spark, sf):
     return evaluation.soak(memories(spark, sf))
 
@@ -682,7 +696,7 @@ _QUERIES = (
     cache_misses, session_counts, lsh_neighbours, reconcile, reserved_constraint, applicable_constraints, typed_edges, initial_tiers, visible_memories, session_expiry,
     promotions, store_state, graph_state, strongest_edges, leap_edges, learned_graph, target_ranks, geometry, quality_figures, duplicate_rate, false_supersessions,
     store_growth, latency_p95, ab_table, soak, write_tiers, scored_outputs, repeat_scores, access_consolidate, backfilled, lsh_recall, replayed_saves,
-    as_of_join, keyword_indexed, bm25_pruned, ledger_incremental, cell_edges, cell_rescue, cell_recall, cell_pruning,
+    as_of_join, keyword_indexed, bm25_pruned, ab_evaluated, ledger_incremental, cell_edges, cell_rescue, cell_recall, cell_pruning,
 )
 
 
