@@ -20,6 +20,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from engrama.llm.shared import without
 
 MARK = "▁"
 #: Stretches that a worker remembers, and the longest of them.
-MEMORY, STRETCH = 300_000, 48
+MEMORY, STRETCH = 120_000, 48
 #: Code points of a block of text.
 BLOCK = 1 << 15
 
@@ -102,8 +103,8 @@ class Pieces:
             self.apart[key] = a < 0 or b < 0 or self.merged(self.name[a] + self.name[b]) == [self.name[a], self.name[b]]
         return self.apart[key]
 
-    def viterbi(self, text: str) -> Iterator[int]:
-        """Ids of a text without its mark in front; characters without a piece come as -1 - code point.
+    def viterbi(self, text: str, ends: frozenset[int] = frozenset()) -> Iterator[int]:
+        """Ids of a text without its mark in front; characters without a piece come as -1 - code point. ends: places that no piece runs over in any text, where no two pieces can join.
 
         Starts are taken in order, so the best path to a start is settled
         before its pieces are tried; pieces[x] is 0 for what only begins a piece.
@@ -125,6 +126,8 @@ class Pieces:
                 last.clear()
                 back.clear()
                 base, next_walk = start, start + commit
+                if start in ends:
+                    before = None
             elif start:
                 before = last[start]
             for end in range(start + 1, min(size, start + longest) + 1):
@@ -175,7 +178,7 @@ class Pieces:
         out: list[bytes] = []
         ids: list[int] = []
         at, end, size = 0, len(stretches[0]), self.size
-        for piece in self.viterbi("".join(stretches)):
+        for piece in self.viterbi("".join(stretches), frozenset(accumulate(map(len, stretches)))):
             if piece >= 0:
                 ids.append(piece)
                 at += size[piece]
