@@ -34,11 +34,14 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 
 def _best(sims: np.ndarray, pos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the k best of each row: by similarity, then place."""
-    order = np.lexsort((np.broadcast_to(pos, sims.shape), -sims), axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(sims)), order.shape[1])
-    cols = order.ravel()
-    there = sims[rows, cols] > -np.inf
-    return rows[there], cols[there]
+    there = sims > -np.inf
+    if sims.shape[1] > k:  # only what reaches the k-th best of its row is sorted
+        there &= sims >= np.partition(sims, sims.shape[1] - k, axis=1)[:, [sims.shape[1] - k]]
+    rows, cols = np.nonzero(there)
+    order = np.lexsort((pos[cols], -sims[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[kept], cols[kept]
 
 
 def _deal(queries: DataFrame, memories: DataFrame, bucket: str, n_q, n_m, k: int, gate: float | None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Two saves can only affect one another if they say the very same, or if one announces a change and the other is at least
 `floor` similar to it. Such saves (and memories that were there before) are linked, and only inside a connected
-component does their order matter; so components are folded in parallel, and everything else is a row of its own at once.
+component does their order matter; so components are folded in parallel, and everything else is a row of its own at once. (A store of
+at most BUCKET saves is folded as a whole, which takes one shuffle and gives the same.)
 Links come from blocks of vectors that meet in tasks, each of which hands on no more links than connect its rows.
 Repeats of a text with nothing of their component in between are folded as one.
 """
@@ -20,7 +21,7 @@ from engrama.operators import knn
 from engrama.operators.graph import components
 from engrama.operators.temporal import FLOOR
 
-#: Places that are numbered in one group.
+#: Places that are numbered in one group, and saves of a store that is folded as a whole.
 BUCKET = 4_096
 FOLDED = "store_id string, seq long, made boolean, confirmed timestamp, closed timestamp, closed_by long, closes long, revision int"
 
@@ -109,6 +110,17 @@ def _fold(pdf: pd.DataFrame, floor: float) -> pd.DataFrame:
 def resolve(nodes: DataFrame, floor: float) -> DataFrame:
     """FOLDED: for each store what its saves made of nodes (store_id, seq, text, embedding, at, cue, rule, there, revision): one row per memory made, and per memory that was there and is confirmed or closed. nodes with there are current memories, of lower seq than any save."""
     nodes = nodes.checkpoint()
+    kind = nodes.schema["store_id"].dataType.simpleString()
+    schema = FOLDED.replace("store_id string", f"store_id {kind}")
+    counted = nodes.join(nodes.groupBy("store_id").agg(F.count("*").alias("_n")), "store_id").checkpoint()
+    few = counted.where(F.col("_n") <= BUCKET).select("store_id", "seq", "text", "embedding", "at", "cue", "there", "revision", F.col("at").alias("until"))
+    whole = few.groupBy("store_id").applyInPandas(lambda pdf: _fold(pdf, floor), schema).where("made OR confirmed IS NOT NULL OR closed IS NOT NULL")
+    many = counted.where(F.col("_n") > BUCKET).select(*nodes.columns)
+    return whole if many.isEmpty() else whole.unionByName(_by_components(many, floor, schema))
+
+
+def _by_components(nodes: DataFrame, floor: float, schema: str) -> DataFrame:
+    """resolve() of stores of any size."""
     tied = links(nodes, floor).checkpoint()
     name = lambda c: F.concat_ws("\t", "store_id", F.lpad(F.col(c).cast("string"), 20, "0"))
     pairs = tied.select(name("a").alias("a"), name("b").alias("b"))
@@ -116,8 +128,6 @@ def resolve(nodes: DataFrame, floor: float) -> DataFrame:
     groups = components(ends, pairs)
     named = nodes.withColumn("_n", name("seq"))
     joined = named.join(groups.select(F.col("id").alias("_n"), "component"), "_n")
-    kind = nodes.schema["store_id"].dataType.simpleString()
-    schema = FOLDED.replace("store_id string", f"store_id {kind}")
     # repeats with nothing of their component in between are one, confirmed at the last
     order = Window.partitionBy("component").orderBy("seq")
     again = F.coalesce((F.lag("text").over(order) == F.col("text")) & ~F.col("there"), F.lit(False))
