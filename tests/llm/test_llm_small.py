@@ -245,7 +245,7 @@ def test_trie_join_against_all_pairs():
 # line dedup
 
 
-def brute_removed(rows, t=0.8, least=5):
+def brute_removed(rows, t=0.8, least=1):
     lines = [(i, k, set(WORD.findall(x))) for i, text in sorted(rows) for k, x in enumerate((text or "").split("\n"))]
     lines = [x for x in lines if len(x[2]) >= least]
     out = {i: [] for i, _ in rows}
