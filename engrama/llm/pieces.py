@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from engrama.llm.shared import without
 
 MARK = "▁"
-#: Stretches that a worker remembers, and the longest of them.
-MEMORY, STRETCH = 120_000, 48
+#: Stretches that a worker remembers, the longest of them, and pairs of pieces.
+MEMORY, STRETCH, PAIRS = 300_000, 48, 200_000
 #: Code points of a block of text.
 BLOCK = 1 << 15
 
@@ -98,7 +98,7 @@ class Pieces:
         """Whether the rules leave pieces a and b as they are when b follows a. Ids under 0 are characters without a piece."""
         key = (a, b)
         if key not in self.apart:
-            if len(self.apart) > MEMORY:
+            if len(self.apart) > PAIRS:
                 self.apart.clear()
             self.apart[key] = a < 0 or b < 0 or self.merged(self.name[a] + self.name[b]) == [self.name[a], self.name[b]]
         return self.apart[key]
