@@ -68,48 +68,87 @@ class Pieces:
                 self.surface[i] = model.trainer_spec.unk_surface
         self.high = frozenset(i for i, b in self.raw.items() if b >= 128)
         self.longest = max(map(len, self.vocab))
-        #: pieces, and 0 for what only begins one
-        self.starts = {p[:n]: 0 for p in self.vocab for n in range(1, len(p))} | self.vocab
+        #: a trie of the pieces: by character, the piece that ends there (0: it only begins one) and what may follow
+        self.trie: dict[str, tuple] = self.grown()
         self.name = {i: p for p, i in self.vocab.items()}
         # where no piece runs on, all paths meet: before a mark that follows another character, and around a line end
         meets = all(MARK not in p.lstrip(MARK) for p in self.vocab) and not any("\n" in p for p in self.vocab)
         self.stretches = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if meets else "(?s:.+)")
         self.size = [len(self.name.get(i, "")) for i in range(len(model.pieces))]
-        self.apart: dict[tuple[int, int], bool] = {}
+        #: by piece, whether the rules leave it and a piece after it as they are; how many pairs are held
+        self.apart: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
+        #: by piece, what stands at its right (left) edge while the rules put it together, each with the score of its next merge
+        self.rights: dict[int, tuple | None] = {}
+        self.lefts: dict[int, tuple | None] = {}
         #: boundaries committed at, those of them that a walk along the back pointers found, the widest window so far, and stretches that the memory answered
         self.commits = self.walks = self.widest = self.hits = 0
         self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
         self.old: dict[str, bytes] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """The merge rules on a short text: the best-scored neighbours first, the leftmost among equals."""
-        parts, score = list(text), self.score
+    def grown(self) -> dict[str, tuple]:
+        none: dict[str, tuple] = {}
+        nodes: dict[str, tuple] = {}
+        for p in sorted({p[:n] for p in self.vocab for n in range(1, len(p) + 1)}, key=len, reverse=True):
+            piece, follow = self.vocab.get(p, 0), nodes.pop(p, none)
+            nodes.setdefault(p[:-1], {})[p[-1]] = (piece, follow)
+        return nodes.get("", none)
+
+    def grow(self, piece: int, side: int) -> tuple | None:
+        """The merge rules on one piece by itself (the best-scored neighbours first, the leftmost among equals): the edge of a side and the score of the next merge, at each step. None if they don't make the piece."""
+        parts, score, out = list(self.name[piece]), self.score, []
         while True:
-            best, at = None, -1
+            best, at = -np.inf, -1
             for i in range(len(parts) - 1):
                 s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
+                if s is not None and s > best:
                     best, at = s, i
+            out += [parts[side], best]
             if at < 0:
-                return parts
+                return tuple(out) if len(parts) == 1 else None
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def stay_apart(self, a: int, b: int) -> bool:
-        """Whether the rules leave pieces a and b as they are when b follows a. Ids under 0 are characters without a piece."""
-        key = (a, b)
-        if key not in self.apart:
-            if len(self.apart) > PAIRS:
-                self.apart.clear()
-            self.apart[key] = a < 0 or b < 0 or self.merged(self.name[a] + self.name[b]) == [self.name[a], self.name[b]]
-        return self.apart[key]
+        """Whether the rules leave pieces a and b as they are when b follows a.
+
+        Up to a merge over the boundary both sides go as they would alone, the better next merge first; so it is enough
+        to look for a moment at which what stands on both sides of the boundary merges before either side goes on.
+        """
+        if a not in self.rights:
+            self.rights[a] = self.grow(a, -1)
+        if b not in self.lefts:
+            self.lefts[b] = self.grow(b, 0)
+        x, y, score = self.rights[a], self.lefts[b], self.score.get
+        if x is None or y is None:
+            return False
+        i = j = 0
+        while True:
+            over, next_x, next_y = score(x[i] + y[j]), x[i + 1], y[j + 1]
+            if over is not None and over > next_x and over >= next_y:
+                return False
+            if next_x >= next_y:
+                if next_x == -np.inf:
+                    return True
+                i += 2
+            else:
+                j += 2
+
+    def fit(self, a: int, b: int) -> bool:
+        """stay_apart(), remembered."""
+        if self.pairs >= PAIRS:
+            for of in self.apart.values():
+                of.clear()
+            self.pairs = 0
+        fits = self.apart[a][b] = self.stay_apart(a, b)
+        self.pairs += 1
+        return fits
 
     def viterbi(self, text: str, ends: frozenset[int] = frozenset()) -> Iterator[int]:
         """Ids of a text without its mark in front; characters without a piece come as -1 - code point. ends: places that no piece runs over in any text, where no two pieces can join.
 
-        Starts are taken in order, so the best path to a start is settled
-        before its pieces are tried; pieces[x] is 0 for what only begins a piece.
+        Starts are taken in order, so the best path to a start is settled before its pieces are tried.
         """
-        pieces, longest, apart, size = self.starts.get, self.longest, self.apart.get, len(text)
+        trie, longest, apart, fit, size = self.trie, self.longest, self.apart, self.fit, len(text)
         last: dict[int, int] = {}  # the window: for each place the piece that ends there, and where it starts
         back: dict[int, int] = {}
         base = reach = 0  # all paths run through base; no piece so far ends beyond reach
@@ -122,7 +161,9 @@ class Pieces:
                     yield before
                 else:
                     yield from self.path(last, back, base, start)
-                self.note(len(last))
+                self.commits += 1
+                if len(last) > self.widest:
+                    self.widest = len(last)
                 last.clear()
                 back.clear()
                 base, next_walk = start, start + commit
@@ -130,19 +171,25 @@ class Pieces:
                     before = None
             elif start:
                 before = last[start]
-            for end in range(start + 1, min(size, start + longest) + 1):
-                piece = pieces(text[start:end])
-                if piece is None:
-                    if end > start + 1:
-                        break
-                    piece = -1 - ord(text[start])
-                elif not piece:
-                    continue
-                if end not in last and (before is None or (fits if (fits := apart((before, piece))) is not None else self.stay_apart(before, piece))):
+            if before is None or before < 0:
+                known = None
+            elif (known := apart.get(before)) is None:
+                known = apart[before] = {}
+            node = trie
+            for end, c in enumerate(text[start : start + longest], start + 1):
+                if (step := node.get(c)) is None:
+                    if node is trie:  # a character without a piece
+                        if end not in last:
+                            last[end], back[end] = -1 - ord(c), start
+                            if end > reach:
+                                reach = end
+                    break
+                piece, node = step
+                if piece and end not in last and (known is None or (fits if (fits := known.get(piece)) is not None else fit(before, piece))):
                     last[end], back[end] = piece, start
                     if end > reach:
                         reach = end
-                if piece < 0:
+                if not node:
                     break
             if start >= next_walk:
                 live = {e for e in range(start + 1, reach + 1) if e in last} | {start + 1}
@@ -177,8 +224,9 @@ class Pieces:
         """Ids of stretches that follow one another and are not remembered, by one pass over all of them."""
         out: list[bytes] = []
         ids: list[int] = []
-        at, end, size = 0, len(stretches[0]), self.size
-        for piece in self.viterbi("".join(stretches), frozenset(accumulate(map(len, stretches)))):
+        ends = list(accumulate(map(len, stretches)))
+        at, end, size = 0, ends[0], self.size
+        for piece in self.viterbi("".join(stretches), frozenset(ends)):
             if piece >= 0:
                 ids.append(piece)
                 at += size[piece]
@@ -186,12 +234,13 @@ class Pieces:
                 ids += [self.bytes[b] for b in chr(-1 - piece).encode("utf-8", "surrogatepass")]
                 at += 1
             if at == end:
-                mine = array("i", ids).tobytes()
-                if len(stretches[len(out)]) <= STRETCH:
-                    self.remember(stretches[len(out)], mine)
+                stretch, mine = stretches[len(out)], array("i", ids).tobytes()
+                if len(stretch) <= STRETCH:
+                    self.remember(stretch, mine)
                 out.append(mine)
                 ids = []
-                end += len(stretches[len(out)]) if len(out) < len(stretches) else 0
+                if len(out) < len(ends):
+                    end = ends[len(out)]
         return out
 
     def remember(self, stretch: str, ids: bytes) -> None:

@@ -508,6 +508,31 @@ def test_sentencepiece_passes_over_whole_blocks(table):
     assert [model.packed(t) for t in texts] == first and model.hits > hits and sum(seen) - passed < passed / 10
 
 
+def test_sentencepiece_pairs_stay_apart_as_by_the_merge_rules(monkeypatch):
+    """Both sides' steps up to the boundary say of two pieces what the merge rules on their joined text do; forgotten pairs are asked again."""
+    model = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+
+    def merged(text: str) -> list[str]:
+        parts = list(text)
+        while True:
+            found = [(-model.score[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in model.score]
+            if not found:
+                return parts
+            at = min(found)[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    rng, ids = random.Random(5), sorted(model.name)
+    asked = [(rng.choice(ids), rng.choice(ids)) for _ in range(20_000)]
+    words = [i for i in ids if len(model.name[i]) > 5]
+    for i in rng.sample(words, 5_000):  # both parts of a longer piece, which often do merge
+        name = model.name[i]
+        asked += [(model.vocab[name[:k]], model.vocab[name[k:]]) for k in range(1, len(name)) if name[:k] in model.vocab and name[k:] in model.vocab]
+    monkeypatch.setattr(pieces, "PAIRS", 1000)
+    for (a, b), fits in zip(asked, [model.fit(a, b) if b not in model.apart.setdefault(a, {}) else model.apart[a][b] for a, b in asked]):
+        assert fits == (merged(model.name[a] + model.name[b]) == [model.name[a], model.name[b]])
+    assert model.pairs <= 1000 and sum(map(len, model.apart.values())) == model.pairs
+
+
 def test_sentencepiece_decodes_any_ids_as_the_library_does():
     import sentencepiece
 
