@@ -4,11 +4,11 @@ The model's kind is byte-pair encoding with byte fallback. There the best path
 to a place is the encoding of the text up to it; its last piece is the one
 that, after the best path to its own start, the merge rules leave apart from
 the piece before it. So a place keeps one back pointer, at most a piece's length back.
-The text is streamed in blocks. A window of places is kept, and as soon as the
+The text is streamed in blocks through an automaton that names the pieces ending at each place. A window of places is kept, and as soon as the
 back pointers of all its places that may still be extended meet at one boundary, the ids up to there are
-committed and the places before it dropped. Where no piece that starts earlier
-reaches beyond a place, that place is such a boundary at once (each word's
-start is); otherwise the back pointers are walked as soon as the window is as long as the longest piece, and at every such stretch again.
+committed and the places before it dropped. Where no piece runs over a place with the character that follows, that
+place is such a boundary at once (each word's start is); otherwise the back pointers are walked as soon as the
+window is as long as the longest piece, and at every such stretch again.
 A memory is a shortcut beside the pass, and counts its hits: what was committed between two boundaries at which all paths
 meet in any text (word starts, line ends) is remembered, and the pass goes over the stretches in between, all that follow one another at once.
 """
@@ -68,15 +68,16 @@ class Pieces:
                 self.surface[i] = model.trainer_spec.unk_surface
         self.high = frozenset(i for i, b in self.raw.items() if b >= 128)
         self.longest = max(map(len, self.vocab))
-        #: a trie of the pieces: by character, the piece that ends there (0: it only begins one) and what may follow
-        self.trie: dict[str, tuple] = self.grown()
+        if not set("".join(self.vocab)) <= self.vocab.keys():
+            raise ValueError("a character of a piece must be a piece")
+        self.root = self.automaton()
         self.name = {i: p for p, i in self.vocab.items()}
         # where no piece runs on, all paths meet: before a mark that follows another character, and around a line end
         meets = all(MARK not in p.lstrip(MARK) for p in self.vocab) and not any("\n" in p for p in self.vocab)
         self.stretches = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if meets else "(?s:.+)")
         self.size = [len(self.name.get(i, "")) for i in range(len(model.pieces))]
         #: by piece, whether the rules leave it and a piece after it as they are; how many pairs are held
-        self.apart: dict[int, dict[int, bool]] = {}
+        self.apart: list[dict[int, bool]] = [{} for _ in model.pieces]
         self.pairs = 0
         #: by piece, what stands at its right (left) edge while the rules put it together, each with the score of its next merge
         self.rights: dict[int, tuple | None] = {}
@@ -86,13 +87,28 @@ class Pieces:
         self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
         self.old: dict[str, bytes] = {}
 
-    def grown(self) -> dict[str, tuple]:
-        none: dict[str, tuple] = {}
-        nodes: dict[str, tuple] = {}
-        for p in sorted({p[:n] for p in self.vocab for n in range(1, len(p) + 1)}, key=len, reverse=True):
-            piece, follow = self.vocab.get(p, 0), nodes.pop(p, none)
-            nodes.setdefault(p[:-1], {})[p[-1]] = (piece, follow)
-        return nodes.get("", none)
+    def automaton(self) -> list:
+        """The automaton of Aho and Corasick over the pieces; a node holds what may follow, its longest proper suffix that begins a piece, the pieces (and their lengths) that end there, longest first, and its depth."""
+        leaf: dict[str, list] = {}
+        root = [{}, None, (), 0]
+        level = [("", root)]
+        begun = {p[:n] for p in self.vocab for n in range(1, len(p))}
+        follow: dict[str, list[str]] = {}
+        for p in begun | self.vocab.keys():
+            follow.setdefault(p[:-1], []).append(p)
+        while level:
+            deeper = []
+            for name, node in level:
+                for p in follow.get(name, ()):
+                    suffix = node[1]
+                    while suffix is not None and p[-1] not in suffix[0]:
+                        suffix = suffix[1]
+                    suffix = root if suffix is None else suffix[0][p[-1]]
+                    ending = ((self.vocab[p], len(p)), *suffix[2]) if p in self.vocab else suffix[2]
+                    node[0][p[-1]] = made = [{} if p in begun else leaf, suffix, ending, len(p)]
+                    deeper.append((p, made))
+            level = deeper
+        return root
 
     def grow(self, piece: int, side: int) -> tuple | None:
         """The merge rules on one piece by itself (the best-scored neighbours first, the leftmost among equals): the edge of a side and the score of the next merge, at each step. None if they don't make the piece."""
@@ -136,103 +152,90 @@ class Pieces:
     def fit(self, a: int, b: int) -> bool:
         """stay_apart(), remembered."""
         if self.pairs >= PAIRS:
-            for of in self.apart.values():
+            for of in self.apart:
                 of.clear()
             self.pairs = 0
         fits = self.apart[a][b] = self.stay_apart(a, b)
         self.pairs += 1
         return fits
 
-    def viterbi(self, text: str, ends: frozenset[int] = frozenset()) -> Iterator[int]:
-        """Ids of a text without its mark in front; characters without a piece come as -1 - code point. ends: places that no piece runs over in any text, where no two pieces can join.
+    def viterbi(self, text: str, ends: frozenset[int] = frozenset()) -> Iterator[tuple[int, list[int]]]:
+        """Boundaries of a text without its mark in front as they are found, each with the ids up to it from the one before; characters without a piece come as -1 - code point. ends: places that no piece runs over in any text, where no two pieces can join.
 
-        Starts are taken in order, so the best path to a start is settled before its pieces are tried.
+        At each place the pieces that end there are tried, longest first; the paths to their starts are settled. A place that
+        no piece runs over by what follows it is a boundary.
         """
-        trie, longest, apart, fit, size = self.trie, self.longest, self.apart, self.fit, len(text)
-        last: dict[int, int] = {}  # the window: for each place the piece that ends there, and where it starts
-        back: dict[int, int] = {}
-        base = reach = 0  # all paths run through base; no piece so far ends beyond reach
-        commit = longest
-        before, next_walk = None, commit
-        for start in range(size):
-            if start == reach and start:  # every path that goes on passes here
-                before = last[start]
-                if back[start] == base:
-                    yield before
+        root, longest, apart, fit = self.root, self.longest, self.apart, self.fit
+        node = root
+        # the window: the last piece of the best path to each place from base on, and which pieces are known to fit after it (None: all do)
+        last: list[int | None] = [None]
+        after: list[dict[int, bool] | None] = [None]
+        base, next_walk = 0, longest
+        for at, c in enumerate(text):
+            while (step := node[0].get(c)) is None and node is not root:
+                node = node[1]
+            if step is not None:
+                node = step
+            if (step is None or node[3] == 1) and at:  # every path passes here
+                yield at, self.path(last, at - base)
+                self.note(len(last))
+                if at in ends:
+                    last, after = [None], [None]
                 else:
-                    yield from self.path(last, back, base, start)
-                self.commits += 1
-                if len(last) > self.widest:
-                    self.widest = len(last)
-                last.clear()
-                back.clear()
-                base, next_walk = start, start + commit
-                if start in ends:
-                    before = None
-            elif start:
-                before = last[start]
-            if before is None or before < 0:
-                known = None
-            elif (known := apart.get(before)) is None:
-                known = apart[before] = {}
-            node = trie
-            for end, c in enumerate(text[start : start + longest], start + 1):
-                if (step := node.get(c)) is None:
-                    if node is trie:  # a character without a piece
-                        if end not in last:
-                            last[end], back[end] = -1 - ord(c), start
-                            if end > reach:
-                                reach = end
+                    del last[:-1], after[:-1]
+                base, next_walk = at, at + longest
+            if step is None:  # a character without a piece
+                last.append(-1 - ord(c))
+                after.append(None)
+                continue
+            for piece, size in node[2]:
+                known = after[-size]
+                if known is None or (fits if (fits := known.get(piece)) is not None else fit(last[-size], piece)):
                     break
-                piece, node = step
-                if piece and end not in last and (known is None or (fits if (fits := known.get(piece)) is not None else fit(before, piece))):
-                    last[end], back[end] = piece, start
-                    if end > reach:
-                        reach = end
-                if not node:
-                    break
-            if start >= next_walk:
-                live = {e for e in range(start + 1, reach + 1) if e in last} | {start + 1}
+            last.append(piece)
+            after.append(apart[piece])
+            if at >= next_walk:
+                top = len(last) - 1
+                live = set(range(top - node[3], top + 1))  # pieces to come start at one of these
                 while len(live) > 1:  # walk the youngest back until all meet
                     live.discard(young := max(live))
-                    live.add(back[young])
-                if (meet := live.pop()) > base:
+                    live.add(young - (self.size[last[young]] if last[young] >= 0 else 1))
+                if meet := live.pop():
                     self.walks += 1
-                    yield from self.path(last, back, base, meet)
+                    base += meet
+                    yield base, self.path(last, meet)
                     self.note(len(last))
-                    last, back = ({e: v for e, v in d.items() if e >= meet} for d in (last, back))
-                    base = meet
-                next_walk = start + commit
+                    del last[:meet], after[:meet]
+                next_walk = at + longest
         self.note(len(last))
-        yield from self.path(last, back, base, size)
+        yield len(text), self.path(last, len(last) - 1)
 
     def note(self, window: int) -> None:
         self.commits += 1
         if window > self.widest:
             self.widest = window
 
-    @staticmethod
-    def path(last: dict[int, int], back: dict[int, int], base: int, end: int) -> list[int]:
-        """The pieces between two boundaries that all paths pass."""
-        out = []
-        while end > base:
-            out.append(last[end])
-            end = back[end]
-        return out[::-1]
+    def path(self, last: list[int], end: int) -> list[int]:
+        """The pieces between two boundaries that all paths pass, the window's first place and one further on."""
+        out, size = [], self.size
+        while end:
+            out.append(piece := last[end])
+            end -= size[piece] if piece >= 0 else 1
+        out.reverse()
+        return out
 
     def passed(self, stretches: list[str]) -> list[bytes]:
         """Ids of stretches that follow one another and are not remembered, by one pass over all of them."""
         out: list[bytes] = []
         ids: list[int] = []
         ends = list(accumulate(map(len, stretches)))
-        at, end, size = 0, ends[0], self.size
-        for piece in self.viterbi("".join(stretches), frozenset(ends)):
-            if piece >= 0:
-                ids.append(piece)
-                at += size[piece]
+        end = ends[0]
+        for at, committed in self.viterbi("".join(stretches), frozenset(ends)):
+            if min(committed) >= 0:
+                ids += committed
             else:
-                ids += [self.bytes[b] for b in chr(-1 - piece).encode("utf-8", "surrogatepass")]
-                at += 1
+                for piece in committed:
+                    ids += [piece] if piece >= 0 else [self.bytes[b] for b in chr(-1 - piece).encode("utf-8", "surrogatepass")]
             if at == end:
                 stretch, mine = stretches[len(out)], array("i", ids).tobytes()
                 if len(stretch) <= STRETCH:
