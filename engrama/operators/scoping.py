@@ -63,10 +63,10 @@ def close_links(memories: DataFrame, least: float = SAME) -> DataFrame:
 
 
 def promotions(memories: DataFrame, least: float = SAME, sessions: int = 2) -> DataFrame:
-    """(id, tier, promoted_from, deleted): patches for clusters of passing memories (id, text, embedding, tier, session_id) that `sessions` sessions have said: the longest text becomes lasting, the smaller id of equals, and the others go. One write for all."""
+    """(id, tier, promoted_from, deleted): patches for clusters of passing memories (id, text, embedding, tier, session_id) that `sessions` sessions have said: the longest text becomes lasting, the smaller id of equals, and the others go; a null text is shorter than any. One write for all."""
     mine = memories.where((F.col("tier") == "session") & F.col("embedding").isNotNull())
     groups = components(mine.select("id"), close_links(mine, least))
-    named = mine.join(groups, "id").select("id", "component", "session_id", F.length("text").alias("n"))
+    named = mine.join(groups, "id").select("id", "component", "session_id", F.coalesce(F.length("text"), F.lit(-1)).alias("n"))
     told = named.groupBy("component").agg(F.count_distinct("session_id").alias("s"), F.min_by("id", F.struct(-F.col("n"), F.col("id"))).alias("keep")).where(F.col("s") >= sessions)
     stays = F.col("id") == F.col("keep")
     return named.join(told, "component").select("id", F.when(stays, "long_term").alias("tier"), F.when(stays, "session").alias("promoted_from"), (~stays).alias("deleted"))
