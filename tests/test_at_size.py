@@ -1,6 +1,8 @@
 """What showed on odd inputs and larger tables."""
 
-from engrama.operators import scoping
+import numpy as np
+
+from engrama.operators import knn, scoping
 
 
 def test_a_null_text_is_not_the_longest(spark):
@@ -8,3 +10,23 @@ def test_a_null_text_is_not_the_longest(spark):
     made = spark.createDataFrame([(*m, "session") for m in made], "id string, text string, embedding array<double>, session_id string, tier string")
     got = {r["id"]: r["tier"] for r in scoping.promotions(made).collect()}
     assert got == {"a": None, "b": "long_term", "c": None}
+
+
+def test_blocks_of_a_side_do_not_grow_with_the_rows():
+    """Every row goes to each block of the other side, so what is shuffled grows with blocks times rows."""
+    assert [knn._blocks(n, 64) for n in (1, 2_048, 10_000, 100_000, 600_000)] == [1, 1, 5, 12, 12]
+    assert knn._blocks(10_000_000, 64) == 77  # of 64 MB each
+
+
+def test_tiles_give_what_one_product_gives(monkeypatch):
+    monkeypatch.setattr(knn, "STEP", 7)
+    monkeypatch.setattr(knn, "TILE", 5)
+    rng = np.random.default_rng(3)
+    q, m = rng.integers(-1, 2, (30, 3)).astype(float), rng.integers(-1, 2, (40, 3)).astype(float)
+    ids, pos = np.array([f"m{i % 35}" for i in range(40)], object), rng.permutation(40)
+    for gate in (None, 0.5):
+        for k in (1, 4):
+            rows, cols, sims = knn._nearest(q, m, ids[:30], ids, pos, k, gate)
+            for i in range(30):
+                all_ = sorted((-s, pos[j], j) for j, s in enumerate(q[i] @ m.T) if ids[j] != ids[i] and (gate is None or s >= gate))[:k]
+                assert [(-s, pos[c], c) for s, c in zip(sims[rows == i], cols[rows == i], strict=True)] == all_
