@@ -51,7 +51,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     for block in lexical.query_blocks(asked):
         df, n, length = lexical.document_counts(sorted({w for _, tok in block for w in tok}), docs)
         idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
-        parts.append(lexical.ranked(block, idf, False, docs, lexical.saturated(max(length, 1) / max(n, 1)), k))
+        parts.append(lexical.ranked(block, idf, False, docs, lexical.saturated(max(length, 1) / max(n, 1)), k, 9))
     return lexical.top(parts, k, 9).where("score > 0")
 
 

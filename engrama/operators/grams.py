@@ -83,7 +83,7 @@ def reads(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """(q_id, memories): how many memories each query (q_id, text) has to read: those that hold all grams of one of its longer words."""
     asked = queries.select(F.col("q_id").cast("string").alias("q_id"), F.explode(tokens(F.col("text"))).alias("word")).where(F.length("word") > LONGEST)
     parts = None
-    for block in lexical.query_blocks(asked.groupBy("q_id").agg(F.collect_list("word").alias("tok"))):
+    for block in lexical.query_blocks(asked.groupBy("q_id").agg(F.collect_list("word").alias("tok")), lexical.QUERIES):
         pairs = postings.sparkSession.createDataFrame([(q, w) for q, tok in block for w in tok], "q_id string, word string")
         held = _held(sorted({w for _, tok in block for w in tok}), postings).join(F.broadcast(pairs), "word")
         part = held.groupBy("q_id", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n")).groupBy("q_id").agg(F.sum("n").alias("memories"))
@@ -114,7 +114,7 @@ def keyword_recall(queries: DataFrame, memories: DataFrame, postings: DataFrame,
     """recall.keyword_recall() by postings of these memories: (q_id, rnk, id, score) by share of query words found, ties by place; a query without any hit gets the first memory."""
     asked = queries.select(F.col("q_id").cast("string").alias("q_id"), tokens(F.col("text")).alias("tok"))
     parts = []
-    for block in lexical.query_blocks(asked):
+    for block in lexical.query_blocks(asked, lexical.QUERIES):
         names, words = np.array([q for q, _ in block], object), sorted({w for _, tok in block for w in tok})
         place = {w: i for i, w in enumerate(words)}
         share = np.zeros((len(names), len(words)))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from engrama.operators import knn, scoping
+from engrama.operators import extras, knn, lexical, recall, scoping
 
 
 def test_a_null_text_is_not_the_longest(spark):
@@ -30,3 +30,24 @@ def test_tiles_give_what_one_product_gives(monkeypatch):
             for i in range(30):
                 all_ = sorted((-s, pos[j], j) for j, s in enumerate(q[i] @ m.T) if ids[j] != ids[i] and (gate is None or s >= gate))[:k]
                 assert [(-s, pos[c], c) for s, c in zip(sims[rows == i], cols[rows == i], strict=True)] == all_
+
+
+def test_best_so_far_keeps_ties_by_place_and_skips_the_rest():
+    best = lexical.Best(2, 2, 9)
+    ids = np.array(["a", "b", "c"], object)
+    best.add(np.array([[1.0, 2.0, 2.0 + 1e-13], [0.0, 0.0, 0.0]]), np.array([5, 9, 8]), ids)
+    best.add(np.array([[2.0 - 1e-13, 0.5, 2.0], [0.0, 0.0, 1.0]]), np.array([1, 2, 20]), ids)
+    got = best.rows(np.array(["p", "q"], object))
+    assert list(zip(got["q_id"], got["_pos"], strict=True)) == [("p", 1), ("p", 8), ("q", 20), ("q", 1)]
+    assert len(best.row) == 4
+
+
+def test_all_queries_are_one_pass(spark, monkeypatch):
+    """The memories are read once for many queries, in parts of a matrix' size."""
+    mem = spark.createDataFrame([(f"m{i}", i, f"w{i % 7} w{i % 3} x") for i in range(60)], "id string, _pos long, text string").cache()
+    asks = spark.createDataFrame([(f"q{i}", f"w{i % 9} x") for i in range(25)], "q_id string, text string")
+    whole = [sorted(map(tuple, f(asks, mem, 4).collect())) for f in (recall.keyword_recall, extras.bm25)]
+    monkeypatch.setattr(lexical, "QUERIES", 4)
+    monkeypatch.setattr(lexical, "MEMORIES", 9)
+    assert [sorted(map(tuple, f(asks, mem, 4).collect())) for f in (recall.keyword_recall, extras.bm25)] == whole
+    assert len(list(lexical.query_blocks(asks.selectExpr("q_id", "split(text, ' ') AS tok")))) == 1
