@@ -1,6 +1,7 @@
 """What showed on odd inputs and larger tables."""
 
 import numpy as np
+import pytest
 
 from engrama.operators import extras, knn, lexical, recall, scoping
 
@@ -51,3 +52,12 @@ def test_all_queries_are_one_pass(spark, monkeypatch):
     monkeypatch.setattr(lexical, "MEMORIES", 9)
     assert [sorted(map(tuple, f(asks, mem, 4).collect())) for f in (recall.keyword_recall, extras.bm25)] == whole
     assert len(list(lexical.query_blocks(asks.selectExpr("q_id", "split(text, ' ') AS tok")))) == 1
+
+
+@pytest.mark.parametrize("dense", [0, 1 / 64, 0.3, 2])
+def test_words_in_a_product_or_one_by_one(monkeypatch, dense):
+    monkeypatch.setattr(lexical, "DENSE", dense)
+    rng = np.random.default_rng(5)
+    asked, held = rng.random((20, 30)) * (rng.random((20, 30)) < 0.2), rng.random((30, 15)) * (rng.random((30, 15)) < 0.3)
+    w, q = np.nonzero(asked.T)
+    assert np.allclose(lexical._product((w, q, asked[q, w]), held, np.count_nonzero(held, axis=1), 20), asked @ held, atol=1e-12)
