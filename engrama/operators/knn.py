@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,9 +21,13 @@ BLOCK, SIDE, BLOCK_BYTES = 2048, 12, 64 << 20
 #: Bytes of a query matrix that travels with the code.
 FEW_BYTES = 32 << 20
 #: Memories of one matrix product in place; rows and columns of one inside a pair of blocks.
-STEP, TILE = 1024, 2048
+STEP, TILE = 1024, 1024
+#: Columns of the first product of a pair of blocks; each next one has twice as many, up to TILE.
+FIRST = 256
 #: What the index is fitted on: queries of the sample, the share of true neighbours it is to find, and its most tables and bits.
 SAMPLE, TARGET, TABLES, BITS = 256, 0.95, 64, 20
+#: What a pair of blocks hands on.
+FOUND = pa.schema([("q_id", pa.string()), ("id", pa.string()), ("_pos", pa.int64()), ("sim", pa.float64())])
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -31,39 +37,54 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-def _best(sims: np.ndarray, pos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the k best of each row: by similarity, then place."""
-    there = sims > -np.inf
-    if sims.shape[1] > k:  # only what reaches the k-th best of its row is sorted
-        there &= sims >= np.partition(sims, sims.shape[1] - k, axis=1)[:, [sims.shape[1] - k]]
-    rows, cols = np.nonzero(there)
-    order = np.lexsort((pos[cols], -sims[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-    return rows[kept], cols[kept]
+def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
+    """_matrix() of a column of lists."""
+    lists = vectors.combine_chunks()
+    if pc.count_distinct(pc.list_value_length(lists)).as_py() != 1:
+        return _matrix(lists.to_pandas())
+    m = lists.flatten().to_numpy(False).astype(np.float64).reshape(len(lists), -1)
+    size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
 def _nearest(q: np.ndarray, m: np.ndarray, q_ids: np.ndarray, m_ids: np.ndarray, pos: np.ndarray, k: int, gate: float | None, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, column and similarity of the k best of each row of q among those of m with another id, tile by tile: what falls short of a row's k-th best so far, or of its floor, is not looked at again."""
+    """Row, column and similarity of the k best of each row of q among those of m with another id, tile by tile: what falls short of a row's k-th best so far, or of its floor, is not looked at again.
+
+    Tiles are products of single precision, which only say what cannot rank: whatever comes within their error of a floor is multiplied again in
+    double precision. The first tiles are narrow, so that floors rise before the wide ones.
+    """
     if floor is None:
         floor = np.full(len(q), -np.inf if gate is None else gate)
     codes = pd.factorize(np.concatenate([q_ids, m_ids]))[0]
     column = pd.DataFrame({"id": codes[len(q) :], "j": np.arange(len(m))})
-    out = []
+    q32, m32 = q.astype(np.float32), m.astype(np.float32)
+    longest = lambda v: float(np.sqrt((v * v).sum(axis=1).max(initial=0.0)))
+    slack = (q.shape[1] + 4) * 2.0**-23 * longest(q) * longest(m)
+    out, room = [], np.empty(min(STEP, len(q)) * min(max(FIRST, TILE), len(m)), np.float32)
     for a in range(0, len(q), STEP):
-        part = q[a : a + STEP]
+        part, part32 = q[a : a + STEP], q32[a : a + STEP]
         own = pd.DataFrame({"id": codes[a : a + len(part)], "i": np.arange(len(part))}).merge(column, on="id")
         own_i, own_j = own["i"].to_numpy(), own["j"].to_numpy()
         least = floor[a : a + STEP].copy()
         rows, cols, sims = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        for b in range(0, len(m), TILE):
-            s = part @ m[b : b + TILE].T
-            here = (own_j >= b) & (own_j < b + TILE)
+        b, width = 0, min(FIRST, TILE)
+        while b < len(m):
+            tile = m32[b : b + width]
+            s = np.matmul(part32, tile.T, out=room[: len(part) * len(tile)].reshape(len(part), len(tile)))
+            here = (own_j >= b) & (own_j < b + width)
             s[own_i[here], own_j[here] - b] = -np.inf
-            i, j = _best(s, pos[b : b + TILE], k) if np.isneginf(least).any() else np.nonzero(s >= least[:, None])
-            if not len(i):
+            under = _under(s, least, k, slack)
+            some = np.flatnonzero(s.max(axis=1) >= under)  # few rows once floors are high
+            i, j = np.divmod(np.flatnonzero(s[some] >= under[some, None]), len(tile))
+            i = some[i]
+            there = s[i, j] > -np.inf
+            i, j = i[there], j[there] + b
+            b, width = b + width, min(2 * width, TILE)
+            exact = np.einsum("ij,ij->i", part[i], m[j])
+            ahead = exact >= least[i]
+            if not ahead.any():
                 continue
-            rows, cols, sims = np.concatenate([rows, i]), np.concatenate([cols, j + b]), np.concatenate([sims, s[i, j]])
+            rows, cols, sims = np.concatenate([rows, i[ahead]]), np.concatenate([cols, j[ahead]]), np.concatenate([sims, exact[ahead]])
             order = np.lexsort((pos[cols], -sims, rows))
             rows, cols, sims = rows[order], cols[order], sims[order]
             nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
@@ -73,14 +94,29 @@ def _nearest(q: np.ndarray, m: np.ndarray, q_ids: np.ndarray, m_ids: np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _under(s: np.ndarray, least: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """What a product of single precision must reach for its pair to be looked at: a row's floor or, where that is open, the k-th best of the row's products."""
+    out = least - slack
+    rows = np.flatnonzero(np.isneginf(least))
+    if len(rows) and s.shape[1] > k:
+        out[rows] = np.partition(s[rows], s.shape[1] - k, axis=1)[:, s.shape[1] - k] - 2 * slack
+    return out.astype(np.float32) - np.float32(slack)
+
+
 def _blocks(n: int, width: int) -> int:
     """Into how many blocks a side of n vectors is dealt. Each row of the other side goes to every one of them, so these stay SIDE, whatever n, until a block outgrows BLOCK_BYTES."""
     return max(1, min(-(-n // BLOCK), max(SIDE, -(-n * width * 8 // BLOCK_BYTES))))
 
 
-def _blocks_of(n: Column, width: int) -> Column:
-    """_blocks() of a column."""
-    return F.greatest(F.lit(1), F.least(F.ceil(n / BLOCK), F.greatest(F.lit(SIDE), F.ceil(n * (width * 8) / BLOCK_BYTES)))).cast("int")
+def _blocks_of(n: Column, width: int, side: Column | float = SIDE) -> Column:
+    """_blocks() of a column; side: the blocks beyond which a bucket takes more only for their bytes."""
+    return F.greatest(F.lit(1), F.least(F.ceil(n / BLOCK), F.greatest(F.ceil(side * F.lit(1.0)), F.ceil(n * (width * 8) / BLOCK_BYTES)))).cast("int")
+
+
+def shared_out(sizes: DataFrame, width: int) -> DataFrame:
+    """sizes (key, c: rows of a bucket) with n, its blocks: about SIDE * SIDE pairs of blocks over all buckets, dealt out by the pairs of rows of each, so many small buckets are not cut up as if each were alone."""
+    total = sizes.agg(F.coalesce(F.sum(F.col("c").cast("double") * F.col("c")), F.lit(1.0))).first()[0]
+    return sizes.select("key", _blocks_of(F.col("c"), width, F.col("c") * (SIDE / max(1.0, total) ** 0.5)).alias("n"))
 
 
 def _deal(queries: DataFrame, memories: DataFrame, bucket: str, n_q, n_m, k: int, gate: float | None) -> DataFrame:
@@ -90,15 +126,16 @@ def _deal(queries: DataFrame, memories: DataFrame, bucket: str, n_q, n_m, k: int
     left = queries.select(bucket, F.col("q_id").cast("string").alias("q_id"), none.alias("id"), number.alias("_pos"), vector, F.pmod(F.xxhash64("q_id"), n_q).cast("int").alias("bq"), F.explode(F.sequence(F.lit(0), (n_m - 1).cast("int"))).alias("bm"))
     right = memories.select(bucket, none.alias("q_id"), F.col("id").cast("string").alias("id"), F.col("_pos").cast("long").alias("_pos"), vector, F.explode(F.sequence(F.lit(0), (n_q - 1).cast("int"))).alias("bq"), F.pmod(F.xxhash64("id"), n_m).cast("int").alias("bm"))
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, m = pdf[pdf["q_id"].notna()], pdf[pdf["q_id"].isna()]
-        if q.empty or m.empty:
-            return pd.DataFrame({"q_id": pd.Series(dtype=object), "id": pd.Series(dtype=object), "_pos": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
-        names, ids, pos = q["q_id"].to_numpy(object), m["id"].to_numpy(object), m["_pos"].to_numpy().astype(np.int64)
-        rows, cols, sims = _nearest(_matrix(q["embedding"]), _matrix(m["embedding"]), names, ids, pos, k, gate)
-        return pd.DataFrame({"q_id": names[rows], "id": ids[cols], "_pos": pos[cols], "sim": sims})
+    def join(group: pa.Table) -> pa.Table:
+        asks = pc.is_valid(group["q_id"])
+        q, m = group.filter(asks), group.filter(pc.invert(asks))
+        if not len(q) or not len(m):
+            return FOUND.empty_table()
+        names, ids, pos = q["q_id"].combine_chunks(), m["id"].combine_chunks(), m["_pos"].to_numpy().astype(np.int64)
+        rows, cols, sims = _nearest(_unit(q["embedding"]), _unit(m["embedding"]), names.to_numpy(False), ids.to_numpy(False), pos, k, gate)
+        return pa.table([names.take(pa.array(rows)), ids.take(pa.array(cols)), pa.array(pos[cols]), pa.array(sims)], schema=FOUND)
 
-    return left.unionByName(right).groupBy(bucket, "bq", "bm").applyInPandas(join, "q_id string, id string, _pos long, sim double")
+    return left.unionByName(right).groupBy(bucket, "bq", "bm").applyInArrow(join, "q_id string, id string, _pos long, sim double")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -258,7 +295,7 @@ def lsh_search(memories: DataFrame, k: int, tables: int | None = None, bits: int
 
     keyed = mem.mapInPandas(run, f"{mem.schema.simpleString()[7:-1].replace(':', ' ')}, keys array<long>").withColumn("key", F.explode("keys")).drop("keys")
     width = mem.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
-    sizes = keyed.groupBy("key").agg(_blocks_of(F.count("*"), width).alias("n"))  # at most TABLES * 2 ** BITS rows
+    sizes = shared_out(keyed.groupBy("key").agg(F.count("*").alias("c")), width)  # at most TABLES * 2 ** BITS rows
     keyed = keyed.join(sizes, "key")
     found = _deal(keyed.withColumn("q_id", F.col("id")), keyed, "key", F.col("n"), F.col("n"), k, None)
     # a pair that meets in several tables is one, though products of other shapes may differ in their last bits

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from engrama.operators import extras, knn, lexical, recall, scoping
+from engrama.operators import extras, graph, knn, lexical, recall, scoping
 
 
 def test_a_null_text_is_not_the_longest(spark):
@@ -61,3 +61,37 @@ def test_words_in_a_product_or_one_by_one(monkeypatch, dense):
     asked, held = rng.random((20, 30)) * (rng.random((20, 30)) < 0.2), rng.random((30, 15)) * (rng.random((30, 15)) < 0.3)
     w, q = np.nonzero(asked.T)
     assert np.allclose(lexical._product((w, q, asked[q, w]), held, np.count_nonzero(held, axis=1), 20), asked @ held, atol=1e-12)
+
+
+def test_single_precision_only_leaves_out_what_cannot_rank():
+    """Similarities that differ by less than single precision tells, among many that it does tell."""
+    rng = np.random.default_rng(4)
+    q, m = rng.normal(size=(5, 8)), rng.normal(size=(3000, 8))
+    m[::3] = q[0] + 1e-6 * rng.normal(size=(1000, 8))
+    q, m = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (q, m))
+    exact = np.einsum("ik,jk->ij", q, m)
+    rows, cols, sims = knn._nearest(q, m, np.array([f"q{i}" for i in range(5)], object), np.array([f"m{i}" for i in range(3000)], object), np.arange(3000), 4, 0.2)
+    for i in range(5):
+        assert np.allclose(sims[rows == i], np.sort(exact[i])[::-1][:4], rtol=0, atol=1e-15)
+
+
+def test_many_buckets_share_the_blocks(spark):
+    """64 buckets of 10,000 were 5 x 5 pairs of blocks each, 1,600 in all, and each row went to 5 of them twice."""
+    sizes = spark.createDataFrame([(i, 10_000) for i in range(64)], "key long, c long")
+    assert {r["n"] for r in knn.shared_out(sizes, 64).collect()} == {2}
+    assert knn.shared_out(sizes.where("key = 1"), 64).first()["n"] == 5
+
+
+def test_edges_are_searched_once_for_all_strategies(spark):
+    searched = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            searched.add(len(b))
+            yield b
+
+    links = spark.createDataFrame([("a", "b", 0.9, 1), ("b", "c", 0.8, 1), ("c", "d", 0.7, 1)], "src string, dst string, sim double, rnk int").coalesce(1)
+    seeds = spark.createDataFrame([("q", "a", 1)], "q_id string, id string, rnk int")
+    got = graph.reach(links.mapInPandas(count, links.schema), seeds, spark.createDataFrame([("c",)], "id string"))
+    assert {(r["strategy"], r["found"], r["noise"]) for r in got.collect()} == {("forward-1", 0, 1), ("forward-2", 1, 1), ("bidirectional-1", 0, 1), ("bidirectional-2", 1, 1)}
+    assert searched.value == 3
