@@ -134,7 +134,8 @@ def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 50) -> Data
 
 
 def reach(edges_: DataFrame, seeds: DataFrame, targets: DataFrame) -> DataFrame:
-    """(strategy, q_id, found, noise): targets (ids) reached from seeds over edges forward or both ways, in one hop or two; noise counts the other rows reached."""
+    """(strategy, q_id, found, noise): targets (ids) reached from seeds over edges forward or both ways, in one hop or two; noise counts the other rows reached. Edges and seeds are written once, as every strategy reads them."""
+    edges_, seeds = edges_.checkpoint(), seeds.checkpoint()
     back = edges_.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim", "rnk")
     both = _top(edges_.unionByName(back), ["src", "dst"], [F.desc("sim"), "rnk"], 1, "_one").drop("_one")
     out = None
