@@ -92,9 +92,12 @@ def leaps(ledger: DataFrame, memories: DataFrame, k: int = 5, most: float = 0.55
 
 def timescale(pairs: DataFrame, gate: float = 0.55, most_recalls: int = 60, most_epochs: int = 500) -> DataFrame:
     """For each pair (pair, cos): learn, the joint recalls until cos and bonus reach the gate, and forget, the recalls until decay takes it under again. null where neither comes within the limits."""
-    lift = lambda w: F.col("cos") + F.lit(MAX_BONUS) * F.tanh(w)
-    learn = F.array_min(F.filter(F.sequence(F.lit(1), F.lit(most_recalls)), lambda n: lift(n * ALPHA_PRIMARY) >= gate))
-    out = pairs.withColumn("learn", learn)
+    bonus = lambda w: F.lit(MAX_BONUS) * F.tanh(w)
     faded = lambda n: F.col("learn") * ALPHA_PRIMARY * F.pow(F.lit(BETA), n)
-    forget = F.array_min(F.filter(F.sequence(F.lit(1), F.lit(most_epochs)), lambda n: lift(F.when(faded(n) < FLOOR, 0.0).otherwise(faded(n))) < gate))
-    return out.withColumn("forget", forget * EPOCH)
+    # what a pair gains depends on numbers of recalls and epochs alone, so it is computed once for each and not for each pair
+    learnt = pairs.sparkSession.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(most_recalls)), lambda n: bonus(n * ALPHA_PRIMARY)).alias("_gains"))
+    fades = pairs.sparkSession.range(1, most_recalls + 1).select(F.col("id").cast("int").alias("learn")).select("learn", F.transform(F.sequence(F.lit(1), F.lit(most_epochs)), lambda n: bonus(F.when(faded(n) < FLOOR, 0.0).otherwise(faded(n)))).alias("_fades"))
+    first = lambda gains, passes: F.nullif(F.array_position(F.transform(gains, lambda g: passes(F.col("cos") + g)), True), F.lit(0)).cast("int")
+    out = pairs.crossJoin(F.broadcast(learnt)).withColumn("learn", first("_gains", lambda x: x >= gate)).drop("_gains")
+    out = out.join(F.broadcast(fades), "learn", "left").withColumn("forget", first("_fades", lambda x: x < gate) * EPOCH)  # most_recalls rows
+    return out.select(*pairs.columns, "learn", "forget")

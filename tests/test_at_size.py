@@ -1,9 +1,11 @@
 """What showed on odd inputs and larger tables."""
 
+import math
+
 import numpy as np
 import pytest
 
-from engrama.operators import extras, graph, knn, lexical, recall, scoping
+from engrama.operators import extras, graph, knn, ledger, lexical, recall, scoping
 
 
 def test_a_null_text_is_not_the_longest(spark):
@@ -95,3 +97,16 @@ def test_edges_are_searched_once_for_all_strategies(spark):
     got = graph.reach(links.mapInPandas(count, links.schema), seeds, spark.createDataFrame([("c",)], "id string"))
     assert {(r["strategy"], r["found"], r["noise"]) for r in got.collect()} == {("forward-1", 0, 1), ("forward-2", 1, 1), ("bidirectional-1", 0, 1), ("bidirectional-2", 1, 1)}
     assert searched.value == 3
+
+
+def test_gains_are_not_computed_for_each_pair(spark):
+    """No hyperbolic tangent is left in what runs over the pairs, and pairs on both sides of every limit come out as by the formula."""
+    pairs = spark.createDataFrame([(str(i), round(0.2 + i / 400, 6)) for i in range(160)] + [("none", None)], "pair string, cos double")
+    out = ledger.timescale(pairs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("tanh" in line.lower() and "cos" in line for line in plan.splitlines())
+    for r in out.collect():
+        learn = next((n for n in range(1, 61) if r["cos"] is not None and r["cos"] + 0.3 * math.tanh(n * 0.1) >= 0.55), None)
+        left = lambda n: learn * 0.1 * 0.95**n
+        forget = next((n for n in range(1, 501) if learn and r["cos"] + 0.3 * math.tanh(left(n) if left(n) >= 0.05 else 0) < 0.55), None)
+        assert (r["learn"], r["forget"]) == (learn, forget and forget * 10)
