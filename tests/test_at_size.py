@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from engrama.operators import extras, graph, knn, ledger, lexical, recall, scoping
 
@@ -110,3 +111,27 @@ def test_gains_are_not_computed_for_each_pair(spark):
         left = lambda n: learn * 0.1 * 0.95**n
         forget = next((n for n in range(1, 501) if learn and r["cos"] + 0.3 * math.tanh(left(n) if left(n) >= 0.05 else 0) < 0.55), None)
         assert (r["learn"], r["forget"]) == (learn, forget and forget * 10)
+
+
+@pytest.mark.parametrize("zeros", [1 << 20, 0])
+def test_only_memories_with_a_vector_are_sorted(spark, monkeypatch, zeros):
+    """Ranks of bare memories are counted: queries without a direction, similarities of 0, ties and null texts among them."""
+    monkeypatch.setattr(knn, "ZEROS", zeros)
+    rng = np.random.default_rng(9)
+    v = rng.integers(-1, 2, size=(120, 3)).astype(float)
+    rows = [(str(i), i * 100, None if i % 4 == 1 else v[i].tolist(), None if i % 7 == 0 else f"Word{i % 5} and more") for i in range(120)]
+    mem = spark.createDataFrame(rows, "id string, _pos long, embedding array<double>, text string")
+    lone = next(str(i) for i in range(120) if i % 4 != 1 and not v[i].any())
+    asked = ["0", "2", "7", lone]
+    asks = mem.where(F.col("id").isin(*asked)).select(F.col("id").alias("q_id"), "embedding")
+    terms = {"0": "WORD1", "2": "", "7": None, lone: "none"}
+    ranked = knn.ranking(asks, mem, spark.createDataFrame(list(terms.items()), "q_id string, term string"))
+    got = {(r["q_id"], r["rnk"]): (r["id"], r["is_target"]) for r in ranked.collect()}
+    unit = lambda i: v[i] / (np.linalg.norm(v[i]) or 1) if i % 4 != 1 else np.zeros(3)
+    for q in asked:
+        order = sorted((i for i in range(120) if str(i) != q), key=lambda i: (-round(float(unit(int(q)) @ unit(i)), 12), i))
+        holds = lambda i: terms[q] is not None and i % 7 != 0 and terms[q].lower() in rows[i][3].lower()
+        assert [got[q, n] for n in range(1, 120)] == [(str(i), holds(i)) for i in order]
+    if zeros:
+        sorted_ = [line for line in ranked._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
+        assert len(sorted_) == 1  # over rows of memories with a vector
