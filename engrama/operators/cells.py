@@ -17,6 +17,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,20 +103,26 @@ def assigned(rows: DataFrame, cells: Cells) -> DataFrame:
     return rows.mapInPandas(run, f"{_ddl(rows)}, cell int, angle double")
 
 
+def _open(b: pd.DataFrame, cells: Cells, gate: float | None, probes: int | None) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows of b with a direction, and which cells each of them visits."""
+    limit = np.inf if gate is None or gate <= 0 else float(np.arccos(min(gate, 1.0))) + SLACK
+    unit = knn._matrix(b["embedding"]) if len(b) else np.zeros((0, cells.centres.shape[1]))
+    there = (unit * unit).sum(axis=1) > 0.5
+    angles = cells.angles(unit[there])
+    open_ = (angles <= cells.reach[None, :] + limit) & (cells.reach >= 0)[None, :]
+    if probes is not None:
+        rank = np.argsort(np.argsort(np.where(open_, angles, np.inf), axis=1, kind="stable"), axis=1, kind="stable")
+        open_ &= rank < probes
+    return b[there], open_
+
+
 def visits(queries: DataFrame, cells: Cells, gate: float | None, probes: int | None) -> DataFrame:
     """queries (with embedding) once for each cell that they visit: those that can hold a row at or above the gate, and of these the `probes` nearest if that is given."""
-    limit = np.inf if gate is None or gate <= 0 else float(np.arccos(min(gate, 1.0))) + SLACK
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            unit = knn._matrix(b["embedding"]) if len(b) else np.zeros((0, cells.centres.shape[1]))
-            b = b[(unit * unit).sum(axis=1) > 0.5]
-            angles = cells.angles(unit[(unit * unit).sum(axis=1) > 0.5])
-            open_ = (angles <= cells.reach[None, :] + limit) & (cells.reach >= 0)[None, :]
-            if probes is not None:
-                rank = np.argsort(np.argsort(np.where(open_, angles, np.inf), axis=1, kind="stable"), axis=1, kind="stable")
-                open_ &= rank < probes
-            yield b.assign(cells=[np.flatnonzero(o).astype(np.int32) for o in open_])
+            rows, open_ = _open(b, cells, gate, probes)
+            yield rows.assign(cells=[np.flatnonzero(o).astype(np.int32) for o in open_])
 
     out = queries.mapInPandas(run, f"{_ddl(queries)}, cells array<int>")
     return out.select(*queries.columns, F.explode("cells").alias("cell"))
@@ -124,6 +132,57 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
+def grouped(cells: Cells, groups: int = knn.SIDE, seed: int = 7) -> np.ndarray:
+    """The group of each cell: at most so many, of centres that lie near each other."""
+    if len(cells.centres) <= groups:
+        return np.arange(len(cells.centres))
+    return (cells.centres @ _spherical(cells.centres, groups, seed).T).argmax(axis=1)
+
+
+def _visiting(queries: DataFrame, cells: Cells, gate: float | None, probes: int | None, group: np.ndarray) -> DataFrame:
+    """queries (q_id, embedding) once for each group of cells of which they visit any, with a bit for each cell of the group."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows, open_ = _open(b, cells, gate, probes)
+            for g in range(group.max() + 1):
+                mine = open_[:, group == g]
+                some = np.flatnonzero(mine.any(axis=1))
+                yield rows.iloc[some].assign(grp=np.int32(g), bits=[x.tobytes() for x in np.packbits(mine[some], axis=1)])
+
+    return queries.mapInPandas(run, f"{_ddl(queries)}, grp int, bits binary")
+
+
+def _met(cells_of: list[np.ndarray], k: int, gate: float | None):
+    """From a block of queries and a block of members of one group to the k best of each query: a cell is multiplied with the queries that visit it."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        asks = pc.is_valid(table["q_id"])
+        q, m = table.filter(asks), table.filter(pc.invert(asks)).sort_by("cell")
+        if not len(q) or not len(m):
+            return knn.FOUND.empty_table()
+        mine, cell, pos = cells_of[table["grp"][0].as_py()], m["cell"].to_numpy(), m["_pos"].to_numpy().astype(np.int64)
+        bits = np.unpackbits(np.frombuffer(b"".join(q["bits"].to_pylist()), np.uint8).reshape(len(q), -1), axis=1)[:, : len(mine)].astype(bool)
+        asked, held, places = knn._unit(q["embedding"]), knn._unit(m["embedding"]), np.arange(-len(q), 0)  # names of queries are no ids
+        floor = np.full(len(q), -np.inf if gate is None else gate)
+        rows, cols, sims = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for c, lo, hi in zip(mine, np.searchsorted(cell, mine), np.searchsorted(cell, mine, "right"), strict=True):
+            which = np.flatnonzero(bits[:, np.searchsorted(mine, c)])
+            if lo == hi or not len(which):
+                continue
+            i, j, s = knn._nearest(asked[which], held[lo:hi], places[which], np.arange(lo, hi), pos[lo:hi], k, None, floor[which])
+            rows, cols, sims = np.concatenate([rows, which[i]]), np.concatenate([cols, j + lo]), np.concatenate([sims, s])
+            order = np.lexsort((pos[cols], -sims, rows))
+            rows, cols, sims = rows[order], cols[order], sims[order]
+            nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            floor[rows[nth == k - 1]] = sims[nth == k - 1]
+            rows, cols, sims = rows[nth < k], cols[nth < k], sims[nth < k]
+        names, ids = q["q_id"].combine_chunks(), m["id"].combine_chunks()
+        return pa.table([names.take(pa.array(rows)), ids.take(pa.array(cols)), pa.array(pos[cols]), pa.array(sims)], schema=knn.FOUND)
+
+    return meet
+
+
 def _distinct(rows: DataFrame) -> DataFrame:
     """rows with v, which names their vector (by 128 bits of hash)."""
     bits = lambda seed: F.hex(F.xxhash64(F.lit(seed), "embedding"))
@@ -144,10 +203,17 @@ def search(queries: DataFrame, memories: DataFrame, k: int, gate: float | None =
     first = Window.partitionBy("v").orderBy("_pos", "id")
     members = assigned(mem.withColumn("_i", F.row_number().over(first)).where(F.col("_i") <= k + 1).select("id", "_pos", "embedding"), cells).drop("angle")
     each = asks.groupBy("v").agg(F.first("embedding").alias("embedding"))
-    visiting = visits(each.select(F.concat(F.lit("="), "v").alias("q_id"), "embedding"), cells, gate, probes)
-    blocks = lambda df, n: df.groupBy("cell").agg(knn._blocks_of(F.count("*"), cells.centres.shape[1]).alias(n))
-    sizes = F.broadcast(blocks(visiting, "n_q").join(blocks(members, "n_m"), "cell"))  # at most MOST rows
-    found = knn._deal(visiting.join(sizes, "cell"), members.join(sizes, "cell"), "cell", F.col("n_q"), F.col("n_m"), k + 1, gate)
+    # a query goes to groups of cells, so the copies of a row do not grow with the cells
+    group, width = grouped(cells), cells.centres.shape[1]
+    of = mem.sparkSession.createDataFrame([(c, int(g)) for c, g in enumerate(group)], "cell int, grp int")  # a row per cell
+    members, n_q = members.join(F.broadcast(of), "cell"), knn._blocks(each.count(), width)
+    sizes = F.broadcast(members.groupBy("grp").agg(F.ceil(F.count("*") * (width * 8) / knn.BLOCK_BYTES).cast("int").alias("n_m")))  # a row per group
+    none = lambda t, n: F.lit(None).cast(t).alias(n)
+    left = _visiting(each.select(F.concat(F.lit("="), "v").alias("q_id"), "embedding"), cells, gate, probes, group).join(sizes, "grp")
+    left = left.select("grp", "q_id", none("string", "id"), none("long", "_pos"), none("int", "cell"), "bits", "embedding", F.pmod(F.xxhash64("q_id"), F.lit(n_q)).cast("int").alias("bq"), F.explode(F.sequence(F.lit(0), F.col("n_m") - 1)).alias("bm"))
+    right = members.join(sizes, "grp").select("grp", none("string", "q_id"), "id", "_pos", "cell", none("binary", "bits"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("bq"), F.pmod(F.xxhash64("id"), F.col("n_m")).cast("int").alias("bm"))
+    cells_of = [np.flatnonzero(group == g) for g in range(group.max() + 1)]
+    found = left.unionByName(right).groupBy("grp", "bq", "bm").applyInArrow(_met(cells_of, k + 1, gate), "q_id string, id string, _pos long, sim double")
     best = found.withColumn("_r", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("sim"), "_pos"))).where(F.col("_r") <= k + 1)
     mine = asks.select("q_id", F.concat(F.lit("="), "v").alias("_v")).join(best.withColumnRenamed("q_id", "_v"), "_v").where("q_id <> id")
     return knn._ranked(mine, k)

@@ -76,3 +76,14 @@ def test_nothing_to_find(spark):
     assert cells.search(zero.select(F.col("id").alias("q_id"), "embedding"), zero, 2, 0.5).count() == 0
     with pytest.raises(ValueError):
         graph.edges(mem.withColumn("s", F.lit(1)), 2, 0.5, within="s", index=cells.fit(mem))
+
+
+def test_copies_of_a_query_do_not_grow_with_the_cells(spark):
+    """Where nothing can be left out a query went to each of the cells; it goes to 12 groups of them."""
+    rng = np.random.default_rng(2)
+    mem = spark.createDataFrame([(str(i), i, rng.normal(size=16).tolist()) for i in range(900)], "id string, _pos long, embedding array<double>")
+    index = cells.fit(mem, 40)
+    asks = mem.select(F.col("id").alias("q_id"), "embedding")
+    assert cells.visits(asks, index, 0.1, None).count() > 30 * 900
+    assert cells._visiting(asks, index, 0.1, None, cells.grouped(index)).count() <= knn.SIDE * 900
+    assert rows(graph.edges(mem, 3, 0.1, index=index), "src", "dst", "rnk") == rows(graph.edges(mem, 3, 0.1), "src", "dst", "rnk")
