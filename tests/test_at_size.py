@@ -135,3 +135,13 @@ def test_only_memories_with_a_vector_are_sorted(spark, monkeypatch, zeros):
     if zeros:
         sorted_ = [line for line in ranked._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in line]
         assert len(sorted_) == 1  # over rows of memories with a vector
+
+
+def test_copies_are_not_gathered_all_at_once(monkeypatch):
+    """Of equal vectors every pair reaches the floor; they are multiplied again in parts, and the first by place rank."""
+    most, einsum = [0], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda how, x, y: most.__setitem__(0, max(most[0], len(x))) or einsum(how, x, y))
+    v, ids = np.full((600, 4), 0.5), np.array([f"m{i}" for i in range(600)], object)
+    rows, cols, _ = knn._nearest(v, v, ids, ids, np.arange(600)[::-1], 2, 0.2)
+    assert most[0] <= knn.PAIRS
+    assert cols[rows == 0].tolist() == [599, 598] and cols[rows == 599].tolist() == [598, 597]
