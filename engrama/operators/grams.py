@@ -1,43 +1,63 @@
 """Substring search by an index of grams.
 
-A posting is a gram of one to three word characters and the memories whose text holds it: a bitmap per bucket of 32,768
-places. A word of at most three characters is a gram itself; a longer one can only occur where all its grams do,
-so the bitmaps of its grams are intersected, and only the memories left are read and looked through. Scores are then
-added up from bitmaps, bucket by bucket, and no other text is read.
+A posting is a gram of one to three word characters and the memories whose text holds it: a bitmap per bucket of places.
+A word of at most three characters is a gram itself; a longer one can only occur where all its grams do,
+so the bitmaps of its grams are intersected, and only the texts left are looked through. Bitmaps and texts of a bucket meet in one
+task, which adds up scores from them and hands on k rows per query, so words and memories never meet as rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engrama.functions.text import tokens
 from engrama.operators import lexical
 
 #: Places of one bitmap, and characters of the longest gram.
-BUCKET, LONGEST = 32_768, 3
+BUCKET, LONGEST = 2_048, 3
 #: Bytes of a matrix of words and memories.
 MATRIX = 64 << 20
+#: Buckets of one task: about so many tasks, but no more buckets in one.
+TASKS, BUCKETS = 96, 16
 POSTING = "gram string, bucket long, bits binary"
 
 
-def _grams(text: Column) -> Column:
-    """Distinct grams of the runs of word characters in a text in lower case; none without such runs."""
-    runs = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]+"), 0))
-    each = lambda n: F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) >= n), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - (n - 1)), lambda i: F.substring(r, i, F.lit(n)))))
-    return F.array_distinct(F.concat(*[each(n) for n in range(1, LONGEST + 1)]))
+def _grams(run: str) -> set[str]:
+    return {run[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(run) - n + 1)}
+
+
+def _runs(texts: Iterable[tuple[int, str | None]]) -> dict[str, int]:
+    """The runs of word characters of texts in lower case, by their places in a bucket, with the bitmap of each."""
+    out: dict[str, int] = {}
+    for at, text in texts:
+        for run in set(lexical.RUN.findall(text or "")):
+            out[run] = out.get(run, 0) | 1 << at
+    return out
+
+
+def _bucket(places: DataFrame) -> DataFrame:
+    return places.withColumn("bucket", F.floor(F.col("_pos") / BUCKET))
 
 
 def build(memories: DataFrame) -> DataFrame:
-    """POSTING of memories (_pos, text; places are not negative and unique). The empty gram stands for every memory, null texts too."""
-    rows = memories.select(F.col("_pos").cast("long").alias("_pos"), F.explode(F.concat(F.array(F.lit("")), _grams(F.col("text")))).alias("gram"))
-    rows = rows.select("gram", F.floor(F.col("_pos") / BUCKET).alias("bucket"), F.pmod("_pos", F.lit(BUCKET)).alias("bit"))
-    return rows.groupBy("gram", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    """POSTING of memories (_pos, text; places are not negative and unique). The empty gram stands for every memory, null texts too. Each text goes to its bucket, where the bitmaps are made."""
+
+    def index(group: pa.Table) -> pa.Table:
+        texts = {p % BUCKET: t for p, t in zip(group["_pos"].to_pylist(), group["text"].to_pylist(), strict=True)}
+        out = {"": sum(1 << at for at in texts)}
+        for run, held in _runs(texts.items()).items():
+            for g in _grams(run):
+                out[g] = out.get(g, 0) | held
+        columns = [pa.array(list(out), pa.string()), pa.array([group["bucket"][0].as_py()] * len(out), pa.int64()), pa.array([x.to_bytes(BUCKET // 8, "little") for x in out.values()], pa.binary())]
+        return pa.table(columns, names=["gram", "bucket", "bits"])
+
+    return _bucket(memories.select(F.col("_pos").cast("long").alias("_pos"), F.lower("text").alias("text"))).groupBy("bucket").applyInArrow(index, POSTING)
 
 
 def write(postings: DataFrame, path: str) -> None:
@@ -49,63 +69,149 @@ def grams_of(word: str) -> list[str]:
     return sorted({word[i : i + LONGEST] for i in range(max(1, len(word) - LONGEST + 1))})
 
 
-def _held(words: list[str], postings: DataFrame) -> DataFrame:
-    """(word, bucket, bits): memories that hold all grams of each word."""
-    spark = postings.sparkSession
-    needed = spark.createDataFrame([(w, g, len(gs)) for w in words for gs in (grams_of(w),) for g in gs], "word string, gram string, n int")
-    found = postings.join(F.broadcast(needed), "gram")  # the words of one block
-    return found.groupBy("word", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("c"), F.first("n").alias("n")).where("c = n").select("word", "bucket", "bits")
+def _needed(words: list[str], postings: DataFrame) -> DataFrame:
+    """The postings of the words' grams."""
+    names = pd.DataFrame({"gram": sorted({g for w in words for g in grams_of(w)})}, dtype=object)
+    return postings.join(F.broadcast(postings.sparkSession.createDataFrame(names, "gram string")), "gram", "left_semi")  # the grams of one pass
+
+
+def _bits(table: pa.Table) -> dict[int, dict[str, int]]:
+    """bucket: gram: its bitmap as a number."""
+    out: dict[int, dict[str, int]] = {}
+    for gram, bucket, bits in zip(*(table[c].to_pylist() for c in ("gram", "bucket", "bits")), strict=True):
+        out.setdefault(bucket, {})[gram] = int.from_bytes(bits, "little")
+    return out
 
 
-def _places(bitmaps: DataFrame) -> DataFrame:
-    """(word, _pos) of (word, bucket, bits)."""
+def _all(grams: list[str], bits: dict[str, int]) -> int:
+    """Which memories hold all grams."""
+    held = bits.get(grams[0], 0)
+    for g in grams[1:]:
+        if not held:
+            break
+        held &= bits.get(g, 0)
+    return held
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for word, bucket, bits in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")) + bucket * BUCKET
-                yield pa.RecordBatch.from_arrays([pa.array([word] * len(at), pa.string()), pa.array(at, pa.int64())], ["word", "_pos"])
 
-    return bitmaps.mapInArrow(run, "word string, _pos long")
+def _at(held: int) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(held.to_bytes(BUCKET // 8, "little"), np.uint8), bitorder="little"))
+
+
+class _Words:
+    """Words with their grams, and which of the longer ones stand in a run; runs of a task are remembered."""
+
+    def __init__(self, words: list[str]):
+        self.grams = [grams_of(w) for w in words]
+        self.long = {w: i for i, w in enumerate(words) if len(w) > LONGEST}
+        self.lengths = sorted({len(w) for w in self.long})
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def inside(self, run: str) -> tuple[int, ...]:
+        got = self.known.get(run)
+        if got is None:
+            got = tuple({self.long[s] for n in self.lengths if n <= len(run) for i in range(len(run) - n + 1) if (s := run[i : i + n]) in self.long})
+            if len(self.known) >= lexical.REMEMBERED:
+                self.known.clear()
+            self.known[run] = got
+        return got
+
+    def holding(self, bits: dict[str, int], texts: dict[int, str | None]) -> Iterator[tuple[int, np.ndarray]]:
+        """Number and places in a bucket of each word that some text holds. Of longer words the candidates are looked through: a word stands in a text where it stands in one of its runs, and equal runs are looked at once."""
+        held = [_all(g, bits) for g in self.grams]
+        open_, true = 0, dict.fromkeys(self.long.values(), 0)
+        for i in true:
+            open_ |= held[i]
+        for run, there in _runs((at, texts.get(at)) for at in _at(open_).tolist()).items():
+            for i in self.inside(run):
+                true[i] |= there
+        for i, which in enumerate(held):
+            if which := which & true.get(i, which):
+                yield i, _at(which)
+
+
+def _meet(words: list[str], memories: DataFrame, postings: DataFrame, buckets: int, use: Callable, schema: str) -> DataFrame:
+    """use() of the postings of the words' grams and the memories (id, _pos, text in lower case) of so many buckets at a time."""
+    rows = _bucket(memories.select(F.col("id").cast("string").alias("id"), F.col("_pos").cast("long").alias("_pos"), F.lower("text").alias("text")))
+    side = lambda df: df.groupBy(F.floor(F.col("bucket") / buckets).alias("_group"))
+    return side(_needed(words, postings)).cogroup(side(rows)).applyInArrow(use, schema)
 
 
 def holding(words: list[str], memories: DataFrame, postings: DataFrame) -> DataFrame:
-    """(word, bucket, bits): the memories whose text holds each word (in lower case, of word characters). Of longer words the candidates are verified; a memory is read once for all of them."""
-    short = _held([w for w in words if len(w) <= LONGEST], postings)
-    open_ = _places(_held([w for w in words if len(w) > LONGEST], postings)).groupBy("_pos").agg(F.collect_list("word").alias("words"))  # at most a block's words
-    read = open_.join(memories.select(F.col("_pos").cast("long").alias("_pos"), F.lower("text").alias("text")), "_pos")
-    true = read.select("_pos", F.explode(F.filter("words", lambda w: F.contains(F.col("text"), w))).alias("word"))
-    long = true.groupBy("word", F.floor(F.col("_pos") / BUCKET).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod("_pos", F.lit(BUCKET))).alias("bits"))
-    return short.unionByName(long)
+    """(word, bucket, bits): the memories whose text holds each word (in lower case, of word characters)."""
+    def use(held: pa.Table, mem: pa.Table) -> pa.Table:
+        texts, known, out = {p % BUCKET: t for p, t in zip(mem["_pos"].to_pylist(), mem["text"].to_pylist(), strict=True)}, _Words(words), []
+        for bucket, bits in _bits(held).items():
+            for i, at in known.holding(bits, texts):
+                flags = np.zeros(BUCKET, np.uint8)
+                flags[at] = 1
+                out.append((words[i], bucket, np.packbits(flags, bitorder="little").tobytes()))
+        return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["word", "bucket", "bits"])
+
+    return _meet(words, memories, postings, 1, use, "word string, bucket long, bits binary")
+
+
+def _counter(block: list[tuple[str, list[str]]]) -> Callable[[pa.Table], pa.Table]:
+    def count(held: pa.Table) -> pa.Table:
+        n = [0] * len(block)
+        for bits in _bits(held).values():
+            known = {w: _all(grams_of(w), bits) for w in {w for _, tok in block for w in tok}}
+            for q, (_, tok) in enumerate(block):
+                any_ = 0
+                for w in tok:
+                    any_ |= known[w]
+                n[q] += any_.bit_count()
+        return pa.table([pa.array([q for q, _ in block], pa.string()), pa.array(n, pa.int64())], names=["q_id", "n"])
+
+    return count
 
 
 def reads(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """(q_id, memories): how many memories each query (q_id, text) has to read: those that hold all grams of one of its longer words."""
-    asked = queries.select(F.col("q_id").cast("string").alias("q_id"), F.explode(tokens(F.col("text"))).alias("word")).where(F.length("word") > LONGEST)
+    asked = queries.select(F.col("q_id").cast("string").alias("q_id"), F.filter(tokens(F.col("text")), lambda w: F.length(w) > LONGEST).alias("tok"))
     parts = None
-    for block in lexical.query_blocks(asked.groupBy("q_id").agg(F.collect_list("word").alias("tok")), lexical.QUERIES):
-        pairs = postings.sparkSession.createDataFrame([(q, w) for q, tok in block for w in tok], "q_id string, word string")
-        held = _held(sorted({w for _, tok in block for w in tok}), postings).join(F.broadcast(pairs), "word")
-        part = held.groupBy("q_id", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n")).groupBy("q_id").agg(F.sum("n").alias("memories"))
+    for block in lexical.query_blocks(asked):
+        part = _needed(sorted({w for _, tok in block for w in tok}), postings).groupBy("bucket").applyInArrow(_counter(block), "q_id string, n long")
+        part = part.groupBy("q_id").agg(F.sum("n").alias("memories"))
         parts = part if parts is None else parts.unionByName(part)
     return queries.select(F.col("q_id").cast("string").alias("q_id")).join(parts, "q_id", "left").select("q_id", F.coalesce("memories", F.lit(0)).alias("memories"))
 
 
-def _scorer(names: np.ndarray, share: np.ndarray, place: dict[str, int], k: int):
-    """From the bitmaps of one bucket to the k best places of each query."""
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = {w: np.frombuffer(b, np.uint8) for w, b in zip(pdf["word"], pdf["bits"], strict=True)}
-        held, best, bucket = [w for w in bits if w], lexical.Best(len(names), k), int(pdf["bucket"].iloc[0])
-        asked_, step = share[:, [place[w] for w in held]], max(1, MATRIX // (64 * max(1, len(held), len(names))))  # bytes of bitmaps at once
-        for lo in range(0, BUCKET // 8 if "" in bits else 0, step):
-            there = np.flatnonzero(np.unpackbits(bits[""][lo : lo + step], bitorder="little"))
-            if len(there):
-                rows = np.stack([np.unpackbits(bits[w][lo : lo + step], bitorder="little")[there] for w in held]).astype(float) if held else np.zeros((0, len(there)))
-                at = there + lo * 8 + bucket * BUCKET
-                best.add(np.round(asked_ @ rows, 12), at, at.astype(object))
-        out = best.rows(names)
-        return pd.DataFrame({"q_id": out["q_id"].astype(object), "_pos": out["_pos"].astype(np.int64), "score": out["score"].astype(float)})
+def _scorer(block: list[tuple[str, list[str]]], words: list[str], k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """From the bitmaps and texts of some buckets to the k best memories of each query."""
+    names, known, place = np.array([q for q, _ in block], object), _Words(words), {w: i for i, w in enumerate(words)}
+    rows = np.array([i for i, (_, tok) in enumerate(block) for _ in tok], np.int64)
+    cols = np.array([place[w] for _, tok in block for w in tok], np.int64)
+    value = np.array([1 / len(tok) for _, tok in block for _ in tok])
+    size, each = MATRIX, lexical.QUERIES
+
+    def score(held: pa.Table, mem: pa.Table) -> pa.Table:
+        parts = []
+        for lo in range(0, len(names), each):
+            first, last = np.searchsorted(rows, (lo, lo + each))
+            by = np.argsort(cols[first:last], kind="stable") + first
+            parts.append((lo, (cols[by], rows[by] - lo, value[by]), lexical.Best(len(names[lo : lo + each]), k, 12)))
+        bits, pos, ids, text = _bits(held), mem["_pos"].to_numpy(), mem["id"].to_numpy(), mem["text"].to_pylist()
+        for bucket in np.unique(pos // BUCKET).tolist():
+            mine = np.flatnonzero(pos // BUCKET == bucket)
+            at = pos[mine] - bucket * BUCKET
+            found = dict(known.holding(bits.get(bucket, {}), dict(zip(at.tolist(), (text[i] for i in mine), strict=True))))
+            local, column = np.fromiter(found, np.int64, len(found)), np.full(BUCKET, -1)
+            column[at] = np.arange(len(at))
+            row, col = np.repeat(np.arange(len(found)), [len(x) for x in found.values()]), column[np.concatenate([np.zeros(0, np.int64), *found.values()])]
+            step = max(1, size // (8 * max(1, len(found))))
+            number = np.full(len(words), -1)
+            number[local] = np.arange(len(local))
+            for lo in range(0, len(mine), step):
+                some, here = mine[lo : lo + step], (col >= lo) & (col < lo + step)
+                m = np.zeros((len(found), len(some)))
+                m[row[here], col[here] - lo] = 1
+                there = np.bincount(row[here], minlength=len(found))
+                for _, (c, r, v), best in parts:
+                    asks = number[c] >= 0
+                    best.add(lexical._product((number[c[asks]], r[asks], v[asks]), m, there, len(best.least)), pos[some], ids[some])
+        out = pd.concat([best.rows(names[lo : lo + each]) for lo, _, best in parts])
+        types = (pa.string(), pa.string(), pa.int64(), pa.float64())
+        return pa.table([pa.array(out[c].to_numpy(), t) for c, t in zip(("q_id", "id", "_pos", "score"), types, strict=True)], names=["q_id", "id", "_pos", "score"])
 
     return score
 
@@ -113,16 +219,13 @@ def _scorer(names: np.ndarray, share: np.ndarray, place: dict[str, int], k: int)
 def keyword_recall(queries: DataFrame, memories: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     """recall.keyword_recall() by postings of these memories: (q_id, rnk, id, score) by share of query words found, ties by place; a query without any hit gets the first memory."""
     asked = queries.select(F.col("q_id").cast("string").alias("q_id"), tokens(F.col("text")).alias("tok"))
+    buckets = min(BUCKETS, max(1, -(-postings.where("gram = ''").count() // TASKS)))
     parts = []
-    for block in lexical.query_blocks(asked, lexical.QUERIES):
-        names, words = np.array([q for q, _ in block], object), sorted({w for _, tok in block for w in tok})
-        place = {w: i for i, w in enumerate(words)}
-        share = np.zeros((len(names), len(words)))
-        for i, (_, tok) in enumerate(block):
-            share[i, [place[w] for w in tok]] = 1 / max(1, len(tok))
-
-        every = postings.where("gram = ''").select(F.lit("").alias("word"), "bucket", "bits")
-        parts.append(holding(words, memories, postings).unionByName(every).groupBy("bucket").applyInPandas(_scorer(names, share, place, k), "q_id string, _pos long, score double"))
-    best = lexical.top([p.withColumn("id", F.col("_pos").cast("string")) for p in parts], k, 12).withColumn("_pos", F.col("id").cast("long"))
-    named = best.drop("id").join(memories.select(F.col("_pos").cast("long").alias("_pos"), F.col("id").cast("string").alias("id")), "_pos")
-    return named.where((F.col("score") > 0) | (F.col("rnk") == 1)).select("q_id", "rnk", "id", "score")
+    for block in lexical.query_blocks(asked):
+        words = sorted({w for _, tok in block for w in tok})
+        if block:
+            parts.append(_meet(words, memories, postings, buckets, _scorer(block, words, k), "q_id string, id string, _pos long, score double"))
+    if not parts:
+        return memories.sparkSession.createDataFrame([], "q_id string, rnk int, id string, score double")
+    best = lexical.top(parts, k, 12)
+    return best.where((F.col("score") > 0) | (F.col("rnk") == 1)).select("q_id", "rnk", "id", "score")

@@ -61,3 +61,14 @@ def test_no_memories(spark, small):
     asks = spark.createDataFrame([("q", "sea")], "q_id string, text string")
     assert grams.keyword_recall(asks, none, grams.build(none), 5).count() == 0
     assert grams.keyword_recall(asks.where("false"), small, grams.build(small), 5).count() == 0
+
+
+def test_words_and_memories_do_not_meet_as_rows(spark, small, monkeypatch):
+    """Each bucket's bitmaps and texts meet in one task, and nothing is exploded, by the build or the search; several buckets of a task give the same."""
+    asks = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(["overseas stones", "a of", "zzzz"])], "q_id string, text string")
+    postings = grams.build(small)
+    found = grams.keyword_recall(asks, small, postings, 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("FlatMapCoGroupsInArrow") == 1
+    monkeypatch.setattr(grams, "TASKS", 4)
+    assert rows(grams.keyword_recall(asks, small, postings, 3)) == rows(found) == rows(recall.keyword_recall(asks, small, 3))
