@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from engrama.functions.vector import bonus, pair
 from engrama.operators import cells
-from engrama.operators.knn import search
+from engrama.operators.knn import neighbours, search
 
 
 def _top(df: DataFrame, by: list[str], order: list, k: int, name: str = "rnk") -> DataFrame:
@@ -33,7 +33,8 @@ def edges(memories: DataFrame, k: int = 3, min_sim: float = 0.55, mutual: bool =
     """
     stores = [within] if within else []
     mem = memories.where(F.col("embedding").isNotNull()).select("id", "_pos", "embedding", *stores)
-    base = _nearest(mem.withColumnRenamed("id", "q_id").drop("_pos"), mem, k, min_sim, within, index).select(F.col("q_id").alias("src"), F.col("id").alias("dst"), "sim")
+    near = neighbours(mem, k, min_sim) if within is None and index is None else _nearest(mem.withColumnRenamed("id", "q_id").drop("_pos"), mem, k, min_sim, within, index)
+    base = near.select(F.col("q_id").alias("src"), F.col("id").alias("dst"), "sim")
     if ledger is not None:
         from engrama.functions.vector import cosine
 
@@ -101,13 +102,14 @@ def graph_view(memories: DataFrame, k: int = 3, min_sim: float = 0.55, ledger: D
     """Nodes (id, text, is_constraint, current) and edges (a, b, w, learned): w is the plain similarity to 4 places."""
     live = memories.where(~F.col("deleted") & F.col("embedding").isNotNull())
     nodes = live.select("id", "text", "is_constraint", F.col("valid_to").isNull().alias("current"))
+    links = undirected(edges(live, k, min_sim, ledger=ledger))
+    if ledger is None:
+        return nodes, links.select("a", "b", F.round("sim", 4).alias("w"), F.lit(0.0).alias("learned"))
     from engrama.functions.vector import cosine
 
-    links = undirected(edges(live, k, min_sim, ledger=ledger)).drop("sim")
+    links = links.drop("sim")
     va, vb = live.select(F.col("id").alias("a"), F.col("embedding").alias("va")), live.select(F.col("id").alias("b"), F.col("embedding").alias("vb"))
     links = links.join(va, "a").join(vb, "b").select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 4).alias("w"))
-    if ledger is None:
-        return nodes, links.withColumn("learned", F.lit(0.0))
     return nodes, links.join(ledger.select("a", "b", F.round("w", 4).alias("learned")), ["a", "b"], "left").fillna(0.0, ["learned"])
 
 

@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 
 #: Rows of a small block, blocks of a side once these would be more, and bytes of vectors beyond which there are more again.
 BLOCK, SIDE, BLOCK_BYTES = 2048, 12, 64 << 20
+#: Blocks of a side where all memories are searched among themselves.
+OWN = 8
 #: Bytes of a query matrix that travels with the code.
 FEW_BYTES = 32 << 20
 #: Memories of one matrix product in place; rows and columns of one inside a pair of blocks.
@@ -122,11 +124,11 @@ def shared_out(sizes: DataFrame, width: int) -> DataFrame:
     return sizes.select("key", _blocks_of(F.col("c"), width, F.col("c") * (SIDE / max(1.0, total) ** 0.5)).alias("n"))
 
 
-def _deal(queries: DataFrame, memories: DataFrame, bucket: str, n_q, n_m, k: int, gate: float | None) -> DataFrame:
+def _deal(queries: DataFrame, memories: DataFrame, bucket: str, n_q, n_m, k: int, gate: float | None, number: str = "double") -> DataFrame:
     """(q_id, id, _pos, sim): within each bucket, blocks of queries meet blocks of memories, one task per pair of blocks, and each query takes k rows from each."""
-    vector = F.col("embedding").cast("array<double>").alias("embedding")
-    none, number = F.lit(None).cast("string"), F.lit(None).cast("long")
-    left = queries.select(bucket, F.col("q_id").cast("string").alias("q_id"), none.alias("id"), number.alias("_pos"), vector, F.pmod(F.xxhash64("q_id"), n_q).cast("int").alias("bq"), F.explode(F.sequence(F.lit(0), (n_m - 1).cast("int"))).alias("bm"))
+    vector = F.col("embedding").cast(f"array<{number}>").alias("embedding")
+    none = F.lit(None).cast("string")
+    left = queries.select(bucket, F.col("q_id").cast("string").alias("q_id"), none.alias("id"), F.lit(None).cast("long").alias("_pos"), vector, F.pmod(F.xxhash64("q_id"), n_q).cast("int").alias("bq"), F.explode(F.sequence(F.lit(0), (n_m - 1).cast("int"))).alias("bm"))
     right = memories.select(bucket, none.alias("q_id"), F.col("id").cast("string").alias("id"), F.col("_pos").cast("long").alias("_pos"), vector, F.explode(F.sequence(F.lit(0), (n_q - 1).cast("int"))).alias("bq"), F.pmod(F.xxhash64("id"), n_m).cast("int").alias("bm"))
 
     def join(group: pa.Table) -> pa.Table:
@@ -141,6 +143,34 @@ def _deal(queries: DataFrame, memories: DataFrame, bucket: str, n_q, n_m, k: int
     return left.unionByName(right).groupBy(bucket, "bq", "bm").applyInArrow(join, "q_id string, id string, _pos long, sim double")
 
 
+def _single(vectors: DataFrame) -> tuple[int, int, str]:
+    """How many vectors there are, their width, and the type that they can travel in as they are: single precision where every number is one of it."""
+    exact = F.coalesce(F.forall("embedding", lambda x: x.cast("double") == x.cast("float").cast("double")), F.lit(False))
+    n, width, single = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0)), F.coalesce(F.bool_and(exact), F.lit(False))).first()
+    return n, width, "float" if single else "double"
+
+
+def _among(memories: DataFrame, blocks: int, k: int, gate: float | None, number: str) -> DataFrame:
+    """(q_id, id, _pos, sim): every two blocks of the memories meet in one task, where each is asked for the other's, and each block meets itself; a row goes to `blocks` tasks."""
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_b")
+    rows = memories.select(F.col("id").cast("string").alias("id"), F.col("_pos").cast("long").alias("_pos"), F.col("embedding").cast(f"array<{number}>").alias("embedding"), own, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o"))
+    rows = rows.select("id", "_pos", "embedding", "_b", F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi"))
+
+    def join(group: pa.Table) -> pa.Table:
+        lo, hi = group["_lo"][0].as_py(), group["_hi"][0].as_py()
+        sides = [group.filter(pc.equal(group["_b"], b)) for b in sorted({lo, hi})]
+        if not all(len(s) for s in sides):
+            return FOUND.empty_table()
+        held = [(_unit(s["embedding"]), s["id"].combine_chunks(), s["_pos"].to_numpy().astype(np.int64)) for s in sides]
+        out = []
+        for q, m in [(held[0], held[-1])] if lo == hi else [(held[0], held[1]), (held[1], held[0])]:
+            i, j, sims = _nearest(q[0], m[0], q[1].to_numpy(False), m[1].to_numpy(False), m[2], k, gate)
+            out.append(pa.table([q[1].take(pa.array(i)), m[1].take(pa.array(j)), pa.array(m[2][j]), pa.array(sims)], schema=FOUND))
+        return pa.concat_tables(out)
+
+    return rows.groupBy("_lo", "_hi").applyInArrow(join, "q_id string, id string, _pos long, sim double")
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     ranked = found.withColumn("rnk", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("sim"), "_pos")))
     return ranked.where(F.col("rnk") <= k).select("q_id", "rnk", "id", "sim")
@@ -183,12 +213,22 @@ def search(queries: DataFrame, memories: DataFrame, k: int, gate: float | None =
         sizes = lambda df: df.groupBy(within).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
         blocks = sizes(mem).withColumnRenamed("n", "n_m").join(sizes(qs).withColumnRenamed("n", "n_q"), within)  # one row per store
         return _ranked(_deal(qs.join(blocks, within), mem.join(blocks, within), within, F.col("n_q"), F.col("n_m"), k, gate), k)
-    n, width = qs.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    n, width, number = _single(qs)
     if n * width * 8 <= FEW_BYTES:
         return _ranked(_in_place(qs, mem, k, gate), k)
+    number = "double" if number == "double" else _single(mem)[2]
     mem, qs = mem.withColumn("_bucket", F.lit(0)), qs.withColumn("_bucket", F.lit(0))
     n_q, n_m = _blocks(n, width), _blocks(mem.count(), width)
-    return _ranked(_deal(qs, mem, "_bucket", F.lit(n_q), F.lit(n_m), k, gate), k)
+    return _ranked(_deal(qs, mem, "_bucket", F.lit(n_q), F.lit(n_m), k, gate, number), k)
+
+
+def neighbours(memories: DataFrame, k: int, gate: float | None = None) -> DataFrame:
+    """search() of all memories among themselves. Where they do not fit in place, every two blocks meet once for both directions, so a row goes to OWN tasks, whatever the rows, until a block outgrows BLOCK_BYTES."""
+    mem = memories.where(F.col("embedding").isNotNull())
+    n, width, number = _single(mem)
+    if n * width * 8 <= FEW_BYTES:
+        return _ranked(_in_place(mem.select(F.col("id").alias("q_id"), "embedding"), mem, k, gate), k)
+    return _ranked(_among(mem, max(OWN, -(-n * width * 8 // BLOCK_BYTES)), k, gate, number), k)
 
 
 def _before(memories: DataFrame, is_bare: Column) -> DataFrame:

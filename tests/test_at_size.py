@@ -145,3 +145,19 @@ def test_copies_are_not_gathered_all_at_once(monkeypatch):
     rows, cols, _ = knn._nearest(v, v, ids, ids, np.arange(600)[::-1], 2, 0.2)
     assert most[0] <= knn.PAIRS
     assert cols[rows == 0].tolist() == [599, 598] and cols[rows == 599].tolist() == [598, 597]
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_all_among_themselves_meet_once(spark, monkeypatch, exact):
+    """A row goes to as many tasks as there are blocks, not to twice as many for each direction, in single precision where that is what it holds; the results are those in place."""
+    rng = np.random.default_rng(6)
+    v = rng.integers(-2, 3, (150, 5)) / (4 if exact else 3)
+    mem = spark.createDataFrame([(f"m{i % 140}" if i < 140 else f"x{i}", i, v[i].tolist()) for i in range(150)] + [("none", 150, None)], "id string, _pos long, embedding array<double>").cache()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    plain = rows(knn.search(mem.withColumnRenamed("id", "q_id"), mem, 3, gate=0.25))
+    assert rows(knn.neighbours(mem, 3, 0.25)) == plain
+    monkeypatch.setattr(knn, "FEW_BYTES", 0)
+    assert rows(knn.neighbours(mem, 3, 0.25)) == plain == rows(knn.search(mem.withColumnRenamed("id", "q_id"), mem, 3, gate=0.25))
+    sent = knn._among(mem.where("embedding IS NOT NULL"), knn.OWN, 3, 0.25, knn._single(mem.where("embedding IS NOT NULL"))[2])
+    plan = sent._jdf.queryExecution().optimizedPlan().toString()
+    assert ("array<float>" in plan) == exact
