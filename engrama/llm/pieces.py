@@ -31,7 +31,7 @@ from engrama.llm.shared import without
 
 MARK = "▁"
 #: Stretches that a worker remembers, the longest of them, and pairs of pieces.
-MEMORY, STRETCH, PAIRS = 300_000, 48, 200_000
+MEMORY, STRETCH, PAIRS = 120_000, 48, 120_000
 #: Code points of a block of text.
 BLOCK = 1 << 15
 

@@ -60,3 +60,18 @@ def test_odd_rows(spark, tmp_path):
                 assert at.where("doc = 'doc' AND hits = 'hits' AND key = 'key'").count() == at.count() > 0
         got = corpus_pipeline.run(spark, sf)
         assert got.count() == at.count() and (name == "odd") == (got.count() > 0)
+
+
+def test_what_a_worker_remembers_is_small():
+    """Python workers stay through all stages, and with them the last stage's memory of stretches."""
+    import tracemalloc
+
+    from engrama.llm import pieces
+
+    model = pieces.Pieces(corpus_pipeline.MODEL)
+    tracemalloc.start()
+    for i in range(400_000):
+        model.remember(f"word{i}", b"%016d" % i)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 30 << 20
