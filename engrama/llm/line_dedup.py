@@ -16,6 +16,7 @@ and every two parts meet in a task of their own, so no task holds more than two
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Iterator
@@ -41,35 +42,12 @@ AT_ONCE = 1 << 16
 LIST_ROWS = 1 << 17
 #: Longs of the widest sketch.
 WIDE = 8
-#: Factor of the polynomial that hashes a word's bytes, and its inverse modulo 2 ** 64.
-FACTOR = 0x9E3779B97F4A7C15
-INVERSE = pow(FACTOR, -1, 1 << 64)
-
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 to base ** (n - 1) modulo 2 ** 64, by doubling."""
-    out = np.ones(max(n, 1), np.uint64)
-    done, step = 1, base
-    while done < n:
-        take = min(done, n - done)
-        out[done : done + take] = out[:take] * np.uint64(step)
-        done, step = done + take, step * step % (1 << 64)
-    return out
-
-
-class _Powers:
-    """Powers that are long enough, kept from batch to batch."""
-
-    up = down = np.ones(0, np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            cls.up, cls.down = _powers(FACTOR, n), _powers(INVERSE, n)
-        return cls.up[:n], cls.down[:n]
+#: Bytes up to which words are hashed all at once, eight a step; longer ones one by one.
+LONG = 64
+#: What keeps words apart that differ in closing zero bytes only.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: The lowest 0 to 8 bytes of 64 bits.
+LOWEST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -80,12 +58,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def words(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash of each word in a buffer of UTF-8 bytes, all at once."""
-    gap = np.concatenate([[True], _BLANK[buffer], [True]])
+    gap = np.ones(len(buffer) + 2, bool)
+    gap[1:-1] = (buffer == 32) | (buffer - np.uint8(9) < 5)
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     start, end = edge[::2], edge[1::2]
-    up, down = _Powers.of(len(buffer) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up[: len(buffer)])])
-    return start, end, _mix((sums[end] - sums[start]) * down[start])
+    length = end - start
+    whole = np.zeros(len(buffer) // 8 + 2, np.uint64)
+    whole.view(np.uint8)[: len(buffer)] = buffer
+
+    def eight(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The eight bytes from each place on, of which `left` are the word's."""
+        i, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        return ((whole[i] >> shift) | (whole[i + 1] << np.uint64(1) << (np.uint64(63) - shift))) & LOWEST[np.minimum(left, 8)]
+
+    hashes = _mix(eight(start, length) ^ (length.astype(np.uint64) * FACTOR))
+    more = np.flatnonzero((length > 8) & (length <= LONG))
+    for at in range(8, LONG, 8):
+        more = more[length[more] > at]
+        hashes[more] = _mix(hashes[more] ^ eight(start[more] + at, length[more] - at))
+    for i in np.flatnonzero(length > LONG):
+        hashes[i] = int.from_bytes(hashlib.blake2b(buffer[start[i] : end[i]], digest_size=8).digest(), "little")
+    return start, end, hashes
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -141,9 +134,9 @@ def _order(line: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def lines(docs: DataFrame, ranks: bytes, threshold: float, least: int) -> DataFrame:
-    """One row per line with at least `least` different words: doc, line, a and b (together the set's identity), size, sketch and the prefix of (rarity, word hash) keys.
+    """One row per line with at least `least` different words: doc, line, a and b (together the set's identity), again (whether its document has an earlier line of the same set), size, sketch and the prefix of (rarity, word hash) keys.
 
-    sketch: each word flips one of 64, 128, 256 or 512 bits (more for longer lines; a wider one folds to a narrower by exclusive or), so two sketches differ in no more bits than their sets in words.
+    sketch: bytes in which each word flips one of 64, 128, 256 or 512 bits (more for longer lines; a wider one folds to a narrower by exclusive or), so two sketches differ in no more bits than their sets in words.
 
     ranks: broadcast-sized, fixed length: the rarity rank of each slot in 32 bits.
     """
@@ -156,7 +149,7 @@ def lines(docs: DataFrame, ranks: bytes, threshold: float, least: int) -> DataFr
             if not len(starts):
                 continue
             ends = np.flatnonzero(buffer == 10)
-            line = np.searchsorted(ends, starts)  # of the whole piece
+            line = np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(starts, ends), prepend=0))  # of the whole piece
             key = (rank[hashes % np.uint64(slots)].astype(np.uint64) << np.uint64(64 - bits)) | (hashes >> np.uint64(bits))
             order = _order(line, key)
             line, key, hashes = line[order], key[order], hashes[order]
@@ -165,12 +158,12 @@ def lines(docs: DataFrame, ranks: bytes, threshold: float, least: int) -> DataFr
             line, key, hashes = line[new], key[new], hashes[new]
             first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
             sizes = np.diff(np.append(first, len(line)))
-            a, b = np.add.reduceat(_mix(hashes), first), np.bitwise_xor.reduceat(_mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), first)
+            a, b = np.add.reduceat(hashes, first), np.bitwise_xor.reduceat(_mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), first)
             width = np.minimum(WIDE, 1 << np.ceil(np.log2(np.maximum(sizes / 64, 1))).astype(np.int64))  # longs
             at = np.cumsum(width) - width
-            bit = (_mix(hashes ^ np.uint64(0x2545F4914F6CDD1D)) % np.repeat(64 * width, sizes).astype(np.uint64)).astype(np.int64)
+            bit = (hashes >> np.uint64(40)).astype(np.int64) & np.repeat(64 * width - 1, sizes)
             flips = np.bincount(np.repeat(64 * at, sizes) + bit, minlength=64 * width.sum()) & 1
-            sketch = np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
+            sketch = np.packbits(flips.astype(np.uint8), bitorder="little")
             keep = np.flatnonzero(sizes >= least)
             if not len(keep):
                 continue
@@ -181,23 +174,29 @@ def lines(docs: DataFrame, ranks: bytes, threshold: float, least: int) -> DataFr
             n = _prefix(sizes[keep], threshold)
             take = np.repeat(first[keep] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(key[take].view(np.int64)))
-            spread = np.repeat(at[keep] - np.concatenate([[0], np.cumsum(width[keep])[:-1]]), width[keep]) + np.arange(width[keep].sum())
-            sketches = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width[keep])]), pa.int32()), pa.array(sketch[spread]))
+            own, to = 8 * width[keep], np.cumsum(8 * width[keep])
+            spread = sketch if len(keep) == len(sizes) else sketch[np.repeat(8 * at[keep] - (to - own), own) + np.arange(own.sum())]
+            sketches = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(np.concatenate([[0], to]).astype(np.int32)), pa.py_buffer(spread)])
+            a, b = a[keep], b[keep]
+            order = np.lexsort((b, a, doc))  # stable: lines of a document stay in order
+            again = np.zeros(len(keep), bool)
+            again[order[1:]] = (doc[order[1:]] == doc[order[:-1]]) & (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64)), pa.array(sizes[keep].astype(np.int32)), sketches, prefix],
-                ["doc", "line", "a", "b", "size", "sketch", "prefix"],
+                [rows.column(0).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(again), pa.array(sizes[keep].astype(np.int32)), sketches, prefix],
+                ["doc", "line", "a", "b", "again", "size", "sketch", "prefix"],
             )
 
-    return docs.select("doc", F.col("text").cast("binary")).mapInArrow(run, "doc long, line int, a long, b long, size int, sketch array<long>, prefix array<long>")
+    return docs.select("doc", F.col("text").cast("binary")).mapInArrow(run, "doc long, line int, a long, b long, again boolean, size int, sketch binary, prefix array<long>")
 
 
 class Sketches:
     """Sketches of 1 to WIDE longs, compared at the width of the narrower of two: a wider one folds by exclusive or."""
 
-    def __init__(self, sketch: pa.ListArray):
-        offsets = sketch.offsets.to_numpy()
-        width = np.diff(offsets)
-        flat, start = sketch.values.to_numpy().view(np.uint64), offsets[:-1]
+    def __init__(self, sketch: pa.BinaryArray):
+        sizes, held = (np.frombuffer(b or b"", t) for b, t in zip(sketch.buffers()[1:], (np.int32, np.uint8), strict=True))
+        offsets = sizes[sketch.offset : sketch.offset + len(sketch) + 1] if len(sketch) else np.zeros(1, np.int32)
+        width = np.diff(offsets) // 8
+        flat, start = held[offsets[0] : offsets[-1]].view(np.uint64), (offsets[:-1] - offsets[0]) // 8
         self.width = width
         self.one = flat[start] if len(start) else flat[:0]  # folded to one long
         self.wide: dict[int, np.ndarray] = {}  # folds of the wider ones, by place among these
@@ -230,25 +229,25 @@ class Sketches:
 
 
 def candidates(table: pa.Table, t: float, every: bool) -> pa.RecordBatch:
-    """(xd, xl, yd, yl, key): for the asking entries (all, if nothing says which) of whole word lists or pairs of their parts (sorted by key, part, doc, line; meta is size and place) the earlier entries of their lists that the filters on length, place and sketch let through: the first, or every one.
+    """(xd, xl, yd, yl, key): for the asking entries (all, if nothing says which) of whole word lists or pairs of their parts (meta is size and place) the earlier entries of their lists that the filters on length, place and sketch let through: the first, or every one.
 
     All lists advance together: round c tries every entry that is still open
     against the entry at place c of its list, so in search of the first a group of
     near copies is done after one round.
     """
-    table = table.combine_chunks()
-    key, doc, line, meta = (table.column(c).to_numpy() for c in ("key", "doc", "line", "meta"))
-    sketches = Sketches(pa.concat_arrays(table.column("sketch").chunks) if table.num_rows else pa.array([], pa.list_(pa.int64())))
+    order = np.lexsort([table.column(c).to_numpy() for c in ("line", "doc", "part", "key") if c in table.column_names])
+    key, doc, line, meta = (table.column(c).to_numpy()[order] for c in ("key", "doc", "line", "meta"))
+    sketches = Sketches(pa.concat_arrays(table.column("sketch").chunks).take(pa.array(order)) if table.num_rows else pa.array([], pa.binary()))
     size, i = meta >> 31, meta & ((1 << 31) - 1)
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     own = None
     if "part" in table.column_names:
-        part, own = table.column("part").to_numpy(), table.column("own").to_numpy()
+        part, own = table.column("part").to_numpy()[order], table.column("own").to_numpy()[order]
         new[1:] |= part[1:] != part[:-1]
         alone = part < 0
     start = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    open_ = np.flatnonzero(~new & table.column("asking").to_numpy() if "asking" in table.column_names else ~new)
+    open_ = np.flatnonzero(~new & table.column("asking").to_numpy()[order] if "asking" in table.column_names else ~new)
     xs, ys = [], []
     c = 0
     while len(open_):
@@ -325,7 +324,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, t: float, broadcast_rows: int)
     """(doc, line) of pairs' x whose words and those of y are similar enough. Words are only moved for pairs that wide sketches let through."""
     ends = pairs.select(F.explode(F.array(F.struct(F.col("xd").alias("doc"), F.col("xl").alias("line")), F.struct(F.col("yd").alias("doc"), F.col("yl").alias("line")))).alias("e")).select("e.*")
     wanted = materialise(ends.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("wanted")), "wanted-lines")
-    sets = materialise(_sets(docs, if_small(wanted, broadcast_rows, "wanted")), "line-words")
+    sets = _sets(docs, if_small(wanted, broadcast_rows, "wanted"))
+    sets = materialise(sets.withColumn("w", F.col("w").cast("array<string>")), "line-words")  # arrays of binary intersect by trying every two elements
 
     def beside(pairs_: DataFrame, *names: str) -> DataFrame:
         for side in "xy":
@@ -358,11 +358,10 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LE
     rank[np.argsort(counts, kind="stable")] = np.arange(SLOTS, dtype=np.uint32)
     every = materialise(lines(docs, rank.tobytes(), threshold, least), "lines")
     # lines with equal sets
-    place = F.struct("doc", "line")
-    same = every.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", F.col("first.doc").alias("fd"), F.col("first.line").alias("fl"))
+    same = every.where("NOT again").groupBy("a", "b").agg(F.min("doc").alias("fd"), F.count("*").alias("n")).where("n > 1").select("a", "b", "fd")
     same = materialise(same, "equal-lines")
     told = every.join(if_small(same, broadcast_rows), ["a", "b"], "left")
-    is_first = F.col("fd").isNull() | ((F.col("fd") == F.col("doc")) & (F.col("fl") == F.col("line")))
+    is_first = ~F.col("again") & (F.col("fd").isNull() | (F.col("fd") == F.col("doc")))
     gone = told.where(~is_first).select("doc", "line")
     # each word's list, in order; every line's first candidate in each. Unequal sets share at most n / (n + 1) of n words, so shorter ones have met all their matches above
     shortest = math.ceil(threshold / (1 - threshold) - 1e-6) if threshold < 1 else 1
@@ -385,7 +384,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, least: int = LE
                 yield candidates(whole, threshold, every)
 
         lists = ["key"] if hot is None else ["key", "part"]
-        return _dealt(entries_, hot).repartition(parts, *lists).sortWithinPartitions(*lists, "doc", "line").mapInArrow(run, "xd long, xl int, yd long, yl int, key long")
+        return _dealt(entries_, hot).repartition(parts, *lists).sortWithinPartitions(*lists).mapInArrow(run, "xd long, xl int, yd long, yl int, key long")
 
     first = materialise(pairs(entries, False), "first-pairs")
     ends = ["xd", "xl", "yd", "yl"]
@@ -418,7 +417,8 @@ def line_duplicates(docs: DataFrame, threshold: float = THRESHOLD, least: int =
     table gives no rows; other columns are not read.
     """
     out = _with_removed(docs.select("doc_id", "text"), threshold, least, broadcast_rows, list_rows)
-    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
+    text = F.coalesce("text", F.lit(""))
+    n_lines = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     return out.select("doc_id", n_lines.alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda i: i.cast("string")), ",").alias("removed"))
 
 

@@ -273,6 +273,35 @@ def test_line_duplicates(spark, table):
     assert line_dedup.line_duplicates(made.where("false")).count() == 0
 
 
+def test_words_of_any_length_are_told_apart():
+    """By bytes, length and place alike: steps of eight bytes, longer words, closing zero bytes, bytes at every offset."""
+    rng = random.Random(5)
+    made = [bytes(rng.choice(b"ab\x00\xc3") for _ in range(n)) for n in (1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 66, 200) for _ in range(6)] + [b"a", b"a\x00", b"a" * 8, b"a" * 8 + b"\x00"]
+    seen = {}
+    for _ in range(20):
+        text = b"".join(rng.choice([b" ", b"\n", b"\t\x0b"]) + w for w in rng.sample(made, 40))
+        start, end, hashes = line_dedup.words(np.frombuffer(text, np.uint8))
+        assert [text[a:b] for a, b in zip(start, end, strict=True)] == text.split()
+        for w, h in zip(text.split(), hashes.tolist(), strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_line_dedup_groups_by_hash_and_sorts_by_one_number(spark, monkeypatch):
+    """Equal lines take no sort, entries are sorted by a single long, and words meet as strings: arrays of binary intersect by trying every two elements."""
+    written, whole = {}, line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, what: written.setdefault(what, df) and whole(df, what))
+    long = "x" * 70 + " " + "y" * 64
+    texts = [f"{LOREM} {long}\nb a\na b", f"{LOREM} {long} z\nb a", f"{long} q w e\n{long} q w r\n{long} q w e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert by_id(line_dedup.line_duplicates(docs), "n_lines", "n_removed", "removed") == brute_removed(list(enumerate(texts)))
+    plan = lambda what: written[what]._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan("equal-lines")
+    sorts = [x for x in plan("first-pairs").splitlines() if "Sort [" in x]
+    assert len(sorts) == 1 and sorts[0].count(" ASC ") == 1
+    assert written["line-words"].schema["w"].dataType.simpleString() == "array<string>"
+
+
 def test_line_dedup_keeps_other_columns(docs):
     odd = docs.withColumn("doc", F.lit("mine")).withColumn("removed", F.lit(1)).withColumn("_row", F.lit(2)).withColumn("line", F.lit(3)).withColumn("Key", F.lit(4))
     got = line_dedup.dedup_lines(odd)
