@@ -18,8 +18,8 @@ from pyspark.sql.window import Window
 
 #: Rows of a small block, blocks of a side once these would be more, and bytes of vectors beyond which there are more again.
 BLOCK, SIDE, BLOCK_BYTES = 2048, 12, 64 << 20
-#: Blocks of a side where all memories are searched among themselves.
-OWN = 8
+#: Side of the square of blocks into which all memories are dealt where they are searched among themselves: a prime.
+OWN = 5
 #: Bytes of a query matrix that travels with the code.
 FEW_BYTES = 32 << 20
 #: Memories of one matrix product in place; rows and columns of one inside a pair of blocks.
@@ -150,25 +150,40 @@ def _single(vectors: DataFrame) -> tuple[int, int, str]:
     return n, width, "float" if single else "double"
 
 
-def _among(memories: DataFrame, blocks: int, k: int, gate: float | None, number: str) -> DataFrame:
-    """(q_id, id, _pos, sim): every two blocks of the memories meet in one task, where each is asked for the other's, and each block meets itself; a row goes to `blocks` tasks."""
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_b")
-    rows = memories.select(F.col("id").cast("string").alias("id"), F.col("_pos").cast("long").alias("_pos"), F.col("embedding").cast(f"array<{number}>").alias("embedding"), own, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_o"))
-    rows = rows.select("id", "_pos", "embedding", "_b", F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi"))
+def _side(size: int) -> int:
+    """The least prime from OWN on under which a line of the square holds no more than BLOCK_BYTES of `size` bytes of vectors."""
+    side = max(OWN, -(-size // BLOCK_BYTES))
+    while any(side % d == 0 for d in range(2, int(side**0.5) + 1)):
+        side += 1
+    return side
+
+
+def _lined(memories: DataFrame, side: int) -> DataFrame:
+    """memories with _b, a block of the square (_b // side, _b % side), once for each of the side + 1 lines through it (_line). Modulo a prime, every two blocks lie on one line: an upright one (from side * side on), or one of side slopes."""
+    x, y = F.floor(F.col("_b") / side), F.col("_b") % side
+    line = lambda m: F.when(m == side, side * side + x).otherwise(m * side + F.pmod(y - m * x, F.lit(side))).cast("int")
+    return memories.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(side * side)).cast("int")).withColumn("_line", F.explode(F.transform(F.sequence(F.lit(0), F.lit(side)), line)))
+
+
+def _among(memories: DataFrame, side: int, k: int, gate: float | None, number: str) -> DataFrame:
+    """(q_id, id, _pos, sim): the memories are dealt into a square of blocks, and a line of blocks is one task, where each block is asked for the others; in the upright lines it meets itself too. So every two memories meet in one task, and a row goes to side + 1 of side * (side + 1) tasks."""
+    rows = memories.select(F.col("id").cast("string").alias("id"), F.col("_pos").cast("long").alias("_pos"), F.col("embedding").cast(f"array<{number}>").alias("embedding"))
 
     def join(group: pa.Table) -> pa.Table:
-        lo, hi = group["_lo"][0].as_py(), group["_hi"][0].as_py()
-        sides = [group.filter(pc.equal(group["_b"], b)) for b in sorted({lo, hi})]
-        if not all(len(s) for s in sides):
-            return FOUND.empty_table()
-        held = [(_unit(s["embedding"]), s["id"].combine_chunks(), s["_pos"].to_numpy().astype(np.int64)) for s in sides]
+        block, upright = group["_b"].to_numpy(), group["_line"][0].as_py() >= side * side
+        names, pos, unit = group["id"].combine_chunks(), group["_pos"].to_numpy().astype(np.int64), _unit(group["embedding"])
+        codes = pd.factorize(names.to_numpy(False))[0]
         out = []
-        for q, m in [(held[0], held[-1])] if lo == hi else [(held[0], held[1]), (held[1], held[0])]:
-            i, j, sims = _nearest(q[0], m[0], q[1].to_numpy(False), m[1].to_numpy(False), m[2], k, gate)
-            out.append(pa.table([q[1].take(pa.array(i)), m[1].take(pa.array(j)), pa.array(m[2][j]), pa.array(sims)], schema=FOUND))
-        return pa.concat_tables(out)
+        for b in np.unique(block):
+            asks = np.flatnonzero(block == b)
+            held = np.arange(len(block)) if upright else np.flatnonzero(block != b)
+            if not len(held):
+                continue
+            i, j, sims = _nearest(unit[asks], unit[held], codes[asks], codes[held], pos[held], k, gate)
+            out.append(pa.table([names.take(pa.array(asks[i])), names.take(pa.array(held[j])), pa.array(pos[held[j]]), pa.array(sims)], schema=FOUND))
+        return pa.concat_tables(out) if out else FOUND.empty_table()
 
-    return rows.groupBy("_lo", "_hi").applyInArrow(join, "q_id string, id string, _pos long, sim double")
+    return _lined(rows, side).groupBy("_line").applyInArrow(join, "q_id string, id string, _pos long, sim double")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -223,12 +238,12 @@ def search(queries: DataFrame, memories: DataFrame, k: int, gate: float | None =
 
 
 def neighbours(memories: DataFrame, k: int, gate: float | None = None) -> DataFrame:
-    """search() of all memories among themselves. Where they do not fit in place, every two blocks meet once for both directions, so a row goes to OWN tasks, whatever the rows, until a block outgrows BLOCK_BYTES."""
+    """search() of all memories among themselves. Those of more than one small block meet in lines of blocks at every size, so a row goes to OWN + 1 tasks, whatever the rows, until a line outgrows BLOCK_BYTES."""
     mem = memories.where(F.col("embedding").isNotNull())
     n, width, number = _single(mem)
-    if n * width * 8 <= FEW_BYTES:
+    if n <= BLOCK and n * width * 8 <= FEW_BYTES:
         return _ranked(_in_place(mem.select(F.col("id").alias("q_id"), "embedding"), mem, k, gate), k)
-    return _ranked(_among(mem, max(OWN, -(-n * width * 8 // BLOCK_BYTES)), k, gate, number), k)
+    return _ranked(_among(mem, _side(n * width * 8), k, gate, number), k)
 
 
 def _before(memories: DataFrame, is_bare: Column) -> DataFrame:

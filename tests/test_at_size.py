@@ -161,3 +161,29 @@ def test_all_among_themselves_meet_once(spark, monkeypatch, exact):
     sent = knn._among(mem.where("embedding IS NOT NULL"), knn.OWN, 3, 0.25, knn._single(mem.where("embedding IS NOT NULL"))[2])
     plan = sent._jdf.queryExecution().optimizedPlan().toString()
     assert ("array<float>" in plan) == exact
+
+
+@pytest.mark.parametrize("side", [2, 3, 5, 7])
+def test_every_two_blocks_lie_on_one_line(spark, side):
+    """A row goes to side + 1 tasks of side blocks, and no two blocks share two of them or none."""
+    lines = {}
+    mem = spark.range(40 * side * side).select(F.col("id").cast("string").alias("id"))
+    for r in knn._lined(mem, side).select("_b", "_line").distinct().collect():
+        lines.setdefault(r["_b"], set()).add(r["_line"])
+    assert len(lines) == side * side and len(set().union(*lines.values())) == side * (side + 1)
+    assert all(len(x) == side + 1 and sum(line >= side * side for line in x) == 1 for x in lines.values())
+    assert all(len(lines[a] & lines[b]) == 1 for a in lines for b in lines if a < b)
+
+
+def test_what_is_sent_grows_with_the_rows(spark, monkeypatch):
+    """All memories among themselves: beyond one small block nothing goes through the driver, and a row is sent to OWN + 1 tasks, until a line outgrows its bytes."""
+    assert [knn._side(x) for x in (1, 64 * 615_384 * 8, knn.BLOCK_BYTES * 6, knn.BLOCK_BYTES * 8)] == [5, 5, 7, 11]
+    rng = np.random.default_rng(8)
+    mem = spark.createDataFrame([(f"m{i}", i, v) for i, v in enumerate(rng.integers(-3, 4, (90, 4)).astype(float).tolist())], "id string, _pos long, embedding array<double>")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    plain = rows(knn.neighbours(mem, 2, 0.2))
+    monkeypatch.setattr(knn, "BLOCK", 40)
+    monkeypatch.setattr(knn, "_in_place", None)
+    for most in (knn.BLOCK_BYTES, 400):  # 5 and 11 blocks a side, some of these empty
+        monkeypatch.setattr(knn, "BLOCK_BYTES", most)
+        assert rows(knn.neighbours(mem, 2, 0.2)) == plain
