@@ -16,6 +16,8 @@ TRANSIENT = r"(?i)\b(right now|currently|today|this (morning|afternoon|week)|wor
 DURABLE = r"(?i)\b(always|never|i am|i'?m allergic|i prefer|my (wife|husband|dog|cat|kid|son|daughter)|remember that)\b"
 TTL_DAYS = 7
 SAME = 0.9
+#: A product of unit rows that comes so near to a limit does not say on which side of it a cosine lies.
+EVEN = 1e-12
 
 
 def initial_tier(text: Column) -> Column:
@@ -36,6 +38,14 @@ def expired_sessions(memories: DataFrame, now: Column, session: str | None, days
     return old.select("id", F.lit(True).alias("deleted"), F.lit("session_expired").alias("delete_reason"))
 
 
+def _cosines(vectors: pd.Series, other: np.ndarray) -> np.ndarray:
+    """Cosines from sums in the order of the vectors' numbers, as an engine computes them that takes one pair at a time; 0 where a side is a zero vector."""
+    a, b = np.stack([np.asarray(v, np.float64) for v in vectors]), np.asarray(other, np.float64)
+    total = lambda x: np.add.accumulate(x, axis=1)[:, -1]
+    size = np.sqrt(total(a * a) * total((b * b)[None, :]))
+    return np.clip(np.divide(total(a * b), size, out=np.zeros(len(a)), where=size > 0), -1.0, 1.0)
+
+
 def close_links(memories: DataFrame, least: float = SAME) -> DataFrame:
     """(a, b): enough of the pairs of memories at or above a similarity to connect all that are; at most one per memory and pair of blocks."""
     mem = memories.where(F.col("embedding").isNotNull()).select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -53,7 +63,11 @@ def close_links(memories: DataFrame, least: float = SAME) -> DataFrame:
             front = [start]
             while front:
                 at = front.pop()
-                near = np.flatnonzero(left & (m @ m[at] >= least))
+                sims = m @ m[at]
+                even = np.flatnonzero(left & (np.abs(sims - least) <= EVEN))
+                if len(even):
+                    sims[even] = _cosines(pdf["embedding"].iloc[even], pdf["embedding"].iloc[at])
+                near = np.flatnonzero(left & (sims >= least))
                 left[near] = False
                 links += [(ids[at], ids[x]) for x in near]
                 front += near.tolist()

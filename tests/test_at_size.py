@@ -16,6 +16,14 @@ def test_a_null_text_is_not_the_longest(spark):
     assert got == {"a": None, "b": "long_term", "c": None}
 
 
+def test_a_pair_at_the_limit_is_close(spark):
+    """Its cosine is 2/5, the product of its unit rows 0.39999999999999997."""
+    made = [("a", "said", [1.0, 0.0, 2.0, 0.0], "s1", "session"), ("b", "said so", [2.0, 1.0, 0.0, 0.0], "s2", "session")]
+    made = spark.createDataFrame(made, "id string, text string, embedding array<double>, session_id string, tier string")
+    assert {r["id"]: r["tier"] for r in scoping.promotions(made, 0.4).collect()} == {"a": None, "b": "long_term"}
+    assert scoping.promotions(made, 0.41).isEmpty()
+
+
 def test_blocks_of_a_side_do_not_grow_with_the_rows():
     """Every row goes to each block of the other side, so what is shuffled grows with blocks times rows."""
     assert [knn._blocks(n, 64) for n in (1, 2_048, 10_000, 100_000, 600_000)] == [1, 1, 5, 12, 12]
