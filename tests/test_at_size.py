@@ -195,3 +195,59 @@ def test_what_is_sent_grows_with_the_rows(spark, monkeypatch):
     for most in (knn.BLOCK_BYTES, 400):  # 5 and 11 blocks a side, some of these empty
         monkeypatch.setattr(knn, "BLOCK_BYTES", most)
         assert rows(knn.neighbours(mem, 2, 0.2)) == plain
+
+
+@pytest.mark.parametrize("listed,cells,at_once", [(0, 1 << 17, 1 << 21), (1 / 400, 40, 3), (2, 7, 50), (2, 1 << 17, 1 << 21)])
+def test_words_as_lists_give_the_product(monkeypatch, listed, cells, at_once):
+    for name, value in (("LISTED", listed), ("CELLS", cells), ("AT_ONCE", at_once), ("QUERIES", 8)):
+        monkeypatch.setattr(lexical, name, value)
+    rng = np.random.default_rng(6)
+    asked, held = rng.random((20, 30)) * (rng.random((20, 30)) < 0.3), rng.random((15, 30)) * (rng.random((15, 30)) < 0.3)
+    (q, w), (column, word) = np.nonzero(asked), np.nonzero(held)
+    for plain in (False, True):  # with weights; as counts
+        a, h = (asked > 0, held > 0) if plain else (asked, held)
+        asks = lexical.Asks(20, 30, q, w, None if plain else asked[q, w])
+        got = np.concatenate([asks.meet(i, word, column, None if plain else held[column, word], 15) for i in range(len(asks.parts))])
+        assert len(asks.parts) == 3 and np.allclose(got, a.astype(float) @ h.T.astype(float), atol=1e-12)
+        needed = np.arange(8) % 3 == 0
+        assert np.allclose(asks.meet(0, word, column, None if plain else held[column, word], 15, needed)[needed], got[:8][needed], atol=1e-12)
+
+
+def test_groups_hold_every_query_and_memory_once(monkeypatch):
+    """Queries and memories of two languages; each group's memories come together, with their own words."""
+    monkeypatch.setattr(lexical, "FEW", 3)
+    monkeypatch.setattr(lexical, "MEMORIES", 5)
+    block = [(f"q{i}", [f"{'ab'[i % 2]}{j}" for j in range(6) if (i + j) % 4]) for i in range(20)] + [("none", [])]
+    of = lexical.gathered(block)
+    assert sorted(of.names) == sorted(q for q, _ in block)
+    assert {(of.names[r], of.words[c]) for r, c in zip(of.rows, of.cols, strict=True)} == {(q, w) for q, tok in block for w in tok}
+    assert dict(zip(of.names, of.size, strict=True)) == {q: len(tok) for q, tok in block}
+    texts = [" ".join(f"{'ab'[i % 2]}{j}" for j in range(i % 7)) for i in range(23)]
+    place = {w: i for i, w in enumerate(of.words)}
+    word, column, _, _ = lexical.counted(texts, {w.encode(): i for w, i in place.items()})
+    seen = {}
+    for some, words, columns, weight in lexical.alike(of, word, column, None, len(texts)):
+        assert len(some) <= 5 and weight is None
+        for j, i in enumerate(some.tolist()):
+            assert i not in seen
+            seen[i] = {of.words[x] for x in words[columns == j]}
+    assert seen == {i: set(t.split()) for i, t in enumerate(texts)}
+
+
+def test_words_inside_runs():
+    """Words of up to eight bytes, of eight, and longer ones."""
+    words = ["a", "sea", "seaside", "overseas", "overseasx", "verseasxy", "overseasxyz", "zz"]
+    place = {w: i for i, w in enumerate(words)}
+    texts = ["Overseasxyz, sea!", None, "", "xseasidezz overseas", "ovErseasx", "OVERSEASX"]
+    word, column, weight = lexical.inside(place)(texts)
+    assert weight is None
+    for j, text in enumerate(texts):
+        assert {words[w] for w in word[column == j]} == {w for w in words if w in (text or "").lower()}
+
+
+def test_word_searches_shuffle_no_texts(spark):
+    """The texts were joined with vectors and labels, so all of them were shuffled for each pass."""
+    from engrama import queries
+
+    for query in (queries.bm25_topk, queries.keyword_fallback):
+        assert "Join" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
