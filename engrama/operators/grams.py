@@ -8,7 +8,7 @@ task, which adds up scores from them and hands on k rows per query, so words and
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,24 +21,38 @@ from engrama.operators import lexical
 
 #: Places of one bitmap, and characters of the longest gram.
 BUCKET, LONGEST = 2_048, 3
-#: Bytes of a matrix of words and memories.
+#: Bytes of a matrix of queries and memories.
 MATRIX = 64 << 20
 #: Buckets of one task: about so many tasks, but no more buckets in one.
 TASKS, BUCKETS = 96, 16
 POSTING = "gram string, bucket long, bits binary"
 
 
-def _grams(run: str) -> set[str]:
-    return {run[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(run) - n + 1)}
-
-
-def _runs(texts: Iterable[tuple[int, str | None]]) -> dict[str, int]:
-    """The runs of word characters of texts in lower case, by their places in a bucket, with the bitmap of each."""
-    out: dict[str, int] = {}
-    for at, text in texts:
-        for run in set(lexical.RUN.findall(text or "")):
-            out[run] = out.get(run, 0) | 1 << at
-    return out
+#: Characters of runs as digits from 1, all other bytes as 0; texts whose grams are marked at once.
+CHARACTERS = "0123456789_abcdefghijklmnopqrstuvwxyz"
+DIGIT, BASE, TEXTS = np.array([CHARACTERS.find(chr(c)) + 1 for c in range(256)], np.int64), len(CHARACTERS) + 1, 256
+
+
+def _marked(texts: list[str | None], at: np.ndarray) -> Iterator[tuple[str, bytes]]:
+    """The grams of texts in lower case, with the bitmap of the texts' places in a bucket."""
+    bits = np.zeros((BASE**LONGEST, BUCKET // 8), np.uint8)
+    for lo in range(0, BUCKET, TEXTS):
+        mine = np.flatnonzero((at >= lo) & (at < lo + TEXTS))
+        if not len(mine):
+            continue
+        raw = [(texts[i] or "").encode() + b" " for i in mine]
+        digit = DIGIT[np.frombuffer(b"".join(raw), np.uint8)]
+        place = np.repeat(at[mine] - lo, [len(r) for r in raw])
+        flags, code, inside = np.zeros((BASE**LONGEST, TEXTS), bool), np.zeros(len(digit), np.int64), np.ones(len(digit), bool)
+        for n in range(LONGEST):  # the gram of n + 1 characters that ends at a place
+            back = np.pad(digit, (n, 0))[: len(digit)]
+            inside &= back > 0
+            code += back * BASE**n
+            flags[code[inside], place[inside]] = True
+        bits[:, lo // 8 : (lo + TEXTS) // 8] = np.packbits(flags, axis=1, bitorder="little")
+    for code in np.flatnonzero(bits.any(axis=1)).tolist():
+        digits = [code // BASE**n % BASE for n in reversed(range(LONGEST))]
+        yield "".join(CHARACTERS[d - 1] for d in digits if d), bits[code].tobytes()
 
 
 def _bucket(places: DataFrame) -> DataFrame:
@@ -49,12 +63,9 @@ def build(memories: DataFrame) -> DataFrame:
     """POSTING of memories (_pos, text; places are not negative and unique). The empty gram stands for every memory, null texts too. Each text goes to its bucket, where the bitmaps are made."""
 
     def index(group: pa.Table) -> pa.Table:
-        texts = {p % BUCKET: t for p, t in zip(group["_pos"].to_pylist(), group["text"].to_pylist(), strict=True)}
-        out = {"": sum(1 << at for at in texts)}
-        for run, held in _runs(texts.items()).items():
-            for g in _grams(run):
-                out[g] = out.get(g, 0) | held
-        columns = [pa.array(list(out), pa.string()), pa.array([group["bucket"][0].as_py()] * len(out), pa.int64()), pa.array([x.to_bytes(BUCKET // 8, "little") for x in out.values()], pa.binary())]
+        at = group["_pos"].to_numpy() % BUCKET
+        out = [("", sum(1 << x for x in at.tolist()).to_bytes(BUCKET // 8, "little")), *_marked(group["text"].to_pylist(), at)]
+        columns = [pa.array([g for g, _ in out], pa.string()), pa.array([group["bucket"][0].as_py()] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())]
         return pa.table(columns, names=["gram", "bucket", "bits"])
 
     return _bucket(memories.select(F.col("_pos").cast("long").alias("_pos"), F.lower("text").alias("text"))).groupBy("bucket").applyInArrow(index, POSTING)
@@ -98,35 +109,28 @@ def _at(held: int) -> np.ndarray:
 
 
 class _Words:
-    """Words with their grams, and which of the longer ones stand in a run; runs of a task are remembered."""
+    """Words with their grams, and a reader of the longer ones, which a task makes for itself."""
 
     def __init__(self, words: list[str]):
         self.grams = [grams_of(w) for w in words]
-        self.long = {w: i for i, w in enumerate(words) if len(w) > LONGEST}
-        self.lengths = sorted({len(w) for w in self.long})
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def inside(self, run: str) -> tuple[int, ...]:
-        got = self.known.get(run)
-        if got is None:
-            got = tuple({self.long[s] for n in self.lengths if n <= len(run) for i in range(len(run) - n + 1) if (s := run[i : i + n]) in self.long})
-            if len(self.known) >= lexical.REMEMBERED:
-                self.known.clear()
-            self.known[run] = got
-        return got
-
-    def holding(self, bits: dict[str, int], texts: dict[int, str | None]) -> Iterator[tuple[int, np.ndarray]]:
-        """Number and places in a bucket of each word that some text holds. Of longer words the candidates are looked through: a word stands in a text where it stands in one of its runs, and equal runs are looked at once."""
-        held = [_all(g, bits) for g in self.grams]
-        open_, true = 0, dict.fromkeys(self.long.values(), 0)
-        for i in true:
-            open_ |= held[i]
-        for run, there in _runs((at, texts.get(at)) for at in _at(open_).tolist()).items():
-            for i in self.inside(run):
-                true[i] |= there
-        for i, which in enumerate(held):
-            if which := which & true.get(i, which):
-                yield i, _at(which)
+        self.short = [i for i, w in enumerate(words) if len(w) <= LONGEST]
+        self.long = [i for i, w in enumerate(words) if len(w) > LONGEST]
+        self.words, self.read = words, None
+
+    def holding(self, bits: dict[str, int], texts: dict[int, str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of words and the places in a bucket whose texts hold them, by place. Only texts that hold all grams of a longer word are looked through."""
+        if self.read is None:
+            self.read = lexical.inside({self.words[i]: i for i in self.long}, len(self.words))
+        open_ = 0
+        for i in self.long:
+            open_ |= _all(self.grams[i], bits)
+        places = _at(open_)
+        word, which, _ = self.read([texts.get(at) for at in places.tolist()])
+        held = [_at(_all(self.grams[i], bits)) for i in self.short]
+        word = np.concatenate([word, np.repeat(np.array(self.short, np.int64), [len(x) for x in held])])
+        at = np.concatenate([places[which], *held])
+        order = np.argsort(at, kind="stable")
+        return word[order], at[order]
 
 
 def _meet(words: list[str], memories: DataFrame, postings: DataFrame, buckets: int, use: Callable, schema: str) -> DataFrame:
@@ -141,9 +145,10 @@ def holding(words: list[str], memories: DataFrame, postings: DataFrame) -> DataF
     def use(held: pa.Table, mem: pa.Table) -> pa.Table:
         texts, known, out = {p % BUCKET: t for p, t in zip(mem["_pos"].to_pylist(), mem["text"].to_pylist(), strict=True)}, _Words(words), []
         for bucket, bits in _bits(held).items():
-            for i, at in known.holding(bits, texts):
+            word, at = known.holding(bits, texts)
+            for i in np.unique(word).tolist():
                 flags = np.zeros(BUCKET, np.uint8)
-                flags[at] = 1
+                flags[at[word == i]] = 1
                 out.append((words[i], bucket, np.packbits(flags, bitorder="little").tobytes()))
         return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["word", "bucket", "bits"])
 
@@ -176,40 +181,29 @@ def reads(queries: DataFrame, postings: DataFrame) -> DataFrame:
     return queries.select(F.col("q_id").cast("string").alias("q_id")).join(parts, "q_id", "left").select("q_id", F.coalesce("memories", F.lit(0)).alias("memories"))
 
 
-def _scorer(block: list[tuple[str, list[str]]], words: list[str], k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _scorer(of: lexical.Block, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """From the bitmaps and texts of some buckets to the k best memories of each query."""
-    names, known, place = np.array([q for q, _ in block], object), _Words(words), {w: i for i, w in enumerate(words)}
-    rows = np.array([i for i, (_, tok) in enumerate(block) for _ in tok], np.int64)
-    cols = np.array([place[w] for _, tok in block for w in tok], np.int64)
-    value = np.array([1 / len(tok) for _, tok in block for _ in tok])
-    size, each = MATRIX, lexical.QUERIES
+    known, size = _Words(of.words), np.maximum(of.size, 1)
+    step = max(1, MATRIX // (8 * max(1, min(lexical.QUERIES, len(of.names)))))
 
     def score(held: pa.Table, mem: pa.Table) -> pa.Table:
-        parts = []
-        for lo in range(0, len(names), each):
-            first, last = np.searchsorted(rows, (lo, lo + each))
-            by = np.argsort(cols[first:last], kind="stable") + first
-            parts.append((lo, (cols[by], rows[by] - lo, value[by]), lexical.Best(len(names[lo : lo + each]), k, 12)))
+        asks = lexical.Asks(len(of.names), len(of.words), of.rows, of.cols, None)
+        bests = [lexical.Best(n, k) for _, n, *_ in asks.parts]  # of hits, as a query's words are the same for all memories
         bits, pos, ids, text = _bits(held), mem["_pos"].to_numpy(), mem["id"].to_numpy(), mem["text"].to_pylist()
         for bucket in np.unique(pos // BUCKET).tolist():
             mine = np.flatnonzero(pos // BUCKET == bucket)
+            mine = mine[np.argsort(pos[mine])]
             at = pos[mine] - bucket * BUCKET
-            found = dict(known.holding(bits.get(bucket, {}), dict(zip(at.tolist(), (text[i] for i in mine), strict=True))))
-            local, column = np.fromiter(found, np.int64, len(found)), np.full(BUCKET, -1)
-            column[at] = np.arange(len(at))
-            row, col = np.repeat(np.arange(len(found)), [len(x) for x in found.values()]), column[np.concatenate([np.zeros(0, np.int64), *found.values()])]
-            step = max(1, size // (8 * max(1, len(found))))
-            number = np.full(len(words), -1)
-            number[local] = np.arange(len(local))
+            word, place = known.holding(bits.get(bucket, {}), dict(zip(at.tolist(), (text[i] for i in mine), strict=True)))
+            col = np.searchsorted(at, place)
             for lo in range(0, len(mine), step):
-                some, here = mine[lo : lo + step], (col >= lo) & (col < lo + step)
-                m = np.zeros((len(found), len(some)))
-                m[row[here], col[here] - lo] = 1
-                there = np.bincount(row[here], minlength=len(found))
-                for _, (c, r, v), best in parts:
-                    asks = number[c] >= 0
-                    best.add(lexical._product((number[c[asks]], r[asks], v[asks]), m, there, len(best.least)), pos[some], ids[some])
-        out = pd.concat([best.rows(names[lo : lo + each]) for lo, _, best in parts])
+                here, part = slice(*np.searchsorted(col, (lo, lo + step))), mine[lo : lo + step]
+                for some, *words in lexical.alike(of, word[here], col[here] - lo, None, len(part)):
+                    for i, best in enumerate(bests):
+                        best.add(asks.meet(i, *words, len(some)), pos[part[some]], ids[part[some]])
+        for (lo, *_), best in zip(asks.parts, bests, strict=True):
+            best.score = best.score / size[best.row + lo]
+        out = pd.concat([best.rows(of.names[lo : lo + n]) for (lo, n, *_), best in zip(asks.parts, bests, strict=True)])
         types = (pa.string(), pa.string(), pa.int64(), pa.float64())
         return pa.table([pa.array(out[c].to_numpy(), t) for c, t in zip(("q_id", "id", "_pos", "score"), types, strict=True)], names=["q_id", "id", "_pos", "score"])
 
@@ -222,9 +216,9 @@ def keyword_recall(queries: DataFrame, memories: DataFrame, postings: DataFrame,
     buckets = min(BUCKETS, max(1, -(-postings.where("gram = ''").count() // TASKS)))
     parts = []
     for block in lexical.query_blocks(asked):
-        words = sorted({w for _, tok in block for w in tok})
         if block:
-            parts.append(_meet(words, memories, postings, buckets, _scorer(block, words, k), "q_id string, id string, _pos long, score double"))
+            of = lexical.gathered(block)
+            parts.append(_meet(of.words, memories, postings, buckets, _scorer(of, k), "q_id string, id string, _pos long, score double"))
     if not parts:
         return memories.sparkSession.createDataFrame([], "q_id string, rnk int, id string, score double")
     best = lexical.top(parts, k, 12)

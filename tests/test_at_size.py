@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engrama.operators import extras, graph, knn, ledger, lexical, recall, scoping
+from engrama.operators import extras, grams, graph, knn, ledger, lexical, recall, scoping
 
 
 def test_a_null_text_is_not_the_longest(spark):
@@ -251,3 +251,18 @@ def test_word_searches_shuffle_no_texts(spark):
 
     for query in (queries.bm25_topk, queries.keyword_fallback):
         assert "Join" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_grams_of_many_texts_are_marked_at_once(monkeypatch):
+    monkeypatch.setattr(grams, "TEXTS", 8)
+    texts, at = ["sea_1 x", None, "", "a", "ab", "äbcö dé", "x" * 50, "9"], np.array([0, 3, 7, 8, 9, 800, 2040, 2047])
+    want = {}
+    for text, place in zip(texts, at.tolist(), strict=True):
+        for run in lexical.RUN.findall(text or ""):
+            for g in {run[i : i + n] for n in (1, 2, 3) for i in range(len(run) - n + 1)}:
+                want[g] = want.get(g, 0) | 1 << place
+    assert {g: int.from_bytes(b, "little") for g, b in grams._marked(texts, at)} == want
+    known = grams._Words(["sea", "sea_1", "xxxx", "bc", "zzzz"])
+    word, place = known.holding(want, dict(zip(at.tolist(), texts, strict=True)))
+    assert sorted(zip(word.tolist(), place.tolist(), strict=True)) == [(0, 0), (1, 0), (2, 2040), (3, 800)]
+    assert (np.diff(place) >= 0).all()
