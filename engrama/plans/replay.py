@@ -68,7 +68,8 @@ def saved(memories: DataFrame, writes: DataFrame, top: int, place: int, floor: f
 
 def compare_options(cases: DataFrame, writes: DataFrame, a: recall_plan.Options, b: recall_plan.Options, names: tuple[str, str] = ("a", "b")) -> DataFrame:
     """(kind, a, b, delta, mark): the shares of cases that pass when recalls run with options a and with options b, per kind and over all (evaluation.compare()). Both run on the same replayed stores."""
-    runs = [evaluate(cases, writes, o).select("kind", "pass", F.lit(n).alias("variant")) for n, o in zip(names, (a, b), strict=True)]
+    mem = _stores(cases, writes)
+    runs = [_evaluated(cases, mem, o).select("kind", "pass", F.lit(n).alias("variant")) for n, o in zip(names, (a, b), strict=True)]
     return evaluation.compare(runs[0].unionByName(runs[1]), *names)
 
 
@@ -79,9 +80,19 @@ def evaluate(cases: DataFrame, writes: DataFrame, options: recall_plan.Options =
     case's id), _pos, text, embedding, at. Every case has a store of its own; all run in one job.
     """
     cases = evaluation.with_prefix(cases, prefix)
-    mem = replay(writes.join(cases.select(F.col("id").alias("store_id")), "store_id", "left_semi")).checkpoint()
+    return _evaluated(cases, _stores(cases, writes), options)
+
+
+def _stores(cases: DataFrame, writes: DataFrame) -> DataFrame:
+    """The memories of the cases' stores."""
+    return replay(writes.join(cases.select(F.col("id").alias("store_id")), "store_id", "left_semi")).checkpoint()
+
+
+def _evaluated(cases: DataFrame, mem: DataFrame, options: recall_plan.Options) -> DataFrame:
+    """evaluate() on replayed stores."""
     asked = cases.select(F.col("id").alias("q_id"), F.col("id").alias("store_id"), "embedding", is_historical(F.col("query")).alias("historical"))
-    got = recall_plan.run(asked, mem, replace(options, field=True), within="store_id")
+    on = not cases.where((F.col("kind") == "constraint") | F.coalesce("field", F.lit(False))).isEmpty()  # else no case looks at the field
+    got = recall_plan.run(asked, mem, replace(options, field=on), within="store_id")
     primary, related = got.primary.checkpoint(), got.related.checkpoint()
     # the field has something to add only where not all of a scope is returned
     sizes = [in_scope(mem, h).groupBy("store_id").agg(F.count("*").alias("n")).withColumn("historical", F.lit(h)) for h in (False, True)]

@@ -276,3 +276,14 @@ def test_blocks_scored_together_or_one_by_one(spark, monkeypatch, most):
     monkeypatch.setattr(lexical, "QUERIES", 4)
     held, stats = postings.build(mem, 10)
     assert sorted(map(tuple, postings.search(asks, mem, held, stats, 3).selectExpr("q_id", "rnk", "id", "round(score, 9)").collect())) == sorted(map(tuple, extras.bm25(asks, mem, 3).selectExpr("q_id", "rnk", "id", "round(score, 9)").collect()))
+
+
+def test_two_options_share_the_stores_and_the_field_runs_only_for_cases_that_look_at_it(spark, monkeypatch):
+    from engrama import queries
+    from engrama.plans import recall_plan, replay
+
+    calls, fields, whole, run = [], [], replay.replay, recall_plan.run
+    monkeypatch.setattr(replay, "replay", lambda *a: calls.append(1) or whole(*a))
+    monkeypatch.setattr(recall_plan, "run", lambda q, m, options, **kw: fields.append(options.field) or run(q, m, options, **kw))
+    assert {r["kind"] for r in queries.ab_evaluated(spark, "/root/testdata/sf0.001").collect()} >= {"all"}
+    assert len(calls) == 1 and fields == [False, False]
