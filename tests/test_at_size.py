@@ -287,3 +287,12 @@ def test_two_options_share_the_stores_and_the_field_runs_only_for_cases_that_loo
     monkeypatch.setattr(recall_plan, "run", lambda q, m, options, **kw: fields.append(options.field) or run(q, m, options, **kw))
     assert {r["kind"] for r in queries.ab_evaluated(spark, "/root/testdata/sf0.001").collect()} >= {"all"}
     assert len(calls) == 1 and fields == [False, False]
+
+
+def test_a_block_without_queries_or_words():
+    assert len(lexical.gathered([]).names) == 0
+    of = lexical.gathered([("q", []), ("r", [])])
+    assert sorted(of.names) == ["q", "r"] and of.words == []
+    none = np.zeros(0, np.int64)
+    for some in (lexical.gathered([]), of):
+        assert sum(len(p) for p, *_ in lexical.alike(some, none, none, None, 3)) == 3
